@@ -34,7 +34,13 @@ from tablelens.operators.groups import (
     top_group_drilldown,
     top_groups,
 )
-from tablelens.operators.ordering import approx_quantiles, exact_quantiles, global_rank, quantiles
+from tablelens.operators.ordering import (
+    approx_quantiles,
+    distributed_quantiles,
+    global_rank,
+    inmemory_quantiles,
+    quantiles,
+)
 from tablelens.operators.profile import (
     categorical_profile,
     dataset_overview,

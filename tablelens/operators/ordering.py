@@ -9,7 +9,7 @@ give the same answers with range partitioning:
   rows locally with ``monotonically_increasing_id`` (partition index in the high
   bits, position in the low 33 bits), and add the row count of all earlier
   partitions. Only a table of one row per partition meets in one place.
-* ``exact_quantiles``: reduce values to ``(group, value, n)`` first (a hot value
+* ``distributed_quantiles``: reduce values to ``(group, value, n)`` first (a hot value
   collapses to one row), range-partition that frame, and find the values at the
   interpolation ranks from cumulative counts. Linear interpolation at
   ``(n - 1) * p`` is the rule of ``percentile``, numpy and DuckDB's
@@ -63,7 +63,7 @@ def quantile_name(p: float) -> str:
     return "q" + text.replace(".", "_")
 
 
-def exact_quantiles(
+def distributed_quantiles(
     long_df: DataFrame,
     group_cols: Sequence[str],
     value_col: str,
@@ -176,16 +176,61 @@ def approx_quantiles(
     )
 
 
+def inmemory_quantiles(
+    long_df: DataFrame,
+    group_cols: Sequence[str],
+    value_col: str,
+    probs: Sequence[float],
+) -> DataFrame:
+    """Exact quantiles with Spark's ``percentile`` (same interpolation rule).
+
+    ``percentile`` keeps a value->count map per group and merges the maps of
+    a group in one task: use it only where the distinct values per group are
+    bounded (group sizes, or after a checked estimate, see ``quantiles``).
+    """
+    arr = F.percentile(F.col(value_col), [float(p) for p in probs])
+    out = long_df.groupBy(*group_cols).agg(arr.alias("_qs"))
+    return out.where(F.col("_qs").isNotNull()).select(
+        *group_cols,
+        *[F.col("_qs")[i].cast("double").alias(quantile_name(p)) for i, p in enumerate(probs)],
+    )
+
+
+# Largest estimated number of distinct values per group for which ``auto``
+# lets one task hold a group's value map (about 50 MB at this size).
+MAX_INMEMORY_VALUES = 1_000_000
+
+
 def quantiles(
     long_df: DataFrame,
     group_cols: Sequence[str],
     value_col: str,
     probs: Sequence[float],
-    method: str = "exact",
+    method: str = "auto",
     accuracy: int = 10000,
+    max_inmemory_values: int = MAX_INMEMORY_VALUES,
 ) -> DataFrame:
-    if method == "exact":
-        return exact_quantiles(long_df, group_cols, value_col, probs)
+    """Quantiles per group.
+
+    * ``distributed``: range-partitioned cumulative counts, any data size.
+    * ``inmemory``: Spark's exact ``percentile`` (bounded groups only).
+    * ``auto`` (default): exact either way; a one-row HyperLogLog pass
+      estimates the largest per-group distinct count and picks ``inmemory``
+      below ``max_inmemory_values``, ``distributed`` above.
+    * ``approx``: ``percentile_approx``, bounded memory, rank error 1/accuracy.
+    """
+    if method == "auto":
+        est = (
+            long_df.groupBy(*group_cols)
+            .agg(F.approx_count_distinct(F.col(value_col)).alias("_d"))
+            .agg(F.max("_d"))
+            .first()[0]
+        )
+        method = "inmemory" if (est or 0) <= max_inmemory_values else "distributed"
+    if method == "distributed":
+        return distributed_quantiles(long_df, group_cols, value_col, probs)
+    if method == "inmemory":
+        return inmemory_quantiles(long_df, group_cols, value_col, probs)
     if method == "approx":
         return approx_quantiles(long_df, group_cols, value_col, probs, accuracy)
-    raise ValueError(f"unknown quantile method {method!r} (use 'exact' or 'approx')")
+    raise ValueError(f"unknown quantile method {method!r} (use auto, distributed, inmemory or approx)")

@@ -104,7 +104,7 @@ def numeric_profile(
     cols: Sequence[str],
     ddof: int = 1,
     quantile_probs: Sequence[float] = (),
-    quantile_method: str = "exact",
+    quantile_method: str = "auto",
     decimals: int | None = None,
     exact_scale: int | None = None,
 ) -> DataFrame:

@@ -49,10 +49,13 @@ def numeric_ratios(
 ) -> DataFrame:
     """Per column: ``column_name, position, non_null, numeric_count, ratio``.
 
-    Default: every row, independent of row order (V3). ``sample_rows`` keeps
-    the first rows by ``order_by``; ``sample_values`` keeps the first non-null
-    values of each column by ``order_by`` (the reference's prefix samples).
-    Columns that are already numeric count every non-null value as numeric.
+    Default: every row, independent of row order (V3), in one single-row
+    aggregate (two counters per column, no row explosion). ``sample_rows``
+    keeps the first rows by ``order_by``; ``sample_values`` keeps the first
+    non-null values of each column by ``order_by`` (the reference's prefix
+    samples). Numeric columns count every value as numeric; other non-text
+    types (dates, booleans) count none; only text is matched against the
+    numeric grammar.
     """
     cols = list(cols if cols is not None else d.columns)
     if (sample_rows or sample_values) and order_by is None:
@@ -62,41 +65,63 @@ def numeric_ratios(
         # A top-k by an explicit order: TakeOrderedAndProject, k rows at most per task.
         base = base.orderBy(col_of(order_by)).limit(sample_rows)
     types = {f.name: f.dataType for f in d.schema.fields}
-    cells = []
-    for i, c in enumerate(cols):
-        is_num = isinstance(types[c], NumericType)
-        value = col_of(c)
-        cells.append(
+
+    def is_num(c: str) -> Column:
+        t = types[c]
+        if isinstance(t, NumericType):
+            return col_of(c).isNotNull()
+        if isinstance(t, StringType):
+            return parses_as_number(c)
+        return F.lit(False)
+
+    if sample_values:
+        cells = [
             F.struct(
                 F.lit(c).alias("column_name"),
                 F.lit(i).alias("position"),
-                value.cast("string").alias("value"),
-                (value.isNotNull() if is_num else parses_as_number(value)).alias("is_num"),
+                col_of(c).isNotNull().alias("present"),
+                is_num(c).alias("is_num"),
             )
-        )
-    extra = [col_of(order_by).alias("_ord")] if sample_values else []
-    long = base.select(*extra, F.inline(F.array(*cells))).where(F.col("value").isNotNull())
-    if sample_values:
+            for i, c in enumerate(cols)
+        ]
+        long = base.select(col_of(order_by).alias("_ord"), F.inline(F.array(*cells))).where("present")
         w = Window.partitionBy("column_name").orderBy("_ord")
         long = long.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= sample_values)
-    counted = long.groupBy("column_name", "position").agg(
-        F.count(F.lit(1)).alias("non_null"),
-        F.count_if(F.col("is_num")).alias("numeric_count"),
-    )
-    names = d.sparkSession.createDataFrame(
-        [(c, i) for i, c in enumerate(cols)], "column_name string, position int"
-    )
-    # All-null columns keep a row (non_null 0): join the fixed list of names.
-    return (
-        F.broadcast(names)
-        .join(counted, ["column_name", "position"], "left")
-        .select(
-            "column_name",
-            "position",
-            F.coalesce("non_null", F.lit(0)).cast("long").alias("non_null"),
-            F.coalesce("numeric_count", F.lit(0)).cast("long").alias("numeric_count"),
-            F.try_divide(F.col("numeric_count").cast("double"), F.col("non_null")).alias("ratio"),
+        counted = long.groupBy("column_name", "position").agg(
+            F.count(F.lit(1)).alias("non_null"),
+            F.count_if(F.col("is_num")).alias("numeric_count"),
+        )
+        names = d.sparkSession.createDataFrame(
+            [(c, i) for i, c in enumerate(cols)], "column_name string, position int"
+        )
+        # All-null columns keep a row (non_null 0): join the fixed list of names.
+        counted = F.broadcast(names).join(counted, ["column_name", "position"], "left")
+    else:
+        aggs = []
+        for i, c in enumerate(cols):
+            aggs += [F.count(col_of(c)).alias(f"_n{i}"), F.count_if(is_num(c)).alias(f"_k{i}")]
+        row = base.agg(*aggs)
+        counted = row.select(
+            F.inline(
+                F.array(
+                    *[
+                        F.struct(
+                            F.lit(c).alias("column_name"),
+                            F.lit(i).alias("position"),
+                            F.col(f"_n{i}").alias("non_null"),
+                            F.col(f"_k{i}").alias("numeric_count"),
+                        )
+                        for i, c in enumerate(cols)
+                    ]
+                )
+            )
         )
+    return counted.select(
+        "column_name",
+        "position",
+        F.coalesce("non_null", F.lit(0)).cast("long").alias("non_null"),
+        F.coalesce("numeric_count", F.lit(0)).cast("long").alias("numeric_count"),
+        F.try_divide(F.col("numeric_count").cast("double"), F.col("non_null")).alias("ratio"),
     )
 
 

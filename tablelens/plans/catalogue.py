@@ -449,6 +449,20 @@ def group_quantiles(spark, sf):
     return rnd(out, {"q25": 4, "q50": 4, "q75": 4})
 
 
+@query(
+    "group_quantiles_distributed",
+    f"""SELECT {sinj('l_suppkey', 'l_orderkey', 3)} AS l_suppkey,
+  round(quantile_cont(l_extendedprice, 0.25), 4) AS q25, round(quantile_cont(l_extendedprice, 0.5), 4) AS q50,
+  round(quantile_cont(l_extendedprice, 0.75), 4) AS q75
+FROM lineitem GROUP BY 1""",
+)
+def group_quantiles_distributed(spark, sf):
+    """Per-supplier quartiles with a hot NULL group holding a third of all rows."""
+    d = _li_hot_key(spark, sf)
+    out = groups.group_quantiles(d, ["l_suppkey"], "l_extendedprice", method="distributed")
+    return rnd(out, {"q25": 4, "q50": 4, "q75": 4})
+
+
 # ---------------------------------------------------------------- profile
 
 
@@ -531,6 +545,22 @@ def numeric_quartiles(spark, sf):
     return rnd(out, {"std": 4, "q25": 4, "q50": 4, "q75": 4})
 
 
+@query(
+    "numeric_quartiles_distributed",
+    _numeric_profile_sql(LI_INJECTED_SQL, PROFILE_COLS, "stddev_samp", quartiles=True),
+)
+def numeric_quartiles_distributed(spark, sf):
+    """The range-partitioned exact method that ``auto`` picks for large data."""
+    out = profile.numeric_profile(
+        _li_injected(spark, sf),
+        PROFILE_COLS,
+        quantile_probs=(0.25, 0.5, 0.75),
+        quantile_method="distributed",
+        exact_scale=SCALE,
+    )
+    return rnd(out, {"std": 4, "q25": 4, "q50": 4, "q75": 4})
+
+
 @query("events_value_quartiles", _numeric_profile_sql("events", ["value"], "stddev_samp", quartiles=True))
 def events_value_quartiles(spark, sf):
     out = profile.numeric_profile(

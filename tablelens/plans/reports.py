@@ -8,8 +8,11 @@ a scalar subquery) and, for ads, the grouping-candidate column (one row).
 Column names are parameters with the reference's names as defaults; callers
 pass their own. ``stage=True`` writes the cleaned table once as Parquet in the
 shared checkpoint folder and reads it back, so every report frame starts from
-the cleaned columns instead of re-parsing the source (and a lost executor
-recomputes from Parquet, not from the raw text).
+the cleaned columns instead of re-running the dedup shuffle (or re-parsing a
+text source) once per frame, and a lost executor recomputes from Parquet.
+It is the default for tweets and ads, which deduplicate; posts only applies
+column expressions, which Spark fuses into each frame's scan, so it defaults
+to no staging.
 """
 
 from __future__ import annotations
@@ -38,12 +41,18 @@ def _stage(d: DataFrame, name: str) -> DataFrame:
     return d.sparkSession.read.parquet(target)
 
 
-def _overview_with_dups(cleaned: DataFrame, r: roles.ColumnRoles, raw: DataFrame | None) -> DataFrame:
-    ov = profile.dataset_overview(cleaned, r)
-    if raw is None:
-        return ov
-    removed = clean.dedup_counts(raw).select("duplicates_removed").scalar()
-    return ov.withColumn("duplicates_removed", removed)
+def _overview_with_dups(
+    typed: DataFrame, r: roles.ColumnRoles, raw: DataFrame, deduped: DataFrame
+) -> DataFrame:
+    """Overview plus ``duplicates_removed`` = rows before - rows after dedup.
+
+    Two scalar subqueries over row counts (Parquet answers them from
+    metadata), not a second all-column shuffle.
+    """
+    ov = profile.dataset_overview(typed, r)
+    before = raw.select(F.count(F.lit(1))).scalar()
+    after = deduped.select(F.count(F.lit(1))).scalar()
+    return ov.withColumn("duplicates_removed", (before - after).cast("long"))
 
 
 def _group_block(
@@ -66,17 +75,21 @@ def tweets_report(
     engagement_keys: Sequence[str] = TWEETS_ENGAGEMENT_KEYS,
     id_columns: Sequence[str] = (),
     null_tokens: str = "folded",
-    stage: bool = False,
+    stage: bool = True,
 ) -> dict[str, DataFrame]:
-    """Tweets: folded null tokens, dedup, ratio typing, overview, groups, engagement."""
+    """Tweets: folded null tokens, dedup, ratio typing, overview, groups, engagement.
+
+    Order: normalise and dedup (staged once), classify on the deduplicated
+    rows, coerce numeric columns lazily (a per-frame projection).
+    """
     normalised = clean.normalise_nulls(d, null_tokens)
     cleaned = clean.dedup(normalised)
+    if stage:
+        cleaned = _stage(cleaned, "tweets-clean")
     r = roles.classify_columns(cleaned, threshold=0.8, inclusive=False, id_columns=id_columns)
     typed = clean.coerce_numeric(cleaned, r.numeric)
-    if stage:
-        typed = _stage(typed, "tweets-clean")
     out = {
-        "overview": _overview_with_dups(typed, r, normalised),
+        "overview": _overview_with_dups(typed, r, normalised, cleaned),
         "numeric_profile": profile.numeric_profile(typed, r.numeric, decimals=2),
         "text_profile": profile.categorical_profile(typed, r.text),
     }
@@ -156,7 +169,7 @@ def ads_report(
     json_columns: Sequence[str] = ADS_JSON_COLUMNS,
     id_columns: Sequence[str] = ("page_id", "ad_id"),
     candidate: bool = True,
-    stage: bool = False,
+    stage: bool = True,
 ) -> dict[str, DataFrame]:
     """Ads: strict null tokens, JSON text, unanimous typing, dedup, profiles, group analyses.
 
@@ -165,19 +178,19 @@ def ads_report(
     of the last group analysis.
     """
     normalised = clean.normalise_json(clean.normalise_nulls(d, "strict"), json_columns)
+    cleaned = clean.dedup(normalised)
+    if stage:
+        cleaned = _stage(cleaned, "ads-clean")
     r = roles.classify_columns(
-        normalised,
+        cleaned,
         threshold=1.0,
         inclusive=True,
         force_text=[c for c in json_columns if c in d.columns],
         id_columns=[c for c in id_columns if c in d.columns],
     )
-    cleaned = clean.dedup(normalised)
     typed = clean.coerce_numeric(cleaned, r.numeric)
-    if stage:
-        typed = _stage(typed, "ads-clean")
     out = {
-        "overview": _overview_with_dups(typed, r, normalised),
+        "overview": _overview_with_dups(typed, r, normalised, cleaned),
         "numeric_profile": profile.numeric_profile(typed, r.numeric, quantile_probs=(0.25, 0.5, 0.75)),
         "text_profile": profile.categorical_profile(typed, r.text, max_cols=5),
     }
