@@ -293,6 +293,7 @@ def grouping_candidates(
     lo: int = 2,
     hi: int = 20,
     max_cols: int = 10,
+    distinct_estimates: dict[str, int] | None = None,
 ) -> DataFrame:
     """Text columns usable as a grouping key: ``lo`` to ``hi`` distinct non-null values.
 
@@ -305,16 +306,20 @@ def grouping_candidates(
     pass drops columns estimated above ``2 * hi + 10`` (at a few dozen values
     the estimate is within one or two of the truth), then exact distinct
     counts run for the rest, whose few values collapse map-side.
+    ``distinct_estimates`` (column -> HyperLogLog estimate, e.g. observed
+    while staging the table) replaces the first pass.
     """
     chosen = [c for c in cols if c not in set(exclude)][:max_cols]
     empty = "column_name string, position int, unique_count long, choice long"
     if not chosen:
         return d.sparkSession.createDataFrame([], empty)
-    approx = d.agg(
-        *[F.approx_count_distinct(col_of(c)).alias(f"_a{i}") for i, c in enumerate(chosen)]
-    ).first()
+    if distinct_estimates is None:
+        row = d.agg(
+            *[F.approx_count_distinct(col_of(c)).alias(f"_a{i}") for i, c in enumerate(chosen)]
+        ).first()
+        distinct_estimates = {c: row[f"_a{i}"] for i, c in enumerate(chosen)}
     margin = 2 * hi + 10
-    kept = [(i, c) for i, c in enumerate(chosen) if approx[f"_a{i}"] <= margin]
+    kept = [(i, c) for i, c in enumerate(chosen) if distinct_estimates[c] <= margin]
     if not kept:
         return d.sparkSession.createDataFrame([], empty)
     cells = F.inline(

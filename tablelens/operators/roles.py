@@ -40,6 +40,45 @@ def classify_by_schema(d: DataFrame) -> ColumnRoles:
     return ColumnRoles(tuple(numeric), tuple(text))
 
 
+def numeric_flag(d: DataFrame, c: str) -> Column:
+    """True where a cell counts as numeric: any value of a numeric column, a
+    text cell matching the numeric grammar, never a date or boolean."""
+    t = d.schema[c].dataType
+    if isinstance(t, NumericType):
+        return col_of(c).isNotNull()
+    if isinstance(t, StringType):
+        return parses_as_number(c)
+    return F.lit(False)
+
+
+def ratio_aggregates(d: DataFrame, cols: Sequence[str]) -> list[Column]:
+    """The two counters per column behind the ratios: ``_n<i>`` non-null and
+    ``_k<i>`` numeric cells. Usable in ``agg`` or in ``observe``."""
+    aggs = []
+    for i, c in enumerate(cols):
+        aggs += [F.count(col_of(c)).alias(f"_n{i}"), F.count_if(numeric_flag(d, c)).alias(f"_k{i}")]
+    return aggs
+
+
+def roles_from_counts(
+    cols: Sequence[str],
+    counts: dict,
+    threshold: float = 0.8,
+    inclusive: bool = False,
+    force_text: Sequence[str] = (),
+    id_columns: Sequence[str] = (),
+) -> ColumnRoles:
+    """Roles from the ``ratio_aggregates`` counters (same rule as ``role_expr``)."""
+    forced = set(force_text) | set(id_columns)
+    numeric, text = [], []
+    for i, c in enumerate(cols):
+        n, k = counts[f"_n{i}"] or 0, counts[f"_k{i}"] or 0
+        ratio = k / n if n else None
+        ok = ratio is not None and (ratio >= threshold if inclusive else ratio > threshold)
+        (numeric if ok and c not in forced else text).append(c)
+    return ColumnRoles(tuple(numeric), tuple(text))
+
+
 def numeric_ratios(
     d: DataFrame,
     cols: Sequence[str] | None = None,
@@ -64,15 +103,8 @@ def numeric_ratios(
     if sample_rows:
         # A top-k by an explicit order: TakeOrderedAndProject, k rows at most per task.
         base = base.orderBy(col_of(order_by)).limit(sample_rows)
-    types = {f.name: f.dataType for f in d.schema.fields}
-
     def is_num(c: str) -> Column:
-        t = types[c]
-        if isinstance(t, NumericType):
-            return col_of(c).isNotNull()
-        if isinstance(t, StringType):
-            return parses_as_number(c)
-        return F.lit(False)
+        return numeric_flag(d, c)
 
     if sample_values:
         cells = [
@@ -97,10 +129,7 @@ def numeric_ratios(
         # All-null columns keep a row (non_null 0): join the fixed list of names.
         counted = F.broadcast(names).join(counted, ["column_name", "position"], "left")
     else:
-        aggs = []
-        for i, c in enumerate(cols):
-            aggs += [F.count(col_of(c)).alias(f"_n{i}"), F.count_if(is_num(c)).alias(f"_k{i}")]
-        row = base.agg(*aggs)
+        row = base.agg(*ratio_aggregates(d, cols))
         counted = row.select(
             F.inline(
                 F.array(

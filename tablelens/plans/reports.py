@@ -19,10 +19,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
+from tablelens.functions.nulls import col_of
 from tablelens.operators import clean, engagement, groups, profile, roles
+from tablelens.operators.ordering import MAX_INMEMORY_VALUES
 from tablelens.session import shared_dir
 
 # The reference's column names, used only as defaults.
@@ -35,10 +39,47 @@ TWEETS_METRICS = ("retweetCount", "replyCount", "likeCount", "quoteCount", "book
 TWEETS_ENGAGEMENT_KEYS = ("source", "lang")
 
 
-def _stage(d: DataFrame, name: str) -> DataFrame:
+@dataclass
+class Staged:
+    """A cleaned table written once, with what was observed while writing it."""
+
+    frame: DataFrame
+    rows: int
+    counts: dict  # ``ratio_aggregates`` counters
+    distinct: dict[str, int]  # HyperLogLog estimate per column
+
+
+def stage_table(d: DataFrame, name: str) -> Staged:
+    """Write ``d`` as Parquet in the shared folder and read it back.
+
+    The typing counters and a distinct-count estimate of every column are
+    computed by ``observe`` inside the same write job (no extra pass). The
+    observation sits in the write's result stage, whose task results count
+    once even when tasks are retried.
+    """
+    cols = d.columns
+    obs = Observation(f"stage-{name}")
+    exprs = [
+        F.count(F.lit(1)).alias("_rows"),
+        *roles.ratio_aggregates(d, cols),
+        *[F.approx_count_distinct(col_of(c)).alias(f"_d{i}") for i, c in enumerate(cols)],
+    ]
     target = shared_dir(d.sparkSession, name)
-    d.write.mode("overwrite").parquet(target)
-    return d.sparkSession.read.parquet(target)
+    d.observe(obs, *exprs).write.mode("overwrite").parquet(target)
+    m = obs.get
+    return Staged(
+        frame=d.sparkSession.read.parquet(target),
+        rows=m["_rows"],
+        counts={k: v for k, v in m.items() if k.startswith(("_n", "_k"))},
+        distinct={c: m[f"_d{i}"] for i, c in enumerate(cols)},
+    )
+
+
+def _quantile_method(staged: Staged | None, cols) -> str:
+    if staged is None:
+        return "auto"
+    est = max((staged.distinct[c] for c in cols), default=0)
+    return "inmemory" if est <= MAX_INMEMORY_VALUES else "distributed"
 
 
 def _overview_with_dups(
@@ -85,8 +126,11 @@ def tweets_report(
     normalised = clean.normalise_nulls(d, null_tokens)
     cleaned = clean.dedup(normalised)
     if stage:
-        cleaned = _stage(cleaned, "tweets-clean")
-    r = roles.classify_columns(cleaned, threshold=0.8, inclusive=False, id_columns=id_columns)
+        st = stage_table(cleaned, "tweets-clean")
+        cleaned = st.frame
+        r = roles.roles_from_counts(cleaned.columns, st.counts, 0.8, False, id_columns=id_columns)
+    else:
+        r = roles.classify_columns(cleaned, threshold=0.8, inclusive=False, id_columns=id_columns)
     typed = clean.coerce_numeric(cleaned, r.numeric)
     out = {
         "overview": _overview_with_dups(typed, r, normalised, cleaned),
@@ -129,10 +173,13 @@ def posts_report(
     Spark rows have no file order.
     """
     cleaned = clean.normalise_nulls(d, "empty", trim=False)
-    r = roles.classify_columns(cleaned, threshold=0.8, inclusive=False, id_columns=[page_key, post_key])
-    typed = clean.coerce_numeric(cleaned, r.numeric)
     if stage:
-        typed = _stage(typed, "posts-clean")
+        st = stage_table(cleaned, "posts-clean")
+        cleaned = st.frame
+        r = roles.roles_from_counts(cleaned.columns, st.counts, 0.8, False, id_columns=[page_key, post_key])
+    else:
+        r = roles.classify_columns(cleaned, threshold=0.8, inclusive=False, id_columns=[page_key, post_key])
+    typed = clean.coerce_numeric(cleaned, r.numeric)
     out = {
         "overview": profile.dataset_overview(typed, r),
         "numeric_profile": profile.numeric_profile(typed, r.numeric, decimals=2),
@@ -179,25 +226,33 @@ def ads_report(
     """
     normalised = clean.normalise_json(clean.normalise_nulls(d, "strict"), json_columns)
     cleaned = clean.dedup(normalised)
-    if stage:
-        cleaned = _stage(cleaned, "ads-clean")
-    r = roles.classify_columns(
-        cleaned,
+    role_args = dict(
         threshold=1.0,
         inclusive=True,
         force_text=[c for c in json_columns if c in d.columns],
         id_columns=[c for c in id_columns if c in d.columns],
     )
+    st = None
+    if stage:
+        st = stage_table(cleaned, "ads-clean")
+        cleaned = st.frame
+        r = roles.roles_from_counts(cleaned.columns, st.counts, **role_args)
+    else:
+        r = roles.classify_columns(cleaned, **role_args)
     typed = clean.coerce_numeric(cleaned, r.numeric)
     out = {
         "overview": _overview_with_dups(typed, r, normalised, cleaned),
-        "numeric_profile": profile.numeric_profile(typed, r.numeric, quantile_probs=(0.25, 0.5, 0.75)),
+        "numeric_profile": profile.numeric_profile(
+            typed, r.numeric, quantile_probs=(0.25, 0.5, 0.75), quantile_method=_quantile_method(st, r.numeric)
+        ),
         "text_profile": profile.categorical_profile(typed, r.text, max_cols=5),
     }
     for keys in key_sets:
         _group_block(out, typed, keys, r.numeric, "groups")
     if candidate and r.text:
-        cands = groups.grouping_candidates(typed, r.text, exclude=list(id_columns))
+        cands = groups.grouping_candidates(
+            typed, r.text, exclude=list(id_columns), distinct_estimates=st.distinct if st else None
+        )
         out["grouping_candidates"] = cands
         best = cands.where(F.col("choice") == 1).select("column_name").collect()
         if best:
