@@ -12,6 +12,7 @@ from tablelens.functions.nulls import (
     FOLDED_NULL_TOKENS,
     NULL_POLICIES,
     STRICT_NULL_TOKENS,
+    WHITESPACE,
     col_of,
     is_null_token,
     null_if_token,
@@ -25,6 +26,7 @@ __all__ = [
     "NULL_POLICIES",
     "NUMERIC_GUARD",
     "STRICT_NULL_TOKENS",
+    "WHITESPACE",
     "col_of",
     "composite_label",
     "format_stat",

@@ -1,0 +1,58 @@
+"""Engagement: row totals (P3, P4), group engagement (G10, V21), totals and
+rankings (G8, G9, W5, W6), category share (W10, V27), category means (G7)."""
+
+import pytest
+
+from tablelens.operators import engagement
+
+
+@pytest.fixture
+def posts(spark):
+    rows = [
+        ("p1", "news", "10", "1", None),
+        ("p1", "news", "5", None, "2"),
+        ("p2", "sport", "100", "0", "0"),
+        ("p3", None, "bad", "7", "1"),
+        ("p3", "news", "1", "1", "1"),
+    ]
+    return spark.createDataFrame(rows, "page string, cat string, likes string, comments string, shares string")
+
+
+M = ["likes", "comments", "shares", "missing_metric"]
+
+
+def test_row_total(posts):
+    out = engagement.row_total(posts, M).select("total_engagement").collect()
+    assert sorted(r[0] for r in out) == [3.0, 7.0, 8.0, 11.0, 100.0]
+
+
+def test_engagement_by_group_rank_by(posts):
+    by_total = engagement.engagement_by_group(posts, "page", M).orderBy("rank").collect()
+    assert [(r.page, r.posts, r.total_engagement) for r in by_total] == [("p2", 1, 100.0), ("p1", 2, 18.0), ("p3", 2, 11.0)]
+    by_posts = engagement.engagement_by_group(posts, "page", M, rank_by="posts").orderBy("rank").collect()
+    assert [r.page for r in by_posts] == ["p1", "p3", "p2"]
+    exact = engagement.engagement_by_group(posts, "page", M, exact_scale=2).orderBy("rank").first()
+    assert exact.avg_engagement == 100.0
+
+
+def test_group_metric_totals_and_page_engagement(posts):
+    t = {r.page: (r.likes, r.comments, r.shares, r.total_engagement) for r in engagement.group_metric_totals(posts, "page", M).collect()}
+    assert t["p1"] == (15.0, 1.0, 2.0, 18.0) and t["p3"] == (1.0, 8.0, 2.0, 11.0)
+    top = engagement.page_engagement(posts, "page", M, k=2).orderBy("rank").collect()
+    assert [(r.rank, r.page) for r in top] == [(1, "p2"), (2, "p1")]
+
+
+def test_category_rankings(posts):
+    r = engagement.category_rankings(posts, "cat", M, k=1).collect()
+    got = {(x.metric, x.cat, x.total) for x in r}
+    assert got == {("likes", "sport", 100.0), ("comments", None, 7.0), ("shares", "news", 3.0)}
+
+
+def test_category_share_lists_null(posts):
+    s = [(r["rank"], r.cat, r["count"], r.pct) for r in engagement.category_share(posts, "cat").orderBy("rank").collect()]
+    assert s == [(1, "news", 3, 60.0), (2, None, 1, 20.0), (3, "sport", 1, 20.0)]
+
+
+def test_category_means(posts):
+    m = {r.cat: (r.row_count, r.likes_mean, r.likes_count) for r in engagement.category_means(posts, "cat", ["likes"]).collect()}
+    assert m["news"] == (3, pytest.approx(16 / 3), 3) and m[None] == (1, None, 0)

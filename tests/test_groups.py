@@ -1,0 +1,99 @@
+"""Grouping: sizes and null keys (G1-G4, V16), size statistics (G5), top groups
+and ties (W3, V19), drill-down into the NULL group (W4, J1, V17), grouped
+statistics (G6), first groups (W8, G11), grouping sets and candidates (G13)."""
+
+import pytest
+
+from tablelens.operators import groups
+
+
+@pytest.fixture
+def keyed(spark):
+    rows = [
+        ("a", "x", 1.0), ("a", "x", 3.0), ("a", "y", None), ("b", "x", 10.0),
+        ("b", "y", 20.0), (None, "x", 5.0), (None, "x", 7.0), (None, None, 9.0), ("c", "z", 0.0),
+    ]
+    return spark.createDataFrame(rows, "k string, j string, v double")
+
+
+def test_group_sizes_null_policy(keyed):
+    kept = {r.k: r.size for r in groups.group_sizes(keyed, "k").collect()}
+    assert kept == {"a": 3, "b": 2, None: 3, "c": 1}
+    dropped = {r.k: r.size for r in groups.group_sizes(keyed, "k", drop_null_keys=True).collect()}
+    assert None not in dropped and sum(dropped.values()) == 6
+
+
+def test_group_size_stats(keyed):
+    s = groups.group_size_stats(keyed, ["k"]).first()
+    assert (s.group_count, s.row_count, s.min_size, s.max_size) == (4, 9, 1, 3)
+    assert s.mean_size == 2.25 and s.q50 == 2.5 and s.q25 == 1.75 and s.q75 == 3.0
+
+
+def test_top_groups_ties_and_labels(keyed):
+    top = [(r.rank, r.k, r.size, r.label) for r in groups.top_groups(keyed, "k", k=3).orderBy("rank").collect()]
+    # a and NULL tie at 3: NULL sorts first.
+    assert top == [(1, None, 3, "None"), (2, "a", 3, "a"), (3, "b", 2, "b")]
+    two = groups.top_groups(keyed, ["k", "j"], k=1).first()
+    # (NULL, x) and (a, x) both hold 2 rows; NULL sorts first.
+    assert (two.k, two.j, two.size, two.label) == (None, "x", 2, "None+1more")
+
+
+@pytest.mark.parametrize("method", ["single_pass", "semi_join"])
+def test_drilldown_reaches_null_group(keyed, method):
+    out = groups.top_group_drilldown(keyed, ["k"], ["v"], k=2, method=method).orderBy("rank").collect()
+    assert [(r["rank"], r.k, r.size, r["count"], r.mean, r.min, r.max) for r in out] == [
+        (1, None, 3, 3, 7.0, 5.0, 9.0),
+        (2, "a", 3, 2, 2.0, 1.0, 3.0),
+    ]
+
+
+def test_restrict_to_groups_is_null_safe(spark, keyed):
+    g = spark.createDataFrame([(None,), ("c",)], "k string")
+    assert groups.restrict_to_groups(keyed, g, ["k"], k=2).count() == 4
+
+
+def test_grouped_numeric_stats(keyed):
+    out = groups.grouped_numeric_stats(keyed, ["k"], ["v"], k=2).orderBy("rank").collect()
+    # Counts: None 3, a 2, b 2, c 1 -> top 2 by count then key (NULL first).
+    assert [(r["rank"], r.k, r["count"], r.mean) for r in out] == [(1, None, 3, 7.0), (2, "a", 2, 2.0)]
+
+
+def test_grouped_numeric_stats_skips_empty_groups(spark):
+    d = spark.createDataFrame([("a", None), ("b", 1.0)], "k string, v double")
+    out = groups.grouped_numeric_stats(d, ["k"], ["v"]).collect()
+    assert [r.k for r in out] == ["b"]  # HAVING count > 0 (P10)
+
+
+def test_first_groups(spark):
+    d = spark.createDataFrame(
+        [(5, "p", 1.0), (1, "q", 2.0), (2, "p", 3.0), (9, "r", None), (3, "q", 4.0)], "seq int, k string, v double"
+    )
+    out = groups.first_groups(d, ["k"], "seq", k=2, cols=["v"]).orderBy("rank").collect()
+    assert [(r.k, r.first_seen, r.row_count, r.v_mean, r.v_count) for r in out] == [
+        ("q", 1, 2, 3.0, 2), ("p", 2, 2, 2.0, 2),
+    ]
+
+
+def test_group_sizes_multi(keyed):
+    out = groups.group_sizes_multi(keyed, [["k"], ["k", "j"]])
+    by_set = {}
+    for r in out.collect():
+        by_set.setdefault(r.key_set, []).append(r)
+    assert sum(r.size for r in by_set["k"]) == 9 and sum(r.size for r in by_set["k,j"]) == 9
+    # A real NULL key and an aggregated-away j are told apart by grouping_id.
+    assert {r.grouping_id for r in by_set["k"]} == {1} and {r.grouping_id for r in by_set["k,j"]} == {0}
+
+
+def test_grouping_candidates(spark):
+    rows = [(i, f"id{i}", "ab"[i % 2], "abc"[i % 3], "x") for i in range(60)]
+    d = spark.createDataFrame(rows, "n int, ident string, two string, three string, one string")
+    out = [(r.column_name, r.unique_count, r.choice) for r in groups.grouping_candidates(d, ["ident", "two", "three", "one"]).orderBy("choice").collect()]
+    assert out == [("two", 2, 1), ("three", 3, 2)]
+    est = {"ident": 60, "two": 2, "three": 3, "one": 1}
+    again = groups.grouping_candidates(d, ["ident", "two", "three", "one"], distinct_estimates=est)
+    assert again.count() == 2
+
+
+def test_require_columns(keyed):
+    with pytest.raises(ValueError, match="missing columns"):
+        groups.group_sizes(keyed, ["nope"])
