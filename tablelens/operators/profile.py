@@ -1,10 +1,10 @@
 """Whole-table and per-column profiles.
 
-Wide tables are profiled with a constant-size plan: the columns are turned into
-``(column, position, value)`` rows with ``inline`` (a codegen'd Generate), and a
-single ``groupBy("column_name")`` computes every statistic. Partial aggregation
-reduces the expanded rows to ``columns x partitions`` before the shuffle, so
-one pass serves all columns however many there are.
+Numeric profiles are one single-row aggregate over all columns (a few
+counters per column, no row explosion, one tiny shuffle of partial buffers),
+unpivoted afterwards: one row per column even for an empty table. Quantiles
+need the values themselves and use ``(column_name, position, value)`` rows
+produced by ``inline`` (a codegen'd Generate).
 
 Categorical profiles come from one frequency frame ``(column, value, n)``:
 count, missing, distinct count and the most frequent value are all read from
@@ -119,28 +119,35 @@ def numeric_profile(
     cols = list(cols)
     if ddof not in (0, 1):
         raise ValueError("ddof must be 0 or 1")
-    long = _long(d, cols, "double")
+    types = {f.name: f.dataType for f in d.schema.fields}
     std = F.stddev_samp if ddof == 1 else F.stddev_pop
-    stats = long.groupBy("column_name", "position").agg(
-        F.count(F.lit(1)).alias("rows"),
-        F.count("value").alias("count"),
-        mean_of(F.col("value"), exact_scale).alias("mean"),
-        std("value").alias("std"),
-        F.min("value").alias("min"),
-        F.max("value").alias("max"),
-    )
-    out = stats.select(
-        "column_name",
-        "position",
-        "count",
-        (F.col("rows") - F.col("count")).alias("missing"),
-        "mean",
-        "std",
-        "min",
-        "max",
-    )
+    aggs = [F.count(F.lit(1)).alias("_rows")]
+    for i, c in enumerate(cols):
+        v = to_double(c, types[c])
+        aggs += [
+            F.count(v).alias(f"_n{i}"),
+            mean_of(v, exact_scale).alias(f"_m{i}"),
+            std(v).alias(f"_s{i}"),
+            F.min(v).alias(f"_lo{i}"),
+            F.max(v).alias(f"_hi{i}"),
+        ]
+    cells = [
+        F.struct(
+            F.lit(c).alias("column_name"),
+            F.lit(i).alias("position"),
+            F.col(f"_n{i}").alias("count"),
+            (F.col("_rows") - F.col(f"_n{i}")).alias("missing"),
+            F.col(f"_m{i}").alias("mean"),
+            F.col(f"_s{i}").alias("std"),
+            F.col(f"_lo{i}").alias("min"),
+            F.col(f"_hi{i}").alias("max"),
+        )
+        for i, c in enumerate(cols)
+    ]
+    out = d.agg(*aggs).select(F.inline(F.array(*cells)))
     qnames = []
     if quantile_probs:
+        long = _long(d, cols, "double")
         q = quantiles(long, ["column_name"], "value", quantile_probs, method=quantile_method)
         qnames = [quantile_name(p) for p in quantile_probs]
         # One row per profiled column: bounded by the column count.
@@ -188,12 +195,15 @@ def categorical_profile(
         unique.alias("unique_count"),
         top.alias("_top"),
     )
+    # Every profiled column keeps a row, also for an empty table (A22, V23):
+    # the profile is joined onto the list of names (both bounded by the column count).
+    prof = _names(d, cols).join(F.broadcast(prof), ["column_name", "position"], "left")
     return prof.select(
         "column_name",
         "position",
-        F.col("count").cast("long").alias("count"),
-        F.col("missing").cast("long").alias("missing"),
-        F.col("unique_count").cast("long").alias("unique_count"),
+        F.coalesce("count", F.lit(0)).cast("long").alias("count"),
+        F.coalesce("missing", F.lit(0)).cast("long").alias("missing"),
+        F.coalesce("unique_count", F.lit(0)).cast("long").alias("unique_count"),
         F.col("_top.v").alias("top_value"),
         F.coalesce(-F.col("_top.neg_n"), F.lit(0)).cast("long").alias("top_count"),
     )
@@ -224,7 +234,10 @@ def distinct_counts(
     unique = F.count("value")
     if count_null:
         unique = unique + F.max(F.col("value").isNull().cast("long"))
-    return freq.groupBy("column_name", "position").agg(unique.cast("long").alias("distinct_count"))
+    counts = freq.groupBy("column_name", "position").agg(unique.cast("long").alias("_dc"))
+    return _names(d, cols).join(F.broadcast(counts), ["column_name", "position"], "left").select(
+        "column_name", "position", F.coalesce("_dc", F.lit(0)).cast("long").alias("distinct_count")
+    )
 
 
 def value_counts(d: DataFrame, col: str, dropna: bool = True, total: str = "rows") -> DataFrame:
