@@ -26,7 +26,7 @@ from operator import add
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StructType, TimestampNTZType
 
 from tablelens.functions.nulls import col_of
 from tablelens.functions.numeric import to_double
@@ -58,7 +58,13 @@ def stream_engagement(stream: DataFrame, key: str, metrics: Sequence[str]) -> Da
 def stream_window_sizes(
     stream: DataFrame, ts_col: str, keys: Sequence[str], window: str = "1 hour", watermark: str = "1 hour"
 ) -> DataFrame:
-    """Group sizes per event-time window; late rows beyond the watermark are dropped."""
+    """Group sizes per event-time window; late rows beyond the watermark are dropped.
+
+    Watermarks need a ``TIMESTAMP`` column: a ``TIMESTAMP_NTZ`` event time is
+    read as wall-clock time in the session time zone.
+    """
+    if isinstance(stream.schema[ts_col].dataType, TimestampNTZType):
+        stream = stream.withColumn(ts_col, col_of(ts_col).cast("timestamp"))
     return (
         stream.withWatermark(ts_col, watermark)
         .groupBy(F.window(col_of(ts_col), window).alias("window"), *[col_of(k) for k in keys])
