@@ -27,10 +27,25 @@ _LOW_BITS = 33
 _LOW_MASK = (1 << _LOW_BITS) - 1
 
 
+def _one_partitioning(ranged: DataFrame) -> DataFrame:
+    """Make every consumer of ``ranged`` see the same partitions.
+
+    Both helpers read a range-partitioned frame twice (row positions and
+    per-partition counts). Spark plans the second read as a ``ReusedExchange``
+    of the first, so the range bounds are sampled once and lost map outputs
+    are recomputed with the same bounds. If exchange reuse is switched off,
+    the frame is checkpointed (reliably, into the checkpoint folder) instead.
+    """
+    reuse = ranged.sparkSession.conf.get("spark.sql.exchange.reuse", "true")
+    if str(reuse).lower() == "true":
+        return ranged
+    return ranged.checkpoint(eager=True)
+
+
 def global_rank(df: DataFrame, order: Sequence[Column], rank_col: str = "rank") -> DataFrame:
     """Add ``rank_col`` = 1..n following ``order`` (which should be a total order)."""
     order = list(order)
-    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    ranged = _one_partitioning(df.repartitionByRange(*order)).sortWithinPartitions(*order)
     tagged = ranged.withColumn("_rid", F.monotonically_increasing_id()).select(
         "*",
         F.shiftright("_rid", _LOW_BITS).alias("_part"),
@@ -82,7 +97,7 @@ def distributed_quantiles(
         .groupBy(*gcols, F.col(value_col).alias("_v"))
         .agg(F.count(F.lit(1)).alias("_n"))
     )
-    ranged = freq.repartitionByRange(*gcols, F.col("_v")).withColumn(
+    ranged = _one_partitioning(freq.repartitionByRange(*gcols, F.col("_v"))).withColumn(
         "_part", F.spark_partition_id()
     )
     # Per (partition, group): bounded by partitions x groups.

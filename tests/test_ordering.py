@@ -50,3 +50,14 @@ def test_distributed_quantiles_property(spark, values):
     d = spark.createDataFrame([(float(v),) for v in values], "v double").withColumn("g", F.lit(1))
     r = distributed_quantiles(d, ["g"], "v", [0.25, 0.5, 0.75]).first()
     assert [r.q25, r.q50, r.q75] == pytest.approx(list(np.quantile(values, [0.25, 0.5, 0.75])))
+
+
+def test_global_rank_without_exchange_reuse(spark):
+    rows = [(i, i % 7) for i in range(200)]
+    d = spark.createDataFrame(rows, "id int, n int").repartition(5)
+    spark.conf.set("spark.sql.exchange.reuse", "false")
+    try:
+        got = sorted(global_rank(d, [F.desc("n"), F.asc("id")]).collect(), key=lambda r: r["rank"])
+    finally:
+        spark.conf.set("spark.sql.exchange.reuse", "true")
+    assert [(r.id, r.n) for r in got] == sorted(rows, key=lambda r: (-r[1], r[0]))
