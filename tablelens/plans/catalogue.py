@@ -941,3 +941,129 @@ def tweets_analysis_overview(spark, sf):
     from tablelens.plans.reports import tweets_report
 
     return tweets_report(_t(spark, sf, "events"))["overview"]
+
+
+# ------------------------------------------------- typing on prefix samples
+
+
+def _prefix_classify_sql(sample_values: int | None, sample_rows: int | None) -> str:
+    parts = []
+    for i, c in enumerate(EVENTS_TEXT_COLS):
+        ok = f"regexp_matches(trim(v), {GUARD_SQL})"
+        if sample_values:
+            src = (
+                f"(SELECT {c} AS v, row_number() OVER (ORDER BY CAST(event_id AS BIGINT)) AS rn "
+                f"FROM {EVENTS_TEXT_SQL} WHERE {c} IS NOT NULL) s{i} WHERE rn <= {sample_values}"
+            )
+        else:
+            src = f"(SELECT {c} AS v FROM {EVENTS_TEXT_SQL} ORDER BY CAST(event_id AS BIGINT) LIMIT {sample_rows}) s{i}"
+        parts.append(
+            f"SELECT '{c}' AS column_name, {i} AS position, count(v) AS non_null, "
+            f"count(*) FILTER (WHERE {ok}) AS numeric_count FROM {src}"
+        )
+    return f"""WITH r AS ({" UNION ALL ".join(parts)})
+SELECT column_name, position, non_null, numeric_count,
+  CASE WHEN non_null > 0 THEN CAST(numeric_count AS DOUBLE) / non_null END AS ratio,
+  CASE WHEN non_null > 0 AND CAST(numeric_count AS DOUBLE) / non_null >= 1.0 THEN 'numeric' ELSE 'text' END AS role
+FROM r"""
+
+
+@query("classify_first_values", _prefix_classify_sql(100, None))
+def classify_first_values(spark, sf):
+    """Unanimous typing over the first 100 non-null values of each column."""
+    return roles.role_table(
+        _events_text(spark, sf), threshold=1.0, inclusive=True,
+        sample_values=100, order_by=F.col("event_id").cast("long"),
+    )
+
+
+@query("classify_first_rows", _prefix_classify_sql(None, 1000))
+def classify_first_rows(spark, sf):
+    """Unanimous typing over the first 1000 rows (T2's row sample)."""
+    return roles.role_table(
+        _events_text(spark, sf), threshold=1.0, inclusive=True,
+        sample_rows=1000, order_by=F.col("event_id").cast("long"),
+    )
+
+
+# ------------------------------------------- text tables (posts stand-ins)
+
+
+@query("documents_text_profile", _categorical_sql("documents", ["text", "lang", "source"]))
+def documents_text_profile(spark, sf):
+    """Distinct count and most frequent value over whole document texts."""
+    return profile.categorical_profile(_t(spark, sf, "documents"), ["text", "lang", "source"])
+
+
+@query(
+    "documents_length_profile",
+    _numeric_profile_sql("documents", ["n_chars"], "stddev_samp", quartiles=True),
+)
+def documents_length_profile(spark, sf):
+    out = profile.numeric_profile(
+        _t(spark, sf, "documents"), ["n_chars"], quantile_probs=(0.25, 0.5, 0.75), exact_scale=SCALE
+    )
+    return rnd(out, {"std": 4, "q25": 4, "q50": 4, "q75": 4})
+
+
+@query(
+    "documents_engagement_by_lang",
+    f"""WITH g AS (SELECT lang, count(*) AS posts, {xsum('CAST(coalesce(n_chars, 0) AS DOUBLE)')} AS total_engagement,
+    {xmean('CAST(coalesce(n_chars, 0) AS DOUBLE)')} AS avg_engagement FROM documents GROUP BY lang),
+top AS (SELECT * FROM g ORDER BY total_engagement DESC, lang ASC NULLS FIRST LIMIT 10)
+SELECT {rank_sql('total_engagement DESC, lang ASC NULLS FIRST')} AS rank, lang, posts, total_engagement, avg_engagement
+FROM top""",
+)
+def documents_engagement_by_lang(spark, sf):
+    return engagement.engagement_by_group(_t(spark, sf, "documents"), "lang", ["n_chars"], k=10, exact_scale=SCALE)
+
+
+@query("documents_top_sources", _top_groups_sql("documents", ["lang", "source"], 10))
+def documents_top_sources(spark, sf):
+    return groups.top_groups(_t(spark, sf, "documents"), ["lang", "source"], k=10)
+
+
+@query(
+    "documents_exact_copies",
+    """SELECT CAST(count(*) AS BIGINT) AS rows_before,
+  (SELECT count(DISTINCT text) + max(CASE WHEN text IS NULL THEN 1 ELSE 0 END) FROM documents) AS rows_after,
+  count(*) - (SELECT count(DISTINCT text) + max(CASE WHEN text IS NULL THEN 1 ELSE 0 END) FROM documents) AS duplicates_removed
+FROM documents""",
+)
+def documents_exact_copies(spark, sf):
+    """Exact copies of whole texts (U1/U3 on the text column)."""
+    return clean.dedup_counts(_t(spark, sf, "documents").select("text"))
+
+
+@query("conversations_role_share", _share_sql("conversations", "role"))
+def conversations_role_share(spark, sf):
+    return engagement.category_share(_t(spark, sf, "conversations"), "role")
+
+
+@query(
+    "conversations_first_turns",
+    f"""WITH g AS (SELECT conv_id, min(turn) AS first_seen, count(*) AS row_count,
+    {xmean('CAST(length(text) AS DOUBLE)')} AS m, count(text) AS text_chars_count
+  FROM conversations GROUP BY conv_id ORDER BY first_seen ASC, conv_id ASC NULLS FIRST LIMIT 10)
+SELECT {rank_sql('first_seen ASC, conv_id ASC NULLS FIRST')} AS rank, conv_id, first_seen, row_count,
+  m AS text_chars_mean, text_chars_count FROM g""",
+)
+def conversations_first_turns(spark, sf):
+    c = _t(spark, sf, "conversations").withColumn("text_chars", F.length("text"))
+    return groups.first_groups(c, ["conv_id"], "turn", k=10, cols=["text_chars"], exact_scale=SCALE)
+
+
+@query("labels_profile", _numeric_profile_sql("labels", ["quality", "toxic"], "stddev_pop"))
+def labels_profile(spark, sf):
+    out = profile.numeric_profile(_t(spark, sf, "labels"), ["quality", "toxic"], ddof=0, exact_scale=SCALE)
+    return rnd(out, {"std": 4})
+
+
+@query(
+    "pages_trimmed_urls",
+    "SELECT page_id, trim(url) AS url, length(html) AS html_chars FROM pages",
+)
+def pages_trimmed_urls(spark, sf):
+    """P1 trim over text columns; the whole html is measured, not cut."""
+    p = _t(spark, sf, "pages").select("page_id", "url", "html")
+    return clean.trim_cells(p, ["url"]).select("page_id", "url", F.length("html").alias("html_chars"))
