@@ -129,13 +129,15 @@ def category_rankings(
 def category_share(d: DataFrame, key: str, decimals: int = 1) -> DataFrame:
     """Every category with its row count, share of all rows and rank.
 
-    The NULL category is listed; the denominator is all rows (a scalar
-    subquery, not a join). Ranks come from ``global_rank`` (range partitioned),
-    so a column with millions of categories never meets in one task.
+    The NULL category is listed; the denominator is all rows, taken as the
+    sum of the category counts in a scalar subquery (it reads the aggregated
+    frame, whose exchange Spark shares with the main query, not the source
+    again; no join). Ranks come from ``global_rank`` (range partitioned), so
+    a column with millions of categories never meets in one task.
     """
     require_columns(d, [key])
     counts = d.groupBy(col_of(key)).agg(F.count(F.lit(1)).alias("count"))
-    total = d.select(F.count(F.lit(1))).scalar()
+    total = counts.select(F.sum("count")).scalar()
     ranked = global_rank(counts, [F.desc("count"), *key_order([key])])
     return ranked.select(
         "rank",

@@ -247,10 +247,11 @@ def value_counts(d: DataFrame, col: str, dropna: bool = True, total: str = "rows
     The rank is computed with range partitioning, never in one task.
     """
     v = col_of(col)
-    base = d.where(v.isNotNull()) if dropna else d
-    counts = base.groupBy(v.alias("value")).agg(F.count(F.lit(1)).alias("count"))
-    denom_src = d if total == "rows" else d.where(v.isNotNull())
-    denom = denom_src.select(F.count(F.lit(1))).scalar()
+    # One aggregate serves the counts and both denominators.
+    all_counts = d.groupBy(v.alias("value")).agg(F.count(F.lit(1)).alias("count"))
+    denom_src = all_counts if total == "rows" else all_counts.where(F.col("value").isNotNull())
+    denom = denom_src.select(F.sum("count")).scalar()
+    counts = all_counts.where(F.col("value").isNotNull()) if dropna else all_counts
     ranked = global_rank(counts, [F.desc("count"), F.asc_nulls_first("value")])
     return ranked.withColumn(
         "pct", F.round(F.try_divide(F.lit(100.0) * F.col("count"), denom), 1)

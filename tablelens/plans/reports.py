@@ -44,32 +44,43 @@ class Staged:
     """A cleaned table written once, with what was observed while writing it."""
 
     frame: DataFrame
-    rows: int
+    rows: int  # rows written
+    rows_before: int  # rows before dedup (equal to ``rows`` without dedup)
     counts: dict  # ``ratio_aggregates`` counters
     distinct: dict[str, int]  # HyperLogLog estimate per column
 
 
-def stage_table(d: DataFrame, name: str) -> Staged:
-    """Write ``d`` as Parquet in the shared folder and read it back.
+def stage_table(d: DataFrame, name: str, dedup: bool = False) -> Staged:
+    """Write ``d`` (deduplicated if asked) as Parquet in the shared folder.
 
-    The typing counters and a distinct-count estimate of every column are
-    computed by ``observe`` inside the same write job (no extra pass). The
-    observation sits in the write's result stage, whose task results count
-    once even when tasks are retried.
+    The typing counters, a distinct-count estimate of every column and the
+    row counts before and after dedup are computed by ``observe`` inside the
+    same write job (no extra pass over the source). With ``dedup`` the rows
+    are grouped on all columns with a count, so the rows before dedup are
+    the sum of those counts. The observation sits in the write's result
+    stage, whose task results count once even when tasks are retried.
     """
     cols = d.columns
+    if dedup:
+        # groupBy on every column = dropDuplicates, keeping the multiplicity.
+        d = d.groupBy(*[col_of(c) for c in cols]).agg(F.count(F.lit(1)).alias("_dup_n"))
+        before = F.sum("_dup_n")
+    else:
+        before = F.count(F.lit(1))
     obs = Observation(f"stage-{name}")
     exprs = [
         F.count(F.lit(1)).alias("_rows"),
+        before.alias("_before"),
         *roles.ratio_aggregates(d, cols),
         *[F.approx_count_distinct(col_of(c)).alias(f"_d{i}") for i, c in enumerate(cols)],
     ]
     target = shared_dir(d.sparkSession, name)
-    d.observe(obs, *exprs).write.mode("overwrite").parquet(target)
+    d.observe(obs, *exprs).select(*[col_of(c) for c in cols]).write.mode("overwrite").parquet(target)
     m = obs.get
     return Staged(
         frame=d.sparkSession.read.parquet(target),
         rows=m["_rows"],
+        rows_before=m["_before"] or 0,
         counts={k: v for k, v in m.items() if k.startswith(("_n", "_k"))},
         distinct={c: m[f"_d{i}"] for i, c in enumerate(cols)},
     )
@@ -83,14 +94,16 @@ def _quantile_method(staged: Staged | None, cols) -> str:
 
 
 def _overview_with_dups(
-    typed: DataFrame, r: roles.ColumnRoles, raw: DataFrame, deduped: DataFrame
+    typed: DataFrame, r: roles.ColumnRoles, raw: DataFrame, deduped: DataFrame, st: Staged | None
 ) -> DataFrame:
     """Overview plus ``duplicates_removed`` = rows before - rows after dedup.
 
-    Two scalar subqueries over row counts (Parquet answers them from
-    metadata), not a second all-column shuffle.
+    Staged: both counts were observed while writing. Otherwise two scalar
+    subqueries over row counts, not a second all-column shuffle.
     """
     ov = profile.dataset_overview(typed, r)
+    if st is not None:
+        return ov.withColumn("duplicates_removed", F.lit(st.rows_before - st.rows).cast("long"))
     before = raw.select(F.count(F.lit(1))).scalar()
     after = deduped.select(F.count(F.lit(1))).scalar()
     return ov.withColumn("duplicates_removed", (before - after).cast("long"))
@@ -124,16 +137,17 @@ def tweets_report(
     rows, coerce numeric columns lazily (a per-frame projection).
     """
     normalised = clean.normalise_nulls(d, null_tokens)
-    cleaned = clean.dedup(normalised)
+    st = None
     if stage:
-        st = stage_table(cleaned, "tweets-clean")
+        st = stage_table(normalised, "tweets-clean", dedup=True)
         cleaned = st.frame
         r = roles.roles_from_counts(cleaned.columns, st.counts, 0.8, False, id_columns=id_columns)
     else:
+        cleaned = clean.dedup(normalised)
         r = roles.classify_columns(cleaned, threshold=0.8, inclusive=False, id_columns=id_columns)
     typed = clean.coerce_numeric(cleaned, r.numeric)
     out = {
-        "overview": _overview_with_dups(typed, r, normalised, cleaned),
+        "overview": _overview_with_dups(typed, r, normalised, cleaned, st),
         "numeric_profile": profile.numeric_profile(typed, r.numeric, decimals=2),
         "text_profile": profile.categorical_profile(typed, r.text),
     }
@@ -225,7 +239,6 @@ def ads_report(
     of the last group analysis.
     """
     normalised = clean.normalise_json(clean.normalise_nulls(d, "strict"), json_columns)
-    cleaned = clean.dedup(normalised)
     role_args = dict(
         threshold=1.0,
         inclusive=True,
@@ -234,14 +247,15 @@ def ads_report(
     )
     st = None
     if stage:
-        st = stage_table(cleaned, "ads-clean")
+        st = stage_table(normalised, "ads-clean", dedup=True)
         cleaned = st.frame
         r = roles.roles_from_counts(cleaned.columns, st.counts, **role_args)
     else:
+        cleaned = clean.dedup(normalised)
         r = roles.classify_columns(cleaned, **role_args)
     typed = clean.coerce_numeric(cleaned, r.numeric)
     out = {
-        "overview": _overview_with_dups(typed, r, normalised, cleaned),
+        "overview": _overview_with_dups(typed, r, normalised, cleaned, st),
         "numeric_profile": profile.numeric_profile(
             typed, r.numeric, quantile_probs=(0.25, 0.5, 0.75), quantile_method=_quantile_method(st, r.numeric)
         ),

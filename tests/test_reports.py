@@ -96,3 +96,15 @@ def test_streaming_matches_batch(spark, events, tmp_path):
         output_mode="append",
     )
     assert win.count() >= 0
+
+
+@pytest.mark.parametrize("stage", [True, False])
+def test_duplicates_removed_counted(spark, stage):
+    rows = [("a", "1"), ("a", "1"), ("a", "1"), ("b", "NULL"), ("b", None), ("c", "2")]
+    d = spark.createDataFrame(rows, "source string, likeCount string")
+    rep = tweets_report(d, key_sets=[["source"]], engagement_keys=["source"], stage=stage)
+    ov = rep["overview"].first()
+    # 'NULL' folds to NULL, so the two b rows are duplicates too: 6 rows -> 3.
+    assert (ov.row_count, ov.duplicates_removed) == (3, 3)
+    top = rep["engagement_source"].orderBy("rank").first()
+    assert (top.source, top.total_engagement) == ("c", 2.0)
