@@ -83,11 +83,16 @@ def distributed_quantiles(
     group_cols: Sequence[str],
     value_col: str,
     probs: Sequence[float],
+    few_groups: bool = False,
 ) -> DataFrame:
     """Exact linearly interpolated quantiles of ``value_col`` per group.
 
     Returns ``group_cols`` + one ``q<p>`` double column per probability; groups
     without a non-null value are absent (callers left-join to keep them).
+    The offsets table has one row per (range partition, group). With
+    ``few_groups`` (the caller knows the groups are, e.g., column names) it is
+    broadcast; otherwise its join is left to Spark, whose adaptive execution
+    broadcasts it only below its measured size threshold.
     """
     group_cols = list(group_cols)
     probs = list(probs)
@@ -134,7 +139,7 @@ def distributed_quantiles(
     cond = local["_part"] == off["_opart"]
     for i, g in enumerate(group_cols):
         cond = cond & local[g].eqNullSafe(off[f"_og{i}"])
-    cum = local.join(F.broadcast(off), cond).select(
+    cum = local.join(F.broadcast(off) if few_groups else off, cond).select(
         *[local[g] for g in group_cols],
         "_v",
         "_total",
@@ -224,6 +229,7 @@ def quantiles(
     method: str = "auto",
     accuracy: int = 10000,
     max_inmemory_values: int = MAX_INMEMORY_VALUES,
+    few_groups: bool = False,
 ) -> DataFrame:
     """Quantiles per group.
 
@@ -243,7 +249,7 @@ def quantiles(
         )
         method = "inmemory" if (est or 0) <= max_inmemory_values else "distributed"
     if method == "distributed":
-        return distributed_quantiles(long_df, group_cols, value_col, probs)
+        return distributed_quantiles(long_df, group_cols, value_col, probs, few_groups=few_groups)
     if method == "inmemory":
         return inmemory_quantiles(long_df, group_cols, value_col, probs)
     if method == "approx":

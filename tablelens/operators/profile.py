@@ -148,7 +148,8 @@ def numeric_profile(
     qnames = []
     if quantile_probs:
         long = _long(d, cols, "double")
-        q = quantiles(long, ["column_name"], "value", quantile_probs, method=quantile_method)
+        # Groups are the profiled columns: a bounded number.
+        q = quantiles(long, ["column_name"], "value", quantile_probs, method=quantile_method, few_groups=True)
         qnames = [quantile_name(p) for p in quantile_probs]
         # One row per profiled column: bounded by the column count.
         out = out.join(F.broadcast(q), "column_name", "left")
