@@ -23,6 +23,7 @@ from tablelens.operators.engagement import (
 )
 from tablelens.operators.groups import (
     first_groups,
+    first_rows,
     group_quantiles,
     group_size_stats,
     group_sizes,

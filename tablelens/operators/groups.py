@@ -349,6 +349,16 @@ def grouping_candidates(
     )
 
 
+def first_rows(d: DataFrame, order_by: str | Sequence[str], n: int = 10) -> DataFrame:
+    """The first ``n`` rows by an explicit order, as a sample.
+
+    A bare ``limit`` has no order in Spark; ``orderBy().limit()`` plans as
+    ``TakeOrderedAndProject`` (n rows per task meet in one place).
+    """
+    cols = _keys(order_by)
+    return d.orderBy(*[F.asc_nulls_first(col_of(c)) for c in cols]).limit(n)
+
+
 def group_quantiles(
     d: DataFrame,
     keys: Sequence[str] | str,

@@ -23,6 +23,7 @@ from tablelens.operators import clean, engagement, groups, profile, roles
 from tablelens.session import shared_dir
 from tablelens.sources.delimited import read_table, write_delimited
 from tablelens.sources.tables import read_parquet
+from tablelens.streaming import read_stream, run_available, stream_engagement, stream_group_sizes
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 CATALOGUE: dict[str, tuple[QueryFn, str | None]] = {}
@@ -1067,3 +1068,115 @@ def pages_trimmed_urls(spark, sf):
     """P1 trim over text columns; the whole html is measured, not cut."""
     p = _t(spark, sf, "pages").select("page_id", "url", "html")
     return clean.trim_cells(p, ["url"]).select("page_id", "url", F.length("html").alias("html_chars"))
+
+
+# -------------------------------------------------------------- streaming
+
+
+def _arriving(spark: SparkSession, sf: str, name: str, files: int = 4) -> tuple[str, object]:
+    """Land a driver table as ``files`` Parquet files in the shared folder,
+    the way a feed would drop them, and return (folder, schema)."""
+    d = _t(spark, sf, name)
+    folder = shared_dir(spark, f"arriving-{name}")
+    d.repartition(files).write.parquet(folder)
+    return folder, d.schema
+
+
+@query("stream_event_type_sizes", "SELECT event_type, count(*) AS size FROM events GROUP BY event_type")
+def stream_event_type_sizes(spark, sf):
+    """G1 as a running aggregate over arriving files, one file per micro-batch."""
+    folder, schema = _arriving(spark, sf, "events")
+    stream = read_stream(spark, folder, schema, max_files_per_trigger=1)
+    return run_available(stream_group_sizes(stream, ["event_type"]), "event-type-sizes")
+
+
+@query(
+    "stream_user_engagement",
+    f"""SELECT user_id, count(*) AS posts, {xsum('coalesce(value, 0)')} AS value,
+  {xsum('coalesce(value, 0)')} AS total_engagement FROM events GROUP BY user_id""",
+)
+def stream_user_engagement(spark, sf):
+    """G9 running totals per user over arriving files."""
+    folder, schema = _arriving(spark, sf, "events")
+    stream = read_stream(spark, folder, schema, max_files_per_trigger=1)
+    return run_available(stream_engagement(stream, "user_id", ["value"], exact_scale=SCALE), "user-engagement")
+
+
+# ------------------------------------------------ end-to-end analyses (§3)
+
+LI_COLS = [
+    "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice",
+    "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate",
+]
+
+
+def _posts(spark, sf):
+    from tablelens.plans.reports import posts_report
+
+    return posts_report(
+        _t(spark, sf, "lineitem"), page_key="l_suppkey", post_key="l_orderkey", category_key="l_returnflag",
+        metrics=LI_METRICS, ranking_metrics=[*LI_METRICS, "l_discount"], order_by="l_orderkey", exact_scale=SCALE,
+    )
+
+
+def _ads(spark, sf):
+    from tablelens.plans.reports import ads_report
+
+    return ads_report(
+        _t(spark, sf, "lineitem"), key_sets=[["l_suppkey"], ["l_suppkey", "l_partkey"]], json_columns=[],
+        id_columns=["l_orderkey", "l_partkey", "l_suppkey"], exact_scale=SCALE,
+    )
+
+
+@query("first_rows_sample", "SELECT * FROM orders ORDER BY o_orderkey LIMIT 100")
+def first_rows_sample(spark, sf):
+    """The first rows by an explicit order (the sample is the feature)."""
+    return groups.first_rows(_t(spark, sf, "orders"), "o_orderkey", 100)
+
+
+@query("posts_analysis_overview", _overview_sql("lineitem", LI_COLS, 6, 5))
+def posts_analysis_overview(spark, sf):
+    """Posts analysis on lineitem: ids stay text, so 6 numeric and 5 text columns."""
+    return _posts(spark, sf)["overview"]
+
+
+@query("posts_analysis_page_engagement", _page_sql("lineitem", "l_suppkey", LI_METRICS, 10))
+def posts_analysis_page_engagement(spark, sf):
+    return _posts(spark, sf)["page_engagement"]
+
+
+@query(
+    "ads_analysis_overview",
+    _overview_sql("lineitem", LI_COLS, 5, 6).replace(
+        " FROM lineitem",
+        ", CAST(count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM lineitem) x) AS BIGINT) AS duplicates_removed"
+        " FROM lineitem",
+    ),
+)
+def ads_analysis_overview(spark, sf):
+    """Ads analysis: strict nulls, unanimous typing, dedup counted while staging."""
+    return _ads(spark, sf)["overview"]
+
+
+@query("ads_analysis_candidate_top", _top_groups_sql("lineitem", ["l_linestatus"], 10))
+def ads_analysis_candidate_top(spark, sf):
+    """The grouping candidate chosen end to end (l_linestatus: 2 values), then its top groups."""
+    return _ads(spark, sf)["candidate_l_linestatus_top"]
+
+
+@query(
+    "tweets_analysis_engagement",
+    f"""WITH g AS (SELECT event_type, count(*) AS posts, {xsum('coalesce(value, 0)')} AS total_engagement,
+    {xmean('coalesce(value, 0)')} AS avg_engagement FROM events GROUP BY event_type),
+top AS (SELECT * FROM g ORDER BY total_engagement DESC, event_type ASC NULLS FIRST LIMIT 10)
+SELECT {rank_sql('total_engagement DESC, event_type ASC NULLS FIRST')} AS rank, event_type, posts,
+  total_engagement, avg_engagement FROM top""",
+)
+def tweets_analysis_engagement(spark, sf):
+    from tablelens.plans.reports import tweets_report
+
+    rep = tweets_report(
+        _t(spark, sf, "events"), key_sets=[["event_type"]], metrics=["value"], engagement_keys=["event_type"],
+        id_columns=["event_id", "user_id"], exact_scale=SCALE,
+    )
+    return rep["engagement_event_type"]

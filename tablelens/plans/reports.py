@@ -110,7 +110,13 @@ def _overview_with_dups(
 
 
 def _group_block(
-    out: dict, d: DataFrame, keys: Sequence[str], numeric: Sequence[str], prefix: str, drill_cols: int = 3
+    out: dict,
+    d: DataFrame,
+    keys: Sequence[str],
+    numeric: Sequence[str],
+    prefix: str,
+    drill_cols: int = 3,
+    exact_scale: int | None = None,
 ) -> None:
     keys = [k for k in keys if k in d.columns]
     if not keys:
@@ -119,7 +125,9 @@ def _group_block(
     out[f"{tag}_size_stats"] = groups.group_size_stats(d, keys)
     out[f"{tag}_top"] = groups.top_groups(d, keys, k=10)
     if numeric:
-        out[f"{tag}_drilldown"] = groups.top_group_drilldown(d, keys, numeric, k=3, max_cols=drill_cols)
+        out[f"{tag}_drilldown"] = groups.top_group_drilldown(
+            d, keys, numeric, k=3, max_cols=drill_cols, exact_scale=exact_scale
+        )
 
 
 def tweets_report(
@@ -130,6 +138,7 @@ def tweets_report(
     id_columns: Sequence[str] = (),
     null_tokens: str = "folded",
     stage: bool = True,
+    exact_scale: int | None = None,
 ) -> dict[str, DataFrame]:
     """Tweets: folded null tokens, dedup, ratio typing, overview, groups, engagement.
 
@@ -148,7 +157,7 @@ def tweets_report(
     typed = clean.coerce_numeric(cleaned, r.numeric)
     out = {
         "overview": _overview_with_dups(typed, r, normalised, cleaned, st),
-        "numeric_profile": profile.numeric_profile(typed, r.numeric, decimals=2),
+        "numeric_profile": profile.numeric_profile(typed, r.numeric, decimals=2, exact_scale=exact_scale),
         "text_profile": profile.categorical_profile(typed, r.text),
     }
     for keys in key_sets:
@@ -161,12 +170,16 @@ def tweets_report(
             F.count(F.lit(1)).alias("group_count")
         )
         if r.numeric:
-            out[f"groups_{tag}_numeric"] = groups.grouped_numeric_stats(typed, keys, r.numeric, k=10)
+            out[f"groups_{tag}_numeric"] = groups.grouped_numeric_stats(
+                typed, keys, r.numeric, k=10, exact_scale=exact_scale
+            )
     present = engagement.available_metrics(typed, metrics)
     if present:
         for key in engagement_keys:
             if key in typed.columns:
-                out[f"engagement_{key}"] = engagement.engagement_by_group(typed, key, present, k=10)
+                out[f"engagement_{key}"] = engagement.engagement_by_group(
+                    typed, key, present, k=10, exact_scale=exact_scale
+                )
     return out
 
 
@@ -179,6 +192,7 @@ def posts_report(
     ranking_metrics: Sequence[str] = POSTS_RANKING_METRICS,
     order_by: str | None = None,
     stage: bool = False,
+    exact_scale: int | None = None,
 ) -> dict[str, DataFrame]:
     """Posts: empty-only nulls, ratio typing, profiles, page / post / category analyses.
 
@@ -196,31 +210,39 @@ def posts_report(
     typed = clean.coerce_numeric(cleaned, r.numeric)
     out = {
         "overview": profile.dataset_overview(typed, r),
-        "numeric_profile": profile.numeric_profile(typed, r.numeric, decimals=2),
+        "numeric_profile": profile.numeric_profile(typed, r.numeric, decimals=2, exact_scale=exact_scale),
         "text_profile": profile.categorical_profile(typed, r.text),
     }
     if page_key in typed.columns:
         out["page_count"] = profile.distinct_counts(typed, [page_key])
         if order_by:
-            out["first_pages"] = groups.first_groups(typed, [page_key], order_by, k=10, cols=r.numeric, max_cols=3)
+            out["first_pages"] = groups.first_groups(
+                typed, [page_key], order_by, k=10, cols=r.numeric, max_cols=3, exact_scale=exact_scale
+            )
     if page_key in typed.columns and post_key in typed.columns:
         out["page_post_count"] = clean.distinct_keys(typed, [page_key, post_key]).agg(
             F.count(F.lit(1)).alias("combinations")
         )
         if order_by:
             out["first_page_posts"] = groups.first_groups(
-                typed, [page_key, post_key], order_by, k=10, cols=r.numeric, max_cols=2
+                typed, [page_key, post_key], order_by, k=10, cols=r.numeric, max_cols=2, exact_scale=exact_scale
             )
     if category_key in typed.columns:
         out["category_share"] = engagement.category_share(typed, category_key)
         if r.numeric:
-            out["category_means"] = engagement.category_means(typed, category_key, r.numeric, max_cols=4)
+            out["category_means"] = engagement.category_means(
+                typed, category_key, r.numeric, max_cols=4, exact_scale=exact_scale
+            )
         ranking = engagement.available_metrics(typed, ranking_metrics)
         if ranking:
-            out["category_rankings"] = engagement.category_rankings(typed, category_key, ranking, k=5)
+            out["category_rankings"] = engagement.category_rankings(
+                typed, category_key, ranking, k=5, exact_scale=exact_scale
+            )
     page_metrics = engagement.available_metrics(typed, metrics)
     if page_key in typed.columns and page_metrics:
-        out["page_engagement"] = engagement.page_engagement(typed, page_key, page_metrics, k=10)
+        out["page_engagement"] = engagement.page_engagement(
+            typed, page_key, page_metrics, k=10, exact_scale=exact_scale
+        )
     return out
 
 
@@ -231,6 +253,7 @@ def ads_report(
     id_columns: Sequence[str] = ("page_id", "ad_id"),
     candidate: bool = True,
     stage: bool = True,
+    exact_scale: int | None = None,
 ) -> dict[str, DataFrame]:
     """Ads: strict null tokens, JSON text, unanimous typing, dedup, profiles, group analyses.
 
@@ -257,12 +280,16 @@ def ads_report(
     out = {
         "overview": _overview_with_dups(typed, r, normalised, cleaned, st),
         "numeric_profile": profile.numeric_profile(
-            typed, r.numeric, quantile_probs=(0.25, 0.5, 0.75), quantile_method=_quantile_method(st, r.numeric)
+            typed,
+            r.numeric,
+            quantile_probs=(0.25, 0.5, 0.75),
+            quantile_method=_quantile_method(st, r.numeric),
+            exact_scale=exact_scale,
         ),
         "text_profile": profile.categorical_profile(typed, r.text, max_cols=5),
     }
     for keys in key_sets:
-        _group_block(out, typed, keys, r.numeric, "groups")
+        _group_block(out, typed, keys, r.numeric, "groups", exact_scale=exact_scale)
     if candidate and r.text:
         cands = groups.grouping_candidates(
             typed, r.text, exclude=list(id_columns), distinct_estimates=st.distinct if st else None
@@ -270,5 +297,5 @@ def ads_report(
         out["grouping_candidates"] = cands
         best = cands.where(F.col("choice") == 1).select("column_name").collect()
         if best:
-            _group_block(out, typed, [best[0]["column_name"]], r.numeric, "candidate")
+            _group_block(out, typed, [best[0]["column_name"]], r.numeric, "candidate", exact_scale=exact_scale)
     return out

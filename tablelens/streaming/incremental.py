@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType, TimestampNTZType
 
 from tablelens.functions.nulls import col_of
-from tablelens.functions.numeric import to_double
+from tablelens.functions.numeric import sum_of, to_double
 from tablelens.session import shared_dir
 
 
@@ -47,10 +47,16 @@ def stream_group_sizes(stream: DataFrame, keys: Sequence[str]) -> DataFrame:
     return stream.groupBy(*[col_of(k) for k in keys]).agg(F.count(F.lit(1)).alias("size"))
 
 
-def stream_engagement(stream: DataFrame, key: str, metrics: Sequence[str]) -> DataFrame:
-    """Running per-key ``posts``, metric totals and ``total_engagement``."""
+def stream_engagement(
+    stream: DataFrame, key: str, metrics: Sequence[str], exact_scale: int | None = None
+) -> DataFrame:
+    """Running per-key ``posts``, metric totals and ``total_engagement``.
+
+    ``exact_scale`` keeps the totals independent of how rows fall into
+    micro-batches (see ``functions.numeric.sum_of``).
+    """
     types = {f.name: f.dataType for f in stream.schema.fields}
-    sums = [F.sum(F.coalesce(to_double(m, types[m]), F.lit(0.0))).alias(m) for m in metrics]
+    sums = [sum_of(F.coalesce(to_double(m, types[m]), F.lit(0.0)), exact_scale).alias(m) for m in metrics]
     agg = stream.groupBy(col_of(key)).agg(F.count(F.lit(1)).alias("posts"), *sums)
     return agg.withColumn("total_engagement", reduce(add, [col_of(m) for m in metrics]))
 
