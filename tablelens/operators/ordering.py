@@ -146,6 +146,12 @@ def distributed_quantiles(
         (F.col("_off") + F.col("_cum_local") - F.col("_n")).alias("_lo_rank"),
         (F.col("_off") + F.col("_cum_local")).alias("_hi_rank"),
     )
+    return _pick_ranks(cum, group_cols, probs)
+
+
+def _pick_ranks(cum: DataFrame, group_cols: list[str], probs: list[float]) -> DataFrame:
+    """From ``(groups, _v, _total, _lo_rank, _hi_rank)`` (value ``_v`` holds ranks
+    ``[_lo_rank, _hi_rank)`` of ``_total`` values), interpolate each quantile."""
     # Target ranks per group and probability: floor and ceil of (n - 1) * p.
     targets = []
     for p in probs:
@@ -202,18 +208,32 @@ def inmemory_quantiles(
     value_col: str,
     probs: Sequence[float],
 ) -> DataFrame:
-    """Exact quantiles with Spark's ``percentile`` (same interpolation rule).
+    """Exact quantiles with one task per group (same interpolation rule).
 
-    ``percentile`` keeps a value->count map per group and merges the maps of
-    a group in one task: use it only where the distinct values per group are
-    bounded (group sizes, or after a checked estimate, see ``quantiles``).
+    Values are reduced to ``(group, value, n)`` by a hash aggregate, then a
+    window per group sorts them and keeps running counts (sort and window
+    buffers spill to disk). A group's distinct values meet in one task, so
+    use it only where they are bounded (group sizes, or after a checked
+    estimate, see ``quantiles``).
     """
-    arr = F.percentile(F.col(value_col), [float(p) for p in probs])
-    out = long_df.groupBy(*group_cols).agg(arr.alias("_qs"))
-    return out.where(F.col("_qs").isNotNull()).select(
+    group_cols = list(group_cols)
+    freq = (
+        long_df.where(F.col(value_col).isNotNull())
+        .groupBy(*[F.col(g) for g in group_cols], F.col(value_col).alias("_v"))
+        .agg(F.count(F.lit(1)).alias("_n"))
+    )
+    by_group = Window.partitionBy(*group_cols)
+    running = F.sum("_n").over(
+        by_group.orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    )
+    cum = freq.select(
         *group_cols,
-        *[F.col("_qs")[i].cast("double").alias(quantile_name(p)) for i, p in enumerate(probs)],
+        "_v",
+        F.sum("_n").over(by_group).alias("_total"),
+        (running - F.col("_n")).alias("_lo_rank"),
+        running.alias("_hi_rank"),
     )
+    return _pick_ranks(cum, group_cols, list(probs))
 
 
 # Largest estimated number of distinct values per group for which ``auto``
@@ -234,7 +254,7 @@ def quantiles(
     """Quantiles per group.
 
     * ``distributed``: range-partitioned cumulative counts, any data size.
-    * ``inmemory``: Spark's exact ``percentile`` (bounded groups only).
+    * ``inmemory``: one sorted, spillable window per group (bounded groups only).
     * ``auto`` (default): exact either way; a one-row HyperLogLog pass
       estimates the largest per-group distinct count and picks ``inmemory``
       below ``max_inmemory_values``, ``distributed`` above.
