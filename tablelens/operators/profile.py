@@ -164,10 +164,47 @@ def numeric_profile(
     return out
 
 
+def _typed_frequencies(d: DataFrame, cols: Sequence[str]) -> list[DataFrame]:
+    """One frequency frame ``(column_name, position, value, n)`` per column type.
+
+    Columns of one type are unpivoted together with their values kept typed,
+    so a bigint id is hashed and shuffled as 8 bytes, not as text, and no
+    timestamp is formatted per row. The NULL value has its own row.
+    """
+    by_type: dict[str, list[tuple[int, str]]] = {}
+    for i, c in enumerate(cols):
+        by_type.setdefault(d.schema[c].dataType.simpleString(), []).append((i, c))
+    frames = []
+    for members in by_type.values():
+        cells = [
+            F.struct(F.lit(c).alias("column_name"), F.lit(i).alias("position"), col_of(c).alias("value"))
+            for i, c in members
+        ]
+        long = d.select(F.inline(F.array(*cells)))
+        frames.append(long.groupBy("column_name", "position", "value").agg(F.count(F.lit(1)).alias("n")))
+    return frames
+
+
+def _union(frames: list[DataFrame]) -> DataFrame:
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f)
+    return out
+
+
 def value_frequencies(d: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Frequency frame ``(column, position, value, n)``, the NULL value included."""
-    long = _long(d, list(cols), "string")
-    return long.groupBy("column_name", "position", "value").agg(F.count(F.lit(1)).alias("n"))
+    """Frequency frame ``(column_name, position, value, n)``, the NULL value included.
+
+    Counted on typed values (see ``_typed_frequencies``); ``value`` is cast to
+    text only after aggregation, so the frames of all types can be unioned.
+    """
+    cols = list(cols)
+    return _union(
+        [
+            f.select("column_name", "position", F.col("value").cast("string").alias("value"), "n")
+            for f in _typed_frequencies(d, cols)
+        ]
+    )
 
 
 def categorical_profile(
@@ -178,35 +215,48 @@ def categorical_profile(
 ) -> DataFrame:
     """Per text column: count, missing, unique_count, top_value, top_count.
 
-    The most frequent value ties to the smallest value (V19); NULL is never the
-    top value (V14); an all-null column gets zeros and a NULL top (A22).
-    ``count_null_as_value`` adds one to ``unique_count`` for columns holding a NULL
-    (A18, V13).
+    The most frequent value ties to the smallest value in the column's own
+    type order (V19); NULL is never the top value (V14); an all-null column
+    gets zeros and a NULL top (A22). ``count_null_as_value`` adds one to
+    ``unique_count`` for columns holding a NULL (A18, V13). ``top_value`` is
+    text whatever the column type.
     """
     cols = list(cols)[: max_cols if max_cols is not None else None]
-    freq = value_frequencies(d, cols)
     present = F.col("value").isNotNull()
-    top = F.min(F.when(present, F.struct((-F.col("n")).alias("neg_n"), F.col("value").alias("v"))))
     unique = F.count("value")
     if count_null_as_value:
         unique = unique + F.max((~present).cast("long"))
-    prof = freq.groupBy("column_name", "position").agg(
-        F.coalesce(F.sum(F.when(present, F.col("n"))), F.lit(0)).alias("count"),
-        F.coalesce(F.sum(F.when(~present, F.col("n"))), F.lit(0)).alias("missing"),
-        unique.alias("unique_count"),
-        top.alias("_top"),
-    )
+    parts = []
+    for freq in _typed_frequencies(d, cols):
+        top = F.min(F.when(present, F.struct((-F.col("n")).alias("neg_n"), F.col("value").alias("v"))))
+        prof = freq.groupBy("column_name", "position").agg(
+            F.coalesce(F.sum(F.when(present, F.col("n"))), F.lit(0)).alias("count"),
+            F.coalesce(F.sum(F.when(~present, F.col("n"))), F.lit(0)).alias("missing"),
+            unique.alias("unique_count"),
+            top.alias("_top"),
+        )
+        parts.append(
+            prof.select(
+                "column_name",
+                "position",
+                "count",
+                "missing",
+                "unique_count",
+                F.col("_top.v").cast("string").alias("top_value"),
+                (-F.col("_top.neg_n")).alias("top_count"),
+            )
+        )
     # Every profiled column keeps a row, also for an empty table (A22, V23):
     # the profile is joined onto the list of names (both bounded by the column count).
-    prof = _names(d, cols).join(F.broadcast(prof), ["column_name", "position"], "left")
+    prof = _names(d, cols).join(F.broadcast(_union(parts)), ["column_name", "position"], "left")
     return prof.select(
         "column_name",
         "position",
         F.coalesce("count", F.lit(0)).cast("long").alias("count"),
         F.coalesce("missing", F.lit(0)).cast("long").alias("missing"),
         F.coalesce("unique_count", F.lit(0)).cast("long").alias("unique_count"),
-        F.col("_top.v").alias("top_value"),
-        F.coalesce(-F.col("_top.neg_n"), F.lit(0)).cast("long").alias("top_count"),
+        "top_value",
+        F.coalesce("top_count", F.lit(0)).cast("long").alias("top_count"),
     )
 
 
@@ -231,11 +281,15 @@ def distinct_counts(
             for i, c in enumerate(cols)
         ]
         return row.select(F.inline(F.array(*cells)))
-    freq = value_frequencies(d, cols)
     unique = F.count("value")
     if count_null:
         unique = unique + F.max(F.col("value").isNull().cast("long"))
-    counts = freq.groupBy("column_name", "position").agg(unique.cast("long").alias("_dc"))
+    counts = _union(
+        [
+            freq.groupBy("column_name", "position").agg(unique.cast("long").alias("_dc"))
+            for freq in _typed_frequencies(d, cols)
+        ]
+    )
     return _names(d, cols).join(F.broadcast(counts), ["column_name", "position"], "left").select(
         "column_name", "position", F.coalesce("_dc", F.lit(0)).cast("long").alias("distinct_count")
     )

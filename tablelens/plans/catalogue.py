@@ -578,9 +578,9 @@ def _categorical_sql(table: str, cols: list[str]) -> str:
   CAST(coalesce(sum(n) FILTER (WHERE v IS NOT NULL), 0) AS BIGINT) AS count,
   CAST(coalesce(sum(n) FILTER (WHERE v IS NULL), 0) AS BIGINT) AS missing,
   count(v) AS unique_count,
-  first(v ORDER BY n DESC, v ASC) FILTER (WHERE v IS NOT NULL) AS top_value,
+  CAST(first(v ORDER BY n DESC, v ASC) FILTER (WHERE v IS NOT NULL) AS VARCHAR) AS top_value,
   CAST(coalesce(max(n) FILTER (WHERE v IS NOT NULL), 0) AS BIGINT) AS top_count
-FROM (SELECT CAST({c} AS VARCHAR) AS v, count(*) AS n FROM {table} GROUP BY 1) f{i}"""
+FROM (SELECT {c} AS v, count(*) AS n FROM {table} GROUP BY 1) f{i}"""
         )
     return " UNION ALL ".join(parts)
 
