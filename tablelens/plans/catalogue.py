@@ -1073,7 +1073,7 @@ def pages_trimmed_urls(spark, sf):
 # -------------------------------------------------------------- streaming
 
 
-def _arriving(spark: SparkSession, sf: str, name: str, files: int = 4) -> tuple[str, object]:
+def _arriving(spark: SparkSession, sf: str, name: str, files: int = 2) -> tuple[str, object]:
     """Land a driver table as ``files`` Parquet files in the shared folder,
     the way a feed would drop them, and return (folder, schema)."""
     d = _t(spark, sf, name)
