@@ -168,21 +168,28 @@ def _pick_ranks(cum: DataFrame, group_cols: list[str], probs: list[float]) -> Da
     hits = cum.select(*group_cols, "_v", "_total", "_lo_rank", "_hi_rank", F.inline(F.array(*targets))).where(
         (F.col("r") >= F.col("_lo_rank")) & (F.col("r") < F.col("_hi_rank"))
     )
-    pairs = hits.groupBy(*group_cols, "q").agg(
-        F.max(F.when(F.col("side") == "lo", F.col("_v"))).alias("_vlo"),
-        F.max(F.when(F.col("side") == "hi", F.col("_v"))).alias("_vhi"),
-        F.max(F.col("h") - F.floor(F.col("h"))).alias("_frac"),
-    )
-    interp = pairs.select(
+    # One aggregate per group picks, for every probability, the values at the
+    # floor and ceiling ranks; the interpolation is a projection afterwards.
+    picks = []
+    for p in probs:
+        name = quantile_name(p)
+        is_q = F.col("q") == name
+        picks += [
+            F.max(F.when(is_q & (F.col("side") == "lo"), F.col("_v"))).alias(f"_lo_{name}"),
+            F.max(F.when(is_q & (F.col("side") == "hi"), F.col("_v"))).alias(f"_hi_{name}"),
+            F.max(F.when(is_q, F.col("h") - F.floor(F.col("h")))).alias(f"_fr_{name}"),
+        ]
+    picked = hits.groupBy(*group_cols).agg(*picks)
+    return picked.select(
         *group_cols,
-        "q",
-        (F.col("_vlo") + F.col("_frac") * (F.col("_vhi") - F.col("_vlo"))).alias("_q"),
-    )
-    return interp.groupBy(*group_cols).agg(
         *[
-            F.max(F.when(F.col("q") == quantile_name(p), F.col("_q"))).alias(quantile_name(p))
+            (
+                F.col(f"_lo_{quantile_name(p)}")
+                + F.col(f"_fr_{quantile_name(p)}")
+                * (F.col(f"_hi_{quantile_name(p)}") - F.col(f"_lo_{quantile_name(p)}"))
+            ).alias(quantile_name(p))
             for p in probs
-        ]
+        ],
     )
 
 
