@@ -1,6 +1,5 @@
 """The three analyses end to end on the stand-in tables, and streaming."""
 
-import os
 
 import pytest
 from pyspark.sql import functions as F
