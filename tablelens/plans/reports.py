@@ -17,8 +17,7 @@ to no staging.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Observation
@@ -39,6 +38,23 @@ TWEETS_METRICS = ("retweetCount", "replyCount", "likeCount", "quoteCount", "book
 TWEETS_ENGAGEMENT_KEYS = ("source", "lang")
 
 
+OnFrame = Callable[[str, DataFrame], None]
+
+
+class _Frames(dict):
+    """The report's frames; ``on_frame`` sees each one as soon as it is built,
+    so a caller can start computing it while later frames are still planned."""
+
+    def __init__(self, on_frame: OnFrame | None):
+        super().__init__()
+        self._on_frame = on_frame
+
+    def __setitem__(self, name: str, frame: DataFrame) -> None:
+        super().__setitem__(name, frame)
+        if self._on_frame is not None:
+            self._on_frame(name, frame)
+
+
 @dataclass
 class Staged:
     """A cleaned table written once, with what was observed while writing it."""
@@ -139,6 +155,7 @@ def tweets_report(
     null_tokens: str = "folded",
     stage: bool = True,
     exact_scale: int | None = None,
+    on_frame: OnFrame | None = None,
 ) -> dict[str, DataFrame]:
     """Tweets: folded null tokens, dedup, ratio typing, overview, groups, engagement.
 
@@ -155,11 +172,10 @@ def tweets_report(
         cleaned = clean.dedup(normalised)
         r = roles.classify_columns(cleaned, threshold=0.8, inclusive=False, id_columns=id_columns)
     typed = clean.coerce_numeric(cleaned, r.numeric)
-    out = {
-        "overview": _overview_with_dups(typed, r, normalised, cleaned, st),
-        "numeric_profile": profile.numeric_profile(typed, r.numeric, decimals=2, exact_scale=exact_scale),
-        "text_profile": profile.categorical_profile(typed, r.text),
-    }
+    out = _Frames(on_frame)
+    out["overview"] = _overview_with_dups(typed, r, normalised, cleaned, st)
+    out["numeric_profile"] = profile.numeric_profile(typed, r.numeric, decimals=2, exact_scale=exact_scale)
+    out["text_profile"] = profile.categorical_profile(typed, r.text)
     for keys in key_sets:
         keys = [k for k in keys if k in typed.columns]
         if not keys:
@@ -193,6 +209,7 @@ def posts_report(
     order_by: str | None = None,
     stage: bool = False,
     exact_scale: int | None = None,
+    on_frame: OnFrame | None = None,
 ) -> dict[str, DataFrame]:
     """Posts: empty-only nulls, ratio typing, profiles, page / post / category analyses.
 
@@ -208,11 +225,10 @@ def posts_report(
     else:
         r = roles.classify_columns(cleaned, threshold=0.8, inclusive=False, id_columns=[page_key, post_key])
     typed = clean.coerce_numeric(cleaned, r.numeric)
-    out = {
-        "overview": profile.dataset_overview(typed, r),
-        "numeric_profile": profile.numeric_profile(typed, r.numeric, decimals=2, exact_scale=exact_scale),
-        "text_profile": profile.categorical_profile(typed, r.text),
-    }
+    out = _Frames(on_frame)
+    out["overview"] = profile.dataset_overview(typed, r)
+    out["numeric_profile"] = profile.numeric_profile(typed, r.numeric, decimals=2, exact_scale=exact_scale)
+    out["text_profile"] = profile.categorical_profile(typed, r.text)
     if page_key in typed.columns:
         out["page_count"] = profile.distinct_counts(typed, [page_key])
         if order_by:
@@ -254,6 +270,7 @@ def ads_report(
     candidate: bool = True,
     stage: bool = True,
     exact_scale: int | None = None,
+    on_frame: OnFrame | None = None,
 ) -> dict[str, DataFrame]:
     """Ads: strict null tokens, JSON text, unanimous typing, dedup, profiles, group analyses.
 
@@ -277,17 +294,16 @@ def ads_report(
         cleaned = clean.dedup(normalised)
         r = roles.classify_columns(cleaned, **role_args)
     typed = clean.coerce_numeric(cleaned, r.numeric)
-    out = {
-        "overview": _overview_with_dups(typed, r, normalised, cleaned, st),
-        "numeric_profile": profile.numeric_profile(
-            typed,
-            r.numeric,
-            quantile_probs=(0.25, 0.5, 0.75),
-            quantile_method=_quantile_method(st, r.numeric),
-            exact_scale=exact_scale,
-        ),
-        "text_profile": profile.categorical_profile(typed, r.text, max_cols=5),
-    }
+    out = _Frames(on_frame)
+    out["overview"] = _overview_with_dups(typed, r, normalised, cleaned, st)
+    out["numeric_profile"] = profile.numeric_profile(
+        typed,
+        r.numeric,
+        quantile_probs=(0.25, 0.5, 0.75),
+        quantile_method=_quantile_method(st, r.numeric),
+        exact_scale=exact_scale,
+    )
+    out["text_profile"] = profile.categorical_profile(typed, r.text, max_cols=5)
     for keys in key_sets:
         _group_block(out, typed, keys, r.numeric, "groups", exact_scale=exact_scale)
     if candidate and r.text:

@@ -107,3 +107,10 @@ def test_duplicates_removed_counted(spark, stage):
     assert (ov.row_count, ov.duplicates_removed) == (3, 3)
     top = rep["engagement_source"].orderBy("rank").first()
     assert (top.source, top.total_engagement) == ("c", 2.0)
+
+
+def test_on_frame_sees_every_frame(events):
+    seen = []
+    rep = tweets_report(events, key_sets=[["event_type"]], metrics=["value"], engagement_keys=[],
+                        on_frame=lambda name, frame: seen.append(name))
+    assert seen == list(rep)
