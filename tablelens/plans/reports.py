@@ -17,6 +17,7 @@ to no staging.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
@@ -83,7 +84,7 @@ def stage_table(d: DataFrame, name: str, dedup: bool = False) -> Staged:
         before = F.sum("_dup_n")
     else:
         before = F.count(F.lit(1))
-    obs = Observation(f"stage-{name}")
+    obs = Observation(f"stage-{name}-{uuid.uuid4().hex[:8]}")  # unique per run
     exprs = [
         F.count(F.lit(1)).alias("_rows"),
         before.alias("_before"),
