@@ -2,8 +2,10 @@
 
 Each returns ``dict[str, DataFrame]``; nothing is printed or collected except
 the few driver-side decisions the analyses need before later plans can be
-built: column roles (one row per column), the dedup count (one number, used as
-a scalar subquery) and, for ads, the grouping-candidate column (one row).
+built: column roles (one row per column), the dedup counts (two numbers,
+observed while staging) and, for ads, the grouping-candidate column (one row).
+``on_frame`` receives each frame as soon as it is planned, so a caller can
+compute frames while the rest of the report is still being built.
 
 Column names are parameters with the reference's names as defaults; callers
 pass their own. ``stage=True`` writes the cleaned table once as Parquet in the
