@@ -30,6 +30,7 @@ from tablelens.operators.groups import (
     group_sizes_multi,
     grouped_numeric_stats,
     grouping_candidates,
+    ranked_group_sizes,
     require_columns,
     restrict_to_groups,
     top_group_drilldown,

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from tablelens.functions.display import composite_label
 from tablelens.functions.nulls import col_of
 from tablelens.functions.numeric import mean_of, to_double
-from tablelens.operators.ordering import quantile_name, quantiles
+from tablelens.operators.ordering import global_rank, quantile_name, quantiles
 
 SIZE = "size"
 
@@ -64,6 +64,18 @@ def group_sizes(
     return base.groupBy(*[col_of(k) for k in keys]).agg(F.count(F.lit(1)).alias(SIZE))
 
 
+def ranked_group_sizes(
+    d: DataFrame, keys: Sequence[str] | str, drop_null_keys: bool = False
+) -> DataFrame:
+    """Every group with its size and rank 1..n, largest first, keys ascending
+    with NULL first (W2, V19). Ranks come from ``global_rank`` (range
+    partitioned), so millions of groups never meet in one task."""
+    keys = _keys(keys)
+    sizes = group_sizes(d, keys, drop_null_keys)
+    ranked = global_rank(sizes, [F.desc(SIZE), *key_order(keys)])
+    return ranked.select("rank", *keys, SIZE)
+
+
 def group_sizes_multi(d: DataFrame, key_sets: Sequence[Sequence[str]]) -> DataFrame:
     """Sizes for several key lists in one ``GROUPING SETS`` aggregate.
 

@@ -262,6 +262,17 @@ def group_sizes_drop_null(spark, sf):
     return groups.group_sizes(_events_null_user(spark, sf), ["user_id"], drop_null_keys=True)
 
 
+@query(
+    "group_sizes_ranked",
+    f"""SELECT {rank_sql('size DESC, user_id ASC NULLS FIRST, event_type ASC NULLS FIRST')} AS rank,
+  user_id, event_type, size
+FROM (SELECT user_id, event_type, count(*) AS size FROM {EVENTS_NULL_USER_SQL} GROUP BY user_id, event_type) s""",
+)
+def group_sizes_ranked(spark, sf):
+    """All groups of a composite key ranked by size (NULL keys included)."""
+    return groups.ranked_group_sizes(_events_null_user(spark, sf), ["user_id", "event_type"])
+
+
 @query(
     "group_sizes_multi",
     f"""SELECT CASE GROUPING(event_type, user_id) WHEN 1 THEN 'event_type'

@@ -97,3 +97,8 @@ def test_grouping_candidates(spark):
 def test_require_columns(keyed):
     with pytest.raises(ValueError, match="missing columns"):
         groups.group_sizes(keyed, ["nope"])
+
+
+def test_ranked_group_sizes(keyed):
+    out = [(r["rank"], r.k, r.size) for r in groups.ranked_group_sizes(keyed, "k").orderBy("rank").collect()]
+    assert out == [(1, None, 3), (2, "a", 3), (3, "b", 2), (4, "c", 1)]
