@@ -531,8 +531,8 @@ def _numeric_profile_sql(table: str, cols: list[str], std: str, quartiles: bool
             q = "".join(f", round(quantile_cont({c}, {p}), 4) AS q{int(p * 100)}" for p in (0.25, 0.5, 0.75))
         parts.append(
             f"SELECT '{c}' AS column_name, {i} AS position, count({c}) AS count, count(*) - count({c}) AS missing, "
-            f"{xmean(c)} AS mean, round({std}({c}), 4) AS std, min({c}) AS min, "
-            f"max({c}) AS max{q} FROM {table}"
+            f"{xmean(c)} AS mean, round({std}({c}), 4) AS std, CAST(min({c}) AS DOUBLE) AS min, "
+            f"CAST(max({c}) AS DOUBLE) AS max{q} FROM {table}"
         )
     return " UNION ALL ".join(parts)
 
@@ -1078,7 +1078,7 @@ def labels_profile(spark, sf):
 def pages_trimmed_urls(spark, sf):
     """P1 trim over text columns; the whole html is measured, not cut."""
     p = _t(spark, sf, "pages").select("page_id", "url", "html")
-    return clean.trim_cells(p, ["url"]).select("page_id", "url", F.length("html").alias("html_chars"))
+    return clean.trim_cells(p, ["url"]).select("page_id", "url", F.length("html").cast("long").alias("html_chars"))
 
 
 # -------------------------------------------------------------- streaming
