@@ -942,12 +942,18 @@ def format_labels(spark, sf):
 # ---------------------------------------------------------------- analyses
 
 
+FOLDED_SQL = "('', 'na', 'n/a', 'none', 'null', 'nan', '#n/a', '#null!', 'undefined')"
+EVENTS_FOLDED_SQL = f"""(SELECT DISTINCT event_id, ts, user_id,
+  CASE WHEN lower(trim(event_type)) IN {FOLDED_SQL} THEN NULL ELSE trim(event_type) END AS event_type, value,
+  CASE WHEN lower(trim(props)) IN {FOLDED_SQL} THEN NULL ELSE trim(props) END AS props FROM events)"""
+
+
 @query(
     "tweets_analysis_overview",
-    """SELECT count(*) AS row_count, CAST(6 AS BIGINT) AS column_count, CAST(3 AS BIGINT) AS numeric_columns,
-  CAST(3 AS BIGINT) AS text_columns, CAST(0 AS BIGINT) AS missing_cells, 0.0 AS missing_pct,
-  CAST(0 AS BIGINT) AS columns_with_nulls, CAST(0 AS BIGINT) AS duplicates_removed
-FROM events""",
+    _overview_sql(EVENTS_FOLDED_SQL, ["event_id", "ts", "user_id", "event_type", "value", "props"], 3, 3).replace(
+        f" FROM {EVENTS_FOLDED_SQL}",
+        f", CAST((SELECT count(*) FROM events) - count(*) AS BIGINT) AS duplicates_removed FROM {EVENTS_FOLDED_SQL}",
+    ),
 )
 def tweets_analysis_overview(spark, sf):
     from tablelens.plans.reports import tweets_report
