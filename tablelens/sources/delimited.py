@@ -7,6 +7,8 @@ library's control rather than the reader's inference.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,6 +31,7 @@ def read_table(
     sep: str | None = None,
     multi_line: bool = True,
     encoding: str = "UTF-8",
+    nulls: str | Iterable[str] | None = None,
 ) -> DataFrame:
     """Header-row delimited text as an all-string DataFrame.
 
@@ -36,8 +39,9 @@ def read_table(
     * Double-quote quoting with doubled quotes inside quoted cells.
     * Header names are stripped of surrounding whitespace (S4).
     * Short rows are padded with NULL and long rows cut (``PERMISSIVE``, S5).
-    * Empty cells are NULL; further null tokens are handled by
-      ``operators.clean.normalise_nulls``.
+    * Empty cells are NULL. ``nulls`` applies a null-token policy
+      (``"strict"``, ``"folded"``, ``"empty"`` or a token list, see
+      ``operators.clean.normalise_nulls``) as a column expression.
 
     ``multi_line=True`` allows newlines inside quoted cells but makes each file
     one split; at scale, store many files or convert once to Parquet.
@@ -54,7 +58,12 @@ def read_table(
         .option("encoding", encoding)
         .csv(path)
     )
-    return d.toDF(*[c.strip() for c in d.columns])
+    d = d.toDF(*[c.strip() for c in d.columns])
+    if nulls is not None:
+        from tablelens.operators.clean import normalise_nulls
+
+        d = normalise_nulls(d, nulls)
+    return d
 
 
 def write_delimited(d: DataFrame, path: str, sep: str = ",") -> None:

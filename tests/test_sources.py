@@ -125,3 +125,10 @@ def test_write_report(spark, tmp_path):
     d = spark.range(5)
     out = write_report({"r": d}, str(tmp_path / "rep"))
     assert spark.read.parquet(out["r"]).count() == 5
+
+
+def test_read_table_with_null_policy(spark, write):
+    p = write("policy.csv", "a,b\nNULL,1\n n/a ,2\nx,3\n")
+    assert read_table(spark, p, nulls="strict").where("a IS NULL").count() == 1
+    assert read_table(spark, p, nulls="folded").where("a IS NULL").count() == 2
+    assert read_table(spark, p, nulls=["x"]).where("a IS NULL").count() == 1
