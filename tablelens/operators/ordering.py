@@ -151,35 +151,26 @@ def distributed_quantiles(
 
 def _pick_ranks(cum: DataFrame, group_cols: list[str], probs: list[float]) -> DataFrame:
     """From ``(groups, _v, _total, _lo_rank, _hi_rank)`` (value ``_v`` holds ranks
-    ``[_lo_rank, _hi_rank)`` of ``_total`` values), interpolate each quantile."""
-    # Target ranks per group and probability: floor and ceil of (n - 1) * p.
-    targets = []
-    for p in probs:
-        h = (F.col("_total") - 1) * F.lit(float(p))
-        for side, r in (("lo", F.floor(h)), ("hi", F.ceil(h))):
-            targets.append(
-                F.struct(
-                    F.lit(quantile_name(p)).alias("q"),
-                    F.lit(side).alias("side"),
-                    r.cast("long").alias("r"),
-                    h.alias("h"),
-                )
-            )
-    hits = cum.select(*group_cols, "_v", "_total", "_lo_rank", "_hi_rank", F.inline(F.array(*targets))).where(
-        (F.col("r") >= F.col("_lo_rank")) & (F.col("r") < F.col("_hi_rank"))
-    )
-    # One aggregate per group picks, for every probability, the values at the
-    # floor and ceiling ranks; the interpolation is a projection afterwards.
-    picks = []
+    ``[_lo_rank, _hi_rank)`` of ``_total`` values), interpolate each quantile.
+
+    The target ranks floor/ceil((n - 1) * p) are column expressions, so one
+    conditional aggregate per group picks the values at them: no row is
+    generated per target.
+    """
+    aggs = []
     for p in probs:
         name = quantile_name(p)
-        is_q = F.col("q") == name
-        picks += [
-            F.max(F.when(is_q & (F.col("side") == "lo"), F.col("_v"))).alias(f"_lo_{name}"),
-            F.max(F.when(is_q & (F.col("side") == "hi"), F.col("_v"))).alias(f"_hi_{name}"),
-            F.max(F.when(is_q, F.col("h") - F.floor(F.col("h")))).alias(f"_fr_{name}"),
+        h = (F.col("_total") - 1) * F.lit(float(p))
+
+        def holds(rank: Column) -> Column:
+            return (rank >= F.col("_lo_rank")) & (rank < F.col("_hi_rank"))
+
+        aggs += [
+            F.max(F.when(holds(F.floor(h)), F.col("_v"))).alias(f"_lo_{name}"),
+            F.max(F.when(holds(F.ceil(h)), F.col("_v"))).alias(f"_hi_{name}"),
+            F.max(h - F.floor(h)).alias(f"_fr_{name}"),
         ]
-    picked = hits.groupBy(*group_cols).agg(*picks)
+    picked = cum.groupBy(*group_cols).agg(*aggs)
     return picked.select(
         *group_cols,
         *[
@@ -229,14 +220,14 @@ def inmemory_quantiles(
         .groupBy(*[F.col(g) for g in group_cols], F.col(value_col).alias("_v"))
         .agg(F.count(F.lit(1)).alias("_n"))
     )
-    by_group = Window.partitionBy(*group_cols)
-    running = F.sum("_n").over(
-        by_group.orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
+    ordered = Window.partitionBy(*group_cols).orderBy("_v")
+    running = F.sum("_n").over(ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    # Same partitioning and order as the running sum: one window pass for both.
+    total = F.sum("_n").over(ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     cum = freq.select(
         *group_cols,
         "_v",
-        F.sum("_n").over(by_group).alias("_total"),
+        total.alias("_total"),
         (running - F.col("_n")).alias("_lo_rank"),
         running.alias("_hi_rank"),
     )
