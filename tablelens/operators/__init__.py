@@ -22,19 +22,23 @@ from tablelens.operators.engagement import (
     row_total,
 )
 from tablelens.operators.groups import (
+    drilldown_of,
     first_groups,
     first_rows,
     group_quantiles,
     group_size_stats,
     group_sizes,
     group_sizes_multi,
+    group_table,
     grouped_numeric_stats,
     grouping_candidates,
     ranked_group_sizes,
     require_columns,
     restrict_to_groups,
+    size_stats_of,
     top_group_drilldown,
     top_groups,
+    top_of,
 )
 from tablelens.operators.ordering import (
     approx_quantiles,

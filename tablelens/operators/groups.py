@@ -113,7 +113,11 @@ def group_size_stats(
     is bounded: group sizes sum to the row count N, so there are at most
     sqrt(2N) distinct sizes (1.4 million for 10^12 rows), whatever the data.
     """
-    sizes = group_sizes(d, keys, drop_null_keys)
+    return size_stats_of(group_sizes(d, keys, drop_null_keys), quantile_probs)
+
+
+def size_stats_of(sizes: DataFrame, quantile_probs: Sequence[float] = (0.25, 0.5, 0.75)) -> DataFrame:
+    """``group_size_stats`` from a frame that already has a ``size`` column per group."""
     aggs = [
         F.count(F.lit(1)).alias("group_count"),
         F.coalesce(F.sum(SIZE), F.lit(0)).cast("long").alias("row_count"),
@@ -142,8 +146,14 @@ def top_groups(
 ) -> DataFrame:
     """``rank, keys..., size, label`` of the k largest groups."""
     keys = _keys(keys)
+    return top_of(group_sizes(d, keys, drop_null_keys), keys, k, null_label)
+
+
+def top_of(sizes: DataFrame, keys: Sequence[str] | str, k: int = 10, null_label: str = "None") -> DataFrame:
+    """``top_groups`` from a frame that already has ``keys..., size`` per group."""
+    keys = _keys(keys)
     order = [F.desc(SIZE), *key_order(keys)]
-    top = group_sizes(d, keys, drop_null_keys).orderBy(*order).limit(k)
+    top = sizes.orderBy(*order).limit(k)
     return rank_rows(top, order).select(
         "rank", *keys, SIZE, composite_label(keys, null_label).alias("label")
     )
@@ -223,10 +233,7 @@ def top_group_drilldown(
     base = _drop_nulls(d, keys, drop_null_keys)
     order = [F.desc(SIZE), *key_order(keys)]
     if method == "single_pass":
-        stats = base.groupBy(*[col_of(k_) for k_ in keys]).agg(
-            F.count(F.lit(1)).alias(SIZE), *_numeric_aggs(cols, types, exact_scale)
-        )
-        top = stats.orderBy(*order).limit(k)
+        return drilldown_of(group_table(base, keys, cols, exact_scale=exact_scale), keys, cols, k)
     elif method == "semi_join":
         sizes = group_sizes(base, keys).orderBy(*order).limit(k)
         rows = restrict_to_groups(base, sizes, keys, k)
@@ -238,6 +245,36 @@ def top_group_drilldown(
     return rank_rows(top, order).select("rank", *keys, SIZE, _numeric_cells(cols))
 
 
+def group_table(
+    d: DataFrame,
+    keys: Sequence[str] | str,
+    cols: Sequence[str] = (),
+    drop_null_keys: bool = False,
+    exact_scale: int | None = None,
+) -> DataFrame:
+    """One row per group: ``keys..., size`` and count/mean/min/max of ``cols``.
+
+    The shared input of ``size_stats_of``, ``top_of`` and ``drilldown_of``: a
+    caller that wants all three computes (and may persist) it once.
+    """
+    keys = _keys(keys)
+    cols = list(cols)
+    require_columns(d, keys + cols)
+    types = {f.name: f.dataType for f in d.schema.fields}
+    base = _drop_nulls(d, keys, drop_null_keys)
+    return base.groupBy(*[col_of(k_) for k_ in keys]).agg(
+        F.count(F.lit(1)).alias(SIZE), *_numeric_aggs(cols, types, exact_scale)
+    )
+
+
+def drilldown_of(table: DataFrame, keys: Sequence[str] | str, cols: Sequence[str], k: int = 3) -> DataFrame:
+    """``top_group_drilldown`` from a ``group_table`` built with the same ``cols``."""
+    keys = _keys(keys)
+    order = [F.desc(SIZE), *key_order(keys)]
+    top = table.orderBy(*order).limit(k)
+    return rank_rows(top, order).select("rank", *keys, SIZE, _numeric_cells(list(cols)))
+
+
 def grouped_numeric_stats(
     d: DataFrame,
     keys: Sequence[str] | str,
