@@ -47,8 +47,18 @@ def get_session(
     return spark
 
 
+def _context(spark: SparkSession):
+    """The SparkContext, or None for a Spark Connect session (no JVM access)."""
+    try:
+        return spark.sparkContext
+    except Exception:  # Spark Connect sessions have no SparkContext
+        return None
+
+
 def _is_local(spark: SparkSession) -> bool:
-    return spark.sparkContext.master.startswith("local")
+    sc = _context(spark)
+    master = sc.master if sc is not None else spark.conf.get("spark.master", "")
+    return str(master).startswith("local")
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
@@ -58,20 +68,25 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     ``spark.checkpoint.dir``; a machine-local default would lose data when an
     executor goes away, so it is only created for local masters.
     """
-    sc = spark.sparkContext
-    current = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    sc = _context(spark)
+    current = (sc.getCheckpointDir() if sc is not None else None) or spark.conf.get(
+        "spark.checkpoint.dir", None
+    )
     if current:
-        if not sc.getCheckpointDir():
+        if sc is not None and not sc.getCheckpointDir():
             sc.setCheckpointDir(current)
-        return sc.getCheckpointDir() or current
+        return (sc.getCheckpointDir() if sc is not None else None) or current
     if not _is_local(spark):
         raise RuntimeError(
             "spark.checkpoint.dir is not set; point it at shared storage "
             "(HDFS/S3/ABFS) before running jobs that cut lineage or stage files"
         )
     local = tempfile.mkdtemp(prefix="tablelens-ckpt-")
-    sc.setCheckpointDir(local)
-    return sc.getCheckpointDir() or local
+    if sc is not None:
+        sc.setCheckpointDir(local)
+        return sc.getCheckpointDir() or local
+    spark.conf.set("spark.checkpoint.dir", local)
+    return local
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
