@@ -61,3 +61,24 @@ def test_global_rank_without_exchange_reuse(spark):
     finally:
         spark.conf.set("spark.sql.exchange.reuse", "true")
     assert [(r.id, r.n) for r in got] == sorted(rows, key=lambda r: (-r[1], r[0]))
+
+
+def test_empty_inputs(spark):
+    from tablelens.operators import engagement, groups, profile
+
+    empty = spark.createDataFrame([], "k string, v double")
+    assert global_rank(empty, [F.asc("k")]).count() == 0
+    assert engagement.category_share(empty, "k").count() == 0
+    assert profile.value_counts(empty, "k").count() == 0
+    assert distributed_quantiles(empty.withColumn("g", F.lit(1)), ["g"], "v", [0.5]).count() == 0
+    q = profile.numeric_profile(empty, ["v"], quantile_probs=(0.5,), quantile_method="distributed").first()
+    assert q["count"] == 0 and q.q50 is None
+    assert groups.top_groups(empty, "k").count() == 0
+    s = groups.group_size_stats(empty, "k").first()
+    assert s.group_count == 0 and s.q50 is None
+
+
+def test_quantiles_with_null_only_group(spark):
+    d = spark.createDataFrame([("a", 1.0), ("a", 3.0), ("b", None)], "g string, v double")
+    out = {r.g: r.q50 for r in distributed_quantiles(d, ["g"], "v", [0.5]).collect()}
+    assert out == {"a": 2.0}
