@@ -39,6 +39,7 @@ POSTS_RANKING_METRICS = ("Likes", "Comments", "Shares", "Love", "Wow", "Haha", "
 TWEETS_KEY_SETS = (("source",), ("id", "source"), ("lang",))
 TWEETS_METRICS = ("retweetCount", "replyCount", "likeCount", "quoteCount", "bookmarkCount")
 TWEETS_ENGAGEMENT_KEYS = ("source", "lang")
+TWEETS_ID_COLUMNS = ("id",)  # never coerced: 64-bit ids must not pass through double (V25)
 
 
 OnFrame = Callable[[str, DataFrame], None]
@@ -154,7 +155,7 @@ def tweets_report(
     key_sets: Sequence[Sequence[str]] = TWEETS_KEY_SETS,
     metrics: Sequence[str] = TWEETS_METRICS,
     engagement_keys: Sequence[str] = TWEETS_ENGAGEMENT_KEYS,
-    id_columns: Sequence[str] = (),
+    id_columns: Sequence[str] = TWEETS_ID_COLUMNS,
     null_tokens: str = "folded",
     stage: bool = True,
     exact_scale: int | None = None,

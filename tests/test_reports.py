@@ -114,3 +114,13 @@ def test_on_frame_sees_every_frame(events):
     rep = tweets_report(events, key_sets=[["event_type"]], metrics=["value"], engagement_keys=[],
                         on_frame=lambda name, frame: seen.append(name))
     assert seen == list(rep)
+
+
+def test_tweet_ids_are_not_coerced(spark):
+    big = 2**53
+    rows = [(str(big), "web", "1"), (str(big + 1), "web", "2"), (str(big + 1), "app", "3")]
+    d = spark.createDataFrame(rows, "id string, source string, likeCount string")
+    rep = tweets_report(d, stage=False)
+    top = {(r.id, r.source): r.size for r in rep["groups_id_source_top"].collect()}
+    # Through a double both ids would be 2^53 and merge; as keys they stay apart.
+    assert top == {(str(big), "web"): 1, (str(big + 1), "web"): 1, (str(big + 1), "app"): 1}
