@@ -27,6 +27,16 @@ _LOW_BITS = 33
 _LOW_MASK = (1 << _LOW_BITS) - 1
 
 
+def _range_partitions(df: DataFrame) -> int:
+    """An explicit partition count for range partitioning.
+
+    With a user-given count AQE does not coalesce the partitions, so every
+    reader of the exchange sees the same partition ids (the helpers below
+    number rows by partition id).
+    """
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+
+
 def _one_partitioning(ranged: DataFrame) -> DataFrame:
     """Make every consumer of ``ranged`` see the same partitions.
 
@@ -45,7 +55,7 @@ def _one_partitioning(ranged: DataFrame) -> DataFrame:
 def global_rank(df: DataFrame, order: Sequence[Column], rank_col: str = "rank") -> DataFrame:
     """Add ``rank_col`` = 1..n following ``order`` (which should be a total order)."""
     order = list(order)
-    ranged = _one_partitioning(df.repartitionByRange(*order)).sortWithinPartitions(*order)
+    ranged = _one_partitioning(df.repartitionByRange(_range_partitions(df), *order)).sortWithinPartitions(*order)
     tagged = ranged.withColumn("_rid", F.monotonically_increasing_id()).select(
         "*",
         F.shiftright("_rid", _LOW_BITS).alias("_part"),
@@ -102,7 +112,9 @@ def distributed_quantiles(
         .groupBy(*gcols, F.col(value_col).alias("_v"))
         .agg(F.count(F.lit(1)).alias("_n"))
     )
-    ranged = _one_partitioning(freq.repartitionByRange(*gcols, F.col("_v"))).withColumn(
+    ranged = _one_partitioning(
+        freq.repartitionByRange(_range_partitions(freq), *gcols, F.col("_v"))
+    ).withColumn(
         "_part", F.spark_partition_id()
     )
     # Per (partition, group): bounded by partitions x groups.
