@@ -29,10 +29,10 @@ WHITESPACE = "".join(ch for ch in map(chr, range(0x3001)) if ch.isspace())
 
 
 def col_of(c: str | Column) -> Column:
-    """Column for a name that may hold spaces or dots (e.g. ``Page Category``)."""
+    """Column for a name that may hold spaces, dots or backticks (e.g. ``Page Category``)."""
     if isinstance(c, Column):
         return c
-    return F.col(f"`{c}`")
+    return F.col("`" + c.replace("`", "``") + "`")
 
 
 def strip_ws(c: str | Column) -> Column:

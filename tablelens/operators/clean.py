@@ -77,18 +77,18 @@ def date_parse_report(
 ) -> DataFrame:
     """Per column: ``column_name, non_null, parsed, all_parse`` (one aggregate, S8)."""
     exprs = []
-    for c in cols:
+    for i, c in enumerate(cols):
         v = col_of(c).cast("string")
         parsed = F.coalesce(*[F.try_to_timestamp(v, F.lit(fmt)) for fmt in formats])
-        exprs += [F.count(v).alias(f"{c}\u0000n"), F.count(parsed).alias(f"{c}\u0000p")]
+        exprs += [F.count(v).alias(f"_n{i}"), F.count(parsed).alias(f"_p{i}")]
     row = d.agg(*exprs)
     cells = [
         F.struct(
             F.lit(c).alias("column_name"),
-            F.col(f"`{c}\u0000n`").alias("non_null"),
-            F.col(f"`{c}\u0000p`").alias("parsed"),
+            F.col(f"_n{i}").alias("non_null"),
+            F.col(f"_p{i}").alias("parsed"),
         )
-        for c in cols
+        for i, c in enumerate(cols)
     ]
     return row.select(F.inline(F.array(*cells))).withColumn(
         "all_parse", (F.col("non_null") > 0) & (F.col("non_null") == F.col("parsed"))

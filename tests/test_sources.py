@@ -132,3 +132,22 @@ def test_read_table_with_null_policy(spark, write):
     assert read_table(spark, p, nulls="strict").where("a IS NULL").count() == 1
     assert read_table(spark, p, nulls="folded").where("a IS NULL").count() == 2
     assert read_table(spark, p, nulls=["x"]).where("a IS NULL").count() == 1
+
+
+def test_odd_column_names_end_to_end(spark, write):
+    p = write("odd.csv", "Page Category,a.b,x`y,Likes\nnews,1,2,3\nnews,4,5,6\nsport,7,8,9\n")
+    d = read_table(spark, p, nulls="empty")
+    assert d.columns == ["Page Category", "a.b", "x`y", "Likes"]
+    prof = {r.column_name: r for r in profile.numeric_profile(d, ["a.b", "x`y"]).collect()}
+    assert prof["a.b"]["count"] == 3 and prof["x`y"].max == 8.0
+    sizes = {r["Page Category"]: r.size for r in groups.group_sizes(d, ["Page Category"]).collect()}
+    assert sizes == {"news": 2, "sport": 1}
+
+
+def test_directory_of_files(spark, tmp_path):
+    folder = tmp_path / "parts"
+    folder.mkdir()
+    for i in range(3):
+        (folder / f"part-{i}.csv").write_text(f"id,v\n{i},{i * 10}\n{i + 10},{i}\n", encoding="utf-8")
+    d = read_table(spark, str(folder))
+    assert d.columns == ["id", "v"] and d.count() == 6
