@@ -32,6 +32,7 @@ def read_table(
     multi_line: bool = True,
     encoding: str = "UTF-8",
     nulls: str | Iterable[str] | None = None,
+    row_seq: str | None = None,
 ) -> DataFrame:
     """Header-row delimited text as an all-string DataFrame.
 
@@ -42,6 +43,10 @@ def read_table(
     * Empty cells are NULL. ``nulls`` applies a null-token policy
       (``"strict"``, ``"folded"``, ``"empty"`` or a token list, see
       ``operators.clean.normalise_nulls``) as a column expression.
+    * ``row_seq`` names a column holding the file order, taken right after
+      the scan with ``monotonically_increasing_id`` (increasing along each
+      split and across splits in path order): the ``order_by`` for "first
+      groups" and prefix samples, since Spark rows have no order otherwise.
 
     ``multi_line=True`` allows newlines inside quoted cells but makes each file
     one split; at scale, store many files or convert once to Parquet.
@@ -59,6 +64,8 @@ def read_table(
         .csv(path)
     )
     d = d.toDF(*[c.strip() for c in d.columns])
+    if row_seq is not None:
+        d = d.withColumn(row_seq, F.monotonically_increasing_id())
     if nulls is not None:
         from tablelens.operators.clean import normalise_nulls
 

@@ -151,3 +151,11 @@ def test_directory_of_files(spark, tmp_path):
         (folder / f"part-{i}.csv").write_text(f"id,v\n{i},{i * 10}\n{i + 10},{i}\n", encoding="utf-8")
     d = read_table(spark, str(folder))
     assert d.columns == ["id", "v"] and d.count() == 6
+
+
+def test_row_seq_keeps_file_order(spark, write):
+    lines = ["page,v"] + [f"p{(i * 7) % 5},{i}" for i in range(40)]
+    d = read_table(spark, write("seq.csv", "\n".join(lines) + "\n"), row_seq="_row_seq")
+    assert [int(r.v) for r in d.orderBy("_row_seq").collect()] == list(range(40))
+    first = [r.page for r in groups.first_groups(d, ["page"], "_row_seq", k=5).orderBy("rank").collect()]
+    assert first == ["p0", "p2", "p4", "p1", "p3"]  # order of first appearance in the file
