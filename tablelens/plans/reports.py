@@ -217,9 +217,9 @@ def posts_report(
 ) -> dict[str, DataFrame]:
     """Posts: empty-only nulls, ratio typing, profiles, page / post / category analyses.
 
-    ``order_by`` (e.g. a row-sequence column) defines "first appearance" for
-    the first-groups samples; without it those samples are skipped, since
-    Spark rows have no file order.
+    ``order_by`` (e.g. the column ``read_table(..., row_seq=...)`` adds)
+    defines "first appearance" for the first-groups samples; without it those
+    samples are skipped, since Spark rows have no file order.
     """
     cleaned = clean.normalise_nulls(d, "empty", trim=False)
     if stage:
