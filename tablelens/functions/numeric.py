@@ -38,21 +38,27 @@ def to_double(c: str | Column, source_type: DataType | None = None) -> Column:
 
 
 def sum_of(v: Column, exact_scale: int | None = None) -> Column:
-    """Sum of a double column.
-
-    With ``exact_scale`` the values are accumulated as ``DECIMAL(18, scale)``
-    (long-backed, so still fast) and the total is returned as a double. A
-    double sum depends on the order in which tasks and partial aggregates are
-    merged; the decimal sum does not, so reruns and other engines give the
-    same bits. Values must have at most ``scale`` decimals (money, counts).
+    """Sum of a double column (NULL without values).
+
+    With ``exact_scale``, values with at most that many decimals (and 18
+    digits) are accumulated as ``DECIMAL(18, scale)`` and the total is returned
+    as a double. A double sum depends on the order in which tasks and partial
+    aggregates are merged; the decimal sum does not, so reruns and other
+    engines give the same bits. Values that do not fit (more decimals, more
+    digits, infinity) are neither rounded nor refused: they are added as
+    doubles, as without ``exact_scale``.
     """
     if exact_scale is None:
         return F.sum(v)
-    return F.sum(v.cast(f"decimal(18,{exact_scale})")).cast("double")
+    exact = v.try_cast(f"decimal(18,{exact_scale})")
+    fits = F.coalesce(exact.cast("double") == v, F.lit(False))
+    whole = F.sum(F.when(fits, exact)).cast("double")
+    rest = F.sum(F.when(~fits, v))
+    return F.coalesce(whole + rest, whole, rest)
 
 
 def mean_of(v: Column, exact_scale: int | None = None) -> Column:
-    """Mean of a double column; order-independent with ``exact_scale`` (see ``sum_of``)."""
+    """Mean of a double column; see ``sum_of`` for ``exact_scale``."""
     if exact_scale is None:
         return F.avg(v)
     return F.try_divide(sum_of(v, exact_scale), F.count(v).cast("double"))

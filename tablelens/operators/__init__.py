@@ -42,9 +42,7 @@ from tablelens.operators.groups import (
 )
 from tablelens.operators.ordering import (
     approx_quantiles,
-    distributed_quantiles,
     global_rank,
-    inmemory_quantiles,
     quantiles,
 )
 from tablelens.operators.profile import (

@@ -103,10 +103,12 @@ def category_rankings(
     key: str,
     metrics: Sequence[str],
     k: int = 5,
-    max_metrics: int = 3,
+    max_metrics: int | None = None,
     exact_scale: int | None = None,
 ) -> DataFrame:
-    """Top k categories by each metric's total, for the first ``max_metrics`` metrics.
+    """Top k categories by each metric's total.
+
+    All metrics, or the first ``max_metrics`` of them if given (P7).
 
     One aggregate for all metrics, then ``row_number() <= k`` per metric,
     which Spark limits per map task (``WindowGroupLimit``) before the shuffle.
@@ -150,9 +152,9 @@ def category_share(d: DataFrame, key: str, decimals: int = 1) -> DataFrame:
 
 
 def category_means(
-    d: DataFrame, key: str, cols: Sequence[str], max_cols: int = 4, exact_scale: int | None = None
+    d: DataFrame, key: str, cols: Sequence[str], max_cols: int | None = None, exact_scale: int | None = None
 ) -> DataFrame:
-    """Per category: mean and count of the first ``max_cols`` numeric columns."""
+    """Per category: mean and count of numeric columns, the first ``max_cols`` if given."""
     require_columns(d, [key])
     cols = list(cols)[:max_cols]
     aggs = []

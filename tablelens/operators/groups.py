@@ -210,12 +210,14 @@ def top_group_drilldown(
     keys: Sequence[str] | str,
     cols: Sequence[str],
     k: int = 3,
-    max_cols: int = 3,
+    max_cols: int | None = None,
     method: str = "single_pass",
     drop_null_keys: bool = False,
     exact_scale: int | None = None,
 ) -> DataFrame:
-    """Mean/min/max of the first ``max_cols`` numeric columns in the k largest groups.
+    """Mean/min/max of numeric columns in the k largest groups.
+
+    All of ``cols``, or the first ``max_cols`` of them if given (P7).
 
     Output, one row per (group, column): ``rank, keys..., size, column_name,
     position, count, mean, min, max``. The NULL group is a group (V17).
@@ -280,7 +282,7 @@ def grouped_numeric_stats(
     keys: Sequence[str] | str,
     cols: Sequence[str],
     k: int = 10,
-    max_cols: int = 3,
+    max_cols: int | None = None,
     exact_scale: int | None = None,
 ) -> DataFrame:
     """Per numeric column, the k groups with most values: mean/min/max/count.
@@ -311,13 +313,13 @@ def first_groups(
     order_by: str,
     k: int = 10,
     cols: Sequence[str] = (),
-    max_cols: int = 3,
+    max_cols: int | None = None,
     exact_scale: int | None = None,
 ) -> DataFrame:
     """The k groups that appear first by ``order_by``, with row count and means.
 
     Output: ``rank, keys..., first_seen, row_count`` and ``<col>_mean``,
-    ``<col>_count`` for the first ``max_cols`` of ``cols``. One aggregate and a
+    ``<col>_count`` for ``cols`` (the first ``max_cols`` if given). One aggregate and a
     top-k: the reference's one-filter-per-group loop becomes one pass.
     """
     keys = _keys(keys)
@@ -341,36 +343,32 @@ def grouping_candidates(
     exclude: Sequence[str] = (),
     lo: int = 2,
     hi: int = 20,
-    max_cols: int = 10,
-    distinct_estimates: dict[str, int] | None = None,
+    max_cols: int | None = None,
+    sample_rows: int | None = None,
+    order_by: str | Sequence[str] | None = None,
 ) -> DataFrame:
     """Text columns usable as a grouping key: ``lo`` to ``hi`` distinct non-null values.
 
-    Looks at the first ``max_cols`` of ``cols`` outside ``exclude``. Output:
-    ``column_name, position, unique_count, choice`` where ``choice`` 1 is the
-    best candidate (fewest distinct values, ties by column order).
-
-    Two passes keep an identifier column from being shuffled value by value
-    just to learn that it has more than ``hi`` values: a one-row HyperLogLog
-    pass drops columns estimated above ``2 * hi + 10`` (at a few dozen values
-    the estimate is within one or two of the truth), then exact distinct
-    counts run for the rest, whose few values collapse map-side.
-    ``distinct_estimates`` (column -> HyperLogLog estimate, e.g. observed
-    while staging the table) replaces the first pass.
+    Looks at ``cols`` (the first ``max_cols`` if given) without those in
+    ``exclude``. ``sample_rows`` judges by the first rows in ``order_by``
+    instead of by all rows (V24). Output: ``column_name, position,
+    unique_count, choice`` where ``choice`` 1 is the best candidate (fewest
+    distinct values, ties by column order).
+
+    The decision is exact: a column with more than ``hi`` values among a few
+    rows is out whatever the rest holds, which spares identifiers the shuffle
+    of all their values; every other column's values are counted.
     """
-    chosen = [c for c in cols if c not in set(exclude)][:max_cols]
-    empty = "column_name string, position int, unique_count long, choice long"
+    chosen = [(i, c) for i, c in enumerate(list(cols)[:max_cols]) if c not in set(exclude)]
+    if sample_rows is not None:
+        if order_by is None:
+            raise ValueError("sample_rows needs order_by: rows have no order of their own")
+        d = first_rows(d, order_by, sample_rows)
+    if chosen:
+        few = d.limit(50 * hi).agg(*[F.count_distinct(col_of(c)).alias(f"_d{i}") for i, c in chosen]).first()
+        chosen = [(i, c) for i, c in chosen if few[f"_d{i}"] <= hi]
     if not chosen:
-        return d.sparkSession.createDataFrame([], empty)
-    if distinct_estimates is None:
-        row = d.agg(
-            *[F.approx_count_distinct(col_of(c)).alias(f"_a{i}") for i, c in enumerate(chosen)]
-        ).first()
-        distinct_estimates = {c: row[f"_a{i}"] for i, c in enumerate(chosen)}
-    margin = 2 * hi + 10
-    kept = [(i, c) for i, c in enumerate(chosen) if distinct_estimates[c] <= margin]
-    if not kept:
-        return d.sparkSession.createDataFrame([], empty)
+        return d.sparkSession.createDataFrame([], "column_name string, position int, unique_count long, choice long")
     cells = F.inline(
         F.array(
             *[
@@ -379,7 +377,7 @@ def grouping_candidates(
                     F.lit(i).alias("position"),
                     col_of(c).cast("string").alias("value"),
                 )
-                for i, c in kept
+                for i, c in chosen
             ]
         )
     )
@@ -388,7 +386,7 @@ def grouping_candidates(
         F.count(F.lit(1)).alias("unique_count")
     )
     ok = counts.where((F.col("unique_count") >= lo) & (F.col("unique_count") <= hi))
-    # At most max_cols rows: the window runs on a bounded frame.
+    # One row per column: the window runs on a bounded frame.
     w = Window.orderBy("unique_count", "position")
     return ok.select(
         "column_name",
@@ -413,11 +411,10 @@ def group_quantiles(
     keys: Sequence[str] | str,
     col: str,
     probs: Sequence[float] = (0.25, 0.5, 0.75),
-    method: str = "auto",
 ) -> DataFrame:
     """Quantiles of one numeric column per group (``describe`` quartiles per group)."""
     keys = _keys(keys)
     types = {f.name: f.dataType for f in d.schema.fields}
     long = d.select(*[col_of(k_) for k_ in keys], to_double(col, types[col]).alias("_v"))
-    q = quantiles(long, keys, "_v", probs, method=method)
+    q = quantiles(long, keys, "_v", probs)
     return q.select(*keys, *[quantile_name(p) for p in probs])

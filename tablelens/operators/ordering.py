@@ -3,17 +3,17 @@
 ``Window.orderBy(...)`` with no partition moves every row to one task, and the
 exact ``percentile`` aggregate keeps a value->count map of a whole group in one
 task. Both are fine for ten rows and fatal for billions. The two helpers here
-give the same answers with range partitioning:
-
-* ``global_rank``: range-partition on the order, sort each partition, number
-  rows locally with ``monotonically_increasing_id`` (partition index in the high
-  bits, position in the low 33 bits), and add the row count of all earlier
-  partitions. Only a table of one row per partition meets in one place.
-* ``distributed_quantiles``: reduce values to ``(group, value, n)`` first (a hot value
-  collapses to one row), range-partition that frame, and find the values at the
-  interpolation ranks from cumulative counts. Linear interpolation at
-  ``(n - 1) * p`` is the rule of ``percentile``, numpy and DuckDB's
-  ``quantile_cont``.
+give the same answers at any size, by one method each:
+
+* ``global_rank``: range-partition on the order, sort each partition, and write
+  it with partition number and row position to the shared folder. Row counts
+  per partition and ranks are both read from those files, so they fit whatever
+  columns a caller keeps.
+* ``quantiles``: one scan brackets every wanted rank of every group with
+  ``percentile_approx``; a second scan counts the rows below each bracket
+  (map-side) and shuffles only the values inside it, which are sorted to find
+  the values at the interpolation ranks. Linear interpolation at ``(n - 1) * p``
+  is the rule of ``percentile``, numpy and DuckDB's ``quantile_cont``.
 """
 
 from __future__ import annotations
@@ -23,62 +23,51 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tablelens.session import shared_dir
+
 _LOW_BITS = 33
 _LOW_MASK = (1 << _LOW_BITS) - 1
 
 
-def _range_partitions(df: DataFrame) -> int:
-    """An explicit partition count for range partitioning.
-
-    With a user-given count AQE does not coalesce the partitions, so every
-    reader of the exchange sees the same partition ids (the helpers below
-    number rows by partition id).
-    """
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-
-
-def _one_partitioning(ranged: DataFrame) -> DataFrame:
-    """Make every consumer of ``ranged`` see the same partitions.
+def global_rank(df: DataFrame, order: Sequence[Column], rank_col: str = "rank") -> DataFrame:
+    """Add ``rank_col`` = 1..n following ``order`` (which should be a total order).
 
-    Both helpers read a range-partitioned frame twice (row positions and
-    per-partition counts). Spark plans the second read as a ``ReusedExchange``
-    of the first, so the range bounds are sampled once and lost map outputs
-    are recomputed with the same bounds. If exchange reuse is switched off,
-    the frame is checkpointed (reliably, into the checkpoint folder) instead.
+    The ordered rows are written once, when this is called: two reads of a
+    range partitioning that is only planned may sample different bounds.
     """
-    reuse = ranged.sparkSession.conf.get("spark.sql.exchange.reuse", "true")
-    if str(reuse).lower() == "true":
-        return ranged
-    return ranged.checkpoint(eager=True)
-
-
-def global_rank(df: DataFrame, order: Sequence[Column], rank_col: str = "rank") -> DataFrame:
-    """Add ``rank_col`` = 1..n following ``order`` (which should be a total order)."""
     order = list(order)
-    ranged = _one_partitioning(df.repartitionByRange(_range_partitions(df), *order)).sortWithinPartitions(*order)
-    tagged = ranged.withColumn("_rid", F.monotonically_increasing_id()).select(
-        "*",
-        F.shiftright("_rid", _LOW_BITS).alias("_part"),
-        F.col("_rid").bitwiseAND(F.lit(_LOW_MASK)).alias("_local"),
+    spark = df.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    tagged = (
+        df.repartitionByRange(parts, *order)
+        .sortWithinPartitions(*order)
+        .withColumn("_rid", F.monotonically_increasing_id())
+        .select(
+            "*",
+            F.shiftright("_rid", _LOW_BITS).alias("_part"),
+            F.col("_rid").bitwiseAND(F.lit(_LOW_MASK)).alias("_local"),
+        )
+        .drop("_rid")
     )
+    target = shared_dir(spark, "rank")
+    tagged.write.parquet(target)
+    rows = spark.read.schema(tagged.schema).parquet(target)
     # One row per partition: bounded by the partition count, safe to broadcast.
     offsets = (
-        tagged.groupBy("_part")
+        rows.groupBy("_part")
         .agg(F.count(F.lit(1)).alias("_n"))
         .select(
             "_part",
             F.coalesce(
-                F.sum("_n").over(
-                    Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-                ),
+                F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)),
                 F.lit(0),
             ).alias("_offset"),
         )
     )
     return (
-        tagged.join(F.broadcast(offsets), "_part")
+        rows.join(F.broadcast(offsets), "_part")
         .withColumn(rank_col, F.col("_offset") + F.col("_local") + F.lit(1))
-        .drop("_rid", "_part", "_local", "_offset")
+        .drop("_part", "_local", "_offset")
     )
 
 
@@ -88,112 +77,94 @@ def quantile_name(p: float) -> str:
     return "q" + text.replace(".", "_")
 
 
-def distributed_quantiles(
+# Entries of the sketch that brackets a rank: its rank error is n / ACCURACY.
+ACCURACY = 10_000
+_ALL = -1  # bracket number of a group whose values are all kept
+
+
+def quantiles(
     long_df: DataFrame,
     group_cols: Sequence[str],
     value_col: str,
     probs: Sequence[float],
+    accuracy: int = ACCURACY,
     few_groups: bool = False,
 ) -> DataFrame:
     """Exact linearly interpolated quantiles of ``value_col`` per group.
 
     Returns ``group_cols`` + one ``q<p>`` double column per probability; groups
     without a non-null value are absent (callers left-join to keep them).
-    The offsets table has one row per (range partition, group). With
-    ``few_groups`` (the caller knows the groups are, e.g., column names) it is
-    broadcast; otherwise its join is left to Spark, whose adaptive execution
-    broadcasts it only below its measured size threshold.
+    Infinite values are ordered like any other.
+
+    The sketch's rank error is at most ``n / accuracy``, so the values at
+    probabilities two errors below and above ``p`` enclose the wanted ranks
+    of a group of more than ``4 * accuracy`` values; a smaller group's bracket
+    is everything. At most about ``6 / accuracy`` of a large group's rows are
+    shuffled per probability, as distinct values with counts, and sorted
+    (spillably) in one task each. With ``few_groups`` (the caller knows the
+    groups are, e.g., column names) the brackets are broadcast; otherwise
+    their join is left to Spark.
     """
-    group_cols = list(group_cols)
-    probs = list(probs)
-    gcols = [F.col(g) for g in group_cols]
-    freq = (
-        long_df.where(F.col(value_col).isNotNull())
-        .groupBy(*gcols, F.col(value_col).alias("_v"))
-        .agg(F.count(F.lit(1)).alias("_n"))
-    )
-    ranged = _one_partitioning(
-        freq.repartitionByRange(_range_partitions(freq), *gcols, F.col("_v"))
-    ).withColumn(
-        "_part", F.spark_partition_id()
-    )
-    # Per (partition, group): bounded by partitions x groups.
-    part_tot = ranged.groupBy("_part", *group_cols).agg(
-        F.sum("_n").alias("_pn"), F.min("_v").alias("_pmin")
-    )
-    by_group = Window.partitionBy(*group_cols)
-    offsets = part_tot.select(
-        "_part",
-        *group_cols,
-        F.coalesce(
-            F.sum("_pn").over(
-                by_group.orderBy("_pmin").rowsBetween(Window.unboundedPreceding, -1)
-            ),
-            F.lit(0),
-        ).alias("_off"),
-        F.sum("_pn").over(by_group).alias("_total"),
-    )
-    local = ranged.withColumn(
-        "_cum_local",
-        F.sum("_n").over(
-            Window.partitionBy("_part", *group_cols)
-            .orderBy("_v")
-            .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        ),
+    group_cols, probs = list(group_cols), [float(p) for p in probs]
+    groups = [F.col(g) for g in group_cols]
+    values = long_df.where(F.col(value_col).isNotNull()).select(*groups, F.col(value_col).cast("double").alias("_v"))
+    margin = 2.0 / accuracy
+    ends = [e for p in probs for e in (max(0.0, p - margin), min(1.0, p + margin))]
+    brackets = values.groupBy(*groups).agg(
+        F.count(F.lit(1)).alias("_total"), F.percentile_approx("_v", ends, accuracy).alias("_ends")
     )
-    # Group keys may be NULL: join NULL-safely on them.
-    off = offsets.select(
-        F.col("_part").alias("_opart"),
-        *[F.col(g).alias(f"_og{i}") for i, g in enumerate(group_cols)],
-        "_off",
-        "_total",
-    )
-    cond = local["_part"] == off["_opart"]
+    brackets = brackets.select(*[F.col(g).alias(f"_g{i}") for i, g in enumerate(group_cols)], "_total", "_ends")
+    same = F.lit(True)
     for i, g in enumerate(group_cols):
-        cond = cond & local[g].eqNullSafe(off[f"_og{i}"])
-    cum = local.join(F.broadcast(off) if few_groups else off, cond).select(
-        *[local[g] for g in group_cols],
-        "_v",
-        "_total",
-        (F.col("_off") + F.col("_cum_local") - F.col("_n")).alias("_lo_rank"),
-        (F.col("_off") + F.col("_cum_local")).alias("_hi_rank"),
+        same = same & F.col(g).eqNullSafe(F.col(f"_g{i}"))
+    joined = values.join(F.broadcast(brackets) if few_groups else brackets, same)
+    small = F.col("_total") <= 4 * accuracy
+    number, value = F.lit(None).cast("int"), F.lit(None).cast("double")
+    cells = []
+    for i in range(len(probs)):
+        low, high = F.col("_ends")[2 * i], F.col("_ends")[2 * i + 1]
+        whole = F.lit(_ALL) if i == 0 else number
+        cells.append(
+            F.struct(
+                F.when(small, whole).when(F.col("_v") <= high, F.lit(i)).otherwise(number).alias("_q"),
+                F.when(small | (F.col("_v") >= low), F.col("_v")).otherwise(value).alias("_in"),
+            )
+        )
+    marked = joined.select(*groups, "_total", F.inline(F.array(*cells))).where("_q IS NOT NULL")
+    # Rows below a bracket have no value: one row per group and bracket in each task.
+    counted = marked.groupBy(*groups, "_q", F.col("_in").alias("_v")).agg(
+        F.count(F.lit(1)).alias("_n"), F.max("_total").alias("_total")
     )
-    return _pick_ranks(cum, group_cols, probs)
+    order = Window.partitionBy(*group_cols, "_q").orderBy(F.asc_nulls_first("_v"))
+    upto = F.sum("_n").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    ranked = counted.withColumn("_upto", upto).where("_v IS NOT NULL")
+    return _pick_ranks(ranked, group_cols, probs)
 
 
-def _pick_ranks(cum: DataFrame, group_cols: list[str], probs: list[float]) -> DataFrame:
-    """From ``(groups, _v, _total, _lo_rank, _hi_rank)`` (value ``_v`` holds ranks
-    ``[_lo_rank, _hi_rank)`` of ``_total`` values), interpolate each quantile.
+def _pick_ranks(ranked: DataFrame, group_cols: list[str], probs: list[float]) -> DataFrame:
+    """From ``(groups, _q, _v, _n, _total, _upto)`` (``_v`` holds the ranks from
+    ``_upto - _n`` to before ``_upto`` of ``_total``), interpolate each quantile.
 
     The target ranks floor/ceil((n - 1) * p) are column expressions, so one
-    conditional aggregate per group picks the values at them: no row is
-    generated per target.
+    conditional aggregate per group picks the values at them.
     """
     aggs = []
-    for p in probs:
-        name = quantile_name(p)
-        h = (F.col("_total") - 1) * F.lit(float(p))
+    for i, p in enumerate(probs):
+        h = (F.col("_total") - 1) * F.lit(p)
 
-        def holds(rank: Column) -> Column:
-            return (rank >= F.col("_lo_rank")) & (rank < F.col("_hi_rank"))
+        def at(rank: Column, number: int = i) -> Column:
+            here = F.col("_q").isin(number, _ALL) & (rank >= F.col("_upto") - F.col("_n")) & (rank < F.col("_upto"))
+            return F.max(F.when(here, F.col("_v")))
 
-        aggs += [
-            F.max(F.when(holds(F.floor(h)), F.col("_v"))).alias(f"_lo_{name}"),
-            F.max(F.when(holds(F.ceil(h)), F.col("_v"))).alias(f"_hi_{name}"),
-            F.max(h - F.floor(h)).alias(f"_fr_{name}"),
-        ]
-    picked = cum.groupBy(*group_cols).agg(*aggs)
-    return picked.select(
-        *group_cols,
-        *[
-            (
-                F.col(f"_lo_{quantile_name(p)}")
-                + F.col(f"_fr_{quantile_name(p)}")
-                * (F.col(f"_hi_{quantile_name(p)}") - F.col(f"_lo_{quantile_name(p)}"))
-            ).alias(quantile_name(p))
-            for p in probs
-        ],
-    )
+        aggs += [at(F.floor(h)).alias(f"_lo{i}"), at(F.ceil(h)).alias(f"_hi{i}"), F.max(h - F.floor(h)).alias(f"_fr{i}")]
+    picked = ranked.groupBy(*[F.col(g) for g in group_cols]).agg(*aggs)
+
+    def between(i: int) -> Column:
+        lo, hi, fr = F.col(f"_lo{i}"), F.col(f"_hi{i}"), F.col(f"_fr{i}")
+        endless = F.abs(lo).isin(float("inf")) | F.abs(hi).isin(float("inf"))
+        return F.when(lo == hi, lo).when(fr == 0, lo).when(endless, lo * (1 - fr) + hi * fr).otherwise(lo + fr * (hi - lo))
+
+    return picked.select(*group_cols, *[between(i).alias(quantile_name(p)) for i, p in enumerate(probs)])
 
 
 def approx_quantiles(
@@ -210,78 +181,3 @@ def approx_quantiles(
         *group_cols,
         *[F.col("_qs")[i].cast("double").alias(quantile_name(p)) for i, p in enumerate(probs)],
     )
-
-
-def inmemory_quantiles(
-    long_df: DataFrame,
-    group_cols: Sequence[str],
-    value_col: str,
-    probs: Sequence[float],
-) -> DataFrame:
-    """Exact quantiles with one task per group (same interpolation rule).
-
-    Values are reduced to ``(group, value, n)`` by a hash aggregate, then a
-    window per group sorts them and keeps running counts (sort and window
-    buffers spill to disk). A group's distinct values meet in one task, so
-    use it only where they are bounded (group sizes, or after a checked
-    estimate, see ``quantiles``).
-    """
-    group_cols = list(group_cols)
-    freq = (
-        long_df.where(F.col(value_col).isNotNull())
-        .groupBy(*[F.col(g) for g in group_cols], F.col(value_col).alias("_v"))
-        .agg(F.count(F.lit(1)).alias("_n"))
-    )
-    ordered = Window.partitionBy(*group_cols).orderBy("_v")
-    running = F.sum("_n").over(ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    # Same partitioning and order as the running sum: one window pass for both.
-    total = F.sum("_n").over(ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    cum = freq.select(
-        *group_cols,
-        "_v",
-        total.alias("_total"),
-        (running - F.col("_n")).alias("_lo_rank"),
-        running.alias("_hi_rank"),
-    )
-    return _pick_ranks(cum, group_cols, list(probs))
-
-
-# Largest estimated number of distinct values per group for which ``auto``
-# lets one task hold a group's value map (about 50 MB at this size).
-MAX_INMEMORY_VALUES = 1_000_000
-
-
-def quantiles(
-    long_df: DataFrame,
-    group_cols: Sequence[str],
-    value_col: str,
-    probs: Sequence[float],
-    method: str = "auto",
-    accuracy: int = 10000,
-    max_inmemory_values: int = MAX_INMEMORY_VALUES,
-    few_groups: bool = False,
-) -> DataFrame:
-    """Quantiles per group.
-
-    * ``distributed``: range-partitioned cumulative counts, any data size.
-    * ``inmemory``: one sorted, spillable window per group (bounded groups only).
-    * ``auto`` (default): exact either way; a one-row HyperLogLog pass
-      estimates the largest per-group distinct count and picks ``inmemory``
-      below ``max_inmemory_values``, ``distributed`` above.
-    * ``approx``: ``percentile_approx``, bounded memory, rank error 1/accuracy.
-    """
-    if method == "auto":
-        est = (
-            long_df.groupBy(*group_cols)
-            .agg(F.approx_count_distinct(F.col(value_col)).alias("_d"))
-            .agg(F.max("_d"))
-            .first()[0]
-        )
-        method = "inmemory" if (est or 0) <= max_inmemory_values else "distributed"
-    if method == "distributed":
-        return distributed_quantiles(long_df, group_cols, value_col, probs, few_groups=few_groups)
-    if method == "inmemory":
-        return inmemory_quantiles(long_df, group_cols, value_col, probs)
-    if method == "approx":
-        return approx_quantiles(long_df, group_cols, value_col, probs, accuracy)
-    raise ValueError(f"unknown quantile method {method!r} (use auto, distributed, inmemory or approx)")

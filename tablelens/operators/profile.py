@@ -15,7 +15,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablelens.functions.nulls import col_of
@@ -104,7 +104,6 @@ def numeric_profile(
     cols: Sequence[str],
     ddof: int = 1,
     quantile_probs: Sequence[float] = (),
-    quantile_method: str = "auto",
     decimals: int | None = None,
     exact_scale: int | None = None,
 ) -> DataFrame:
@@ -149,7 +148,7 @@ def numeric_profile(
     if quantile_probs:
         long = _long(d, cols, "double")
         # Groups are the profiled columns: a bounded number.
-        q = quantiles(long, ["column_name"], "value", quantile_probs, method=quantile_method, few_groups=True)
+        q = quantiles(long, ["column_name"], "value", quantile_probs, few_groups=True)
         qnames = [quantile_name(p) for p in quantile_probs]
         # One row per profiled column: bounded by the column count.
         out = out.join(F.broadcast(q), "column_name", "left")
@@ -228,24 +227,21 @@ def categorical_profile(
         unique = unique + F.max((~present).cast("long"))
     parts = []
     for freq in _typed_frequencies(d, cols):
-        top = F.min(F.when(present, F.struct((-F.col("n")).alias("neg_n"), F.col("value").alias("v"))))
-        prof = freq.groupBy("column_name", "position").agg(
+        counts = freq.groupBy("column_name", "position").agg(
             F.coalesce(F.sum(F.when(present, F.col("n"))), F.lit(0)).alias("count"),
             F.coalesce(F.sum(F.when(~present, F.col("n"))), F.lit(0)).alias("missing"),
             unique.alias("unique_count"),
-            top.alias("_top"),
         )
-        parts.append(
-            prof.select(
-                "column_name",
-                "position",
-                "count",
-                "missing",
-                "unique_count",
-                F.col("_top.v").cast("string").alias("top_value"),
-                (-F.col("_top.neg_n")).alias("top_count"),
-            )
+        # Spark keeps one row per column and task before the shuffle (WindowGroupLimit).
+        best = Window.partitionBy("column_name").orderBy(F.desc("n"), F.asc("value"))
+        top = (
+            freq.where(present)
+            .withColumn("_nth", F.row_number().over(best))
+            .where("_nth = 1")
+            .select("column_name", F.col("value").cast("string").alias("top_value"), F.col("n").alias("top_count"))
         )
+        # Both sides have one row per profiled column.
+        parts.append(counts.join(F.broadcast(top), "column_name", "left"))
     # Every profiled column keeps a row, also for an empty table (A22, V23):
     # the profile is joined onto the list of names (both bounded by the column count).
     prof = _names(d, cols).join(F.broadcast(_union(parts)), ["column_name", "position"], "left")

@@ -471,7 +471,7 @@ FROM lineitem GROUP BY 1""",
 def group_quantiles_distributed(spark, sf):
     """Per-supplier quartiles with a hot NULL group holding a third of all rows."""
     d = _li_hot_key(spark, sf)
-    out = groups.group_quantiles(d, ["l_suppkey"], "l_extendedprice", method="distributed")
+    out = groups.group_quantiles(d, ["l_suppkey"], "l_extendedprice")
     return rnd(out, {"q25": 4, "q50": 4, "q75": 4})
 
 
@@ -562,12 +562,11 @@ def numeric_quartiles(spark, sf):
     _numeric_profile_sql(LI_INJECTED_SQL, PROFILE_COLS, "stddev_samp", quartiles=True),
 )
 def numeric_quartiles_distributed(spark, sf):
-    """The range-partitioned exact method that ``auto`` picks for large data."""
+    """Quartiles over a table that is first dealt into many partitions."""
     out = profile.numeric_profile(
-        _li_injected(spark, sf),
+        _li_injected(spark, sf).repartition("l_orderkey"),
         PROFILE_COLS,
         quantile_probs=(0.25, 0.5, 0.75),
-        quantile_method="distributed",
         exact_scale=SCALE,
     )
     return rnd(out, {"std": 4, "q25": 4, "q50": 4, "q75": 4})

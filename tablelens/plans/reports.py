@@ -1,11 +1,17 @@
 """The three end-to-end analyses as lazy report builders (§3 of the survey).
 
-Each returns ``dict[str, DataFrame]``; nothing is printed or collected except
+Each returns a ``Report``, a mapping from name to DataFrame; nothing is printed or collected except
 the few driver-side decisions the analyses need before later plans can be
 built: column roles (one row per column), the dedup counts (two numbers,
 observed while staging) and, for ads, the grouping-candidate column (one row).
-``on_frame`` receives each frame as soon as it is planned, so a caller can
-compute frames while the rest of the report is still being built.
+Frames are planned when they are first asked for; ``on_frame`` receives each
+frame as soon as it is planned (given it, all frames are planned at once).
+
+A key set with a column that the table lacks is left out as a whole and listed
+in ``report.skipped``; a key set is never shortened. ``order_by`` names the
+column that holds the file order: it takes no part in typing, profiles and
+dedup. Numbers of columns that a frame covers are parameters, with the
+reference's numbers as defaults.
 
 Column names are parameters with the reference's names as defaults; callers
 pass their own. ``stage=True`` writes the cleaned table once as Parquet in the
@@ -20,15 +26,15 @@ to no staging.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tablelens.functions.nulls import col_of
 from tablelens.operators import clean, engagement, groups, profile, roles
-from tablelens.operators.ordering import MAX_INMEMORY_VALUES
 from tablelens.session import shared_dir
 
 # The reference's column names, used only as defaults.
@@ -45,18 +51,43 @@ TWEETS_ID_COLUMNS = ("id",)  # never coerced: 64-bit ids must not pass through d
 OnFrame = Callable[[str, DataFrame], None]
 
 
-class _Frames(dict):
-    """The report's frames; ``on_frame`` sees each one as soon as it is built,
-    so a caller can start computing it while later frames are still planned."""
+class Report(Mapping):
+    """Frames by name, each planned when it is first read."""
 
-    def __init__(self, on_frame: OnFrame | None):
-        super().__init__()
+    def __init__(self, on_frame: OnFrame | None = None):
+        self._plans: dict[str, Callable[[], DataFrame]] = {}
+        self._frames: dict[str, DataFrame] = {}
         self._on_frame = on_frame
+        #: Key sets that were left out, with the columns that the table lacks.
+        self.skipped: dict[tuple[str, ...], list[str]] = {}
 
-    def __setitem__(self, name: str, frame: DataFrame) -> None:
-        super().__setitem__(name, frame)
+    def add(self, name: str, plan: Callable[[], DataFrame]) -> None:
+        self._plans[name] = plan
         if self._on_frame is not None:
-            self._on_frame(name, frame)
+            self._on_frame(name, self[name])
+
+    def has_keys(self, d: DataFrame, keys: Sequence[str]) -> bool:
+        """True if ``d`` has all ``keys``; otherwise the set is listed as skipped."""
+        missing = [k for k in keys if k not in d.columns]
+        if missing:
+            self.skipped[tuple(keys)] = missing
+        return not missing
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if name not in self._frames:
+            self._frames[name] = self._plans[name]()
+        return self._frames[name]
+
+    def __iter__(self):
+        return iter(self._plans)
+
+    def __len__(self) -> int:
+        return len(self._plans)
+
+
+def _without(d: DataFrame, order_by: str | None) -> DataFrame:
+    """The table's own columns: all but the one that holds the file order."""
+    return d.select(*[col_of(c) for c in d.columns if c != order_by])
 
 
 @dataclass
@@ -67,15 +98,16 @@ class Staged:
     rows: int  # rows written
     rows_before: int  # rows before dedup (equal to ``rows`` without dedup)
     counts: dict  # ``ratio_aggregates`` counters
-    distinct: dict[str, int]  # HyperLogLog estimate per column
 
 
-def stage_table(d: DataFrame, name: str, dedup: bool = False) -> Staged:
+def stage_table(
+    d: DataFrame, name: str, dedup: bool = False, typed_columns: Sequence[str] | None = None
+) -> Staged:
     """Write ``d`` (deduplicated if asked) as Parquet in the shared folder.
 
-    The typing counters, a distinct-count estimate of every column and the
-    row counts before and after dedup are computed by ``observe`` inside the
-    same write job (no extra pass over the source). With ``dedup`` the rows
+    The typing counters and the row counts before and after dedup are
+    computed by ``observe`` inside the same write job (no extra pass over the
+    source). With ``dedup`` the rows
     are grouped on all columns with a count, so the rows before dedup are
     the sum of those counts. The observation sits in the write's result
     stage, whose task results count once even when tasks are retried.
@@ -91,8 +123,7 @@ def stage_table(d: DataFrame, name: str, dedup: bool = False) -> Staged:
     exprs = [
         F.count(F.lit(1)).alias("_rows"),
         before.alias("_before"),
-        *roles.ratio_aggregates(d, cols),
-        *[F.approx_count_distinct(col_of(c)).alias(f"_d{i}") for i, c in enumerate(cols)],
+        *roles.ratio_aggregates(d, list(typed_columns or cols)),
     ]
     target = shared_dir(d.sparkSession, name)
     d.observe(obs, *exprs).select(*[col_of(c) for c in cols]).write.mode("overwrite").parquet(target)
@@ -102,17 +133,9 @@ def stage_table(d: DataFrame, name: str, dedup: bool = False) -> Staged:
         rows=m["_rows"],
         rows_before=m["_before"] or 0,
         counts={k: v for k, v in m.items() if k.startswith(("_n", "_k"))},
-        distinct={c: m[f"_d{i}"] for i, c in enumerate(cols)},
     )
 
 
-def _quantile_method(staged: Staged | None, cols) -> str:
-    if staged is None:
-        return "auto"
-    est = max((staged.distinct[c] for c in cols), default=0)
-    return "inmemory" if est <= MAX_INMEMORY_VALUES else "distributed"
-
-
 def _overview_with_dups(
     typed: DataFrame, r: roles.ColumnRoles, raw: DataFrame, deduped: DataFrame, st: Staged | None
 ) -> DataFrame:
@@ -130,24 +153,36 @@ def _overview_with_dups(
 
 
 def _group_block(
-    out: dict,
+    out: Report,
     d: DataFrame,
     keys: Sequence[str],
     numeric: Sequence[str],
     prefix: str,
-    drill_cols: int = 3,
-    exact_scale: int | None = None,
+    top_k: int,
+    drill_k: int,
+    drill_cols: int | None,
+    exact_scale: int | None,
 ) -> None:
-    keys = [k for k in keys if k in d.columns]
-    if not keys:
+    """Size statistics, top groups and drill-down of one key set, from one group table."""
+    if not out.has_keys(d, keys):
         return
     tag = f"{prefix}_{'_'.join(keys)}"
-    out[f"{tag}_size_stats"] = groups.group_size_stats(d, keys)
-    out[f"{tag}_top"] = groups.top_groups(d, keys, k=10)
-    if numeric:
-        out[f"{tag}_drilldown"] = groups.top_group_drilldown(
-            d, keys, numeric, k=3, max_cols=drill_cols, exact_scale=exact_scale
-        )
+    drilled = list(numeric)[:drill_cols]
+    made: list[DataFrame] = []
+
+    def table() -> DataFrame:
+        # Written once, when a frame of the block is first asked for.
+        if not made:
+            target = shared_dir(d.sparkSession, "groups")
+            planned = groups.group_table(d, keys, drilled, exact_scale=exact_scale)
+            planned.write.parquet(target)
+            made.append(d.sparkSession.read.schema(planned.schema).parquet(target))
+        return made[0]
+
+    out.add(f"{tag}_size_stats", lambda: groups.size_stats_of(table().select(groups.SIZE)))
+    out.add(f"{tag}_top", lambda: groups.top_of(table(), keys, top_k))
+    if drilled:
+        out.add(f"{tag}_drilldown", lambda: groups.drilldown_of(table(), keys, drilled, drill_k))
 
 
 def tweets_report(
@@ -160,13 +195,16 @@ def tweets_report(
     stage: bool = True,
     exact_scale: int | None = None,
     on_frame: OnFrame | None = None,
-) -> dict[str, DataFrame]:
+    order_by: str | None = None,
+    top_k: int = 10,
+    stat_cols: int | None = 3,
+) -> Report:
     """Tweets: folded null tokens, dedup, ratio typing, overview, groups, engagement.
 
     Order: normalise and dedup (staged once), classify on the deduplicated
     rows, coerce numeric columns lazily (a per-frame projection).
     """
-    normalised = clean.normalise_nulls(d, null_tokens)
+    normalised = clean.normalise_nulls(_without(d, order_by), null_tokens)
     st = None
     if stage:
         st = stage_table(normalised, "tweets-clean", dedup=True)
@@ -176,30 +214,33 @@ def tweets_report(
         cleaned = clean.dedup(normalised)
         r = roles.classify_columns(cleaned, threshold=0.8, inclusive=False, id_columns=id_columns)
     typed = clean.coerce_numeric(cleaned, r.numeric)
-    out = _Frames(on_frame)
-    out["overview"] = _overview_with_dups(typed, r, normalised, cleaned, st)
-    out["numeric_profile"] = profile.numeric_profile(typed, r.numeric, decimals=2, exact_scale=exact_scale)
-    out["text_profile"] = profile.categorical_profile(typed, r.text)
-    for keys in key_sets:
-        keys = [k for k in keys if k in typed.columns]
-        if not keys:
+    out = Report(on_frame)
+    out.add("overview", lambda: _overview_with_dups(typed, r, normalised, cleaned, st))
+    out.add("numeric_profile", lambda: profile.numeric_profile(typed, r.numeric, decimals=2, exact_scale=exact_scale))
+    out.add("text_profile", lambda: profile.categorical_profile(typed, r.text))
+    for keys in map(list, key_sets):
+        if not out.has_keys(typed, keys):
             continue
         tag = "_".join(keys)
-        out[f"groups_{tag}_top"] = groups.top_groups(typed, keys, k=10)
-        out[f"groups_{tag}_count"] = groups.group_sizes(typed, keys).agg(
-            F.count(F.lit(1)).alias("group_count")
+        out.add(f"groups_{tag}_top", lambda keys=keys: groups.top_groups(typed, keys, k=top_k))
+        out.add(
+            f"groups_{tag}_count",
+            lambda keys=keys: groups.group_sizes(typed, keys).agg(F.count(F.lit(1)).alias("group_count")),
         )
         if r.numeric:
-            out[f"groups_{tag}_numeric"] = groups.grouped_numeric_stats(
-                typed, keys, r.numeric, k=10, exact_scale=exact_scale
+            out.add(
+                f"groups_{tag}_numeric",
+                lambda keys=keys: groups.grouped_numeric_stats(
+                    typed, keys, r.numeric, k=top_k, max_cols=stat_cols, exact_scale=exact_scale
+                ),
             )
     present = engagement.available_metrics(typed, metrics)
-    if present:
-        for key in engagement_keys:
-            if key in typed.columns:
-                out[f"engagement_{key}"] = engagement.engagement_by_group(
-                    typed, key, present, k=10, exact_scale=exact_scale
-                )
+    for key in engagement_keys if present else ():
+        if out.has_keys(typed, [key]):
+            out.add(
+                f"engagement_{key}",
+                lambda key=key: engagement.engagement_by_group(typed, key, present, k=top_k, exact_scale=exact_scale),
+            )
     return out
 
 
@@ -214,54 +255,76 @@ def posts_report(
     stage: bool = False,
     exact_scale: int | None = None,
     on_frame: OnFrame | None = None,
-) -> dict[str, DataFrame]:
+    top_k: int = 10,
+    ranking_k: int = 5,
+    first_page_cols: int | None = 3,
+    first_post_cols: int | None = 2,
+    mean_cols: int | None = 4,
+    ranked_metrics: int | None = 3,
+) -> Report:
     """Posts: empty-only nulls, ratio typing, profiles, page / post / category analyses.
 
-    ``order_by`` (e.g. the column ``read_table(..., row_seq=...)`` adds)
-    defines "first appearance" for the first-groups samples; without it those
-    samples are skipped, since Spark rows have no file order.
+    ``order_by`` (e.g. the column ``read_table(..., row_seq=...)`` adds, or a
+    column of the table itself) defines "first appearance" for the first-groups
+    samples; without it those samples are not in the report, since Spark rows
+    have no file order. A struct column is taken to be a file order and left out
+    of everything else.
     """
+    seq = order_by if order_by and isinstance(d.schema[order_by].dataType, StructType) else None
     cleaned = clean.normalise_nulls(d, "empty", trim=False)
+    own = [c for c in cleaned.columns if c != seq]
+    ids = [page_key, post_key]
     if stage:
-        st = stage_table(cleaned, "posts-clean")
+        st = stage_table(cleaned, "posts-clean", typed_columns=own)
         cleaned = st.frame
-        r = roles.roles_from_counts(cleaned.columns, st.counts, 0.8, False, id_columns=[page_key, post_key])
+        r = roles.roles_from_counts(own, st.counts, 0.8, False, id_columns=ids)
     else:
-        r = roles.classify_columns(cleaned, threshold=0.8, inclusive=False, id_columns=[page_key, post_key])
-    typed = clean.coerce_numeric(cleaned, r.numeric)
-    out = _Frames(on_frame)
-    out["overview"] = profile.dataset_overview(typed, r)
-    out["numeric_profile"] = profile.numeric_profile(typed, r.numeric, decimals=2, exact_scale=exact_scale)
-    out["text_profile"] = profile.categorical_profile(typed, r.text)
-    if page_key in typed.columns:
-        out["page_count"] = profile.distinct_counts(typed, [page_key])
+        r = roles.classify_columns(_without(cleaned, seq), threshold=0.8, inclusive=False, id_columns=ids)
+    placed = clean.coerce_numeric(cleaned, r.numeric)
+    typed = _without(placed, seq)
+    out = Report(on_frame)
+    out.add("overview", lambda: profile.dataset_overview(typed, r))
+    out.add("numeric_profile", lambda: profile.numeric_profile(typed, r.numeric, decimals=2, exact_scale=exact_scale))
+    out.add("text_profile", lambda: profile.categorical_profile(typed, r.text))
+
+    def first(keys: list[str], cols: int | None) -> DataFrame:
+        return groups.first_groups(
+            placed, keys, order_by, k=top_k, cols=r.numeric, max_cols=cols, exact_scale=exact_scale
+        )
+
+    if out.has_keys(typed, [page_key]):
+        out.add("page_count", lambda: profile.distinct_counts(typed, [page_key]))
         if order_by:
-            out["first_pages"] = groups.first_groups(
-                typed, [page_key], order_by, k=10, cols=r.numeric, max_cols=3, exact_scale=exact_scale
-            )
-    if page_key in typed.columns and post_key in typed.columns:
-        out["page_post_count"] = clean.distinct_keys(typed, [page_key, post_key]).agg(
-            F.count(F.lit(1)).alias("combinations")
+            out.add("first_pages", lambda: first([page_key], first_page_cols))
+    if out.has_keys(typed, [page_key, post_key]):
+        out.add(
+            "page_post_count",
+            lambda: clean.distinct_keys(typed, [page_key, post_key]).agg(F.count(F.lit(1)).alias("combinations")),
         )
         if order_by:
-            out["first_page_posts"] = groups.first_groups(
-                typed, [page_key, post_key], order_by, k=10, cols=r.numeric, max_cols=2, exact_scale=exact_scale
-            )
-    if category_key in typed.columns:
-        out["category_share"] = engagement.category_share(typed, category_key)
+            out.add("first_page_posts", lambda: first([page_key, post_key], first_post_cols))
+    if out.has_keys(typed, [category_key]):
+        out.add("category_share", lambda: engagement.category_share(typed, category_key))
         if r.numeric:
-            out["category_means"] = engagement.category_means(
-                typed, category_key, r.numeric, max_cols=4, exact_scale=exact_scale
+            out.add(
+                "category_means",
+                lambda: engagement.category_means(
+                    typed, category_key, r.numeric, max_cols=mean_cols, exact_scale=exact_scale
+                ),
             )
         ranking = engagement.available_metrics(typed, ranking_metrics)
         if ranking:
-            out["category_rankings"] = engagement.category_rankings(
-                typed, category_key, ranking, k=5, exact_scale=exact_scale
+            out.add(
+                "category_rankings",
+                lambda: engagement.category_rankings(
+                    typed, category_key, ranking, k=ranking_k, max_metrics=ranked_metrics, exact_scale=exact_scale
+                ),
             )
     page_metrics = engagement.available_metrics(typed, metrics)
     if page_key in typed.columns and page_metrics:
-        out["page_engagement"] = engagement.page_engagement(
-            typed, page_key, page_metrics, k=10, exact_scale=exact_scale
+        out.add(
+            "page_engagement",
+            lambda: engagement.page_engagement(typed, page_key, page_metrics, k=top_k, exact_scale=exact_scale),
         )
     return out
 
@@ -275,14 +338,24 @@ def ads_report(
     stage: bool = True,
     exact_scale: int | None = None,
     on_frame: OnFrame | None = None,
-) -> dict[str, DataFrame]:
+    order_by: str | None = None,
+    parse_dates: bool = False,
+    top_k: int = 10,
+    drill_k: int = 3,
+    drill_cols: int | None = 3,
+    profile_cols: int | None = 5,
+    candidate_cols: int | None = 10,
+) -> Report:
     """Ads: strict null tokens, JSON text, unanimous typing, dedup, profiles, group analyses.
 
-    The grouping candidate (a text column with 2-20 distinct values) is the
-    one extra driver decision: its single row is collected to name the key
-    of the last group analysis.
+    ``parse_dates`` turns text columns whose every value is a date or time
+    into timestamps before typing. The grouping candidate (a text column with
+    2-20 distinct values) is the one extra driver decision: its single row is
+    collected to name the key of the last group analysis.
     """
-    normalised = clean.normalise_json(clean.normalise_nulls(d, "strict"), json_columns)
+    normalised = clean.normalise_json(clean.normalise_nulls(_without(d, order_by), "strict"), json_columns)
+    if parse_dates:
+        normalised = clean.coerce_dates(normalised)
     role_args = dict(
         threshold=1.0,
         inclusive=True,
@@ -298,24 +371,20 @@ def ads_report(
         cleaned = clean.dedup(normalised)
         r = roles.classify_columns(cleaned, **role_args)
     typed = clean.coerce_numeric(cleaned, r.numeric)
-    out = _Frames(on_frame)
-    out["overview"] = _overview_with_dups(typed, r, normalised, cleaned, st)
-    out["numeric_profile"] = profile.numeric_profile(
-        typed,
-        r.numeric,
-        quantile_probs=(0.25, 0.5, 0.75),
-        quantile_method=_quantile_method(st, r.numeric),
-        exact_scale=exact_scale,
+    out = Report(on_frame)
+    out.add("overview", lambda: _overview_with_dups(typed, r, normalised, cleaned, st))
+    out.add(
+        "numeric_profile",
+        lambda: profile.numeric_profile(typed, r.numeric, quantile_probs=(0.25, 0.5, 0.75), exact_scale=exact_scale),
     )
-    out["text_profile"] = profile.categorical_profile(typed, r.text, max_cols=5)
-    for keys in key_sets:
-        _group_block(out, typed, keys, r.numeric, "groups", exact_scale=exact_scale)
+    out.add("text_profile", lambda: profile.categorical_profile(typed, r.text, max_cols=profile_cols))
+    blocks = dict(top_k=top_k, drill_k=drill_k, drill_cols=drill_cols, exact_scale=exact_scale)
+    for keys in map(list, key_sets):
+        _group_block(out, typed, keys, r.numeric, "groups", **blocks)
     if candidate and r.text:
-        cands = groups.grouping_candidates(
-            typed, r.text, exclude=list(id_columns), distinct_estimates=st.distinct if st else None
-        )
-        out["grouping_candidates"] = cands
+        cands = groups.grouping_candidates(typed, r.text, exclude=list(id_columns), max_cols=candidate_cols)
+        out.add("grouping_candidates", lambda: cands)
         best = cands.where(F.col("choice") == 1).select("column_name").collect()
         if best:
-            _group_block(out, typed, [best[0]["column_name"]], r.numeric, "candidate", exact_scale=exact_scale)
+            _group_block(out, typed, [best[0]["column_name"]], r.numeric, "candidate", **blocks)
     return out

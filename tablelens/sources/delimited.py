@@ -29,7 +29,7 @@ def read_table(
     spark: SparkSession,
     path: str,
     sep: str | None = None,
-    multi_line: bool = True,
+    multi_line: bool = False,
     encoding: str = "UTF-8",
     nulls: str | Iterable[str] | None = None,
     row_seq: str | None = None,
@@ -43,13 +43,14 @@ def read_table(
     * Empty cells are NULL. ``nulls`` applies a null-token policy
       (``"strict"``, ``"folded"``, ``"empty"`` or a token list, see
       ``operators.clean.normalise_nulls``) as a column expression.
-    * ``row_seq`` names a column holding the file order, taken right after
-      the scan with ``monotonically_increasing_id`` (increasing along each
-      split and across splits in path order): the ``order_by`` for "first
-      groups" and prefix samples, since Spark rows have no order otherwise.
+    * ``row_seq`` names a column holding the file order, since Spark rows have
+      no order otherwise: a struct of file path, start of the split in the
+      file, and position in the split, which sorts by path and then as the
+      lines do. It is the ``order_by`` of "first groups", prefix samples and
+      the reports, which leave it out of typing, profiles and dedup.
 
     ``multi_line=True`` allows newlines inside quoted cells but makes each file
-    one split; at scale, store many files or convert once to Parquet.
+    one task's work; without it files are split.
     """
     sep = sep or sniff_delimiter(spark, path)
     d = (
@@ -63,9 +64,16 @@ def read_table(
         .option("encoding", encoding)
         .csv(path)
     )
-    d = d.toDF(*[c.strip() for c in d.columns])
-    if row_seq is not None:
-        d = d.withColumn(row_seq, F.monotonically_increasing_id())
+    names = [c.strip() for c in d.columns]
+    if row_seq is None:
+        d = d.toDF(*names)
+    else:
+        place = F.struct(
+            F.col("_metadata.file_path").alias("path"),
+            F.col("_metadata.file_block_start").alias("split"),
+            F.monotonically_increasing_id().alias("line"),
+        )
+        d = d.select("*", place).toDF(*names, row_seq)
     if nulls is not None:
         from tablelens.operators.clean import normalise_nulls
 

@@ -10,11 +10,10 @@ reads each new file once. The operators are the batch ones' building blocks:
 * ``stream_window_sizes`` — group sizes per event-time window with a
   watermark, so state for closed windows is dropped (append mode).
 
-``run_available`` drains what is there now (``availableNow``) and writes each
-micro-batch's full result to Parquet under the shared checkpoint folder, then
-returns the result as a batch DataFrame. State and offsets live in the same
-folder, so a lost executor or a restarted driver resumes instead of starting
-over.
+``run_available`` drains what is there now (``availableNow``) and writes the
+result to Parquet beside the query's state and offsets, then returns it as a
+batch DataFrame. A lost executor is made up for by the checkpoint; a driver that
+is started again with the same ``folder`` resumes where the last run stopped.
 """
 
 from __future__ import annotations
@@ -24,6 +23,7 @@ from collections.abc import Sequence
 from functools import reduce
 from operator import add
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType, TimestampNTZType
@@ -79,17 +79,23 @@ def stream_window_sizes(
     )
 
 
-def run_available(agg: DataFrame, name: str, output_mode: str = "complete") -> DataFrame:
-    """Process every file available now; return the latest result as a batch frame."""
+def run_available(agg: DataFrame, name: str, output_mode: str = "complete", folder: str | None = None) -> DataFrame:
+    """Process every file available now; return the result so far as a batch frame.
+
+    ``folder`` keeps state, offsets and result; give the same one again to go
+    on with the files that came since (by default a fresh folder is taken, so
+    every call starts over). Complete mode replaces the result with each
+    micro-batch; other modes write one sub-folder per micro-batch, which a
+    repeated micro-batch replaces. Without any input the result is empty.
+    """
     spark = agg.sparkSession
-    root = shared_dir(spark, f"stream-{name}")
-    result_dir = os.path.join(root, "result")
-    state_dir = os.path.join(root, "state")
+    root = folder or shared_dir(spark, f"stream-{name}")
+    result_dir, state_dir = os.path.join(root, "result"), os.path.join(root, "state")
+    whole = output_mode == "complete"
 
-    def write_batch(batch: DataFrame, _epoch: int) -> None:
-        # complete mode: each micro-batch carries the whole current result.
-        mode = "overwrite" if output_mode == "complete" else "append"
-        batch.write.mode(mode).parquet(result_dir)
+    def write_batch(batch: DataFrame, epoch: int) -> None:
+        target = result_dir if whole else os.path.join(result_dir, f"_epoch_number={epoch}")
+        batch.write.mode("overwrite").parquet(target)
 
     q = (
         agg.writeStream.outputMode(output_mode)
@@ -99,4 +105,10 @@ def run_available(agg: DataFrame, name: str, output_mode: str = "complete") -> D
         .start()
     )
     q.awaitTermination()
-    return spark.read.schema(agg.schema).parquet(result_dir)
+    try:
+        result = spark.read.schema(agg.schema).option("basePath", result_dir).parquet(result_dir)
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], agg.schema)
+    return result.select(*[col_of(c) for c in agg.columns])

@@ -4,7 +4,7 @@ statistics (G6), first groups (W8, G11), grouping sets and candidates (G13)."""
 
 import pytest
 
-from tablelens.operators import groups
+from tablelens.operators import engagement, groups
 
 
 @pytest.fixture
@@ -89,9 +89,30 @@ def test_grouping_candidates(spark):
     d = spark.createDataFrame(rows, "n int, ident string, two string, three string, one string")
     out = [(r.column_name, r.unique_count, r.choice) for r in groups.grouping_candidates(d, ["ident", "two", "three", "one"]).orderBy("choice").collect()]
     assert out == [("two", 2, 1), ("three", 3, 2)]
-    est = {"ident": 60, "two": 2, "three": 3, "one": 1}
-    again = groups.grouping_candidates(d, ["ident", "two", "three", "one"], distinct_estimates=est)
-    assert again.count() == 2
+    # Twenty-one values that only show up late are counted, too; twenty are few enough.
+    late = spark.range(5000).selectExpr("id", "CASE WHEN id < 4979 THEN 'x' ELSE string(id) END AS a", "CASE WHEN id < 4981 THEN 'x' ELSE string(id) END AS b")
+    assert [(r.column_name, r.unique_count) for r in groups.grouping_candidates(late, ["a", "b"]).collect()] == [("b", 20)]
+    first = groups.grouping_candidates(late, ["a", "b"], lo=1, sample_rows=4980, order_by="id")
+    assert {(r.column_name, r.unique_count) for r in first.collect()} == {("a", 2), ("b", 1)}
+    assert groups.grouping_candidates(d, ["two", "three"], exclude=["two"], max_cols=1).count() == 0
+
+
+def test_all_columns_by_default(spark):
+    """No silent cap on columns (P7): five come in, five go out."""
+    cols = [f"m{i}" for i in range(5)]
+    d = spark.range(30).selectExpr("id", "id % 3 AS k", *[f"id * {i + 1} AS m{i}" for i in range(5)])
+    assert {r.column_name for r in groups.top_group_drilldown(d, ["k"], cols).collect()} == set(cols)
+    assert {r.column_name for r in groups.grouped_numeric_stats(d, ["k"], cols).collect()} == set(cols)
+    assert "m4_mean" in groups.first_groups(d, ["k"], "id", cols=cols).columns
+    assert {r.metric for r in engagement.category_rankings(d, "k", cols).collect()} == set(cols)
+    assert "m4_mean" in engagement.category_means(d, "k", cols).columns
+    assert {r.column_name for r in groups.top_group_drilldown(d, ["k"], cols, max_cols=2).collect()} == {"m0", "m1"}
+
+
+def test_composite_keys_restrict_null_safely(spark):
+    d = spark.createDataFrame([("a", 1, 5), ("a", None, 6), ("a", None, 7), (None, 1, 8), (None, 1, 9), ("b", 2, 1)], "k string, j int, v int")
+    kept = groups.restrict_to_groups(d, groups.top_groups(d, ["k", "j"], k=2), ["k", "j"], 2)
+    assert sorted(r.v for r in kept.collect()) == [6, 7, 8, 9]
 
 
 def test_require_columns(keyed):

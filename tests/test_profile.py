@@ -47,23 +47,29 @@ def test_numeric_profile_edge_rows(spark):
     assert p["single"].std == 0.0
 
 
-@pytest.mark.parametrize("method", ["auto", "inmemory", "distributed", "approx"])
-def test_quartiles_methods(spark, method):
+def test_quartiles(spark):
     import numpy as np
 
     vals = [float(v) for v in [3, 1, 4, 1, 5, 9, 2, 6, 5, 3, 5]]
     d = spark.createDataFrame([(v,) for v in vals], "x double")
-    r = profile.numeric_profile(d, ["x"], quantile_probs=(0.25, 0.5, 0.75), quantile_method=method).first()
-    expect = np.quantile(vals, [0.25, 0.5, 0.75])
-    if method == "approx":
-        assert r.q50 in vals  # percentile_approx returns an element
-    else:
-        assert (r.q25, r.q50, r.q75) == pytest.approx(tuple(expect))
+    r = profile.numeric_profile(d, ["x"], quantile_probs=(0.25, 0.5, 0.75)).first()
+    assert (r.q25, r.q50, r.q75) == pytest.approx(tuple(np.quantile(vals, [0.25, 0.5, 0.75])))
+
+
+def test_exact_scale_adds_what_does_not_fit(spark):
+    """Small, huge and infinite values are neither rounded, refused nor lost."""
+    inf = float("inf")
+    cases = {"small": [0.004, 0.004], "huge": [1e17, 0.25], "endless": [1.0, inf, inf], "plain": [0.1, 0.2], "none": [None, None]}
+    for name, values in cases.items():
+        d = spark.createDataFrame([(v,) for v in values], "x double")
+        exact = profile.numeric_profile(d, ["x"], exact_scale=2).first().mean
+        plain = profile.numeric_profile(d, ["x"]).first().mean
+        assert exact == plain if name != "plain" else exact == 0.15, name
 
 
 def test_exact_median_midpoint(spark):
     d = spark.createDataFrame([(1.0,), (2.0,), (10.0,), (20.0,)], "x double")
-    r = profile.numeric_profile(d, ["x"], quantile_probs=(0.5,), quantile_method="distributed").first()
+    r = profile.numeric_profile(d, ["x"], quantile_probs=(0.5,)).first()
     assert r.q50 == 6.0  # mean of the two middle values (A13)
 
 

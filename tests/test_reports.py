@@ -94,7 +94,43 @@ def test_streaming_matches_batch(spark, events, tmp_path):
         "win",
         output_mode="append",
     )
-    assert win.count() >= 0
+    # Append mode holds the windows that the watermark (the latest event less an hour) has closed.
+    latest = events.agg(F.max(F.col("ts").cast("timestamp"))).first()[0]
+    days = events.groupBy(F.window(F.col("ts").cast("timestamp"), "1 day").alias("w"), "event_type").count()
+    closed = days.where(F.col("w.end") <= F.lit(latest) - F.expr("INTERVAL 1 HOUR"))
+    want = sorted((r.w.start, r.event_type, r["count"]) for r in closed.collect())
+    assert sorted((r.window_start, r.event_type, r.size) for r in win.collect()) == want
+
+
+def test_stream_resumes_in_its_folder(spark, events, tmp_path):
+    src, folder = str(tmp_path / "in"), str(tmp_path / "run")
+    stream = lambda: stream_group_sizes(read_stream(spark, src, events.schema), ["event_type"])
+    spark.createDataFrame([], events.schema).write.parquet(src)
+    run = lambda: {r.event_type: r.size for r in run_available(stream(), "again", folder=folder).collect()}
+    assert run() == {}
+    events.write.mode("append").parquet(src)
+    once = run()
+    assert run() == once and sum(once.values()) == events.count()
+    events.write.mode("append").parquet(src)
+    assert run() == {k: 2 * n for k, n in once.items()}
+
+
+def test_missing_keys_are_skipped_whole_and_listed(lineitem):
+    """A key set is never shortened."""
+    ads = ads_report(lineitem, key_sets=[["l_suppkey", "nope"], ["l_suppkey"]], json_columns=[], candidate=False)
+    assert ads.skipped == {("l_suppkey", "nope"): ["nope"]}
+    assert [n for n in ads if n.startswith("groups")] == ["groups_l_suppkey_size_stats", "groups_l_suppkey_top", "groups_l_suppkey_drilldown"]
+    tweets = tweets_report(lineitem, key_sets=[["x", "l_suppkey"]], metrics=["l_tax"], engagement_keys=["y"])
+    assert tweets.skipped == {("x", "l_suppkey"): ["x"], ("y",): ["y"]} and not [n for n in tweets if n.startswith("groups")]
+    posts = posts_report(lineitem, page_key="l_suppkey", post_key="nope", category_key="l_returnflag", metrics=["l_tax"])
+    assert posts.skipped == {("l_suppkey", "nope"): ["nope"]} and "page_post_count" not in posts
+
+
+def test_report_parameters_reach_the_frames(lineitem):
+    rep = ads_report(lineitem, key_sets=[["l_suppkey", "l_partkey"]], json_columns=[], candidate=False, drill_cols=None, drill_k=2, top_k=4, id_columns=["l_orderkey", "l_partkey", "l_suppkey"])
+    drilled = rep["groups_l_suppkey_l_partkey_drilldown"].collect()
+    assert len({r.column_name for r in drilled}) == 5 and max(r["rank"] for r in drilled) == 2
+    assert rep["groups_l_suppkey_l_partkey_top"].count() == 4
 
 
 @pytest.mark.parametrize("stage", [True, False])

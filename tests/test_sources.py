@@ -1,10 +1,12 @@
 """Delimited-text fixtures of FIXTURES.md §2."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from tablelens.operators import clean, groups, profile
 from tablelens.operators.roles import classify_columns
-from tablelens.sources import read_table, sniff_delimiter, write_report
+from tablelens.plans.reports import ads_report, posts_report, tweets_report
+from tablelens.sources import first_line_counts, read_table, sniff_delimiter, write_report
 
 
 @pytest.fixture
@@ -46,7 +48,7 @@ def test_ragged_rows_pad_and_cut(spark, write):
 
 def test_quoted_cells(spark, write):
     p = write("quoted.csv", 'id,text\n1,"line one\nline two"\n2,"a, b"\n3,"say ""hi"""\n4,""\n')
-    got = {r.id: r.text for r in read_table(spark, p).collect()}
+    got = {r.id: r.text for r in read_table(spark, p, multi_line=True).collect()}
     assert got["1"] == "line one\nline two" and got["2"] == "a, b" and got["3"] == 'say "hi"'
     assert got["4"] in (None, "")
     assert clean.normalise_nulls(read_table(spark, p)).where("text IS NULL").count() == 1
@@ -159,3 +161,36 @@ def test_row_seq_keeps_file_order(spark, write):
     assert [int(r.v) for r in d.orderBy("_row_seq").collect()] == list(range(40))
     first = [r.page for r in groups.first_groups(d, ["page"], "_row_seq", k=5).orderBy("rank").collect()]
     assert first == ["p0", "p2", "p4", "p1", "p3"]  # order of first appearance in the file
+
+
+def test_row_seq_over_files_of_unequal_size(spark, tmp_path):
+    """Path order, whatever order Spark reads the files in; the column is no data."""
+    folder, at = tmp_path / "unequal", 0
+    folder.mkdir()
+    for name, n in (("a", 2), ("b", 500), ("c", 40)):
+        lines = [f"p{k % 7},{k}" for k in range(at, at + n)]
+        (folder / f"{name}.csv").write_text("page,v\n" + "\n".join(lines) + "\n", encoding="utf-8")
+        at += n
+    d = read_table(spark, str(folder), row_seq="row_seq")
+    assert [int(r.v) for r in d.orderBy("row_seq").collect()] == list(range(542))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "300")
+    try:
+        assert [int(r.v) for r in d.orderBy("row_seq").collect()] == list(range(542))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    rep = posts_report(d, page_key="page", post_key="v", category_key="page", metrics=["v"], order_by="row_seq")
+    assert rep["overview"].first().column_count == 2
+    assert [r.page for r in rep["first_pages"].orderBy("rank").collect()] == [f"p{k}" for k in range(7)]
+    doubled = d.unionByName(d.withColumn("row_seq", F.struct(F.lit("z").alias("path"), F.lit(1).cast("bigint").alias("split"), F.lit(1).cast("bigint").alias("line"))))
+    for report in (tweets_report, ads_report):
+        assert report(doubled, key_sets=[["page"]], order_by="row_seq")["overview"].first().duplicates_removed == 542
+
+
+def test_line_breaks_in_cells_need_multi_line(spark, write):
+    p = write("multi.csv", 'a,b\n"x\ny",1\nz,2\n')
+    assert {r.a for r in read_table(spark, p, multi_line=True).collect()} == {"x\ny", "z"}
+    assert read_table(spark, p).count() == 3
+
+
+def test_first_line_counts(spark, write):
+    assert tuple(first_line_counts(spark, write("tabs.tsv", "a\tb,c\td\n")).first()) == (2, 1)
