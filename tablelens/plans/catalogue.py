@@ -1196,3 +1196,7 @@ def tweets_analysis_engagement(spark, sf):
         id_columns=["event_id", "user_id"], exact_scale=SCALE,
     )
     return rep["engagement_event_type"]
+
+
+# The queries over text files register themselves here, too.
+from tablelens.plans import catalogue_text  # noqa: E402,F401
