@@ -163,7 +163,7 @@ def numeric_profile(
     return out
 
 
-def _typed_frequencies(d: DataFrame, cols: Sequence[str]) -> list[DataFrame]:
+def _typed_frequencies(d: DataFrame, cols: Sequence[str], places: dict[str, int] | None = None) -> list[DataFrame]:
     """One frequency frame ``(column_name, position, value, n)`` per column type.
 
     Columns of one type are unpivoted together with their values kept typed,
@@ -172,7 +172,7 @@ def _typed_frequencies(d: DataFrame, cols: Sequence[str]) -> list[DataFrame]:
     """
     by_type: dict[str, list[tuple[int, str]]] = {}
     for i, c in enumerate(cols):
-        by_type.setdefault(d.schema[c].dataType.simpleString(), []).append((i, c))
+        by_type.setdefault(d.schema[c].dataType.simpleString(), []).append((places[c] if places else i, c))
     frames = []
     for members in by_type.values():
         cells = [
@@ -206,11 +206,54 @@ def value_frequencies(d: DataFrame, cols: Sequence[str]) -> DataFrame:
     )
 
 
+#: Leading characters of a long text that are grouped and ordered as they are.
+_HEAD = 64
+
+
+def _digest_top(d: DataFrame, cols: list[tuple[int, str]]) -> tuple[DataFrame, DataFrame]:
+    """Frequencies and top values of long text columns, grouped by digest.
+
+    A value is grouped by its first characters and, if it is longer, a 256-bit
+    digest, so whole texts are not shuffled as keys. The most frequent values
+    with the smallest beginning are then fetched whole, and the smallest wins.
+    """
+    cells = F.inline(
+        F.array(
+            *[
+                F.struct(F.lit(c).alias("column_name"), F.lit(i).alias("position"), col_of(c).alias("text"))
+                for i, c in cols
+            ]
+        )
+    )
+    rows = d.select(cells).select(
+        "column_name",
+        "position",
+        F.left("text", F.lit(_HEAD)).alias("value"),
+        F.when(F.length("text") > _HEAD, F.unhex(F.sha2("text", 256))).alias("digest"),
+        "text",
+    )
+    freq = rows.groupBy("column_name", "position", "value", "digest").agg(F.count(F.lit(1)).alias("n"))
+    best = Window.partitionBy("column_name").orderBy(F.desc("n"), F.asc("value"), F.asc_nulls_first("digest"))
+    first = freq.where("value IS NOT NULL").withColumn("_nth", F.row_number().over(best)).where("_nth = 1")
+    first = first.select(F.col("column_name").alias("_c"), F.col("n").alias("_n"), F.col("value").alias("_v"), F.col("digest").alias("_d"))
+    # One row per column is broadcast; values that tie with it share count and beginning.
+    tied = freq.join(F.broadcast(first), (F.col("column_name") == F.col("_c")) & (F.col("n") == F.col("_n")) & (F.col("value") == F.col("_v")))
+    tied = tied.where("_d IS NOT NULL AND digest IS NOT NULL").select(F.col("column_name").alias("_tc"), F.col("digest").alias("_td"))
+    whole = rows.join(tied, (F.col("column_name") == F.col("_tc")) & (F.col("digest") == F.col("_td")), "left_semi")
+    least = Window.partitionBy("column_name").orderBy("text")
+    texts = whole.withColumn("_nth", F.row_number().over(least)).where("_nth = 1").select("column_name", "text")
+    top = first.join(F.broadcast(texts), F.col("_c") == F.col("column_name"), "left").select(
+        F.col("_c").alias("column_name"), F.coalesce("text", "_v").alias("top_value"), F.col("_n").alias("top_count")
+    )
+    return freq, top
+
+
 def categorical_profile(
     d: DataFrame,
     cols: Sequence[str],
     max_cols: int | None = None,
     count_null_as_value: bool = False,
+    long_text: Sequence[str] = (),
 ) -> DataFrame:
     """Per text column: count, missing, unique_count, top_value, top_count.
 
@@ -218,28 +261,35 @@ def categorical_profile(
     type order (V19); NULL is never the top value (V14); an all-null column
     gets zeros and a NULL top (A22). ``count_null_as_value`` adds one to
     ``unique_count`` for columns holding a NULL (A18, V13). ``top_value`` is
-    text whatever the column type.
+    text whatever the column type. String columns named in ``long_text`` are
+    grouped by digest instead of by whole value, at the price of one more
+    scan for the winning text.
     """
     cols = list(cols)[: max_cols if max_cols is not None else None]
     present = F.col("value").isNotNull()
     unique = F.count("value")
     if count_null_as_value:
         unique = unique + F.max((~present).cast("long"))
+
+    def plain_top(freq: DataFrame) -> DataFrame:
+        # Spark keeps one row per column and task before the shuffle (WindowGroupLimit).
+        best = Window.partitionBy("column_name").orderBy(F.desc("n"), F.asc("value"))
+        first = freq.where(present).withColumn("_nth", F.row_number().over(best)).where("_nth = 1")
+        return first.select("column_name", F.col("value").cast("string").alias("top_value"), F.col("n").alias("top_count"))
+
+    places = {c: i for i, c in enumerate(cols)}
+    digested = [(i, c) for c, i in places.items() if c in set(long_text)]
+    plain = [c for c in cols if c not in set(long_text)]
+    pairs = [(f, plain_top(f)) for f in _typed_frequencies(d, plain, places)]
+    if digested:
+        pairs.append(_digest_top(d, digested))
     parts = []
-    for freq in _typed_frequencies(d, cols):
+    for freq, top in pairs:
         counts = freq.groupBy("column_name", "position").agg(
             F.coalesce(F.sum(F.when(present, F.col("n"))), F.lit(0)).alias("count"),
             F.coalesce(F.sum(F.when(~present, F.col("n"))), F.lit(0)).alias("missing"),
             unique.alias("unique_count"),
         )
-        # Spark keeps one row per column and task before the shuffle (WindowGroupLimit).
-        best = Window.partitionBy("column_name").orderBy(F.desc("n"), F.asc("value"))
-        top = (
-            freq.where(present)
-            .withColumn("_nth", F.row_number().over(best))
-            .where("_nth = 1")
-            .select("column_name", F.col("value").cast("string").alias("top_value"), F.col("n").alias("top_count"))
-        )
         # Both sides have one row per profiled column.
         parts.append(counts.join(F.broadcast(top), "column_name", "left"))
     # Every profiled column keeps a row, also for an empty table (A22, V23):

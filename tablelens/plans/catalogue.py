@@ -1009,7 +1009,7 @@ def classify_first_rows(spark, sf):
 @query("documents_text_profile", _categorical_sql("documents", ["text", "lang", "source"]))
 def documents_text_profile(spark, sf):
     """Distinct count and most frequent value over whole document texts."""
-    return profile.categorical_profile(_t(spark, sf, "documents"), ["text", "lang", "source"])
+    return profile.categorical_profile(_t(spark, sf, "documents"), ["text", "lang", "source"], long_text=["text"])
 
 
 @query(

@@ -101,3 +101,24 @@ def test_value_counts(spark):
     assert vc == [(1, "b", 3, 42.9), (2, "a", 2, 28.6), (3, "c", 1, 14.3)]
     with_null = profile.value_counts(d, "s", dropna=False).count()
     assert with_null == 4
+
+
+def test_long_texts_by_digest(spark):
+    """The digest form gives the plain form's rows, also for ties between long texts with one beginning."""
+    head = "h" * 64
+    cases = {
+        "long tie": [head + "b", head + "a", head + "c", head + "b", head + "a", "zz"],
+        "short first": [head, head + "a", None],
+        "short wins": ["x", "x", head + "a", head + "b"],
+        "unique": [f"{head}{i}" for i in range(30)],
+        "null": [None, None],
+    }
+    for name, values in cases.items():
+        d = spark.createDataFrame([(v, "k") for v in values], "t string, u string")
+        both = [
+            sorted(profile.categorical_profile(d, ["u", "t"], count_null_as_value=True, long_text=some).collect())
+            for some in ([], ["t"], ["t", "u"])
+        ]
+        assert both[0] == both[1] == both[2], name
+    empty = spark.createDataFrame([], "t string")
+    assert profile.categorical_profile(empty, ["t"], long_text=["t"]).first().unique_count == 0

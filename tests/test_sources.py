@@ -51,7 +51,7 @@ def test_quoted_cells(spark, write):
     got = {r.id: r.text for r in read_table(spark, p, multi_line=True).collect()}
     assert got["1"] == "line one\nline two" and got["2"] == "a, b" and got["3"] == 'say "hi"'
     assert got["4"] in (None, "")
-    assert clean.normalise_nulls(read_table(spark, p)).where("text IS NULL").count() == 1
+    assert clean.normalise_nulls(read_table(spark, p, multi_line=True)).where("text IS NULL").count() == 1
 
 
 def test_null_token_file(spark, write):
