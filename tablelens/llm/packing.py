@@ -19,7 +19,6 @@ from __future__ import annotations
 
 import functools
 import heapq
-import re
 import struct
 import unicodedata
 import zlib
@@ -38,7 +37,7 @@ PIECE = 512
 #: Piece lengths that are packed together.
 BLOCK = 1024
 #: Chunks whose ids a Python worker remembers (twice as many at most), and the longest such chunk.
-CACHE, CACHED_BYTES = 250_000, 48
+CACHE, CACHED_BYTES = 600_000, 48
 _PART_SHIFT = 33
 
 
@@ -91,14 +90,12 @@ class WordTokenizer(dict):
 
     For a BPE tokenizer that folds case, drops white space and never joins
     letters with other characters: the ids of a text are those of its chunks
-    between ASCII white space, and a full stop or comma alone after a letter
-    is a chunk of its own. A chunk of letters goes straight to the tokenizer's
+    between ASCII white space, and a full stop or comma at a chunk's end, after
+    a letter, has an id of its own. A chunk of letters goes straight to the tokenizer's
     BPE model; every other chunk, and a whole text that might hold a special
     token, goes through the complete tokenizer.
     """
 
-    _stop = re.compile(rb"(?<=[a-z])[.,](?=\s|\Z)")
-
     def __init__(self, path: str):
         super().__init__()
         self._older: dict[bytes, bytes] = {}
@@ -118,14 +115,23 @@ class WordTokenizer(dict):
     def __missing__(self, chunk: bytes) -> bytes:
         if (ids := self._older.get(chunk)) is not None:
             return self._remember(chunk, ids)
-        text = chunk.decode("utf-8")
-        plain = text.isalpha() and (text.isascii() or (text.islower() and unicodedata.is_normalized("NFC", text)))
-        if plain and len(chunk) <= CACHED_BYTES:
-            tokens = self._model.tokenize(chunk.decode("latin-1").translate(self._symbols))
-            ids = struct.pack(f"<{len(tokens)}I", *[t.id for t in tokens])
+        if len(chunk) > CACHED_BYTES:
+            return self._whole(chunk.decode("utf-8"))
+        if chunk.isalpha():  # ASCII letters alone: byte-level BPE writes them as themselves
+            ids = self._letters(chunk.decode("ascii"))
+        elif chunk.endswith((b".", b",")) and chunk[-2:-1].isalpha():
+            ids = self[chunk[:-1]] + self[chunk[-1:]]
         else:
-            ids = self._whole(text)
-        return self._remember(chunk, ids) if len(chunk) <= CACHED_BYTES else ids
+            text = chunk.decode("utf-8")
+            if text.isalpha() and text.islower() and unicodedata.is_normalized("NFC", text):
+                ids = self._letters(chunk.decode("latin-1").translate(self._symbols))
+            else:
+                ids = self._whole(text)
+        return self._remember(chunk, ids)
+
+    def _letters(self, symbols: str) -> bytes:
+        tokens = self._model.tokenize(symbols)
+        return struct.pack(f"<{len(tokens)}I", *[t.id for t in tokens])
 
     def _remember(self, chunk: bytes, ids: bytes) -> bytes:
         """Keep ``ids``; a full memory becomes the older half, which is looked up once more."""
@@ -140,7 +146,7 @@ class WordTokenizer(dict):
         if any(s in data for s in self._special):
             ids = self._whole(text)
         else:
-            ids = b"".join(map(self.__getitem__, self._stop.sub(rb" \g<0>", data).split()))
+            ids = b"".join(map(self.__getitem__, data.split()))
         return np.frombuffer(ids, dtype="<u4")
 
 
