@@ -15,7 +15,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablelens.functions.nulls import col_of
@@ -43,18 +43,23 @@ def _names(d: DataFrame, cols: Sequence[str]) -> DataFrame:
     )
 
 
+def _overview_aggs(cols: Sequence[str]) -> list[Column]:
+    return [F.count_if(col_of(c).isNull()).alias(f"_null{i}") for i, c in enumerate(cols)]
+
+
 def dataset_overview(d: DataFrame, roles: ColumnRoles | None = None) -> DataFrame:
     """One row: rows, columns, roles, missing cells, missing %, columns with nulls."""
-    cols = d.columns
-    nulls = [F.count_if(col_of(c).isNull()).alias(f"_m{i}") for i, c in enumerate(cols)]
-    row = d.agg(F.count(F.lit(1)).alias("rows"), *nulls)
-    missing = sum((F.col(f"_m{i}") for i in range(len(cols))), F.lit(0))
+    return _overview_of(d.agg(F.count(F.lit(1)).alias("_rows"), *_overview_aggs(d.columns)), d.columns, roles)
+
+
+def _overview_of(row: DataFrame, cols: Sequence[str], roles: ColumnRoles | None) -> DataFrame:
+    missing = sum((F.col(f"_null{i}") for i in range(len(cols))), F.lit(0))
     with_nulls = sum(
-        ((F.col(f"_m{i}") > 0).cast("long") for i in range(len(cols))), F.lit(0)
+        ((F.col(f"_null{i}") > 0).cast("long") for i in range(len(cols))), F.lit(0)
     )
     n_cols = len(cols)
     out = [
-        F.col("rows").cast("long").alias("row_count"),
+        F.col("_rows").cast("long").alias("row_count"),
         F.lit(n_cols).cast("long").alias("column_count"),
     ]
     if roles is not None:
@@ -65,7 +70,7 @@ def dataset_overview(d: DataFrame, roles: ColumnRoles | None = None) -> DataFram
     out += [
         missing.cast("long").alias("missing_cells"),
         F.round(
-            F.try_divide(F.lit(100.0) * missing, F.col("rows") * F.lit(n_cols)), 1
+            F.try_divide(F.lit(100.0) * missing, F.col("_rows") * F.lit(n_cols)), 1
         ).alias("missing_pct"),
         with_nulls.cast("long").alias("columns_with_nulls"),
     ]
@@ -116,11 +121,53 @@ def numeric_profile(
     ``exact_scale`` makes the mean independent of task order (``mean_of``).
     """
     cols = list(cols)
+    row = d.agg(F.count(F.lit(1)).alias("_rows"), *_numeric_aggs(d, cols, ddof, exact_scale))
+    out = _numeric_of(row, cols)
+    if quantile_probs:
+        out = with_quantiles(out, d, cols, quantile_probs)
+    return out if decimals is None else _rounded(out, decimals, [quantile_name(p) for p in quantile_probs])
+
+
+def with_quantiles(out: DataFrame, d: DataFrame, cols: Sequence[str], probs: Sequence[float]) -> DataFrame:
+    """A numeric profile of ``cols`` of ``d`` with quantile columns."""
+    if not cols:
+        return out.withColumns({quantile_name(p): F.lit(None).cast("double") for p in probs})
+    # Groups are the profiled columns: a bounded number, on both sides.
+    q = quantiles(_long(d, list(cols), "double"), ["column_name"], "value", probs, few_groups=True)
+    return out.join(F.broadcast(q), "column_name", "left")
+
+
+def _rounded(out: DataFrame, decimals: int, more: Sequence[str] = ()) -> DataFrame:
+    stats = [F.round(c, decimals).alias(c) for c in ["mean", "std", "min", "max", *more]]
+    return out.select("column_name", "position", "count", "missing", *stats)
+
+
+def overview_and_profile(
+    d: DataFrame,
+    roles: ColumnRoles,
+    ddof: int = 1,
+    decimals: int | None = None,
+    exact_scale: int | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """``dataset_overview`` and ``numeric_profile`` of the numeric columns from one scan.
+
+    The scan runs when this is called; its single row of counters comes to the
+    driver, and both frames are made of it.
+    """
+    cols = list(roles.numeric)
+    aggs = [F.count(F.lit(1)).alias("_rows"), *_overview_aggs(d.columns), *_numeric_aggs(d, cols, ddof, exact_scale)]
+    planned = d.agg(*aggs)
+    row = d.sparkSession.createDataFrame(planned.collect(), planned.schema)
+    out = _numeric_of(row, cols)
+    return _overview_of(row, d.columns, roles), out if decimals is None else _rounded(out, decimals)
+
+
+def _numeric_aggs(d: DataFrame, cols: Sequence[str], ddof: int, exact_scale: int | None) -> list[Column]:
     if ddof not in (0, 1):
         raise ValueError("ddof must be 0 or 1")
     types = {f.name: f.dataType for f in d.schema.fields}
     std = F.stddev_samp if ddof == 1 else F.stddev_pop
-    aggs = [F.count(F.lit(1)).alias("_rows")]
+    aggs = []
     for i, c in enumerate(cols):
         v = to_double(c, types[c])
         aggs += [
@@ -130,6 +177,10 @@ def numeric_profile(
             F.min(v).alias(f"_lo{i}"),
             F.max(v).alias(f"_hi{i}"),
         ]
+    return aggs
+
+
+def _numeric_of(row: DataFrame, cols: Sequence[str]) -> DataFrame:
     cells = [
         F.struct(
             F.lit(c).alias("column_name"),
@@ -143,24 +194,10 @@ def numeric_profile(
         )
         for i, c in enumerate(cols)
     ]
-    out = d.agg(*aggs).select(F.inline(F.array(*cells)))
-    qnames = []
-    if quantile_probs:
-        long = _long(d, cols, "double")
-        # Groups are the profiled columns: a bounded number.
-        q = quantiles(long, ["column_name"], "value", quantile_probs, few_groups=True)
-        qnames = [quantile_name(p) for p in quantile_probs]
-        # One row per profiled column: bounded by the column count.
-        out = out.join(F.broadcast(q), "column_name", "left")
-    if decimals is not None:
-        out = out.select(
-            "column_name",
-            "position",
-            "count",
-            "missing",
-            *[F.round(c, decimals).alias(c) for c in ["mean", "std", "min", "max", *qnames]],
-        )
-    return out
+    if not cells:
+        kinds = "column_name string, position int, count bigint, missing bigint, mean double, std double, min double, max double"
+        return row.sparkSession.createDataFrame([], kinds)
+    return row.select(F.inline(F.array(*cells)))
 
 
 def _typed_frequencies(d: DataFrame, cols: Sequence[str], places: dict[str, int] | None = None) -> list[DataFrame]:

@@ -136,15 +136,24 @@ def stage_table(
     )
 
 
-def _overview_with_dups(
-    typed: DataFrame, r: roles.ColumnRoles, raw: DataFrame, deduped: DataFrame, st: Staged | None
-) -> DataFrame:
+def _once(make: Callable):
+    """A function that gives ``make``'s result, made at its first call."""
+    made: list = []
+
+    def get():
+        if not made:
+            made.append(make())
+        return made[0]
+
+    return get
+
+
+def _overview_with_dups(ov: DataFrame, raw: DataFrame, deduped: DataFrame, st: Staged | None) -> DataFrame:
     """Overview plus ``duplicates_removed`` = rows before - rows after dedup.
 
     Staged: both counts were observed while writing. Otherwise two scalar
     subqueries over row counts, not a second all-column shuffle.
     """
-    ov = profile.dataset_overview(typed, r)
     if st is not None:
         return ov.withColumn("duplicates_removed", F.lit(st.rows_before - st.rows).cast("long"))
     before = raw.select(F.count(F.lit(1))).scalar()
@@ -168,17 +177,14 @@ def _group_block(
         return
     tag = f"{prefix}_{'_'.join(keys)}"
     drilled = list(numeric)[:drill_cols]
-    made: list[DataFrame] = []
 
-    def table() -> DataFrame:
-        # Written once, when a frame of the block is first asked for.
-        if not made:
-            target = shared_dir(d.sparkSession, "groups")
-            planned = groups.group_table(d, keys, drilled, exact_scale=exact_scale)
-            planned.write.parquet(target)
-            made.append(d.sparkSession.read.schema(planned.schema).parquet(target))
-        return made[0]
+    def write() -> DataFrame:
+        target = shared_dir(d.sparkSession, "groups")
+        planned = groups.group_table(d, keys, drilled, exact_scale=exact_scale)
+        planned.write.parquet(target)
+        return d.sparkSession.read.schema(planned.schema).parquet(target)
 
+    table = _once(write)  # when a frame of the block is first asked for
     out.add(f"{tag}_size_stats", lambda: groups.size_stats_of(table().select(groups.SIZE)))
     out.add(f"{tag}_top", lambda: groups.top_of(table(), keys, top_k))
     if drilled:
@@ -215,8 +221,9 @@ def tweets_report(
         r = roles.classify_columns(cleaned, threshold=0.8, inclusive=False, id_columns=id_columns)
     typed = clean.coerce_numeric(cleaned, r.numeric)
     out = Report(on_frame)
-    out.add("overview", lambda: _overview_with_dups(typed, r, normalised, cleaned, st))
-    out.add("numeric_profile", lambda: profile.numeric_profile(typed, r.numeric, decimals=2, exact_scale=exact_scale))
+    both = _once(lambda: profile.overview_and_profile(typed, r, decimals=2, exact_scale=exact_scale))
+    out.add("overview", lambda: _overview_with_dups(both()[0], normalised, cleaned, st))
+    out.add("numeric_profile", lambda: both()[1])
     out.add("text_profile", lambda: profile.categorical_profile(typed, r.text))
     for keys in map(list, key_sets):
         if not out.has_keys(typed, keys):
@@ -283,8 +290,9 @@ def posts_report(
     placed = clean.coerce_numeric(cleaned, r.numeric)
     typed = _without(placed, seq)
     out = Report(on_frame)
-    out.add("overview", lambda: profile.dataset_overview(typed, r))
-    out.add("numeric_profile", lambda: profile.numeric_profile(typed, r.numeric, decimals=2, exact_scale=exact_scale))
+    both = _once(lambda: profile.overview_and_profile(typed, r, decimals=2, exact_scale=exact_scale))
+    out.add("overview", lambda: both()[0])
+    out.add("numeric_profile", lambda: both()[1])
     out.add("text_profile", lambda: profile.categorical_profile(typed, r.text))
 
     def first(keys: list[str], cols: int | None) -> DataFrame:
@@ -372,11 +380,9 @@ def ads_report(
         r = roles.classify_columns(cleaned, **role_args)
     typed = clean.coerce_numeric(cleaned, r.numeric)
     out = Report(on_frame)
-    out.add("overview", lambda: _overview_with_dups(typed, r, normalised, cleaned, st))
-    out.add(
-        "numeric_profile",
-        lambda: profile.numeric_profile(typed, r.numeric, quantile_probs=(0.25, 0.5, 0.75), exact_scale=exact_scale),
-    )
+    both = _once(lambda: profile.overview_and_profile(typed, r, exact_scale=exact_scale))
+    out.add("overview", lambda: _overview_with_dups(both()[0], normalised, cleaned, st))
+    out.add("numeric_profile", lambda: profile.with_quantiles(both()[1], typed, r.numeric, (0.25, 0.5, 0.75)))
     out.add("text_profile", lambda: profile.categorical_profile(typed, r.text, max_cols=profile_cols))
     blocks = dict(top_k=top_k, drill_k=drill_k, drill_cols=drill_cols, exact_scale=exact_scale)
     for keys in map(list, key_sets):
