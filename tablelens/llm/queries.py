@@ -11,13 +11,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablelens.llm.decontaminate import benchmark_overlaps
+from tablelens.llm.decontaminate import MASKS, SIMILARITY, WINDOW, benchmark_overlaps
 from tablelens.llm.fingerprints import edited_pairs
 from tablelens.llm.langid import identify_languages
 from tablelens.llm.linededup import dedup_lines
 from tablelens.llm.packing import pack_documents, word_tokenizer
 from tablelens.llm.quality import quality_posteriors
-from tablelens.llm.secret_scan import scan_secrets
+from tablelens.llm.secret_scan import BASE_RULES, MORE_RULES, scan_secrets
 from tablelens.llm.simhash import simhash_components
 from tablelens.llm.toxicity import toxicity
 from tablelens.llm.warc import archive_roundtrip
@@ -56,7 +56,38 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(read_parquet(spark, sf_dir, "documents"))
 
 
-@query("op3_decontamination")
+def _seed_sql(table: str, key: str, mask: str, number: int) -> str:
+    """Each position of a text with the words that a mask keeps, in DuckDB SQL."""
+    kept = [i for i, c in enumerate(mask) if c == "1"]
+    words = ", ".join(f"lead(w, {i}) OVER p AS w{n}" for n, i in enumerate(kept))
+    return f"""SELECT {key}, at_word, {number} AS mask, {words} FROM {table}
+  WINDOW p AS (PARTITION BY {key} ORDER BY at_word) QUALIFY lead(w, {len(mask) - 1}) OVER p IS NOT NULL"""
+
+
+def decontamination_sql() -> str:
+    """``benchmark_overlaps`` of ``documents`` (unique ids), words compared as such."""
+
+    def words(table: str, key: str) -> str:
+        return f"""SELECT {key}, unnest(ws) AS w, generate_subscripts(ws, 1) - 1 AS at_word FROM
+  (SELECT {key}, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') AS ws FROM {table}) s"""
+
+    seeds = {k: " UNION ALL ".join(_seed_sql(t, k, m, n) for n, m in enumerate(MASKS)) for t, k in (("dw", "doc_id"), ("iw", "item_id"))}
+    same = " AND ".join(f"a.w{n} = b.w{n}" for n in range(MASKS[0].count("1")))
+    return f"""
+WITH dw AS ({words('documents', 'doc_id')}), iw AS ({words('benchmark', 'item_id')}),
+n AS (SELECT item_id, count(*) AS size, least(count(*), {WINDOW}) AS span FROM iw GROUP BY item_id),
+h AS (SELECT DISTINCT doc_id, item_id, a.at_word - b.at_word AS begins FROM ({seeds['doc_id']}) a JOIN ({seeds['item_id']}) b ON a.mask = b.mask AND {same}),
+g AS (SELECT h.doc_id, h.item_id, begins, iw.at_word, CASE WHEN dw.w = iw.w THEN 1 ELSE 0 END AS agree
+  FROM h JOIN iw ON h.item_id = iw.item_id LEFT JOIN dw ON dw.doc_id = h.doc_id AND dw.at_word = begins + iw.at_word),
+t AS (SELECT g.doc_id, g.item_id, begins, at_word, size, span, sum(agree) OVER (PARTITION BY g.doc_id, g.item_id, begins ORDER BY at_word
+  ROWS BETWEEN CURRENT ROW AND {WINDOW - 1} FOLLOWING) AS total FROM g JOIN n ON g.item_id = n.item_id),
+b AS (SELECT doc_id, item_id, begins, span, max(total) AS matched FROM t WHERE at_word <= size - span GROUP BY ALL)
+SELECT doc_id, item_id, CAST(begins AS INTEGER) AS position, CAST(matched AS INTEGER) AS matched, CAST(span AS INTEGER) AS compared
+FROM b WHERE matched >= {SIMILARITY} * span
+QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY matched DESC, begins) = 1"""
+
+
+@query("op3_decontamination", decontamination_sql())
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     leaks = benchmark_overlaps(read_parquet(spark, sf_dir, "documents"), read_parquet(spark, sf_dir, "benchmark"))
     return leaks.drop("doc_key")
@@ -103,7 +134,37 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores.drop("doc_key")
 
 
-@query("op9_secrets")
+def _either_case(words: str) -> str:
+    """ASCII letters outside classes and escapes in either case, for an engine that folds Unicode."""
+    return "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in words)
+
+
+def secrets_sql() -> str:
+    """``scan_secrets`` in DuckDB SQL: positions from the pieces between matches."""
+    parts = []
+    for k, r in enumerate((*BASE_RULES, *MORE_RULES)):
+        head, end, tail = r.pattern.partition(")")
+        pattern = (_either_case(head) + end + tail if r.kind == "assign" else r.pattern).replace("'", "''")
+        parts.append(
+            f"""SELECT doc_id, {k} AS k, '{r.kind}' AS kind, {r.least} AS least, regexp_extract_all(text, '{pattern}') AS ms,
+  regexp_extract_all(text, '{pattern}', {r.group}) AS gs, string_split_regex(text, '{pattern}') AS ps FROM d"""
+        )
+    counts = ", ".join(f"count(*) FILTER (WHERE k = {k}) AS n_{r.kind}" for k, r in enumerate(BASE_RULES))
+    n = len(BASE_RULES)
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+m AS ({' UNION ALL '.join(parts)}),
+e AS (SELECT *, unnest(range(1, len(ms) + 1)) AS i FROM m),
+p AS (SELECT doc_id, k, kind, least, length(gs[i]) AS own, length(ms[i]) AS size,
+  CAST(list_sum(list_transform(ps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS begins FROM e),
+s AS (SELECT doc_id, k, begins, kind || ':' || begins || ':' || (begins + size) AS span FROM p WHERE own >= least)
+SELECT d.doc_id, {counts},
+  sha256(coalesce(string_agg(span, ',' ORDER BY begins, k) FILTER (WHERE k < {n}), '')) AS base_sha256,
+  coalesce(string_agg(span, ',' ORDER BY begins, k), '') AS spans
+FROM d LEFT JOIN s ON d.doc_id = s.doc_id GROUP BY d.doc_id"""
+
+
+@query("op9_secrets", secrets_sql())
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(read_parquet(spark, sf_dir, "documents"))
 
