@@ -28,6 +28,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
+from threading import Lock
 
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
@@ -52,17 +53,16 @@ OnFrame = Callable[[str, DataFrame], None]
 
 
 class Report(Mapping):
-    """Frames by name, each planned when it is first read."""
+    """Frames by name, each planned when it is first read (threads may read at once)."""
 
     def __init__(self, on_frame: OnFrame | None = None):
         self._plans: dict[str, Callable[[], DataFrame]] = {}
-        self._frames: dict[str, DataFrame] = {}
         self._on_frame = on_frame
         #: Key sets that were left out, with the columns that the table lacks.
         self.skipped: dict[tuple[str, ...], list[str]] = {}
 
     def add(self, name: str, plan: Callable[[], DataFrame]) -> None:
-        self._plans[name] = plan
+        self._plans[name] = _once(plan)
         if self._on_frame is not None:
             self._on_frame(name, self[name])
 
@@ -74,9 +74,7 @@ class Report(Mapping):
         return not missing
 
     def __getitem__(self, name: str) -> DataFrame:
-        if name not in self._frames:
-            self._frames[name] = self._plans[name]()
-        return self._frames[name]
+        return self._plans[name]()
 
     def __iter__(self):
         return iter(self._plans)
@@ -137,12 +135,14 @@ def stage_table(
 
 
 def _once(make: Callable):
-    """A function that gives ``make``'s result, made at its first call."""
+    """A function that gives ``make``'s result, made at its first call (by one thread)."""
     made: list = []
+    lock = Lock()
 
     def get():
-        if not made:
-            made.append(make())
+        with lock:
+            if not made:
+                made.append(make())
         return made[0]
 
     return get
