@@ -36,6 +36,7 @@ ALPHABET = 95
 UNDETERMINED = "und"
 #: Texts in one matrix product, and characters whose n-grams are marked at once.
 BATCH, _CHUNK = 128, 1 << 20
+_HASHES = 1 << 20
 
 
 def letter_table(letters: str) -> np.ndarray:
@@ -106,18 +107,22 @@ def has_letter(text: str | None) -> bool:
 def training_sample(docs: DataFrame, held_out_of: int, held_out: int, per_language: int, languages: int) -> DataFrame:
     """``(text, lang, nth)``: up to ``per_language`` texts of each language, staged.
 
-    The texts of a language with the smallest hashes of their ids are taken;
-    a ranking over ids picks them (each task passes on that many per language
-    at most), and only the picked ids are broadcast.
+    A language's ids below a hash threshold, about four times as many as are
+    wanted whatever the number of its texts, are ranked by hash, and the first
+    are taken. Only the picked ids are broadcast.
     """
     learn = (id_remainder(F.col("doc_id"), held_out_of) != held_out) & F.col("lang").isNotNull()
     ids = docs.where(learn).select("doc_id", "lang")
     known = ids.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(languages)
-    order = Window.partitionBy("lang").orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id")
+    key = F.xxhash64(F.col("doc_id").cast("string"))
+    few = F.pmod(key, F.lit(_HASHES)) * F.col("n") < F.lit(4 * per_language * _HASHES)
+    order = Window.partitionBy("lang").orderBy(key, "doc_id")
     picked = (
-        ids.join(F.broadcast(known.select("lang")), "lang")
+        ids.join(F.broadcast(known), "lang")
+        .where(few)
         .withColumn("nth", F.row_number().over(order))
         .where(F.col("nth") <= per_language)
+        .drop("n")
     )
     found = docs.join(F.broadcast(picked), ["doc_id", "lang"]).select(F.coalesce("text", F.lit("")).alias("text"), "lang", "nth")
     found = stage(found, "languages")
