@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import zipfile
 from collections.abc import Iterator
@@ -15,6 +16,7 @@ import tablelens
 from tablelens.session import shared_dir
 
 _carried: set[str] = set()
+_SPACE = re.compile(r"\s")
 
 
 def carry_package(spark: SparkSession) -> None:
@@ -91,6 +93,20 @@ def sql_type(df: DataFrame, name: str) -> str:
     return df.schema[name].dataType.simpleString()
 
 
+def text_pieces(text: str, size: int = 1 << 20) -> Iterator[str]:
+    """``text`` in order, cut before white space about every ``size`` characters.
+
+    No word crosses a cut, so the words of a very long text can be gone
+    through without holding all of them.
+    """
+    at = 0
+    while at < len(text):
+        cut = _SPACE.search(text, at + size)
+        end = cut.start() if cut else len(text)
+        yield text[at:end]
+        at = end
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
     """The same rows in zero-copy slices, so Python objects of few texts exist at a time."""
     for batch in batches:

@@ -19,12 +19,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablelens.llm.common import pick, slices, sql_type
-from tablelens.llm.simhash import shingle_bounds
+from tablelens.llm.simhash import shingle_hashes
 
 #: Words per shingle and share of the hash range that is kept.
 SHINGLE = 5
@@ -44,15 +43,12 @@ def sketch(text: str | None, shingle: int = SHINGLE, fraction: float = FRACTION)
     is one shingle, a null text or one without words has none.
     """
     joined = " ".join((text or "").lower().split()).encode("utf-8")
-    if not joined:
-        return np.empty(0, dtype=np.uint64)
-    starts, ends = shingle_bounds(joined, shingle)
-    view, digest = memoryview(joined), xxhash.xxh64_intdigest
-    hashes = np.fromiter(
-        (digest(view[s:e]) for s, e in zip(starts, ends, strict=True)), dtype=np.uint64, count=len(starts)
-    )
-    kept = hashes[hashes < np.uint64(threshold(fraction))] if fraction < 1 else hashes
-    return np.unique(kept if len(kept) else hashes.min(keepdims=True))
+    kept, least = [np.empty(0, dtype=np.uint64)], []
+    for hashes in shingle_hashes(joined, shingle):
+        kept.append(hashes[hashes < np.uint64(threshold(fraction))] if fraction < 1 else hashes)
+        least.append(hashes.min())
+    found = np.unique(np.concatenate(kept))
+    return found if len(found) or not least else np.array([min(least)], dtype=np.uint64)
 
 
 def to_text(s: np.ndarray) -> str:
@@ -177,11 +173,15 @@ def edited_pairs(
         # A null id goes to the first range.
         return pa.array([0 if v is None else max(0, bisect_right(starts, v) - 1) for v in ids.to_pylist()], pa.int32())
 
+    @F.arrow_udf("boolean")
+    def starts_piece(ids: pa.Array) -> pa.Array:
+        return pa.array([v is None or v in first_ids for v in ids.to_pylist()], pa.bool_())
+
     # Heads of the ranges: the first document of each, and of the whole table, by (id, text).
+    first_ids = set(starts)
     dealt = d.withColumn("piece", piece_of("doc_id"))
     heads = (
-        d.where(F.col("doc_id").isNull() | F.col("doc_id").isin(*starts) if starts else F.lit(True))
-        .withColumn("piece", piece_of("doc_id"))
+        dealt.where(starts_piece("doc_id"))
         .groupBy("piece")
         .agg(F.min(F.struct("doc_id", "text")).alias("first"))
         .select(

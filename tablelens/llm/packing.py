@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from tablelens.llm.common import pick, slices, sql_type
+from tablelens.llm.common import pick, slices, sql_type, text_pieces
 
 CAPACITY = 2048
 #: Longest piece of a document's last, partial window.
@@ -103,7 +103,7 @@ class WordTokenizer(dict):
 
         self._tokenizer = Tokenizer.from_file(path)
         self._model = self._tokenizer.model
-        self._special = [t.content.encode().lower() for t in self._tokenizer.get_added_tokens_decoder().values()]
+        self._special = [t.content.lower() for t in self._tokenizer.get_added_tokens_decoder().values()]
         # Byte-level BPE writes printable bytes as themselves and the others as U+0100 onwards.
         printable = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
         others = iter(range(0x100, 0x200))
@@ -142,11 +142,12 @@ class WordTokenizer(dict):
         return ids
 
     def __call__(self, text: str) -> np.ndarray:
-        data = text.encode("utf-8").lower()
-        if any(s in data for s in self._special):
+        folded = text.lower()
+        if any(s in folded for s in self._special):
             ids = self._whole(text)
         else:
-            ids = b"".join(map(self.__getitem__, data.split()))
+            pieces = (p.encode("utf-8").lower().split() for p in text_pieces(text))
+            ids = b"".join(b"".join(map(self.__getitem__, chunks)) for chunks in pieces)
         return np.frombuffer(ids, dtype="<u4")
 
 

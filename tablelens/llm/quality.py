@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablelens.llm.common import pick, restore, slices, sql_type, stage, with_keys
+from tablelens.llm.common import pick, restore, slices, sql_type, stage, text_pieces, with_keys
 from tablelens.llm.samples import labelled_sample, newton_logistic
 
 #: Bound on the labelled rows that the classifier is fitted on.
@@ -34,29 +34,35 @@ _CLIP = 6.0
 
 def shape(text: str) -> list[float]:
     """Statistics of a text's words, characters and lines; zeros for an empty one."""
-    words = text.split()
-    if not words:
+    counts: Counter[str] = Counter()
+    marks = np.zeros(4, dtype=np.int64)  # letters, digits, upper-case letters, full stops and commas
+    others = repeats = 0
+    last = None
+    for part in text_pieces(text):
+        words = part.split()
+        counts.update(words)
+        repeats += sum(map(str.__eq__, words, words[1:])) + (bool(words) and words[0] == last)
+        last = words[-1] if words else last
+        code = np.frombuffer(part.encode("utf-32-le"), dtype=np.uint32)
+        folded = code | 32
+        letter = ((folded >= 97) & (folded <= 122)) | (code >= 0xC0)
+        digit = (code >= 48) & (code <= 57)
+        space = (code == 32) | ((code >= 9) & (code <= 13))
+        stop = (code == 46) | (code == 44)
+        upper = (code >= 65) & (code <= 90)
+        marks += [letter.sum(), digit.sum(), upper.sum(), stop.sum()]
+        others += len(code) - int((letter | digit | space | stop).sum())
+    if not counts:
         return [0.0] * 11
-    n, total = len(words), len(text)
-    code = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32)
-    folded = code | 32
-    letter = ((folded >= 97) & (folded <= 122)) | (code >= 0xC0)
-    upper = (code >= 65) & (code <= 90)
-    digit = (code >= 48) & (code <= 57)
-    space = (code == 32) | ((code >= 9) & (code <= 13))
-    stop = (code == 46) | (code == 44)
-    counts = Counter(words)
+    n, total = counts.total(), len(text)
     lines = text.split("\n")
     return [
         math.log(n),
         total / n / 10,
-        float(letter.mean()),
-        float(digit.mean()),
-        float(upper.mean()),
-        float(stop.mean()),
-        1 - float((letter | digit | space | stop).mean()),
+        *(marks / total).tolist(),
+        others / total,
         len(counts) / n**0.8,
-        sum(map(str.__eq__, words, words[1:])) / n,
+        repeats / n,
         len(set(lines)) / len(lines),
         max(counts.values()) / n,
     ]

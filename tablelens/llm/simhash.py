@@ -33,19 +33,27 @@ from tablelens.llm.graph import connected_components
 
 BITS = 64
 SEED = 42
-_CHUNK = 1 << 15  # shingles whose bits are unpacked at a time
+_CHUNK = 1 << 15  # shingles that are hashed at a time
 #: Largest bucket that is compared pair by pair; larger ones use stars.
 SMALL_BUCKET = 32
 
 
-def shingle_bounds(joined: bytes, size: int) -> tuple[list[int], list[int]]:
-    """Start and end offsets of the ``size``-word shingles of space-joined words."""
+def shingle_hashes(joined: bytes, size: int, seed: int = 0) -> Iterator[np.ndarray]:
+    """XXH64 of each ``size``-word shingle of space-joined words, a chunk at a time.
+
+    Fewer words than ``size`` are one shingle; no words have none.
+    """
+    if not joined:
+        return
     gaps = np.flatnonzero(np.frombuffer(joined, dtype=np.uint8) == 32)
-    if len(gaps) + 1 <= size:
-        return [0], [len(joined)]
-    starts = np.concatenate(([0], gaps[: len(gaps) + 1 - size] + 1))
-    ends = np.concatenate((gaps[size - 1 :], [len(joined)]))
-    return starts.tolist(), ends.tolist()
+    count = max(1, len(gaps) + 2 - size)
+    view, digest = memoryview(joined), xxhash.xxh64_intdigest
+    for at in range(0, count, _CHUNK):
+        many = min(_CHUNK, count - at)
+        starts = [0] * (at == 0) + (gaps[max(at - 1, 0) : at - 1 + many] + 1).tolist()
+        ends = gaps[at + size - 1 : at + size - 1 + many].tolist()
+        ends += [len(joined)] * (many - len(ends))  # the last shingle ends with the text
+        yield np.fromiter((digest(view[s:e], seed) for s, e in zip(starts, ends, strict=True)), np.uint64, many)
 
 
 def simhash(text: str | None, shingle: int = 3) -> int:
@@ -55,17 +63,12 @@ def simhash(text: str | None, shingle: int = 3) -> int:
     0x09-0x0D and 0x20, which is the contract's word rule.
     """
     joined = b" ".join((text or "").encode("utf-8").lower().split())
-    if not joined:
-        return 0
-    starts, ends = shingle_bounds(joined, shingle)
-    view, digest = memoryview(joined), xxhash.xxh64_intdigest
-    ones = np.zeros(BITS, dtype=np.int64)
-    for at in range(0, len(starts), _CHUNK):
-        pairs = zip(starts[at : at + _CHUNK], ends[at : at + _CHUNK], strict=True)
-        hashes = np.array([digest(view[s:e], SEED) for s, e in pairs], dtype=">u8")
-        ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    bits = np.packbits(ones * 2 > len(starts)).tobytes()
-    return int.from_bytes(bits, "big", signed=True)
+    ones, total = np.zeros(BITS, dtype=np.int64), 0
+    for hashes in shingle_hashes(joined, shingle, SEED):
+        rows = hashes.astype(">u8").view(np.uint8).reshape(-1, 8)
+        ones += np.unpackbits(rows, axis=1).sum(axis=0, dtype=np.int64)
+        total += len(hashes)
+    return int.from_bytes(np.packbits(ones * 2 > total).tobytes(), "big", signed=True)
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablelens.llm.common import pick, slices, sql_type
+from tablelens.llm.common import pick, slices, sql_type, text_pieces
 from tablelens.llm.samples import id_remainder, labelled_sample, newton_logistic
 
 #: Bound on the labelled rows that the model is fitted on, and on its features.
@@ -47,7 +47,7 @@ _WORD = re.compile(r"[^\W\d_]+")
 
 
 def words_of(text: str) -> set[str]:
-    return set(_WORD.findall(text.lower()))
+    return set().union(*(_WORD.findall(p.lower()) for p in text_pieces(text)))
 
 
 def features_of(words: set[str]) -> set[str]:
