@@ -320,18 +320,18 @@ def categorical_profile(
     pairs = [(f, plain_top(f)) for f in _typed_frequencies(d, plain, places)]
     if digested:
         pairs.append(_digest_top(d, digested))
-    parts = []
-    for freq, top in pairs:
-        counts = freq.groupBy("column_name", "position").agg(
+    counts = [
+        freq.groupBy("column_name", "position").agg(
             F.coalesce(F.sum(F.when(present, F.col("n"))), F.lit(0)).alias("count"),
             F.coalesce(F.sum(F.when(~present, F.col("n"))), F.lit(0)).alias("missing"),
             unique.alias("unique_count"),
         )
-        # Both sides have one row per profiled column.
-        parts.append(counts.join(F.broadcast(top), "column_name", "left"))
-    # Every profiled column keeps a row, also for an empty table (A22, V23):
-    # the profile is joined onto the list of names (both bounded by the column count).
-    prof = _names(d, cols).join(F.broadcast(_union(parts)), ["column_name", "position"], "left")
+        for freq, _top in pairs
+    ]
+    # Every profiled column keeps a row, also for an empty table (A22, V23): counts and
+    # top values, one row per profiled column each, are joined onto the list of names.
+    prof = _names(d, cols).join(F.broadcast(_union(counts)), ["column_name", "position"], "left")
+    prof = prof.join(F.broadcast(_union([top for _freq, top in pairs])), "column_name", "left")
     return prof.select(
         "column_name",
         "position",

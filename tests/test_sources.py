@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from tablelens.operators import clean, groups, profile
 from tablelens.operators.roles import classify_columns
 from tablelens.plans.reports import ads_report, posts_report, tweets_report
-from tablelens.sources import first_line_counts, read_table, sniff_delimiter, write_report
+from tablelens.sources import first_line_counts, load_tables, read_table, sniff_delimiter, write_report
 
 
 @pytest.fixture
@@ -194,3 +194,8 @@ def test_line_breaks_in_cells_need_multi_line(spark, write):
 
 def test_first_line_counts(spark, write):
     assert tuple(first_line_counts(spark, write("tabs.tsv", "a\tb,c\td\n")).first()) == (2, 1)
+
+
+def test_load_tables(spark):
+    tables = load_tables(spark, "/root/testdata/sf0.001", ["region", "nation"])
+    assert {n: d.count() for n, d in tables.items()} == {"region": 5, "nation": 25}
