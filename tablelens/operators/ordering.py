@@ -103,7 +103,8 @@ def quantiles(
     shuffled per probability, as distinct values with counts, and sorted
     (spillably) in one task each. With ``few_groups`` (the caller knows the
     groups are, e.g., column names) the brackets are broadcast; otherwise
-    their join is left to Spark.
+    their join is left to Spark, which broadcasts them only below its measured
+    size threshold.
     """
     group_cols, probs = list(group_cols), [float(p) for p in probs]
     groups = [F.col(g) for g in group_cols]
@@ -117,7 +118,8 @@ def quantiles(
     same = F.lit(True)
     for i, g in enumerate(group_cols):
         same = same & F.col(g).eqNullSafe(F.col(f"_g{i}"))
-    joined = values.join(F.broadcast(brackets) if few_groups else brackets, same)
+    # Rebalanced brackets make the join a plain shuffle on both sides, whose hot groups AQE may split.
+    joined = values.join(F.broadcast(brackets) if few_groups else brackets.hint("rebalance"), same)
     small = F.col("_total") <= 4 * accuracy
     number, value = F.lit(None).cast("int"), F.lit(None).cast("double")
     cells = []
