@@ -23,7 +23,6 @@ def clashing():
 
     def add(df):
         names = ["DOC_ID", "Text", "fp", "doc_key", "component", "follower", "_id", "_text", "_ranges", "words", "piece", "p"]
-        out = df
-        return out.select("*", *[df[df.columns[0]].cast("string") for _ in names]).toDF(*df.columns, *names)
+        return df.select("*", *[df[df.columns[0]].cast("string") for _ in names]).toDF(*df.columns, *names)
 
     return add

@@ -2,6 +2,8 @@ import hashlib
 import random
 import re
 
+import numpy as np
+
 from tablelens.llm.secret_scan import BASE_RULES, MORE_RULES, TrigramIndex, scan_secrets, trigram_query
 
 KEYWORDS = ("password", "passwd", "secret", "token", "api_key", "apikey")
@@ -115,7 +117,7 @@ def test_candidates_hold_every_match():
         for d in data:
             starts.append(at)
             at += len(d)
-        index.build(b"".join(data), __import__("numpy").array(starts))
+        index.build(b"".join(data), np.array(starts))
         found = set(index.candidates(query).tolist())
         assert {i for i, t in enumerate(texts) if re.search(rule.pattern, t, rule.flags)} <= found
         assert not query or len(found) < len(texts)
