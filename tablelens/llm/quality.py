@@ -107,7 +107,8 @@ def fit_shape(
             yield pa.RecordBatch.from_arrays([x, b.column(1)], ["x", "label"])
 
     rows = sample.select("text", F.col("label").cast("int").alias("label")).mapInArrow(run, "x array<double>, label int")
-    found = rows.collect()  # at most sample_limit rows of eleven numbers
+    # At most sample_limit rows of eleven numbers; in one order, so that fits repeat to the last bit.
+    found = sorted(rows.collect(), key=lambda r: (r["x"], r["label"]))
     x = np.array([r["x"] for r in found]).reshape(-1, 11)
     return ShapeModel(x, np.array([r["label"] > 0 for r in found], dtype=float))
 

@@ -12,6 +12,7 @@ its group toxic (counterfactual logit pairing, Garg et al. 2019).
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator, Sequence
@@ -87,9 +88,10 @@ class Model:
 
         def score(text: str) -> float:
             words = words_of(text)
-            z = intercept + sum(by_word[w] for w in by_word.keys() & words)
+            parts = [intercept, *(by_word[w] for w in by_word.keys() & words)]
             for n, known in starts:
-                z += sum(known[p] for p in known.keys() & {w[:n] for w in words})
+                parts += [known[p] for p in known.keys() & {w[:n] for w in words}]
+            z = math.fsum(parts)  # whatever the order of a set
             return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
         return score
@@ -185,7 +187,8 @@ def fit_toxicity(
             yield pa.RecordBatch.from_arrays([*made, b.column(1)], ["own", "gone", "came", "label"])
 
     schema = "own array<int>, gone array<array<int>>, came array<array<int>>, label int"
-    rows = sample.mapInArrow(encode, schema).collect()  # at most sample_limit rows of at most max_features numbers
+    # At most sample_limit rows of at most max_features numbers; in one order, so that fits repeat to the last bit.
+    rows = sorted(sample.mapInArrow(encode, schema).collect(), key=lambda r: (r["own"], r["label"], r["gone"], r["came"]))
     x = np.zeros((len(rows), len(features)))
     for i, r in enumerate(rows):
         x[i, r["own"]] = 1
