@@ -8,6 +8,9 @@ document, and the aligned words around the hit decide.
 
 The two default masks were chosen together: at least one of them hits every
 copy of 14 words with any 2 substituted, 15 with any 3, and 20 with any 4.
+Items of fewer than 12 words have further masks by their number of words, so
+that they too lose no copy with as many substitutions as 0.8 of the words allow
+(none up to 4 words, 1 from 5 to 9, 2 of 10 and 11).
 
 Only the benchmark side is broadcast, in blocks of at most ``max_seeds`` hashes
 (as many joins as that takes). Documents are tokenised once per block and never
@@ -24,6 +27,17 @@ from pyspark.sql import functions as F
 from tablelens.llm.common import pick, restore, with_keys
 
 MASKS = ("110111", "100001111")
+#: Further masks of short items, each with the least and most words of its items.
+SHORT_MASKS = {
+    "1": (1, 1),
+    "11": (2, 2),
+    "111": (3, 3),
+    "1111": (4, 11),
+    "10111": (5, 5),
+    "11011": (5, 5),
+    "11101": (5, 5),
+    "110011": (6, 6),
+}
 #: Share of aligned words that must agree, and the words over which it counts.
 SIMILARITY, WINDOW = 0.8, 20
 #: Bound on the hashes broadcast at once (some 60 MB on an executor).
@@ -42,13 +56,27 @@ def _seed(words: Column, at: Column, mask: str, number: int) -> Column:
     return F.when(at + F.lit(len(mask)) <= F.size(words), F.xxhash64(F.lit(number), *kept))
 
 
-def _seeded(df: DataFrame, masks: tuple[str, ...], at: str) -> DataFrame:
-    """One row per position and mask that fits: columns of ``df``, ``at`` and ``seed``."""
-    shortest = min(map(len, masks))
+def _placed(df: DataFrame, shortest: int, at: str) -> DataFrame:
+    """One row per position ``at`` from which a mask of ``shortest`` words fits."""
     places = F.sequence(F.lit(0), F.size("words") - F.lit(shortest))
-    long_enough = df.where(F.size("words") >= shortest).select("*", F.explode(places).alias(at))
-    seeds = F.array(*[_seed(F.col("words"), F.col(at), m, n) for n, m in enumerate(masks)])
-    return long_enough.select("*", F.explode(seeds).alias("seed"))
+    return df.where(F.size("words") >= shortest).select("*", F.explode(places).alias(at))
+
+
+def _item_seeds(items: DataFrame, masks: list[str], bounds: dict[int, tuple[int, int]]) -> DataFrame:
+    """One row per position and mask that fits and is for items of that size: ``mask`` (number) and ``seed``."""
+
+    def seed(number: int, mask: str) -> Column:
+        own = _seed(F.col("words"), F.col("item_at"), mask, number)
+        return F.when(F.size("words").between(*bounds[number]), own) if number in bounds else own
+
+    each = F.posexplode(F.array(*[seed(n, m) for n, m in enumerate(masks)])).alias("mask", "seed")
+    return _placed(items, min(map(len, masks)), "item_at").select("*", each).where("seed IS NOT NULL")
+
+
+def _doc_seeds(docs: DataFrame, masks: list[str], used: list[int]) -> DataFrame:
+    """One row per position and used mask: columns of ``docs``, ``at`` and ``seed``."""
+    each = F.explode(F.array(*[_seed(F.col("words"), F.col("at"), masks[n], n) for n in used]))
+    return _placed(docs, min(len(masks[n]) for n in used), "at").select("*", each.alias("seed"))
 
 
 def benchmark_overlaps(
@@ -73,8 +101,11 @@ def benchmark_overlaps(
     agree there in the best window.
 
     Words are lower-cased runs of letters and digits; white space and
-    punctuation don't matter. Null texts count as empty and never match, nor
-    do items or documents shorter than the shortest mask. Rows that share id
+    punctuation don't matter. Texts without words, as null ones, never match.
+    No copy of an item of up to 20 words is missed at the default settings, so
+    an item of one word leaks into every document with that word. ``masks`` are
+    for items of all sizes, ``SHORT_MASKS`` come on top; a document is hashed
+    by those masks only that some item uses. Rows that share id
     and text are one document (``doc_key`` is a hash of the text, so texts
     that share an id stay apart); repeated items give one row each per item
     id. Null ids are kept as ids. Empty tables give an empty result.
@@ -88,10 +119,12 @@ def benchmark_overlaps(
         .distinct()
         .withColumn("item_key", F.xxhash64(F.col("item_id").cast("string"), "words"))
     )
-    seeds = _seeded(items, masks, "item_at").where("seed IS NOT NULL")
+    every = [*masks, *SHORT_MASKS]
+    seeds = _item_seeds(items, every, dict(enumerate(SHORT_MASKS.values(), len(masks))))
+    counts = {r["mask"]: r["count"] for r in seeds.groupBy("mask").count().collect()}  # one row per mask
     seeds = seeds.select("seed", "item_key", "item_at", F.size("words").alias("n_words"))
-    blocks = max(1, -(-seeds.count() // max_seeds))
-    doc_seeds = _seeded(d, masks, "at")
+    blocks = max(1, -(-sum(counts.values()) // max_seeds))
+    doc_seeds = _doc_seeds(d, every, sorted(counts) or [0])
 
     def hits_of(block: int) -> DataFrame:
         part = seeds.where(F.pmod("item_key", F.lit(blocks)) == block)  # at most about max_seeds rows

@@ -1,10 +1,10 @@
 import random
 import re
-from itertools import combinations
+from itertools import combinations, product
 
 import pytest
 
-from tablelens.llm.decontaminate import MASKS, benchmark_overlaps, decontaminated
+from tablelens.llm.decontaminate import MASKS, SHORT_MASKS, benchmark_overlaps, decontaminated
 
 ITEM = "item_id bigint, text string"
 
@@ -95,3 +95,34 @@ def test_empty_tables(docs, spark, empty):
     bench = spark.createDataFrame([] if empty == "items" else [(1, "some words of a text that is long enough")], ITEM)
     assert benchmark_overlaps(d, bench).collect() == []
     assert decontaminated(d, bench).count() == d.count()
+
+
+def test_masks_of_short_items_hit_every_allowed_substitution():
+    for length in range(1, 21):
+        own = [m for m, (least, most) in SHORT_MASKS.items() if least <= length <= most]
+        placed = [{s + i for i, c in enumerate(m) if c == "1"} for m in (*MASKS, *own) for s in range(length - len(m) + 1)]
+        for bad in combinations(range(length), length - -(-4 * length // 5)):
+            assert any(p.isdisjoint(bad) for p in placed)
+
+
+def test_short_items_match_brute_force(docs, spark):
+    """Every substitution that the similarity allows, and one more, for items of 1 to 13 words."""
+    items = [(n, " ".join(f"i{n}w{k}" for k in range(n))) for n in range(1, 14)]
+    items.append((20, "\u4e2d\u6587\u6ca1\u6709\u7a7a\u683c"))
+    pairs = [(0, f"before {items[-1][1]}, after")]
+    for n, item in items[:-1]:
+        allowed = n - -(-4 * n // 5)
+        for changed in range(allowed + 2):
+            for bad in combinations(range(n), min(changed, n)):
+                copy = ["other" if k in bad else w for k, w in enumerate(item.split())]
+                pairs.append((len(pairs), " ".join(["x", *copy, "y"])))
+        pairs += [(len(pairs), " ".join(item.split()[1:])), (len(pairs) + 1, " ".join(item.split()[:-1]))]
+    want = set()
+    for (i, t), (k, item) in product(pairs, items):
+        w, v = tokens(t), tokens(item)
+        for shift in range(-len(v), len(w)):
+            if sum(0 <= shift + j < len(w) and w[shift + j] == x for j, x in enumerate(v)) >= 0.8 * len(v):
+                want.add((i, k))
+    got = benchmark_overlaps(docs(pairs), spark.createDataFrame(items, ITEM)).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == want and len(got) == len(want)
+    assert {k for _, k in want} == {k for k, _ in items} and len({i for i, _ in want}) < len(pairs)
