@@ -8,17 +8,23 @@ that map gives one coefficient per landmark and language. A batch of texts is
 scored by two matrix products: presence by landmarks' n-grams, and kernel values
 by coefficients.
 
-Characters are lower-cased; the most frequent letters of the sample have numbers
-of their own, all other characters count as one separator. Only n-grams of the
-landmarks enter the first product, and a text's own number of n-grams its norm,
-so kernel values are exact.
+Characters are lower-cased; all that are neither letters nor combining marks
+count as one separator. N-grams of the sample's most frequent letters have small
+numbers and are marked in an array of flags; n-grams with any other letter have
+numbers made of its code point and are kept sorted ("wide"), so no letter of any
+script is lost. Only n-grams of the landmarks enter the first product (wide ones
+are looked up instead), and a text's own number of n-grams its norm, so kernel
+values are exact.
 """
 
 from __future__ import annotations
 
+import sys
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +37,7 @@ from tablelens.llm.samples import id_remainder
 #: Bounds on the sample: texts of each language, languages (the most frequent), and landmarks in all.
 PER_LANGUAGE, LANGUAGES, LANDMARKS = 300, 200, 128
 RIDGE = 1e-2
-#: Letters with a number of their own (n-gram numbers stay below about a million).
+#: Letters whose n-grams have small numbers (below about a million); the others' n-grams have large ones.
 ALPHABET = 95
 UNDETERMINED = "und"
 #: Texts in one matrix product, and characters whose n-grams are marked at once.
@@ -39,45 +45,101 @@ BATCH, _CHUNK = 128, 1 << 20
 _HASHES = 1 << 20
 
 
+@cache
+def _other_letters() -> np.ndarray:
+    """A flag for each code point that is a letter or a combining mark."""
+    points = map(chr, range(sys.maxunicode + 1))
+    return np.array([c.isalpha() or unicodedata.category(c)[0] == "M" for c in points])
+
+
 def letter_table(letters: str) -> np.ndarray:
-    """Number of each code point: 1.. for ``letters``, 0 for every other."""
-    table = np.zeros(0x110000, dtype=np.int32)
+    """Number of each code point: 1.. for ``letters``, above those for other letters, 0 for the rest."""
+    points = np.arange(sys.maxunicode + 1)
+    table = np.where(_other_letters(), points + len(letters) + 1, 0)
     for i, c in enumerate(letters, 1):
         table[ord(c)] = i
     return table
 
 
 class Spectrum:
-    """Distinct n-grams (n = 1, 2, 3) of texts, as numbers."""
+    """Distinct n-grams (n = 1, 2, 3) of texts, as numbers.
+
+    N-grams of ``letters`` and separators have numbers below ``small``; those with another letter from there on.
+    """
 
     def __init__(self, letters: str):
         self._table = letter_table(letters)
         self._base = len(letters) + 1
-        self._seen = np.zeros(self._base + self._base**2 + self._base**3, dtype=bool)
+        self.small = self._base + self._base**2 + self._base**3
+        self._seen = np.zeros(self.small, dtype=bool)
 
-    def mark(self, text: str) -> np.ndarray:
-        """A flag for each n-gram number, valid until the next call."""
-        seen, b = self._seen, self._base
+    def read(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """A flag for each small number, valid until the next call, and the wide n-grams' numbers, ascending."""
+        seen, b, wide = self._seen, self._base, np.empty(0, dtype=np.int64)
         seen[:] = False
         code = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
         for at in range(0, len(code), _CHUNK):
             c = self._table[code[at : at + _CHUNK + 2]]
-            seen[c] = True
+            far = c >= b
+            if far.any():
+                wide = np.union1d(wide, self._wide(c, far))
+                one, two, three = ~far, ~(far[:-1] | far[1:]), ~(far[:-2] | far[1:-1] | far[2:])
+            else:
+                one = two = three = slice(None)
+            seen[c[one]] = True
             pair = c[:-1] * b + c[1:]
-            seen[pair + b] = True
-            seen[pair[:-1] * b + c[2:] + (b + b * b)] = True
-        return seen
+            seen[pair[two] + b] = True
+            seen[(pair[:-1] * b + c[2:])[three] + (b + b * b)] = True
+        return seen, wide
+
+    def _wide(self, c: np.ndarray, far: np.ndarray) -> np.ndarray:
+        """Numbers of the n-grams that hold a letter beyond the small ones (below 2**61)."""
+        b = self._base + sys.maxunicode + 1
+        pair = c[:-1] * b + c[1:]
+        two, three = far[:-1] | far[1:], far[:-2] | far[1:-1] | far[2:]
+        parts = (c[far], pair[two] + b, (pair[:-1] * b + c[2:])[three] + (b + b * b))
+        return np.concatenate(parts) + self.small
+
+    def mark(self, text: str) -> np.ndarray:
+        """A flag for each small n-gram number, valid until the next call."""
+        return self.read(text)[0]
 
     def grams(self, text: str) -> np.ndarray:
-        return np.flatnonzero(self.mark(text))
+        seen, wide = self.read(text)
+        return np.concatenate([np.flatnonzero(seen), wide])
+
+
+class Shared:
+    """Which of some ascending sets of n-grams hold each n-gram of another."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        every = np.concatenate([*sets, np.empty(0, dtype=np.int64)])
+        owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        order = np.argsort(every, kind="stable")
+        self._owners = owner[order].astype(np.int32)
+        self._grams, starts = np.unique(every[order], return_index=True)
+        self._starts = np.append(starts, len(every))
+        self._sets = len(sets)
+
+    def count(self, grams: np.ndarray) -> np.ndarray:
+        """Number of ``grams`` (distinct) in each set."""
+        if not len(grams) or not len(self._grams):
+            return np.zeros(self._sets)
+        at = np.minimum(np.searchsorted(self._grams, grams), len(self._grams) - 1)
+        at = at[self._grams[at] == grams]
+        size = self._starts[at + 1] - self._starts[at]
+        entry = np.arange(size.sum()) + np.repeat(self._starts[at] - (np.cumsum(size) - size), size)
+        return np.bincount(self._owners[entry], minlength=self._sets).astype(float)
 
 
 @dataclass(frozen=True)
 class Model:
     letters: str
     languages: tuple[str, ...]
-    vocabulary: np.ndarray  # numbers of the landmarks' n-grams, ascending
+    vocabulary: np.ndarray  # small numbers of the landmarks' n-grams, ascending
     presence: np.ndarray  # vocabulary x landmarks, 0 or 1, over the landmark's norm
+    wide: Shared  # wide n-grams of the landmarks
+    norms: np.ndarray  # root of each landmark's number of n-grams
     coefficients: np.ndarray  # landmarks x languages
 
     def scorer(self):
@@ -86,12 +148,14 @@ class Model:
 
         def score(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
             x = np.empty((len(texts), len(self.vocabulary)), dtype=np.float32)
-            size = np.empty(len(texts))
+            size, far = np.empty(len(texts)), np.zeros((len(texts), len(self.norms)), dtype=np.float32)
             for i, t in enumerate(texts):
-                seen = spectrum.mark(t)
+                seen, wide = spectrum.read(t)
                 x[i] = seen[self.vocabulary]
-                size[i] = np.count_nonzero(seen)
-            kernel = (x @ self.presence) / np.sqrt(np.maximum(size, 1))[:, None]
+                size[i] = np.count_nonzero(seen) + len(wide)
+                if len(wide):
+                    far[i] = self.wide.count(wide) / self.norms
+            kernel = (x @ self.presence + far) / np.sqrt(np.maximum(size, 1))[:, None]
             values = kernel @ self.coefficients
             best = values.argmax(axis=1)
             top = values[np.arange(len(texts)), best]
@@ -168,15 +232,24 @@ def fit_languages(
         spectrum = Spectrum(letters)
         for b in slices(batches):
             grams = [spectrum.grams(t) for t in b.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(grams, pa.list_(pa.int32())), *b.columns[1:]], ["grams", "lang", "nth"])
+            yield pa.RecordBatch.from_arrays([pa.array(grams, pa.list_(pa.int64())), *b.columns[1:]], ["grams", "lang", "nth"])
 
-    rows = sample.mapInArrow(run, f"grams array<int>, lang {sql_type(sample, 'lang')}, nth int").collect()
+    rows = sample.mapInArrow(run, f"grams array<bigint>, lang {sql_type(sample, 'lang')}, nth int").collect()
     rows = sorted((r for r in rows if r["grams"]), key=lambda r: (r["nth"], r["lang"], r["grams"]))
     if not rows:
         return None
     names = tuple(sorted({r["lang"] for r in rows}))
     marks = rows[:landmarks]  # the first of each language, then the second of each, ...
+    small = Spectrum(letters).small
     vocabulary = np.unique(np.concatenate([r["grams"] for r in marks]))
+    vocabulary = vocabulary[vocabulary < small]
+
+    def beyond(r) -> np.ndarray:
+        g = np.array(r["grams"])
+        return g[g >= small]
+
+    wide = Shared([beyond(r) for r in marks])
+    norms = np.sqrt([len(r["grams"]) for r in marks], dtype=np.float32)
 
     def presence(some: list) -> np.ndarray:
         x = np.zeros((len(some), len(vocabulary)), dtype=np.float32)
@@ -185,10 +258,11 @@ def fit_languages(
             x[i, np.searchsorted(vocabulary, g[np.isin(g, vocabulary, assume_unique=True)])] = 1
         return x
 
-    own = presence(marks).T / np.sqrt([len(r["grams"]) for r in marks], dtype=np.float32)
+    own = presence(marks).T / norms
     kernel = np.vstack(
         [
-            (presence(part) @ own) / np.sqrt([len(r["grams"]) for r in part])[:, None]
+            (presence(part) @ own + np.array([wide.count(beyond(r)) for r in part]) / norms)
+            / np.sqrt([len(r["grams"]) for r in part])[:, None]
             for part in (rows[i : i + BATCH] for i in range(0, len(rows), BATCH))
         ]
     ).astype(float)
@@ -198,7 +272,7 @@ def fit_languages(
     phi = kernel @ whiten
     y = np.array([[1.0 if r["lang"] == n else -1.0 for n in names] for r in rows])
     weights = np.linalg.solve(phi.T @ phi + ridge * len(rows) * np.eye(phi.shape[1]) / len(marks), phi.T @ y)
-    return Model(letters, names, vocabulary, own.astype(np.float32), (whiten @ weights).astype(np.float32))
+    return Model(letters, names, vocabulary, own.astype(np.float32), wide, norms, (whiten @ weights).astype(np.float32))
 
 
 def identify_languages(

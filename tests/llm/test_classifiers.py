@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tablelens.llm.langid import Spectrum, fit_languages, identify_languages
+from tablelens.llm.langid import Shared, Spectrum, fit_languages, identify_languages
 from tablelens.llm.quality import keep_good, quality_posteriors, shape
 from tablelens.llm.queries import op6_toxicity, op7_language, op8_quality, quality_scores
 from tablelens.llm.toxicity import fit_toxicity, swaps, toxicity, words_of
@@ -202,3 +202,44 @@ def test_language_edges(docs, clashing):
     nothing = docs([(1, "some words")], langs=[None])
     assert [(r.lang_pred, r.score) for r in identify_languages(nothing).collect()] == [("und", 0.0)]
     assert identify_languages(docs([])).collect() == []
+
+
+def many_scripts(n=40):
+    """Texts of seven languages; each of the last three has 60 letters of its own, rarer than the others'."""
+    rng = random.Random(7)
+    abc = {
+        "la": "abcdefghijklmnopqrstuvwxyz",
+        "ru": "".join(map(chr, range(0x430, 0x450))),
+        "el": "".join(map(chr, range(0x3B1, 0x3CA))),
+        "hy": "".join(map(chr, range(0x561, 0x587))),
+        "zh": "".join(map(chr, range(0x4E00, 0x4E3C))),
+        "ja": "".join(map(chr, range(0x3041, 0x307D))),
+        "ko": "".join(map(chr, range(0xAC00, 0xAC3C))),
+    }
+    word = lambda k: "".join(rng.choices(abc[k], k=4))
+    some = [(k, " ".join(word(k) for _ in range(8 if i > 3 else 40))) for i, k in enumerate(abc) for _ in range(n)]
+    return [(i, t) for i, (_, t) in enumerate(some)], [k for k, _ in some]
+
+
+def test_letters_beyond_the_alphabet_tell_languages_apart(docs):
+    pairs, langs = many_scripts()
+    rows = identify_languages(docs(pairs, langs=langs)).collect()
+    assert np.mean([r.lang_pred == langs[r.doc_id] for r in rows if r.held_out]) > 0.97
+    model = fit_languages(docs(pairs, langs=langs).select("doc_id", "text", "lang"), landmarks=300)
+    assert len(model.letters) == 95 and not set("\u3041\uac00") <= set(model.letters)
+
+
+def test_wide_ngrams_are_exact():
+    s = Spectrum("abc")
+
+    def brute(text):
+        t = [c if c.isalpha() or c == "\u093f" else " " for c in text.lower()]
+        return {"".join(t[i : i + n]) for n in (1, 2, 3) for i in range(len(t) - n + 1)}
+
+    texts = ["", "\u4e2d", "a\u4e2d", "\u4e2d\u6587ab-c \u6587\u4e2dd", "xyz abc", "\u0939\u093f\u0928 ab", "\U0002000b\U0002000b1", "z" * 5]
+    sets = [s.grams(t) for t in texts]
+    for t, g in zip(texts, sets, strict=True):
+        assert len(g) == len(set(g.tolist())) == len(brute(t)) and (np.diff(g) > 0).all()
+    shared = Shared(sets)
+    for t, g in zip(texts, sets, strict=True):
+        assert shared.count(g).tolist() == [len(brute(t) & brute(u)) for u in texts]
