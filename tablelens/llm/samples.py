@@ -46,23 +46,25 @@ def newton_logistic(
     x: np.ndarray,
     y: np.ndarray,
     l2: float,
-    penalties: np.ndarray | None = None,
+    products: np.ndarray | None = None,
+    pairs: int = 0,
     weight: float = 0.0,
     balance: bool = False,
     steps: int = 25,
 ) -> np.ndarray:
     """Weights (the intercept last) of a ridge logistic regression by Newton's method.
 
-    With ``balance`` both labels weigh the same in all. ``penalties`` holds rows whose product with the weights should be zero;
-    ``weight`` times the mean square of these products is added to the loss.
+    With ``balance`` both labels weigh the same in all. ``products`` is the sum of
+    the outer products of ``pairs`` rows (without intercept) whose product with
+    the weights should be zero; ``weight`` times the mean square of these
+    products is added to the loss.
     """
     x = np.hstack([x, np.ones((len(x), 1))])
     ridge = np.full(x.shape[1], l2)
     ridge[-1] = 1e-6
     extra = np.zeros((x.shape[1], x.shape[1]))
-    if penalties is not None and len(penalties):
-        p = np.hstack([penalties, np.zeros((len(penalties), 1))])
-        extra = weight * (p.T @ p) * (len(x) / len(p))
+    if products is not None and pairs:
+        extra[:-1, :-1] = weight * products * (len(x) / pairs)
     w = np.zeros(x.shape[1])
     rate = np.clip(y.mean(), 1e-3, 1 - 1e-3) if len(y) else 0.5
     each = np.where(y > 0, 0.5 / rate, 0.5 / (1 - rate)) if balance else np.ones(len(y))

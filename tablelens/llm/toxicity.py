@@ -125,6 +125,47 @@ def _g_statistic(n: Column, k: Column, total: int, toxic: int) -> Column:
     return 2 * (cell(k, toxic / total) + cell(n - k, (total - toxic) / total))
 
 
+def _counterfactual_products(sample: DataFrame, number: dict[str, int], groups: Sequence[Sequence[str]]) -> tuple[np.ndarray, int]:
+    """Sum over all pairs of the outer product of their change in features, and the number of pairs.
+
+    Each task adds up its own pairs in one matrix of the features' size and
+    hands on the upper triangle's cells that are not zero; they are whole
+    numbers, so their sum is the same in any order. A pair without a change
+    counts nowhere.
+    """
+    size = len(number)
+    terms = {t for g in groups for t in g}
+
+    def vector(words: set[str]) -> set[int]:
+        return {number[f] for f in features_of(words) & number.keys()}
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, pairs = np.zeros((size, size), dtype=np.int64), 0
+        for b in slices(batches):
+            for text in b.column(0).to_pylist():
+                if terms.isdisjoint(words_of(text)):
+                    continue
+                for s in sentences_of(text):
+                    here = words_of(s)
+                    before = None
+                    for turned in swaps(here, groups):
+                        before, after = vector(here) if before is None else before, vector(turned)
+                        if before != after:
+                            at = [*(before - after), *(after - before)]
+                            sign = np.array([1] * len(before - after) + [-1] * len(after - before))
+                            total[np.ix_(at, at)] += np.outer(sign, sign)
+                            pairs += 1
+        i, j = np.nonzero(np.triu(total))
+        columns = [[*i.tolist(), size], [*j.tolist(), size], [*total[i, j].tolist(), pairs]]  # the last is the count
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["i", "j", "n"])
+
+    cells = sample.select("text").mapInArrow(add, "i bigint, j bigint, n bigint").groupBy("i", "j").agg(F.sum("n").alias("n"))
+    i, j, n = (c.to_numpy() for c in cells.toArrow().columns)  # at most size * (size + 1) / 2 + 1 rows
+    both = np.zeros((size + 1, size + 1))
+    both[i, j] = both[j, i] = n
+    return both[:size, :size], int(both[size, size])
+
+
 def fit_toxicity(
     docs: DataFrame,
     labels: DataFrame,
@@ -167,37 +208,17 @@ def fit_toxicity(
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            own, gone, came = [], [], []
-            for text in b.column(0).to_pylist():
-                words = words_of(text)
-                own.append(vector(words))
-                lost, won = [], []
-                if any(t in words for g in identity_terms for t in g):
-                    for s in sentences_of(text):
-                        here = words_of(s)
-                        for turned in swaps(here, identity_terms):
-                            before, after = set(vector(here)), set(vector(turned))
-                            if before != after:
-                                lost.append(sorted(before - after))
-                                won.append(sorted(after - before))
-                gone.append(lost)
-                came.append(won)
-            lists = pa.list_(pa.list_(pa.int32()))
-            made = [pa.array(own, pa.list_(pa.int32())), pa.array(gone, lists), pa.array(came, lists)]
-            yield pa.RecordBatch.from_arrays([*made, b.column(1)], ["own", "gone", "came", "label"])
-
-    schema = "own array<int>, gone array<array<int>>, came array<array<int>>, label int"
+            own = [vector(words_of(text)) for text in b.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(own, pa.list_(pa.int32())), b.column(1)], ["own", "label"])
+
     # At most sample_limit rows of at most max_features numbers; in one order, so that fits repeat to the last bit.
-    rows = sorted(sample.mapInArrow(encode, schema).collect(), key=lambda r: (r["own"], r["label"], r["gone"], r["came"]))
+    rows = sorted(sample.mapInArrow(encode, "own array<int>, label int").collect(), key=lambda r: (r["own"], r["label"]))
     x = np.zeros((len(rows), len(features)))
     for i, r in enumerate(rows):
         x[i, r["own"]] = 1
-    pairs = [(g, c) for r in rows for g, c in zip(r["gone"], r["came"], strict=True)]
-    change = np.zeros((len(pairs), len(features)))
-    for i, (g, c) in enumerate(pairs):
-        change[i, g], change[i, c] = 1, -1
+    products, pairs = _counterfactual_products(sample, number, identity_terms)
     y = np.array([r["label"] > 0 for r in rows], dtype=float)
-    return Model(features, tuple(newton_logistic(x, y, ridge, change, counterfactual, balance=True).tolist()))
+    return Model(features, tuple(newton_logistic(x, y, ridge, products, pairs, counterfactual, balance=True).tolist()))
 
 
 def score_toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

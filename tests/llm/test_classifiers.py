@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -8,7 +9,15 @@ from pyspark.sql import functions as F
 from tablelens.llm.langid import Shared, Spectrum, fit_languages, identify_languages
 from tablelens.llm.quality import keep_good, quality_posteriors, shape
 from tablelens.llm.queries import op6_toxicity, op7_language, op8_quality, quality_scores
-from tablelens.llm.toxicity import fit_toxicity, swaps, toxicity, words_of
+from tablelens.llm.toxicity import (
+    _counterfactual_products,
+    features_of,
+    fit_toxicity,
+    sentences_of,
+    swaps,
+    toxicity,
+    words_of,
+)
 
 SF = "/root/testdata/sf0.01"
 LABELS = "doc_id bigint, quality int, toxic int"
@@ -75,6 +84,28 @@ def test_counterfactual_penalty_lowers_false_positives_on_neutral_mentions(docs,
     assert gaps[5.0] < 0.3 * gaps[0.0]
 
 
+def test_counterfactual_pairs_are_summed_in_the_tasks(docs, spark):
+    """A sample with 60,000 pairs: the driver holds no row for each, and the penalty is that of all pairs."""
+    pairs, labels = group_mentions()
+    terms = ("muslims", "christians", "jews", "hindus")
+    pairs[0] = (0, " ".join(f"We saw the {terms[i % 4]} there." for i in range(20_000)))
+    d, known = docs(pairs), spark.createDataFrame(labels, LABELS)
+    tracemalloc.start()
+    model = fit_toxicity(d, known, identity_terms=[terms])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 16 << 20
+    number = {f: i for i, f in enumerate(model.features)}
+    row = lambda words: np.array([float(f in features_of(words)) for f in number])
+    rows_of = lambda t: [row(h) - row(o) for h in map(words_of, t) for o in swaps(h, [terms])]
+    long = np.array(rows_of(sentences_of(pairs[0][1])[:4]))  # then they repeat
+    short = np.array([c for _, t in pairs[1:] for c in rows_of(sentences_of(t))])
+    products = 5_000 * long.T @ long + short.T @ short
+    assert (abs(long).sum(axis=1) > 0).all() and (abs(short).sum(axis=1) > 0).all()
+    got, n = _counterfactual_products(d.select("text"), number, [terms])
+    assert n == 60_000 + len(short) and np.array_equal(got, products)
+
+
 def test_swaps_turn_through_a_group():
     assert [sorted(s) for s in swaps(words_of("The women smiled"), [("women", "men", "girls")])] == [
         ["men", "smiled", "the"],
