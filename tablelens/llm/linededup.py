@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from tablelens.llm.common import pick, position, restore, with_keys
 
 WINDOW = 3
+#: ASCII white space that a line is compared without, at both ends.
+_BLANK = " \t\r\v\f"
 
 
 def _text(c: str) -> Column:
@@ -28,7 +30,7 @@ def _windows(docs: DataFrame, size: int) -> DataFrame:
     ``first`` and ``last`` are 0-based line numbers in the text; a 128-bit hash
     stands for the trimmed lines.
     """
-    lines = F.transform(F.split(_text("text"), "\n"), lambda x, i: F.struct(F.trim(x).alias("line"), i.alias("at")))
+    lines = F.transform(F.split(_text("text"), "\n"), lambda x, i: F.struct(F.btrim(x, F.lit(_BLANK)).alias("line"), i.alias("at")))
     filled = docs.select(
         "doc_id",
         F.xxhash64(_text("text")).alias("doc_key"),
@@ -89,7 +91,7 @@ def dedup_lines(
     """``docs`` with the lines of repeated windows removed, other columns unchanged.
 
     A window is ``size`` consecutive non-blank lines, compared without leading
-    and trailing spaces. Texts are ordered by id (null first), then text hash;
+    and trailing ASCII white space (a carriage return, too). Texts are ordered by id (null first), then text hash;
     the first occurrence of a window stays (as far as no other window covers
     it), later ones go, in the same text, too. Blank lines inside a
     removed range go with it. Rows that share id and text are one text:

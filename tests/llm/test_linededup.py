@@ -65,3 +65,9 @@ def test_repeated_rows_change_alike_and_empty_table(docs):
     d = docs([(1, "a\nb\nc"), (2, "a\nb\nc\nx"), (2, "a\nb\nc\nx")])
     assert sorted(r[1] for r in dedup_lines(d).collect()) == ["a\nb\nc", "x", "x"]
     assert dedup_lines(docs([])).collect() == []
+
+
+def test_line_ends_and_tabs_are_no_difference(docs):
+    d = docs([(1, "a\nb\n\nc\nown"), (2, "x\r\n\ta\r\nb\t\r\n\r\nc\r\ny\r\n"), (3, "\r\n\t\n\v\n\f\n"), (4, "\r\n\t\n\v\n\f\n")])
+    got = {r[0]: (r["removed"], r[1]) for r in dedup_lines(d, removed_col="removed").collect()}
+    assert got == {1: (0, "a\nb\n\nc\nown"), 2: (4, "x\r\ny\r\n"), **{k: (0, "\r\n\t\n\v\n\f\n") for k in (3, 4)}}
