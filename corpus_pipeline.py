@@ -53,8 +53,10 @@ STAGES = [
     ("packing", packing),
 ]
 
-#: The classifier, SimHash and the tokenizer have no SQL form; the stages are
-#: tested one by one, and the whole against a brute-force version.
+#: The classifier, SimHash and the tokenizer have no SQL form; line dedup,
+#: near-dedup and decontamination are tested against brute force on their own
+#: input, quality on labelled documents, packing by its set of ids, and ``run``
+#: against the stages called one by one.
 ORACLE_SQL = None
 
 
