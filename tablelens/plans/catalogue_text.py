@@ -20,7 +20,7 @@ from tablelens.plans import catalogue as base
 from tablelens.plans.catalogue import SCALE, _t, query, rank_sql, rnd, sinj
 from tablelens.plans.reports import ads_report, posts_report, tweets_report
 from tablelens.session import shared_dir
-from tablelens.sources import first_line_counts, read_table, write_delimited, write_report
+from tablelens.sources import read_table, write_delimited, write_report
 
 # ------------------------------------------------------------ the text table
 
@@ -316,12 +316,6 @@ def ragged_rows(spark, sf):
     return read_table(spark, _raw_lines(spark, sf))
 
 
-@query("first_line_counts", "SELECT 2 AS tabs, 0 AS commas FROM (SELECT count(*) FROM customer) c")
-def first_line_character_counts(spark, sf):
-    """Tabs and commas of the header line."""
-    return first_line_counts(spark, _raw_lines(spark, sf))
-
-
 @query("report_sink_roundtrip", base._top_groups_sql("orders", ["o_orderstatus", "o_orderpriority"], 10))
 def report_sink_roundtrip(spark, sf):
     """A report frame written by the sink and read back."""

@@ -192,6 +192,12 @@ def test_line_breaks_in_cells_need_multi_line(spark, write):
     assert read_table(spark, p).count() == 3
 
 
+def test_first_line_counts_is_no_query_of_a_table():
+    import __spark_entry__ as entry
+
+    assert "first_line_counts" not in entry.queries() and "first_line_counts" not in entry.oracle_sql()
+
+
 def test_first_line_counts(spark, write):
     assert tuple(first_line_counts(spark, write("tabs.tsv", "a\tb,c\td\n")).first()) == (2, 1)
 
