@@ -11,9 +11,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tablelens.llm.alignment import link_support, token_pair
 from tablelens.llm.decontaminate import MASKS, SIMILARITY, WINDOW, benchmark_overlaps
 from tablelens.llm.fingerprints import edited_pairs
 from tablelens.llm.langid import identify_languages
+from tablelens.llm.lexical import ranked_search
 from tablelens.llm.linededup import dedup_lines
 from tablelens.llm.packing import pack_documents, word_tokenizer
 from tablelens.llm.quality import quality_posteriors
@@ -190,3 +192,49 @@ FROM d LEFT JOIN r ON d.doc_id = r.doc_id LEFT JOIN k ON d.doc_id = k.doc_id"""
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_parquet(spark, sf_dir, "documents").select("doc_id", "text")
     return dedup_lines(docs, removed_col="removed_lines").select("doc_id", "removed_lines", F.col("text"))
+
+
+def public_token_pair(a: str = "byte_bpe_50k.json", b: str = "piece_bpe_32k.model"):
+    """A maker of both tokenizers that a task calls for; the files' places are looked up there."""
+
+    def make():
+        import public_tokenizers
+
+        return token_pair(public_tokenizers.path(a), public_tokenizers.path(b))
+
+    return make
+
+
+@query("op11_alignment")
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link_support(read_parquet(spark, sf_dir, "documents"), public_token_pair())
+
+
+def _lexical_terms(table: str, key: str) -> str:
+    """``key, terms`` of each row that has a term, in DuckDB SQL."""
+    upper = "".join(map(chr, range(65, 91)))
+    term = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+    return f"""SELECT {key}, ts FROM (SELECT {key},
+  regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{upper.lower()}'), '{term}') AS ts FROM {table}) s WHERE len(ts) > 0"""
+
+
+def ranked_search_sql(k: int = 10) -> str:
+    """``ranked_search`` of ``documents`` for ``benchmark`` (unique ids) in DuckDB SQL."""
+    return f"""
+WITH d AS ({_lexical_terms('documents', 'doc_id')}),
+s AS (SELECT count(*) AS docs, CAST(sum(len(ts)) AS BIGINT) AS length FROM d),
+t AS (SELECT doc_id, len(ts) AS n, unnest(ts) AS term FROM d),
+tf AS (SELECT doc_id, n, term, count(*) AS tf FROM t GROUP BY ALL),
+i AS (SELECT DISTINCT item_id, term FROM (SELECT item_id, unnest(ts) AS term FROM ({_lexical_terms('benchmark', 'item_id')}) b) u),
+w AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * docs + 2 AS DOUBLE) / (2 * df + 1))) AS BIGINT) AS w
+  FROM (SELECT term, count(*) AS df FROM tf GROUP BY term) f, s),
+p AS (SELECT i.item_id, tf.doc_id, w.w * ((1000000000 * tf.tf) // (1000 * tf.tf + 8 * (10 + (90 * tf.n * docs) // length))) AS part
+  FROM i JOIN tf ON i.term = tf.term JOIN w ON i.term = w.term, s),
+r AS (SELECT item_id, doc_id, CAST(sum(part) AS BIGINT) AS score FROM p GROUP BY item_id, doc_id HAVING sum(part) > 0)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+FROM r QUALIFY rank <= {k}"""
+
+
+@query("op13_lexical", ranked_search_sql())
+def op13_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search(read_parquet(spark, sf_dir, "documents"), read_parquet(spark, sf_dir, "benchmark"))

@@ -1,0 +1,99 @@
+import math
+import random
+import re
+from collections import Counter
+
+import numpy as np
+import pytest
+
+from tablelens.llm import lexical
+from tablelens.llm.lexical import ranked_search, term_pieces, tile_scores
+
+TERM = re.compile("[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+")
+UPPER = {c: c + 32 for c in range(65, 91)}
+WORDS = "stone river green light house walks Over under É x1 café 中文 the the the a b".split(" ")
+
+
+def terms(text):
+    return TERM.findall((text or "").translate(UPPER))
+
+
+def brute_force(pairs, items, k=10):
+    counted = [(i, terms(t)) for i, t in pairs]
+    n_docs, length = sum(bool(t) for _, t in counted), sum(len(t) for _, t in counted)
+    df = Counter(x for _, t in counted for x in set(t))
+    rows = []
+    for item, text in items:
+        scores = []
+        for i, t in counted:
+            tf, m = Counter(t), 10 + (90 * len(t) * n_docs) // length if length else 0
+            score = sum(
+                math.floor(1000 * math.log((2 * n_docs + 2) / (2 * df[x] + 1))) * (1000000000 * tf[x] // (1000 * tf[x] + 8 * m))
+                for x in set(terms(text)) if tf[x]
+            )
+            if score > 0:
+                scores.append((-score, i is not None, i))
+        scores.sort(key=lambda s: (s[0], s[1], s[2] or 0))
+        rows += [(item, r + 1, i, -s) for r, (s, _, i) in enumerate(scores[:k])]
+    return sorted(rows, key=str)
+
+
+def table(spark, rows, schema="item_id bigint, text string"):
+    return spark.createDataFrame(rows, schema)
+
+
+def corpus(seed=4, n=300):
+    rng = random.Random(seed)
+    pairs = [(i, " ".join(rng.choices(WORDS, weights=range(len(WORDS), 0, -1), k=rng.randint(0, 30)))) for i in range(n)]
+    pairs += [(1000 + i, "river stone. RIVER-stone") for i in range(50)]  # ties
+    pairs += [(None, "river house"), (None, None), (2000, None), (2001, ""), (2002, "?! \n"), (7, "river river"), (7, "river river")]
+    return pairs
+
+
+ITEMS = [(1, "River, stone!"), (2, "the green house under the light"), (3, None), (4, ""), (5, "nothingof this"), (6, "É café a b x1"), (1, "walks"), (None, "中文 over")]
+
+
+@pytest.mark.parametrize("tiles", [{}, {"BLOCK_ITEMS": 3, "ITEM_TILE": 2, "DOC_TILE": 7, "VOCAB_TILE": 2}, {"BLOCK_TERMS": 1, "ITEM_TILE_TERMS": 1}])
+def test_ranks_equal_brute_force(spark, docs, clashing, monkeypatch, tiles):
+    for name, value in tiles.items():
+        monkeypatch.setattr(lexical, name, value)
+    pairs = corpus()
+    got = ranked_search(clashing(docs(pairs)).repartition(5), clashing(table(spark, ITEMS)))
+    assert got.columns == ["item_id", "rank", "doc_id", "score"]
+    assert sorted(map(tuple, got.collect()), key=str) == brute_force(pairs, ITEMS)
+
+
+def test_ties_at_the_last_rank_go_by_id(spark, docs):
+    pairs = [*[(i, "same text") for i in range(500, 0, -1)], *[(i, "other") for i in range(1000, 1500)]]
+    got = ranked_search(docs(pairs).repartition(6), table(spark, [(1, "text")]), k=3).collect()
+    assert [(r["rank"], r.doc_id) for r in sorted(got, key=lambda r: r["rank"])] == [(1, 1), (2, 2), (3, 3)]
+
+
+def test_string_ids(spark):
+    pairs = [("b", "river"), ("a", "river"), (None, "river"), ("é", "stone"), ("c", "light")]
+    d = spark.createDataFrame(pairs, "doc_id string, text string")
+    got = ranked_search(d, table(spark, [("i", "river stone")], "item_id string, text string")).collect()
+    assert [r.doc_id for r in sorted(got, key=lambda r: r["rank"])] == ["é", None, "a", "b"]
+
+
+def test_empty_tables(spark, docs):
+    items = table(spark, ITEMS)
+    assert ranked_search(docs([]), items).collect() == []
+    assert ranked_search(docs([(1, None), (2, "--")]), items).collect() == []
+    assert ranked_search(docs(corpus()), table(spark, [])).collect() == []
+
+
+def test_pieces_hold_the_terms_of_a_long_text(monkeypatch):
+    monkeypatch.setattr(lexical, "_PIECE", 5)
+    text = "Stone-river x é12 longlonglong a " * 40
+    assert [t.decode() for piece in term_pieces(text) for t in piece] == terms(text)
+    assert list(term_pieces(None)) == []
+
+
+def test_products_are_exact_below_the_bound():
+    rng = np.random.default_rng(1)
+    dense = rng.integers(0, 44_000, (5, 9000)).astype(float)
+    own, term = np.arange(9000), np.arange(9000)
+    impact = rng.integers(0, 1_000_000, 9000)
+    got = tile_scores(dense, own, term, np.zeros(9000, np.int64), impact, 1)
+    assert got[:, 0].tolist() == [sum(int(w) * int(x) for w, x in zip(row, impact, strict=True)) for row in dense]
