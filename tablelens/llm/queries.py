@@ -21,6 +21,7 @@ from tablelens.llm.packing import pack_documents, word_tokenizer
 from tablelens.llm.quality import quality_posteriors
 from tablelens.llm.secret_scan import BASE_RULES, MORE_RULES, scan_secrets
 from tablelens.llm.simhash import simhash_components
+from tablelens.llm.suffix_dedup import remove_repeats
 from tablelens.llm.toxicity import toxicity
 from tablelens.llm.warc import archive_roundtrip
 from tablelens.sources.tables import read_parquet
@@ -210,6 +211,19 @@ def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_support(read_parquet(spark, sf_dir, "documents"), public_token_pair())
 
 
+@query("op12_suffix_dedup")
+def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = remove_repeats(read_parquet(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("bigint"), lambda total, x: total + x["end"] - x["begin"])
+    return found.select(
+        "doc_id",
+        "n_bytes",
+        removed.alias("n_removed"),
+        F.size("spans").cast("bigint").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def _lexical_terms(table: str, key: str) -> str:
     """``key, terms`` of each row that has a term, in DuckDB SQL."""
     upper = "".join(map(chr, range(65, 91)))
