@@ -14,7 +14,12 @@ numbers and are marked in an array of flags; n-grams with any other letter have
 numbers made of its code point and are kept sorted ("wide"), so no letter of any
 script is lost. Only n-grams of the landmarks enter the first product (wide ones
 are looked up instead), and a text's own number of n-grams its norm, so kernel
-values are exact.
+values are exact. Landmarks go through it in tiles, each with its own n-grams.
+
+Every language of the rows to learn from is learned and has a landmark. The fit
+needs sums over the sample only (kernel values by kernel values, and by
+language); tasks form them, with kernel values rounded to 1/65536, so they are
+whole numbers and add up to the same bits in any order.
 """
 
 from __future__ import annotations
@@ -34,15 +39,16 @@ from pyspark.sql import functions as F
 from tablelens.llm.common import pick, slices, sql_type, stage
 from tablelens.llm.samples import id_remainder
 
-#: Bounds on the sample: texts of each language, languages (the most frequent), and landmarks in all.
-PER_LANGUAGE, LANGUAGES, LANDMARKS = 300, 200, 128
+#: Bound on the sample: texts of each language. Landmarks in all, or one of each language if these are more.
+PER_LANGUAGE, LANDMARKS = 300, 128
+#: Landmarks in one matrix product, and the whole numbers that kernel values have in sums.
+TILE, _UNIT = 128, 1 << 16
 RIDGE = 1e-2
 #: Letters whose n-grams have small numbers (below about a million); the others' n-grams have large ones.
 ALPHABET = 95
 UNDETERMINED = "und"
 #: Texts in one matrix product, and characters whose n-grams are marked at once.
 BATCH, _CHUNK = 128, 1 << 20
-_HASHES = 1 << 20
 
 
 @cache
@@ -133,30 +139,53 @@ class Shared:
 
 
 @dataclass(frozen=True)
-class Model:
-    letters: str
-    languages: tuple[str, ...]
+class Tile:
+    """Some landmarks as a matrix of their small n-grams."""
+
     vocabulary: np.ndarray  # small numbers of the landmarks' n-grams, ascending
     presence: np.ndarray  # vocabulary x landmarks, 0 or 1, over the landmark's norm
     wide: Shared  # wide n-grams of the landmarks
     norms: np.ndarray  # root of each landmark's number of n-grams
+
+
+@dataclass(frozen=True)
+class Landmarks:
+    letters: str
+    tiles: list[Tile]
+
+    def kernel(self):
+        """A function from texts to their kernel values, texts x landmarks."""
+        spectrum = Spectrum(self.letters)
+
+        def values(texts: list[str]) -> np.ndarray:
+            x = [np.empty((len(texts), len(t.vocabulary)), dtype=np.float32) for t in self.tiles]
+            far = [np.zeros((len(texts), len(t.norms)), dtype=np.float32) for t in self.tiles]
+            size = np.empty(len(texts))
+            for i, text in enumerate(texts):
+                seen, wide = spectrum.read(text)
+                size[i] = np.count_nonzero(seen) + len(wide)
+                for k, t in enumerate(self.tiles):
+                    x[k][i] = seen[t.vocabulary]
+                    if len(wide):
+                        far[k][i] = t.wide.count(wide) / t.norms
+            products = [x[k] @ t.presence + far[k] for k, t in enumerate(self.tiles)]
+            return np.hstack(products) / np.sqrt(np.maximum(size, 1))[:, None]
+
+        return values
+
+
+@dataclass(frozen=True)
+class Model:
+    landmarks: Landmarks
+    languages: tuple[str, ...]
     coefficients: np.ndarray  # landmarks x languages
 
     def scorer(self):
         """A function from texts to ``(languages' numbers, scores)``; scores lie in 0..1."""
-        spectrum = Spectrum(self.letters)
+        kernel = self.landmarks.kernel()
 
         def score(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-            x = np.empty((len(texts), len(self.vocabulary)), dtype=np.float32)
-            size, far = np.empty(len(texts)), np.zeros((len(texts), len(self.norms)), dtype=np.float32)
-            for i, t in enumerate(texts):
-                seen, wide = spectrum.read(t)
-                x[i] = seen[self.vocabulary]
-                size[i] = np.count_nonzero(seen) + len(wide)
-                if len(wide):
-                    far[i] = self.wide.count(wide) / self.norms
-            kernel = (x @ self.presence + far) / np.sqrt(np.maximum(size, 1))[:, None]
-            values = kernel @ self.coefficients
+            values = kernel(texts) @ self.coefficients
             best = values.argmax(axis=1)
             top = values[np.arange(len(texts)), best]
             return best, np.clip((top + 1) / 2, 0, 1)
@@ -168,30 +197,25 @@ def has_letter(text: str | None) -> bool:
     return bool(text) and any(map(str.isalpha, text))
 
 
-def training_sample(docs: DataFrame, held_out_of: int, held_out: int, per_language: int, languages: int) -> DataFrame:
-    """``(text, lang, nth)``: up to ``per_language`` texts of each language, staged.
+def training_sample(docs: DataFrame, held_out_of: int, held_out: int, per_language: int) -> DataFrame:
+    """``(text, lang, nth)``: up to ``per_language`` non-empty texts of each language, staged.
 
-    A language's ids below a hash threshold, about four times as many as are
-    wanted whatever the number of its texts, are ranked by hash, and the first
-    are taken. Only the picked ids are broadcast.
+    Each language's rows with the smallest hashes of id and text, counted from
+    1. The first pass ranks hashes alone and finds the last one that a language
+    takes; the second takes the texts up to it. Rows are ranked, not ids, so an
+    id may have any number of rows, in any language.
     """
-    learn = (id_remainder(F.col("doc_id"), held_out_of) != held_out) & F.col("lang").isNotNull()
-    ids = docs.where(learn).select("doc_id", "lang")
-    known = ids.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(languages)
-    key = F.xxhash64(F.col("doc_id").cast("string"))
-    few = F.pmod(key, F.lit(_HASHES)) * F.col("n") < F.lit(4 * per_language * _HASHES)
-    order = Window.partitionBy("lang").orderBy(key, "doc_id")
-    picked = (
-        ids.join(F.broadcast(known), "lang")
-        .where(few)
-        .withColumn("nth", F.row_number().over(order))
-        .where(F.col("nth") <= per_language)
-        .drop("n")
-    )
-    found = docs.join(F.broadcast(picked), ["doc_id", "lang"]).select(F.coalesce("text", F.lit("")).alias("text"), "lang", "nth")
-    found = stage(found, "languages")
-    limit = per_language * languages
-    return found if found.count() <= limit else found.limit(limit)  # over it only if ids repeat
+    learn = (id_remainder(F.col("doc_id"), held_out_of) != held_out) & F.col("lang").isNotNull() & (F.length("text") > 0)
+    rows = docs.where(learn).select("lang", "text", F.xxhash64(F.col("doc_id").cast("string"), "text").alias("key"))
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy("key"))
+
+    def first(some: DataFrame) -> DataFrame:
+        return some.withColumn("nth", nth).where(F.col("nth") <= per_language)
+
+    last = first(rows.select("lang", "key")).groupBy("lang").agg(F.max("key").alias("last"))
+    # One row for each language, as many as the model has columns.
+    picked = rows.join(F.broadcast(last), "lang").where("key <= last").drop("last")
+    return stage(first(picked).select("text", "lang", "nth"), "languages")
 
 
 def _letters(sample: DataFrame, size: int) -> str:
@@ -209,70 +233,89 @@ def _letters(sample: DataFrame, size: int) -> str:
     return "".join(r["c"] for r in counts.orderBy(F.desc("n"), "c").limit(size).collect())
 
 
+def _landmarks(sample: DataFrame, letters: str, count: int) -> tuple[Landmarks, np.ndarray]:
+    """The first text of each language, then the second of each, ... up to ``count``, and their own kernel values.
+
+    Only their distinct n-grams come to the driver.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        spectrum = Spectrum(letters)
+        for b in slices(batches):
+            grams = [spectrum.grams(t) for t in b.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(grams, pa.list_(pa.int64())), *b.columns[1:]], ["grams", "lang", "nth"])
+
+    firsts = sample.orderBy("nth", "lang").limit(count)
+    rows = firsts.mapInArrow(run, f"grams array<bigint>, lang {sql_type(sample, 'lang')}, nth int").collect()
+    grams = [np.array(r["grams"]) for r in sorted(rows, key=lambda r: (r["nth"], r["lang"]))]
+    small, tiles = Spectrum(letters).small, []
+    for at in range(0, len(grams), TILE):
+        some = grams[at : at + TILE]
+        vocabulary = np.unique(np.concatenate(some))
+        vocabulary = vocabulary[vocabulary < small]
+        norms = np.sqrt([len(g) for g in some], dtype=np.float32)
+        presence = np.zeros((len(vocabulary), len(some)), dtype=np.float32)
+        for j, g in enumerate(some):
+            presence[np.searchsorted(vocabulary, g[g < small]), j] = 1
+        tiles.append(Tile(vocabulary, presence / norms, Shared([g[g >= small] for g in some]), norms))
+    norms, every = np.concatenate([t.norms for t in tiles]).astype(float), Shared(grams)
+    return Landmarks(letters, tiles), np.array([every.count(g) for g in grams]) / norms / norms[:, None]
+
+
+def _sums(sample: DataFrame, landmarks: Landmarks, names: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sums over the sample: kernel values by kernel values, kernel values by language, and rows by language."""
+    number = {n: i for i, n in enumerate(names)}
+    marks = sum(len(t.norms) for t in landmarks.tiles)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kernel = landmarks.kernel()
+        products, sums, counts = np.zeros((marks, marks)), np.zeros((len(names), marks)), np.zeros(len(names))
+        for b in slices(batches, BATCH):
+            values = np.rint(kernel(b.column(0).to_pylist()).astype(float) * _UNIT)  # sums stay below 2^53 for two million rows
+            language = np.array([number[x] for x in b.column(1).to_pylist()])
+            products += values.T @ values
+            np.add.at(sums, language, values)
+            counts += np.bincount(language, minlength=len(names))
+        if counts.any():
+            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()]) for x in (products, sums, counts)], ["p", "s", "c"])
+
+    total = [np.zeros(marks * marks), np.zeros(len(names) * marks), np.zeros(len(names))]
+    for row in sample.select("text", "lang").mapInArrow(run, "p binary, s binary, c binary").toLocalIterator():
+        for t, x in zip(total, row, strict=True):
+            t += np.frombuffer(x)
+    return total[0].reshape(marks, marks) / _UNIT**2, total[1].reshape(-1, marks) / _UNIT, total[2]
+
+
 def fit_languages(
     docs: DataFrame,
     held_out_of: int = 3,
     held_out: int = 1,
     per_language: int = PER_LANGUAGE,
-    languages: int = LANGUAGES,
     landmarks: int = LANDMARKS,
     ridge: float = RIDGE,
 ) -> Model | None:
     """Fit on ``docs`` (``doc_id, text, lang``); None if there is nothing to learn from.
 
     Learns from documents with a language whose id's crc32 (as text) leaves
-    another remainder than ``held_out``.
+    another remainder than ``held_out``. Every language with a non-empty text
+    among them is learned; there are ``landmarks`` landmarks, or one of each
+    language if these are more. The model grows with the number of languages,
+    not with texts or rows.
     """
-    sample = training_sample(docs, held_out_of, held_out, per_language, languages)
+    sample = training_sample(docs, held_out_of, held_out, per_language)
     letters = _letters(sample, ALPHABET)
     if not letters:
         return None
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        spectrum = Spectrum(letters)
-        for b in slices(batches):
-            grams = [spectrum.grams(t) for t in b.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(grams, pa.list_(pa.int64())), *b.columns[1:]], ["grams", "lang", "nth"])
-
-    rows = sample.mapInArrow(run, f"grams array<bigint>, lang {sql_type(sample, 'lang')}, nth int").collect()
-    rows = sorted((r for r in rows if r["grams"]), key=lambda r: (r["nth"], r["lang"], r["grams"]))
-    if not rows:
-        return None
-    names = tuple(sorted({r["lang"] for r in rows}))
-    marks = rows[:landmarks]  # the first of each language, then the second of each, ...
-    small = Spectrum(letters).small
-    vocabulary = np.unique(np.concatenate([r["grams"] for r in marks]))
-    vocabulary = vocabulary[vocabulary < small]
-
-    def beyond(r) -> np.ndarray:
-        g = np.array(r["grams"])
-        return g[g >= small]
-
-    wide = Shared([beyond(r) for r in marks])
-    norms = np.sqrt([len(r["grams"]) for r in marks], dtype=np.float32)
-
-    def presence(some: list) -> np.ndarray:
-        x = np.zeros((len(some), len(vocabulary)), dtype=np.float32)
-        for i, r in enumerate(some):
-            g = np.array(r["grams"])
-            x[i, np.searchsorted(vocabulary, g[np.isin(g, vocabulary, assume_unique=True)])] = 1
-        return x
-
-    own = presence(marks).T / norms
-    kernel = np.vstack(
-        [
-            (presence(part) @ own + np.array([wide.count(beyond(r)) for r in part]) / norms)
-            / np.sqrt([len(r["grams"]) for r in part])[:, None]
-            for part in (rows[i : i + BATCH] for i in range(0, len(rows), BATCH))
-        ]
-    ).astype(float)
-    values, vectors = np.linalg.eigh(kernel[: len(marks)])
+    names = sorted(r["lang"] for r in sample.where("nth = 1").select("lang").collect())
+    chosen, own = _landmarks(sample, letters, max(landmarks, len(names)))
+    products, sums, counts = _sums(sample, chosen, names)
+    values, vectors = np.linalg.eigh(own)
     sound = values > 1e-8 * values.max()
     whiten = vectors[:, sound] / np.sqrt(values[sound])
-    phi = kernel @ whiten
-    y = np.array([[1.0 if r["lang"] == n else -1.0 for n in names] for r in rows])
-    weights = np.linalg.solve(phi.T @ phi + ridge * len(rows) * np.eye(phi.shape[1]) / len(marks), phi.T @ y)
-    return Model(letters, names, vocabulary, own.astype(np.float32), wide, norms, (whiten @ weights).astype(np.float32))
+    inner = whiten.T @ products @ whiten
+    outer = whiten.T @ (2 * sums - sums.sum(axis=0)).T  # 1 for a language's own rows, -1 for the others
+    weights = np.linalg.solve(inner + ridge * counts.sum() * np.eye(len(inner)) / len(own), outer)
+    return Model(chosen, tuple(names), (whiten @ weights).astype(np.float32))
 
 
 def identify_languages(

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tablelens.llm.langid import Shared, Spectrum, fit_languages, identify_languages
+from tablelens.llm.langid import Shared, Spectrum, fit_languages, identify_languages, training_sample
 from tablelens.llm.quality import keep_good, quality_posteriors, shape
 from tablelens.llm.queries import op6_toxicity, op7_language, op8_quality, quality_scores
 from tablelens.llm.toxicity import (
@@ -213,14 +213,88 @@ def test_spectrum_is_the_set_of_ngrams():
 def test_kernel_is_exact(docs, spark, tables):
     d = tables[0].select("doc_id", "text", "lang")
     model = fit_languages(d, landmarks=16, per_language=20)
-    s = Spectrum(model.letters)
+    s = Spectrum(model.landmarks.letters)
     texts = [r.text for r in d.limit(20).collect()]
-    x = np.array([s.mark(t)[model.vocabulary] for t in texts], dtype=float)
-    inside = x @ (model.presence > 0)
-    for t, row in zip(texts, inside, strict=True):
+    (tile,) = model.landmarks.tiles
+    marks = [set(tile.vocabulary[tile.presence[:, j] > 0].tolist()) for j in range(16)]
+    for t, row in zip(texts, model.landmarks.kernel()(texts), strict=True):
         own = set(s.grams(t).tolist())
-        marks = [set(model.vocabulary[model.presence[:, j] > 0].tolist()) for j in range(16)]
-        assert row.tolist() == [len(own & m) for m in marks]
+        assert np.allclose(row, [len(own & m) / np.sqrt(len(own) * len(m)) for m in marks], atol=1e-6)
+
+
+def test_tiles_of_landmarks_change_nothing(tables, monkeypatch):
+    d = tables[0].select("doc_id", "text", "lang")
+    texts = [r.text for r in d.limit(30).collect()]
+    one = fit_languages(d, landmarks=20, per_language=10)
+    monkeypatch.setattr("tablelens.llm.langid.TILE", 7)
+    many = fit_languages(d.repartition(5), landmarks=20, per_language=10)
+    assert [len(t.norms) for t in many.landmarks.tiles] == [7, 7, 6]
+    assert np.allclose(one.landmarks.kernel()(texts), many.landmarks.kernel()(texts), atol=1e-6)
+    assert np.allclose(one.coefficients, many.coefficients, atol=1e-3)
+
+
+def test_fit_equals_plain_kernel_ridge_on_landmarks(tables):
+    """The whole fit with sets and dense matrices."""
+    d = tables[0].select("doc_id", "text", "lang")
+    model = fit_languages(d, landmarks=12, per_language=15)
+    rows = training_sample(d, 3, 1, 15).collect()
+    rows.sort(key=lambda r: (r.nth, r.lang))
+    s = Spectrum(model.landmarks.letters)
+    sets = [set(s.grams(r.text).tolist()) for r in rows]
+    k = np.array([[len(a & b) / np.sqrt(len(a) * len(b)) for b in sets[:12]] for a in sets])
+    values, vectors = np.linalg.eigh(k[:12])
+    phi = k @ (vectors / np.sqrt(values))
+    y = np.array([[1.0 if r.lang == n else -1.0 for n in model.languages] for r in rows])
+    w = np.linalg.solve(phi.T @ phi + 1e-2 * len(rows) / 12 * np.eye(12), phi.T @ y)
+    texts = [r.text for r in d.limit(200).collect() if r.text]
+    near = [set(s.grams(t).tolist()) for t in texts]
+    kernel = np.array([[len(a & b) / np.sqrt(len(a) * len(b)) for b in sets[:12]] for a in near])
+    want = kernel @ (vectors / np.sqrt(values)) @ w
+    best, score = model.scorer()(texts)
+    assert np.allclose(score, np.clip((want.max(axis=1) + 1) / 2, 0, 1), atol=2e-3)
+    assert np.mean(best == want.argmax(axis=1)) > 0.99
+
+
+ENGLISH = "the house and the river were old but the people of this town walked there every day".split()
+GERMAN = "das Haus und der Fluss waren alt aber die Leute aus dieser Stadt gingen dort jeden Tag".split()
+
+
+@pytest.mark.parametrize("one_id", [7, 11, 13, 23])
+@pytest.mark.parametrize("other", ["de", "en"])
+def test_one_id_for_a_whole_language(docs, one_id, other):
+    rng = random.Random(one_id)
+    text = lambda words: " ".join(rng.sample(words, 9))
+    rows = [(i if other != "en" else one_id, text(ENGLISH), "en") for i in range(800)]
+    rows += [(one_id if other != "en" else 5000 + i, text(GERMAN), "de") for i in range(800)]
+    rng.shuffle(rows)
+    d = docs([r[:2] for r in rows], langs=[r[2] for r in rows])
+    sample = training_sample(d.select("doc_id", "text", "lang"), 3, 1, 50)
+    learned = {"en", "de"} if crc(one_id, 3) != 1 else {"en" if other == "de" else "de"}
+    assert {(r.lang, r.n) for r in sample.groupBy("lang").agg(F.count("*").alias("n")).collect()} == {(x, 50) for x in learned}
+    model = fit_languages(d.select("doc_id", "text", "lang"))
+    assert set(model.languages) == learned
+    if len(learned) == 2:
+        best, _ = model.scorer()([text(ENGLISH), text(GERMAN)])
+        assert [model.languages[i] for i in best] == ["en", "de"]
+
+
+def test_copies_of_one_row_keep_the_bound_and_the_others(docs):
+    rows = [(7, "the very same words", "en")] * 900 + [(i, f"other words {i}", "en") for i in range(100, 160)]
+    d = docs([r[:2] for r in rows], langs=[r[2] for r in rows]).select("doc_id", "text", "lang")
+    first = sorted(map(tuple, training_sample(d.repartition(7), 3, 2, 30).collect()))
+    assert len(first) == 30 and first == sorted(map(tuple, training_sample(d.repartition(2), 3, 2, 30).collect()))
+
+
+def test_every_language_is_learned(docs):
+    rng = random.Random(1)
+    words = {f"l{k:03d}": ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=5)) for _ in range(12)] for k in range(300)}
+    rows = [(i, " ".join(rng.sample(words[k], 9)), k) for i, (k, _) in enumerate((k, n) for k in words for n in range(6))]
+    d = docs([r[:2] for r in rows], langs=[r[2] for r in rows])
+    model = fit_languages(d.select("doc_id", "text", "lang"))
+    learned = {k for i, _, k in rows if crc(i, 3) != 1}
+    assert set(model.languages) == learned and sum(len(t.norms) for t in model.landmarks.tiles) == len(learned) > 128
+    out = identify_languages(d).collect()
+    assert np.mean([r.lang_pred == rows[r.doc_id][2] for r in out if r.held_out and rows[r.doc_id][2] in learned]) > 0.95
 
 
 def test_language_edges(docs, clashing):
@@ -257,7 +331,7 @@ def test_letters_beyond_the_alphabet_tell_languages_apart(docs):
     rows = identify_languages(docs(pairs, langs=langs)).collect()
     assert np.mean([r.lang_pred == langs[r.doc_id] for r in rows if r.held_out]) > 0.97
     model = fit_languages(docs(pairs, langs=langs).select("doc_id", "text", "lang"), landmarks=300)
-    assert len(model.letters) == 95 and not set("\u3041\uac00") <= set(model.letters)
+    assert len(model.landmarks.letters) == 95 and not set("\u3041\uac00") <= set(model.landmarks.letters)
 
 
 def test_wide_ngrams_are_exact():
