@@ -3,7 +3,8 @@
 Two tokenizers cut the same bytes. An interval of tokens is divided at a byte
 offset where tokens of both end, the one nearest to its middle that a bisection
 finds; both halves are divided in turn, and an interval without such an offset
-is a leaf: one group of tokens of A facing tokens of B.
+is a leaf: one group of tokens of A facing tokens of B. All intervals of a
+batch take each step together, as arrays.
 
 Offsets before the white space that follows a word are shared cuts of every
 text for the tokenizers used here (A's pattern never takes white space after
@@ -16,11 +17,10 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import json
 import os
 import re
-from bisect import bisect_left
 from collections.abc import Callable, Iterator
-from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from tablelens.llm.common import pick, slices, sql_type, stage
 
 #: Chunks that a Python worker remembers (twice as many at most), and the longest such chunk in characters.
-CACHE, CACHED_CHARS = 150_000, 48
+CACHE, CACHED_CHARS = 250_000, 48
 #: Id pairs up to which their counts are broadcast (16 bytes each); more are joined by shuffle.
 PAIR_LIMIT = 2_000_000
 _B_BITS = 32
@@ -39,53 +39,54 @@ _CHUNK = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
 _CUT = re.compile(r"(?<![ \n])[ \n]")
 _OTHER_SPACE = re.compile(r"[^\S \n]")
 _PIECE = 1 << 20
+#: Chunks that are encoded together: words of long-known letters, without white space at the end.
+_PLAIN = re.compile("[ \n]*[!-~\u00a1-\u024f\u0370-\u0373\u0386-\u03ce\u0400-\u0481\u048a-\u0513\u3041-\u3094\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3]{1,400}")
 
 
-def divide(a_ends: list[int], b_ends: list[int]) -> list[tuple[int, int, int, int]]:
-    """Leaf groups ``(a0, a1, b0, b1)`` of two token sequences over the same bytes, in order.
+def divide(a_ends: np.ndarray, b_ends: np.ndarray, a_cuts: np.ndarray, b_cuts: np.ndarray) -> np.ndarray:
+    """Leaf groups, rows ``a0, a1, b0, b1`` in order, of two token sequences over the same bytes.
 
-    ``a_ends`` and ``b_ends`` ascend and have the same last value. Every end
-    of A is looked up in B at most once: an interval hands on which of its
-    ends are known not to be shared.
+    ``a_ends`` and ``b_ends`` ascend and have the same last value; ``a_cuts``
+    and ``b_cuts`` are the tokens before which known shared cuts lie (the
+    last: all tokens). An interval looks up the ends of A in B from its middle
+    outwards until one is shared, and hands on which are known not to be, so
+    every end is looked up at most once.
     """
-    leaves = []
-    # (a0, a1, b0, b1, low, high): no end of A in [low, high) is shared
-    todo = [(0, len(a_ends), 0, len(b_ends), 0, 0)] if a_ends else []
-    while todo:
-        a0, a1, b0, b1, low, high = todo.pop()
-        cut = None
-        if a1 - a0 > 1 and b1 - b0 > 1:
-            if low >= high:
-                begin = a_ends[a0 - 1] if a0 else 0
-                low = high = bisect_left(a_ends, (begin + a_ends[a1 - 1]) // 2, a0, a1 - 1)
-            while cut is None and (low > a0 or high < a1 - 1):
-                if low > a0:
-                    low -= 1
-                    cut = _shared(a_ends[low], low, b_ends, b0, b1)
-                if cut is None and high < a1 - 1:
-                    cut = _shared(a_ends[high], high, b_ends, b0, b1)
-                    high += 1
-        if cut is None:
-            leaves.append((a0, a1, b0, b1))
-            continue
-        i, j = cut  # the last tokens before the cut
-        todo.append((i + 1, a1, j + 1, b1, *((i + 1, high) if i < high - 1 else (0, 0))))
-        todo.append((a0, i + 1, b0, j + 1, *((low, i) if low < i else (0, 0))))
-    return leaves
-
-
-def _shared(end: int, i: int, b_ends: list[int], b0: int, b1: int) -> tuple[int, int] | None:
-    j = bisect_left(b_ends, end, b0, b1)
-    return (i, j) if j < b1 and b_ends[j] == end else None
-
-
-def overlaps(a_ends: list[int], b_ends: list[int], leaf: tuple[int, int, int, int]) -> Iterator[tuple[int, int]]:
-    """Token pairs of a leaf whose byte ranges overlap."""
-    i, a1, j, b1 = leaf
-    while i < a1 and j < b1:
-        yield i, j
-        x, y = a_ends[i], b_ends[j]
-        i, j = i + (x <= y), j + (y <= x)
+    if not len(a_cuts):
+        return np.empty((0, 4), np.int64)
+    a0, b0 = np.append(0, a_cuts[:-1]), np.append(0, b_cuts[:-1])
+    # a0, a1, b0, b1, low, high: no end of A in [low, high) is shared; middles are found below
+    todo = np.stack([a0, a_cuts, b0, b_cuts, a0, a0], axis=1)
+    fresh, leaves = np.ones(len(todo), bool), []
+    while len(todo):
+        a0, a1, b0, b1, low, high = todo.T
+        begin = np.where(a0 > 0, a_ends[a0 - 1], 0)
+        middle = np.clip(np.searchsorted(a_ends, (begin + a_ends[a1 - 1]) // 2), a0, a1 - 1)
+        low, high = np.where(fresh, middle, low), np.where(fresh, middle, high)
+        below, above = low > a0, high < a1 - 1
+        leaf = (a1 - a0 == 1) | (b1 - b0 == 1) | ~(below | above)
+        leaves.append(todo[leaf, :4])
+        a0, a1, b0, b1, low, high, below, above = (x[~leaf] for x in (a0, a1, b0, b1, low, high, below, above))
+        down = below & (~above | ((high - low) % 2 == 0))
+        i = np.where(down, low - 1, high)  # the end that is looked up
+        j = np.searchsorted(b_ends, a_ends[i])
+        shared = b_ends[j] == a_ends[i]
+        low, high = np.where(down, i, low), np.where(down, high, i + 1)
+        on = np.stack([a0, a1, b0, b1, low, high], axis=1)[~shared]
+        # Halves at a shared end; where it lies beside the known zone, one of them has the zone to itself.
+        a0, a1, b0, b1, low, high, i, j, down = (x[shared] for x in (a0, a1, b0, b1, low, high, i, j, down))
+        left = np.stack([a0, i + 1, b0, j + 1, low, np.where(down, low, i)], axis=1)
+        right = np.stack([i + 1, a1, j + 1, b1, i + 1, np.where(down, high, i + 1)], axis=1)
+        todo = np.concatenate([on, left, right])
+        fresh = todo[:, 4] >= todo[:, 5]
+    found = np.concatenate(leaves)
+    return found[np.argsort(found[:, 0])]
+
+
+def overlaps(a_ends: np.ndarray, b_ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Token pairs whose byte ranges overlap, in order, and where their overlap ends: one for each end of either."""
+    ends = np.union1d(a_ends, b_ends)
+    return np.searchsorted(a_ends, ends), np.searchsorted(b_ends, ends), ends
 
 
 class TokenPair:
@@ -98,7 +99,9 @@ class TokenPair:
 
     def __init__(self, a_path: str, b_path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        import public_tokenizers
         import sentencepiece
+        import tiktoken
         from tokenizers import Tokenizer
 
         self._a = Tokenizer.from_file(a_path)
@@ -108,51 +111,87 @@ class TokenPair:
         printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
         others = [x for x in range(256) if x not in printable]
         byte_of = {chr(x): x for x in printable} | {chr(0x100 + n): x for n, x in enumerate(others)}
-        self._a_bytes = {
-            i: bytes(byte_of[c] for c in t) if all(c in byte_of for c in t) else t.encode("utf-8")
-            for t, i in self._a.get_vocab(with_added_tokens=True).items()
-        }
+        with open(a_path, encoding="utf-8") as f:
+            vocabulary = json.load(f)["model"]["vocab"]
+        raw = {bytes(byte_of[c] for c in t): i for t, i in vocabulary.items() if all(c in byte_of for c in t)}
+        # A's merges are ranked by id: the same BPE, some six times as fast on many words at once.
+        self._words = tiktoken.Encoding("a", pat_str=public_tokenizers.PATTERN, mergeable_ranks=raw, special_tokens={})
+        self._a_bytes = [t.encode("utf-8") for t, _ in sorted(self._a.get_vocab(with_added_tokens=True).items(), key=lambda x: x[1])]
+        for t, i in raw.items():
+            self._a_bytes[i] = t
         pieces = [self._b.id_to_piece(i) for i in range(self._b.get_piece_size())]
         self._b_bytes = [
             bytes([int(p[3:5], 16)]) if self._b.is_byte(i) else p.replace("▁", " ").encode("utf-8")
             for i, p in enumerate(pieces)
         ]
+        self._a_sizes, self._b_sizes = (np.array([len(x) for x in t]) for t in (self._a_bytes, self._b_bytes))
+        # Decimal ids with what follows them: A's "," and "|", B's "," and ";".
+        self._text = [b"%d%s" % (i, mark) for t, marks in ((self._a_bytes, (b",", b"|")), (self._b_bytes, (b",", b";"))) for mark in marks for i in range(len(t))]
         self._space = self._b.piece_to_id("▁")
         if any(re.search("[^▁]▁|\n", p) for p in pieces):
             raise ValueError("pieces cross the white space at which texts are cut")
         self._new: dict[str, tuple | None] = {}
         self._old: dict[str, tuple | None] = {}
 
-    def _encode(self, chunks: list[str]) -> Iterator[tuple[list[int], list[int]]]:
-        a = self._a.encode_batch_fast(chunks, add_special_tokens=False)
-        # B puts a space before what it is given: a chunk's own, or one that is taken off again.
-        b = self._b.encode([c[1:] if c[0] == " " else c for c in chunks], num_threads=1)
-        for c, x, y in zip(chunks, a, b, strict=True):
-            if c == " ":  # nothing else is left, and B gives nothing for it
-                y = [self._space]
-            elif c[0] != " ":
-                y = y[1:]
-            yield x.ids, y
-
-    def _entry(self, chunk: str, a: list[int], b: list[int]) -> tuple | None:
-        raw, a_bytes, b_bytes = chunk.encode("utf-8"), [self._a_bytes[i] for i in a], [self._b_bytes[i] for i in b]
-        if b"".join(a_bytes) != raw or b"".join(b_bytes) != raw:
-            return None
-        a_ends, b_ends = list(accumulate(map(len, a_bytes))), list(accumulate(map(len, b_bytes)))
-        leaves = divide(a_ends, b_ends)
-        text = ";".join(f"{','.join(map(str, a[s:e]))}|{','.join(map(str, b[t:f]))}" for s, e, t, f in leaves)
-        links = np.array([a[i] << _B_BITS | b[j] for leaf in leaves for i, j in overlaps(a_ends, b_ends, leaf)], "<i8")
-        return len(a), len(b), len(leaves), text.encode("ascii"), links.tobytes()
+    def _encode(self, text: str, words: bool) -> tuple[list[int], list[int]]:
+        a = self._words.encode_ordinary(text) if words else self._a.encode(text, add_special_tokens=False).ids
+        # B puts a space before what it is given: the text's own, or one that is taken off again.
+        if text == " ":  # nothing else is left, and B gives nothing for it
+            return a, [self._space]
+        b = self._b.encode(text[1:] if text[0] == " " else text)
+        return a, b if text[0] == " " else b[1:]
+
+    def _fresh(self, chunks: list[str], words: bool) -> list[tuple | None]:
+        """Entries of chunks that are encoded as one text."""
+        text = "".join(chunks)
+        a, b = self._encode(text, words)
+        raw = text.encode("utf-8")
+        if b"".join([self._a_bytes[i] for i in a]) != raw or b"".join([self._b_bytes[i] for i in b]) != raw:
+            return [None] if len(chunks) == 1 else [e for c in chunks for e in self._fresh([c], words)]
+        a, b = np.array(a, np.int64), np.array(b, np.int64)
+        a_ends, b_ends = np.cumsum(self._a_sizes[a]), np.cumsum(self._b_sizes[b])
+        stops = np.cumsum([len(c.encode("utf-8")) for c in chunks])
+        a_cuts, b_cuts = np.searchsorted(a_ends, stops) + 1, np.searchsorted(b_ends, stops) + 1
+        leaves = divide(a_ends, b_ends, a_cuts, b_cuts)
+        groups = np.searchsorted(leaves[:, 1], a_cuts) + 1
+        i, j, ends = overlaps(a_ends, b_ends)
+        links = (a[i] << _B_BITS | b[j]).astype("<i8").tobytes()
+        link_stops = 8 * (np.searchsorted(ends, stops) + 1)
+        # Tokens in the order of the group text: a leaf's tokens of A, then those of B.
+        a0, a1, b0, b1 = leaves.T
+        order = np.empty(len(a) + len(b), np.int64)
+        order[np.arange(len(a)) + np.repeat(b0, a1 - a0)] = a
+        order[np.arange(len(b)) + np.repeat(a1, b1 - b0)] = b + 2 * len(self._a_sizes)
+        order[a1 - 1 + b0] += len(self._a_sizes)
+        order[b1 - 1 + a1] += len(self._b_sizes)
+        texts, text_stops = [self._text[k] for k in order.tolist()], a_cuts + b_cuts
+
+        def parts(stops: np.ndarray) -> Iterator[tuple[int, int]]:
+            return zip([0, *stops[:-1].tolist()], stops.tolist(), strict=True)
+
+        return [
+            (e - s, f - t, h - g, b"".join(texts[u:v])[:-1], links[x:y])
+            for (s, e), (t, f), (g, h), (u, v), (x, y) in zip(
+                *map(parts, (a_cuts, b_cuts, groups, text_stops, link_stops)), strict=True
+            )
+        ]
 
     def _entries(self, chunks: set[str]) -> dict[str, tuple | None]:
-        """Entries of all ``chunks``; those that were not remembered are encoded together."""
-        known = {c: memory[c] for memory in (self._old, self._new) for c in chunks & memory.keys()}
-        fresh = list(chunks - known.keys())
-        if fresh:
-            known |= {c: self._entry(c, *ids) for c, ids in zip(fresh, self._encode(fresh), strict=True)}
-        if len(self._new) + len(known) > CACHE:
-            self._old, self._new = self._new, {}
-        self._new.update((c, e) for c, e in known.items() if len(c) <= CACHED_CHARS)
+        """Entries of all ``chunks``; of those that were not remembered, words are encoded together."""
+        new, old = self._new, self._old
+        known = {c: new[c] for c in chunks & new.keys()}
+        fresh = chunks - known.keys()
+        found = {c: old[c] for c in fresh & old.keys()}
+        fresh -= found.keys()
+        words = [c for c in fresh if _PLAIN.fullmatch(c)]
+        if words:
+            found.update(zip(words, self._fresh(words, True), strict=True))
+        for c in fresh.difference(words):
+            found[c] = self._fresh([c], False)[0]
+        if len(new) + len(found) > CACHE:
+            self._old, self._new = new, {}
+        self._new.update((c, e) for c, e in found.items() if len(c) <= CACHED_CHARS)
+        known.update(found)
         return known
 
     def align(self, texts: list[str | None]) -> Iterator[tuple[list[tuple], bool]]:
@@ -214,7 +253,7 @@ def aligned_tokens(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pair = tokenizers()
-        for b in slices(batches, 128):
+        for b in slices(batches, 256):
             counts, groups, links = [], [], []
             for entries, whole in pair.align(b.column(1).to_pylist()):
                 n_a, n_b, n_groups, texts, own = zip(*entries, strict=True) if whole else ((),) * 5

@@ -2,6 +2,7 @@ import hashlib
 import random
 from collections import Counter
 
+import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
@@ -67,22 +68,32 @@ def test_leaves_are_the_intervals_between_shared_ends():
         n = rng.randint(1, 40)
         a = sorted({*rng.sample(range(1, n + 1), rng.randint(0, n)), n})
         b = sorted({*rng.sample(range(1, n + 1), rng.randint(0, n)), n})
-        leaves = divide(a, b)
-        assert [a[x[1] - 1] for x in leaves] == sorted({*a} & {*b})
+        common = sorted({*a} & {*b})
+        known = sorted({*rng.sample(common, rng.randint(0, len(common))), n})
+        cuts = [np.searchsorted(x, known) + 1 for x in (a, b)]
+        leaves = divide(np.array(a), np.array(b), *cuts).tolist()
+        assert [a[x[1] - 1] for x in leaves] == common
         assert [x[0] for x in leaves] == [0, *[x[1] for x in leaves[:-1]]]
         assert [x[2] for x in leaves] == [0, *[x[3] for x in leaves[:-1]]]
         spans = [list(zip([0, *e], e, strict=False)) for e in (a, b)]
         want = [(i, j) for i, x in enumerate(spans[0]) for j, y in enumerate(spans[1]) if x[0] < y[1] and y[0] < x[1]]
-        assert [p for leaf in leaves for p in overlaps(a, b, leaf)] == want
-    assert divide([], []) == []
+        i, j, _ = overlaps(np.array(a), np.array(b))
+        assert list(zip(i.tolist(), j.tolist(), strict=True)) == want
+    none = np.array([], np.int64)
+    assert divide(none, none, none, none).tolist() == []
 
 
 def test_each_end_is_looked_up_once(monkeypatch):
-    looked = Counter()
-    plain = alignment._shared
-    monkeypatch.setattr(alignment, "_shared", lambda end, *rest: looked.update([end]) or plain(end, *rest))
-    a = [*range(2, 4000, 2), 4001]
-    assert len(divide(a, [*range(1, 40), 3990, 4001])) == 21
+    looked, plain = Counter(), np.searchsorted
+    a, b = np.array([*range(2, 4000, 2), 4001]), np.array([*range(1, 40), 3990, 4001])
+
+    def search(ends, some, *rest):
+        if ends is b:
+            looked.update(np.atleast_1d(some).tolist())
+        return plain(ends, some, *rest)
+
+    monkeypatch.setattr(alignment.np, "searchsorted", search)
+    assert len(divide(a, b, np.array([len(a)]), np.array([len(b)]))) == 21
     assert max(looked.values()) == 1
 
 
@@ -99,6 +110,17 @@ def test_chunks_encode_like_whole_texts(reference):
     assert zeros > 10  # texts that a tokenizer changes
 
 
+def test_words_of_many_scripts_encode_like_the_tokenizer(reference):
+    pair = token_pair(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+    rng = random.Random(6)
+    scripts = [(0x21, 0x7F), (0xA1, 0x250), (0x370, 0x374), (0x386, 0x3CF), (0x400, 0x482), (0x48A, 0x514), (0x3041, 0x3095), (0x30A1, 0x30FB), (0x4E00, 0x9FA6), (0xAC00, 0xD7A4)]
+    some = [" ".join("".join(chr(rng.randrange(*rng.choice(scripts))) for _ in range(rng.randint(1, 8))) for _ in range(12)) for _ in range(1500)]
+    for text, (entries, _) in zip(some, pair.align(some), strict=True):
+        n_a, n_b, groups, links = reference(text)
+        assert b";".join(e[3] for e in entries).decode() == grouped(groups), repr(text)
+        assert np.frombuffer(b"".join(e[4] for e in entries), "<i8").tolist() == [a << 32 | b for a, b in links]
+
+
 def test_pieces_of_a_long_text_keep_its_chunks(monkeypatch):
     text = "one  two\n \nthree four " * 50
     whole = [c for piece in chunk_lists(text) for c in piece]
