@@ -88,6 +88,22 @@ def _over(table: str, sql: str) -> str:
     return f"WITH cells AS {table}" + (", " + sql[len("WITH ") :] if sql.startswith("WITH ") else " " + sql)
 
 
+# -------------------------------------------------- cells with line breaks
+
+_DOC_CELLS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+@query(
+    "csv_line_breaks",
+    "SELECT CAST(doc_id AS VARCHAR) AS doc_id, coalesce(text, '') AS text, lang, source, CAST(n_chars AS VARCHAR) AS n_chars FROM documents",
+)
+def csv_line_breaks(spark, sf):
+    """Whole texts, with their line feeds, through CSV files that are read by split."""
+    target = shared_dir(spark, "documents-text")
+    write_delimited(_t(spark, sf, "documents").select(*_DOC_CELLS), target)
+    return read_table(spark, target, sep=",").withColumn("text", F.coalesce("text", F.lit("")))
+
+
 # ----------------------------------------------------------------------- ads
 
 

@@ -12,6 +12,8 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tablelens.sources.records import has_line_breaks, records
+
 
 def sniff_delimiter(spark: SparkSession, path: str) -> str:
     """Tab if the first line holds more tabs than commas, else comma.
@@ -33,6 +35,7 @@ def read_table(
     encoding: str = "UTF-8",
     nulls: str | Iterable[str] | None = None,
     row_seq: str | None = None,
+    line_breaks: bool | None = None,
 ) -> DataFrame:
     """Header-row delimited text as an all-string DataFrame.
 
@@ -49,23 +52,34 @@ def read_table(
       lines do. It is the ``order_by`` of "first groups", prefix samples and
       the reports, which leave it out of typing, profiles and dedup.
 
-    ``multi_line=True`` allows newlines inside quoted cells but makes each file
-    one task's work; without it files are split.
+    Quoted cells may hold line breaks, and files are split all the same
+    (``sources.records``). By default (``line_breaks=None``) one scan looks for
+    a line that ends inside a cell; it stops at the first, and without one the
+    files go through Spark's reader by lines. ``True`` skips that look,
+    ``False`` says that there are none. ``multi_line=True`` has Spark's reader
+    take each file as one task's work; encodings other than UTF-8 are read so
+    unless ``line_breaks=False``. Records read by split end at line feeds.
     """
     sep = sep or sniff_delimiter(spark, path)
+    utf8 = encoding.upper().replace("-", "") == "UTF8"
+    multi_line = multi_line or not utf8 and line_breaks is not False
+    cell_options = {"sep": sep, "quote": '"', "escape": '"', "mode": "PERMISSIVE"}
     d = (
-        spark.read.option("header", True)
-        .option("sep", sep)
-        .option("quote", '"')
-        .option("escape", '"')
+        spark.read.options(**cell_options)
+        .option("header", True)
         .option("multiLine", multi_line)
-        .option("mode", "PERMISSIVE")
         .option("inferSchema", False)
         .option("encoding", encoding)
         .csv(path)
     )
     names = [c.strip() for c in d.columns]
-    if row_seq is None:
+    if line_breaks is None:
+        line_breaks = utf8 and not multi_line and has_line_breaks(spark, path, sep)
+    if line_breaks and not multi_line:
+        cells = F.from_csv("record", ", ".join(f"_{i} string" for i in range(len(names))), cell_options | {"multiLine": "true"})
+        rows = records(spark, path, sep).where("NOT head").select(cells.alias("cells"), F.struct("path", "split", "line").alias("place"))
+        d = rows.select("cells.*", *["place"] * (row_seq is not None)).toDF(*names, *[row_seq] * (row_seq is not None))
+    elif row_seq is None:
         d = d.toDF(*names)
     else:
         place = F.struct(

@@ -1,5 +1,8 @@
 """Delimited-text fixtures of FIXTURES.md §2."""
 
+import csv
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -186,10 +189,68 @@ def test_row_seq_over_files_of_unequal_size(spark, tmp_path):
         assert report(doubled, key_sets=[["page"]], order_by="row_seq")["overview"].first().duplicates_removed == 542
 
 
-def test_line_breaks_in_cells_need_multi_line(spark, write):
+def test_line_breaks_in_cells(spark, write):
     p = write("multi.csv", 'a,b\n"x\ny",1\nz,2\n')
-    assert {r.a for r in read_table(spark, p, multi_line=True).collect()} == {"x\ny", "z"}
-    assert read_table(spark, p).count() == 3
+    for how in ({}, {"line_breaks": True}, {"multi_line": True}):
+        assert {(r.a, r.b) for r in read_table(spark, p, **how).collect()} == {("x\ny", "1"), ("z", "2")}
+    assert read_table(spark, p, line_breaks=False).count() == 3
+
+
+@pytest.fixture
+def small_splits(spark):
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "60")
+    yield
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def _cells(rng):
+    parts = ["a", "b", '"', ",", "\n", "x y", " ", "\r\n", '""', "é", "\n\n\n" * 9]
+    return "".join(rng.choices(parts, k=rng.randint(0, 6)))
+
+
+@pytest.mark.parametrize("sep", [",", "\t"])
+def test_records_of_many_splits_equal_the_csv_module(spark, tmp_path, small_splits, sep):
+    rng, want = random.Random(len(sep) + ord(sep)), {}
+    for name, n in (("a", 60), ("b", 4), ("c", 33)):
+        rows = [[f"{name}{i}", *[_cells(rng) for _ in range(3)]] for i in range(n)]
+        with open(tmp_path / f"{name}.csv", "w", encoding="utf-8", newline="") as f:
+            csv.writer(f, delimiter=sep, lineterminator="\n").writerows([["k", " x ", "y", "z"], *rows])
+        want.update({r[0]: r[1:] for r in rows})
+    d = read_table(spark, str(tmp_path), sep=sep, row_seq="place")
+    assert d.columns == ["k", "x", "y", "z", "place"]
+    rows = d.orderBy("place").collect()
+    assert [r.k for r in rows] == list(want)
+    assert {r.k: [r.x or "", r.y or "", r.z or ""] for r in rows} == want
+    assert len({(r.place.path, r.place.split) for r in rows}) > 20  # tasks of three files
+
+
+def test_records_with_bare_and_open_quotes(spark, tmp_path, small_splits):
+    """Quotes inside a cell that does not begin with one are characters; an open cell ends with its file."""
+    (tmp_path / "a.csv").write_text('k,v\n1,5" pipe\n2,say "hi"\n3,"x"y"\n' + "4,plain\n" * 20 + '5,"open\nuntil the end', encoding="utf-8")
+    (tmp_path / "b.csv").write_text('k,v\r\n6,"one\r\ntwo"\r\n\r\n7,last\r\n', encoding="utf-8", newline="")
+    got = {r.k: r.v for r in read_table(spark, str(tmp_path), line_breaks=True).collect()}
+    assert got.keys() == set("1234567")
+    assert (got["1"], got["2"], got["4"], got["6"], got["7"]) == ('5" pipe', 'say "hi"', "plain", "one\r\ntwo", "last")
+    assert "until the end" in got["5"]
+
+
+def test_records_ragged_and_without_rows(spark, tmp_path, small_splits):
+    (tmp_path / "a.csv").write_text('a,b,c\n"1\n",2\n3,4,5,6\n', encoding="utf-8")
+    assert sorted(map(tuple, read_table(spark, str(tmp_path)).collect()), key=str) == [("1\n", "2", None), ("3", "4", "5")]
+    (tmp_path / "a.csv").write_text("a,b\n", encoding="utf-8")
+    assert read_table(spark, str(tmp_path), line_breaks=True).collect() == []
+
+
+def test_files_without_line_breaks_are_read_without_a_shuffle(spark, write, capsys):
+    d = read_table(spark, write("plain.csv", 'id,text\n1,"a, b"\n2,"say ""hi"""\n'))
+    d.explain()
+    assert "Exchange" not in capsys.readouterr().out
+
+
+def test_other_encodings_keep_line_breaks(spark, tmp_path):
+    p = tmp_path / "latin.csv"
+    p.write_bytes('a,b\n"é\nü",1\n'.encode("latin-1"))
+    assert [tuple(r) for r in read_table(spark, str(p), encoding="ISO-8859-1").collect()] == [("é\nü", "1")]
 
 
 def test_first_line_counts_is_no_query_of_a_table():
