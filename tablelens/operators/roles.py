@@ -163,6 +163,16 @@ def role_expr(threshold: float = 0.8, inclusive: bool = False) -> Column:
     )
 
 
+def role_of_ratios(
+    ratios: DataFrame, threshold: float = 0.8, inclusive: bool = False, forced: Sequence[str] = ()
+) -> DataFrame:
+    """``numeric_ratios`` rows plus a ``role``; ``forced`` columns are text."""
+    role = role_expr(threshold, inclusive)
+    if forced:
+        role = F.when(F.col("column_name").isin(*forced), F.lit("text")).otherwise(role)
+    return ratios.withColumn("role", role)
+
+
 def role_table(
     d: DataFrame,
     threshold: float = 0.8,
@@ -172,11 +182,7 @@ def role_table(
     **sample,
 ) -> DataFrame:
     """``numeric_ratios`` plus a ``role`` column."""
-    forced = sorted(set(force_text) | set(id_columns))
-    role = role_expr(threshold, inclusive)
-    if forced:
-        role = F.when(F.col("column_name").isin(*forced), F.lit("text")).otherwise(role)
-    return numeric_ratios(d, **sample).withColumn("role", role)
+    return role_of_ratios(numeric_ratios(d, **sample), threshold, inclusive, sorted(set(force_text) | set(id_columns)))
 
 
 def classify_columns(

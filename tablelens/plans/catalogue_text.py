@@ -20,7 +20,14 @@ from tablelens.plans import catalogue as base
 from tablelens.plans.catalogue import SCALE, _t, query, rank_sql, rnd, sinj
 from tablelens.plans.reports import ads_report, posts_report, tweets_report
 from tablelens.session import shared_dir
-from tablelens.sources import read_table, write_delimited, write_report
+from tablelens.sources import (
+    first_file_rows,
+    first_records,
+    prefix_role_table,
+    read_table,
+    write_delimited,
+    write_report,
+)
 
 # ------------------------------------------------------------ the text table
 
@@ -104,6 +111,63 @@ def csv_line_breaks(spark, sf):
     return read_table(spark, target, sep=",").withColumn("text", F.coalesce("text", F.lit("")))
 
 
+# ------------------------------------------------------- prefixes of files
+
+
+def _event_files(spark: SparkSession, sf: str) -> str:
+    """The events' text cells in twelve CSV files, in the order of their ids."""
+    target = shared_dir(spark, "events-text")
+    place = F.col("event_id").cast("long")
+    write_delimited(base._events_text(spark, sf).repartitionByRange(12, place).sortWithinPartitions(place), target)
+    return target
+
+
+def _prefix_roles(spark: SparkSession, sf: str, **sample) -> DataFrame:
+    path = _event_files(spark, sf)
+    return prefix_role_table(
+        lambda n: first_records(spark, path, n, ",", "place"),
+        lambda: read_table(spark, path, ",", row_seq="place"),
+        "place", threshold=1.0, inclusive=True, **sample,
+    )
+
+
+@query("prefix_roles_first_rows", base._prefix_classify_sql(None, 1000))
+def prefix_roles_first_rows(spark, sf):
+    """Typing on the first 1000 rows, from the first of many files alone."""
+    return _prefix_roles(spark, sf, sample_rows=1000)
+
+
+@query("prefix_roles_first_values", base._prefix_classify_sql(100, None))
+def prefix_roles_first_values(spark, sf):
+    """Typing on each column's first 100 values; prefixes grow until all columns have them."""
+    return _prefix_roles(spark, sf, sample_values=100)
+
+
+@query("prefix_rows_of_files", "SELECT o_orderkey, o_custkey, o_orderpriority FROM orders ORDER BY o_orderkey LIMIT 100")
+def prefix_rows_of_files(spark, sf):
+    """The first rows of Parquet files, from the files that hold them."""
+    target = shared_dir(spark, "orders-in-order")
+    o = _t(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
+    o.repartitionByRange(16, "o_orderkey").sortWithinPartitions("o_orderkey").write.parquet(target)
+    return first_file_rows(spark, target, 100)
+
+
+@query(
+    "prefix_first_groups",
+    f"""WITH p AS (SELECT * FROM {TEXT_SQL} t ORDER BY CAST(ad_id AS BIGINT), reach, spend LIMIT 500),
+g AS (SELECT status, min(CAST(ad_id AS BIGINT)) AS seen, count(*) AS row_count FROM p GROUP BY status)
+SELECT status, row_count FROM g""",
+)
+def prefix_first_groups(spark, sf):
+    """Groups of the first 500 rows in file order."""
+    target = shared_dir(spark, "text-in-order")
+    order = [F.col("ad_id").cast("long"), F.col("reach"), F.col("spend")]
+    rows = _text_file(spark, sf).repartitionByRange(9, order[0]).sortWithinPartitions(*order)
+    write_delimited(rows, target)
+    d = first_records(spark, target, 500, ",", "place")
+    return groups.first_groups(d, ["status"], "place").select("status", "row_count")
+
+
 # ----------------------------------------------------------------------- ads
 
 

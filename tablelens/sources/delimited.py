@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablelens.sources.records import has_line_breaks, records
@@ -27,6 +27,15 @@ def sniff_delimiter(spark: SparkSession, path: str) -> str:
     return "\t" if line.count("\t") > line.count(",") else ","
 
 
+#: Quoted cells with doubled quotes; short rows padded, long rows cut.
+CELLS = {"quote": '"', "escape": '"', "mode": "PERMISSIVE"}
+
+
+def cells_of(record: str, columns: int, sep: str) -> Column:
+    """A record's text cells as a struct ``_0, _1, ...``, as Spark's reader splits them."""
+    return F.from_csv(record, ", ".join(f"_{i} string" for i in range(columns)), CELLS | {"sep": sep, "multiLine": "true"})
+
+
 def read_table(
     spark: SparkSession,
     path: str,
@@ -63,9 +72,9 @@ def read_table(
     sep = sep or sniff_delimiter(spark, path)
     utf8 = encoding.upper().replace("-", "") == "UTF8"
     multi_line = multi_line or not utf8 and line_breaks is not False
-    cell_options = {"sep": sep, "quote": '"', "escape": '"', "mode": "PERMISSIVE"}
     d = (
-        spark.read.options(**cell_options)
+        spark.read.options(**CELLS)
+        .option("sep", sep)
         .option("header", True)
         .option("multiLine", multi_line)
         .option("inferSchema", False)
@@ -76,7 +85,7 @@ def read_table(
     if line_breaks is None:
         line_breaks = utf8 and not multi_line and has_line_breaks(spark, path, sep)
     if line_breaks and not multi_line:
-        cells = F.from_csv("record", ", ".join(f"_{i} string" for i in range(len(names))), cell_options | {"multiLine": "true"})
+        cells = cells_of("record", len(names), sep)
         rows = records(spark, path, sep).where("NOT head").select(cells.alias("cells"), F.struct("path", "split", "line").alias("place"))
         d = rows.select("cells.*", *["place"] * (row_seq is not None)).toDF(*names, *[row_seq] * (row_seq is not None))
     elif row_seq is None:
