@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from tablelens.llm.common import pick, slices, sql_type, stage
 
 #: Chunks that a Python worker remembers (twice as many at most), and the longest such chunk in characters.
-CACHE, CACHED_CHARS = 250_000, 48
+CACHE, CACHED_CHARS = 180_000, 48
 #: Id pairs up to which their counts are broadcast (16 bytes each); more are joined by shuffle.
 PAIR_LIMIT = 2_000_000
 _B_BITS = 32

@@ -16,8 +16,8 @@ queue. Prefixes count up to ``cap`` symbols; what is equal in that many symbols
 may stand in any order.
 
 Queues hold a bounded number of tuples and write sorted runs to files beyond
-it; strings and sorted lists are files, too, read and written in blocks or by
-memory map. Nothing outlives the folder that the caller gives.
+it; strings and sorted lists of more than a few megabytes are files, too, read
+and written in blocks or by memory map. Nothing outlives the sort.
 """
 
 from __future__ import annotations
@@ -35,38 +35,68 @@ Batch = tuple[np.ndarray, np.ndarray]
 
 
 class Files:
-    """Numbered files in one folder."""
+    """Arrays of a sort: up to ``spare`` bytes each in memory, larger ones in files of one folder.
 
-    def __init__(self, folder: str):
-        self._folder, self._made = folder, 0
+    A file has no name any more once it is mapped, so its space is free as soon
+    as its array is.
+    """
+
+    def __init__(self, folder: str, spare: int = 0):
+        self._folder, self._made, self.spare = folder, 0, spare
 
     def path(self) -> str:
         self._made += 1
         return os.path.join(self._folder, f"{self._made}.bin")
 
+    def unspared(self) -> Files:
+        """Files of whatever size, in a folder of their own."""
+        folder = self.path()
+        os.mkdir(folder)
+        return Files(folder)
+
     def array(self, kind: type, size: int) -> np.ndarray:
-        """A new array in a file; an empty one is in memory."""
-        return np.memmap(self.path(), kind, "w+", shape=(size,)) if size else np.empty(0, kind)
+        if size * np.dtype(kind).itemsize <= self.spare or not size:
+            return np.empty(size, kind)
+        path = self.path()
+        made = np.memmap(path, kind, "w+", shape=(size,))
+        os.unlink(path)
+        return made
 
 
 class Writer:
-    """Columns appended batch by batch, then read as memory maps."""
+    """Columns appended batch by batch, then read as arrays."""
 
     def __init__(self, files: Files, *kinds: type):
-        self._kinds, self._paths, self.size = kinds, [files.path() for _ in kinds], 0
-        self._open = [open(p, "wb") for p in self._paths]
+        self._files, self._kinds, self.size = files, kinds, 0
+        self._held: list[list[np.ndarray]] = [[] for _ in kinds]
+        self._bytes, self._paths, self._open = 0, [], []
 
     def add(self, *columns: np.ndarray) -> None:
-        for f, c, kind in zip(self._open, columns, self._kinds, strict=True):
-            f.write(np.ascontiguousarray(c, kind).data)
+        for held, c, kind in zip(self._held, columns, self._kinds, strict=True):
+            held.append(np.array(c, kind))
+            self._bytes += held[-1].nbytes
         self.size += len(columns[0])
+        if self._open or self._bytes > self._files.spare:
+            self._flush()
+
+    def _flush(self) -> None:
+        if not self._open:
+            self._paths = [self._files.path() for _ in self._kinds]
+            self._open = [open(p, "wb") for p in self._paths]
+        for f, held in zip(self._open, self._held, strict=True):
+            for part in held:
+                f.write(part.data)
+            held.clear()
 
     def close(self) -> list[np.ndarray]:
-        for f in self._open:
+        if not self._open:
+            return [np.concatenate([*held, np.empty(0, kind)]) for held, kind in zip(self._held, self._kinds, strict=True)]
+        made = []
+        for f, p, kind in zip(self._open, self._paths, self._kinds, strict=True):
             f.close()
-        if not self.size:
-            return [np.empty(0, kind) for kind in self._kinds]
-        return [np.memmap(p, kind, "r") for p, kind in zip(self._paths, self._kinds, strict=True)]
+            made.append(np.memmap(p, kind, "r") if self.size else np.empty(0, kind))
+            os.unlink(p)
+        return made
 
 
 class TupleQueue:
@@ -98,7 +128,7 @@ class TupleQueue:
             self._spill()
 
     def _spill(self) -> None:
-        run = Writer(self._files, np.int64, np.int64, np.uint16)
+        run = Writer(self._files.unspared(), np.int64, np.int64, np.uint16)
         for key in sorted(self._held):
             for positions, prefixes in self._held[key]:
                 run.add(np.full(len(positions), key), positions, prefixes)
@@ -403,17 +433,13 @@ def sort_in_memory(x: np.ndarray, cap: int) -> tuple[np.ndarray, np.ndarray]:
     return order, np.minimum(common, cap)
 
 
-def sorted_suffixes(x: np.ndarray, symbols: int, cap: int, memory: int, folder: str) -> Iterator[Batch]:
+def sorted_suffixes(x: np.ndarray, symbols: int, cap: int, memory: int, files: Files) -> Iterator[Batch]:
     """All suffixes of ``x`` in descending order: positions, and symbols in common with the suffix before (at most ``cap``).
 
     ``x`` holds whole numbers below ``symbols`` and ends with a 0 that occurs
     nowhere else; it may be a memory map. ``memory`` bounds the tuples that a
-    queue holds and the names that are sorted in memory. Files go to ``folder``.
+    queue holds and the names that are sorted in memory; ``files`` takes the rest.
     """
-    yield from _sorted(x, symbols, cap, memory, Files(folder))
-
-
-def _sorted(x: np.ndarray, symbols: int, cap: int, memory: int, files: Files) -> Iterator[Batch]:
     n = len(x)
     if n > 1:
         starts = _descents(x, files)
@@ -448,7 +474,7 @@ def _sorted(x: np.ndarray, symbols: int, cap: int, memory: int, files: Files) ->
 def _level(names: np.ndarray, count: int, cap: int, memory: int, files: Files) -> Iterator[Batch]:
     """The suffixes of a string of names in descending order, in memory if it fits."""
     if len(names) > memory:
-        yield from _sorted(names, count, cap, memory, files)
+        yield from sorted_suffixes(names, count, cap, memory, files)
         return
     order, common = sort_in_memory(np.asarray(names), cap)
     # Ascending prefixes are with the smaller neighbour, descending ones with the larger.

@@ -23,9 +23,9 @@ through the driver.
 
 from __future__ import annotations
 
-import os
 import tempfile
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -38,9 +38,11 @@ from tablelens.llm.induced import Files, Writer, sorted_suffixes
 
 WIDTH = 400
 #: Bytes of an anchor, contexts of one anchor that go to one shard, bytes of a shard.
-ANCHOR, GROUP, SHARD_BYTES = 128, 4096, 8 << 20
-#: Tuples that a queue holds, and names that are sorted in memory.
-MEMORY = 2_000_000
+ANCHOR, GROUP, SHARD_BYTES = 128, 4096, 4 << 20
+#: Tuples that a queue holds, and names that are sorted in memory; bytes of an array that needs no file.
+MEMORY, SPARE = 2_000_000, 32 << 20
+#: Rows up to which shared anchors and settled contexts are broadcast; more are joined by shuffle.
+BROADCAST_ROWS = 1_000_000
 #: Starts with one anchor, as long as the strings from these have so many offsets to it.
 OFFSETS = (64, 16, 4, 1)
 _BLOCK = 1 << 20
@@ -48,6 +50,16 @@ _BYTE_SYMBOLS, _PART = 258, 257  # bytes are 1..256, 0 ends the shard, 257 parts
 _RUN = "k1 bigint, k2 bigint, at bigint, n int, shift int, anchor bigint, d1 bigint, d2 bigint"
 
 
+@dataclass(frozen=True)
+class Limits:
+    """Sizes that bound a shard and what its sort holds in memory; results do not depend on them."""
+
+    group: int = GROUP
+    shard_bytes: int = SHARD_BYTES
+    memory: int = MEMORY
+    spare: int = SPARE
+
+
 def _powers(base: int, count: int) -> np.ndarray:
     out = np.full(count, base, np.uint64)
     out[0] = 1
@@ -106,6 +118,22 @@ def _run_batch(keys: list[np.ndarray], *columns: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(arrays, [c.split()[0] for c in _RUN.split(", ")])
 
 
+def _blocks(offsets: np.ndarray, width: int) -> Iterator[tuple[int, int, int, int]]:
+    """``(begin, end, first, last)``: byte ranges of a bounded size and the texts in them.
+
+    Whole texts go together; a longer one is cut at multiples of the block
+    size from its own begin, so runs depend on their text alone.
+    """
+    first = 0
+    while first < len(offsets) - 1:
+        begin = int(offsets[first])
+        last = max(int(np.searchsorted(offsets, begin + _BLOCK, "right")) - 1, first + 1)
+        end = int(offsets[last])
+        for at in range(begin, max(end - width, begin) + 1, _BLOCK):
+            yield at, min(at + _BLOCK + width - 1, end), first, last
+        first = last
+
+
 def _text_runs(width: int, anchor: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Runs of whole texts (columns ``k1, k2, text``): starts of strings that share an anchor."""
 
@@ -114,13 +142,13 @@ def _text_runs(width: int, anchor: int) -> Callable[[Iterator[pa.RecordBatch]],
         for b in batches:
             data, offsets = _flat(b.column(2))
             k1, k2 = b.column(0).to_numpy(), b.column(1).to_numpy()
-            for at in range(int(offsets[0]), int(offsets[-1]) - width + 1, _BLOCK):
-                part = data[at : min(at + _BLOCK + width - 1, int(offsets[-1]))]
+            for at, stop, low, high in _blocks(offsets, width):
+                if stop - at < width:
+                    continue
+                part = data[at:stop]
                 places, hashes = anchors.pick(part)
                 count = len(places)
                 # Starts whose string lies within one text.
-                low = max(int(np.searchsorted(offsets, at, "right")) - 1, 0)
-                high = int(np.searchsorted(offsets, at + count))
                 begin, end = offsets[low:high], offsets[low + 1 : high + 1] - width + 1
                 first, last = np.clip(begin - at, 0, count), np.clip(end - at, 0, count)
                 some = last > first
@@ -172,28 +200,27 @@ def _context_runs(width: int, offsets: int) -> Callable[[Iterator[pa.RecordBatch
 
 
 def _contexts(width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """``(k1, k2, text, n, shift, anchor)`` of the wanted runs of each row (``text, places``)."""
+    """``(k1, k2, text, n, shift, anchor, large)`` of the wanted runs of each row (``text, places``)."""
+    names = ["k1", "k2", "text", "n", "shift", "anchor", "large"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 64):
             data, begins = _flat(b.column(0))
             places = b.column(1)
-            at, n, shift, anchor, d1, d2 = (c.to_numpy() for c in places.flatten().flatten())
-            begin = np.repeat(begins[:-1], places.value_lengths().to_numpy()) + at
-            view = memoryview(data)
-            cut = [bytes(view[s:e]) for s, e in zip(begin.tolist(), (begin + n + width - 1).tolist(), strict=True)]
-            arrays = [pa.array(d1), pa.array(d2), pa.array(cut, pa.binary()), pa.array(n), pa.array(shift), pa.array(anchor)]
-            yield pa.RecordBatch.from_arrays(arrays, ["k1", "k2", "text", "n", "shift", "anchor"])
+            at, n, shift, anchor, d1, d2, large = places.flatten().flatten()
+            begin = np.repeat(begins[:-1], places.value_lengths().to_numpy()) + at.to_numpy()
+            view, end = memoryview(data), begin + n.to_numpy() + width - 1
+            cut = [bytes(view[s:e]) for s, e in zip(begin.tolist(), end.tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([d1, d2, pa.array(cut, pa.binary()), n, shift, anchor, large], names)
 
     return run
 
 
-def shard_repeats(contexts: Iterator[tuple[bytes, int]], width: int, memory: int, folder: str) -> Iterator[list[tuple[int, int]]]:
+def shard_repeats(contexts: Iterator[tuple[bytes, int]], width: int, memory: int, files: Files) -> Iterator[list[tuple[int, int]]]:
     """For each context ``(bytes, starts)`` the ranges of starts whose string occurs twice in the shard.
 
-    The shard's text, queues and marks are files in ``folder``.
+    The shard's text, queues and marks are in ``files`` where they are large.
     """
-    files = Files(folder)
     text, sizes = Writer(files, np.uint16), []
     for raw, n in contexts:
         text.add(np.append(np.frombuffer(raw, np.uint8).astype(np.uint16) + 1, _PART))
@@ -201,10 +228,9 @@ def shard_repeats(contexts: Iterator[tuple[bytes, int]], width: int, memory: int
     text.add(np.zeros(1, np.uint16))
     x = text.close()[0]
     repeated = files.array(np.bool_, len(x))
+    repeated[:] = False
     before = 0
-    work = os.path.join(folder, "sort")
-    os.mkdir(work)
-    for positions, common in sorted_suffixes(x, _BYTE_SYMBOLS, width, memory, work):
+    for positions, common in sorted_suffixes(x, _BYTE_SYMBOLS, width, memory, files):
         alike = common >= width
         repeated[positions[alike]] = True
         repeated[np.append(before, positions[:-1])[alike]] = True
@@ -216,7 +242,7 @@ def shard_repeats(contexts: Iterator[tuple[bytes, int]], width: int, memory: int
         at += size
 
 
-def _sorted_shards(width: int, memory: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _sorted_shards(width: int, memory: int, spare: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Repeated starts ``(d1, d2, low, high)`` of the contexts of one partition."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -228,7 +254,7 @@ def _sorted_shards(width: int, memory: int) -> Callable[[Iterator[pa.RecordBatch
                 yield from zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)
 
         with tempfile.TemporaryDirectory() as folder:  # of this task alone, gone with it
-            ranges = list(shard_repeats(contexts(), width, memory, folder))
+            ranges = list(shard_repeats(contexts(), width, memory, Files(folder, spare)))
         if not ranges:
             return
         key = np.repeat(np.concatenate(keys), [len(r) for r in ranges], axis=0)
@@ -239,44 +265,45 @@ def _sorted_shards(width: int, memory: int) -> Callable[[Iterator[pa.RecordBatch
     return run
 
 
-def _repeated(
-    sources: DataFrame, cutter: Callable, width: int, group: int, shard_bytes: int, memory: int, offsets: tuple[int, ...]
-) -> DataFrame:
+def _side(rows: DataFrame) -> DataFrame:
+    """A staged side of a join: broadcast if its rows are few (16 to 32 bytes each), else shuffled and open to splitting."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows.hint("rebalance")
+
+
+def _repeated(sources: DataFrame, cutter: Callable, width: int, limits: Limits, offsets: tuple[int, ...]) -> DataFrame:
     """``(k1, k2, low, high)``: ranges of starts in the sources' texts whose string occurs twice.
 
     ``sources`` (``k1, k2, text`` and what ``cutter`` takes) with equal keys
     have equal texts.
     """
-    runs = stage(sources.mapInArrow(cutter, _RUN), "runs")
+    runs = sources.mapInArrow(cutter, _RUN)  # found twice: cheaper than keeping them
     names = ["k1", "k2", "at", "n", "shift", "anchor"]
     classes = stage(
         runs.groupBy("d1", "d2").agg(F.count(F.lit(1)).alias("copies"), *[F.first(c).alias(c) for c in names]), "classes"
     )
-    shared = classes.groupBy("anchor").agg(F.count(F.lit(1)).alias("contexts")).where("contexts > 1").hint("rebalance")
-    place = F.struct("at", "n", "shift", "anchor", "d1", "d2")
-    wanted = classes.join(shared, "anchor").groupBy("k1", "k2").agg(F.collect_list(place).alias("places"))
-    found = (
-        sources.select("k1", "k2", F.col("text").cast("binary").alias("text"))
-        .join(wanted.hint("rebalance"), ["k1", "k2"])
+    sizes = F.count(F.lit(1)).alias("contexts"), F.sum(F.col("n") + F.lit(width - 1)).alias("bytes")
+    shared = stage(classes.groupBy("anchor").agg(*sizes).where("contexts > 1"), "shared")
+    small = F.col("contexts") <= limits.group
+    total, large = shared.agg(F.sum(F.when(small, F.col("bytes"))), F.count_if(~small)).first()
+    place = F.struct("at", "n", "shift", "anchor", "d1", "d2", (~small).alias("large"))
+    wanted = classes.join(_side(shared), "anchor").groupBy("k1", "k2").agg(F.collect_list(place).alias("places"))
+    texts = sources.select("k1", "k2", F.col("text").cast("binary").alias("text")).dropDuplicates(["k1", "k2"])
+    contexts = (
+        texts.join(wanted, ["k1", "k2"])
         .select("text", "places")
-        .mapInArrow(_contexts(width), "k1 bigint, k2 bigint, text binary, n int, shift int, anchor bigint")
-        .dropDuplicates(["k1", "k2"])  # rows with equal keys
+        .mapInArrow(_contexts(width), "k1 bigint, k2 bigint, text binary, n int, shift int, anchor bigint, large boolean")
     )
-    contexts = stage(found.hint("rebalance"), "contexts")
-    sizes = stage(contexts.groupBy("anchor").agg(F.count(F.lit(1)).alias("size"), F.sum(F.length("text")).alias("bytes")), "sizes")
-    total = sizes.where(F.col("size") <= group).agg(F.sum("bytes")).first()[0]
     settled = classes.where("copies > 1").select("d1", "d2", F.lit(0).cast("bigint").alias("low"), F.col("n").cast("bigint").alias("high"))
-    if total:
-        one_shard = contexts.join(sizes.where(F.col("size") <= group).hint("rebalance"), "anchor")
-        dealt = one_shard.select("k1", "k2", "text", "n", "anchor").repartition(-(-total // shard_bytes), "anchor").drop("anchor")
-        settled = settled.unionByName(dealt.mapInArrow(_sorted_shards(width, memory), "d1 bigint, d2 bigint, low bigint, high bigint"))
-    large = sizes.where(F.col("size") > group)
-    if offsets and not large.isEmpty():
-        rest = contexts.join(large.hint("rebalance"), "anchor").select("k1", "k2", "text", "n", "shift")
-        deeper = _repeated(rest, _context_runs(width, offsets[0]), width, group, shard_bytes, memory, offsets[1:])
+    if large:
+        contexts = stage(contexts, "contexts")
+        rest = contexts.where("large").select("k1", "k2", "text", "n", "shift")
+        deeper = _repeated(rest, _context_runs(width, offsets[0]), width, limits, offsets[1:])
         settled = settled.unionByName(deeper.select(F.col("k1").alias("d1"), F.col("k2").alias("d2"), "low", "high"))
-    settled = stage(settled, "settled")
-    return runs.join(settled, ["d1", "d2"]).select(
+    if total:
+        dealt = contexts.where("NOT large").select("k1", "k2", "text", "n", "anchor").repartition(-(-total // limits.shard_bytes), "anchor")
+        sort = _sorted_shards(width, limits.memory, limits.spare)
+        settled = settled.unionByName(dealt.drop("anchor").mapInArrow(sort, "d1 bigint, d2 bigint, low bigint, high bigint"))
+    return runs.select("k1", "k2", "at", "d1", "d2").join(_side(stage(settled, "settled")), ["d1", "d2"]).select(
         "k1", "k2", (F.col("at") + F.col("low")).alias("low"), (F.col("at") + F.col("high")).alias("high")
     )
 
@@ -303,9 +330,7 @@ def remove_repeats(
     text_col: str = "text",
     width: int = WIDTH,
     anchor: int = ANCHOR,
-    group: int = GROUP,
-    shard_bytes: int = SHARD_BYTES,
-    memory: int = MEMORY,
+    limits: Limits = Limits(),
 ) -> DataFrame:
     """``(doc_id, n_bytes, spans, kept)``, one row per document.
 
@@ -324,9 +349,7 @@ def remove_repeats(
     d = pick(docs, doc_id=id_col, text=text_col)
     keyed = d.select("doc_id", *_keys(("doc_id", "text")), "text")
     offsets = tuple(x for x in OFFSETS if x <= max(1, width - anchor))
-    starts = _repeated(
-        keyed.select("k1", "k2", "text"), _text_runs(width, anchor), width, group, shard_bytes, memory, offsets
-    )
+    starts = _repeated(keyed.select("k1", "k2", "text"), _text_runs(width, anchor), width, limits, offsets)
     ranges = starts.groupBy("k1", "k2").agg(F.collect_list(F.struct("low", "high")).alias("ranges")).hint("rebalance")
     names = ["doc_id", "n_bytes", "spans", "kept"]
     span = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))

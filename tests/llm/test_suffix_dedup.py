@@ -4,9 +4,9 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from tablelens.llm import induced
+from tablelens.llm import induced, suffix_dedup
 from tablelens.llm.induced import Files, TupleQueue, sort_in_memory, sorted_suffixes
-from tablelens.llm.suffix_dedup import Anchors, remove_repeats, shard_repeats
+from tablelens.llm.suffix_dedup import Anchors, Limits, remove_repeats, shard_repeats
 
 
 def neighbours(x, cap):
@@ -39,7 +39,8 @@ def test_order_and_prefixes_equal_comparison(tmp_path, monkeypatch, block, memor
         for cap in (3, 400):
             folder = tmp_path / f"{n}-{cap}"
             folder.mkdir()
-            parts = list(sorted_suffixes(x, symbols, cap, memory, str(folder)))
+            parts = list(sorted_suffixes(x, symbols, cap, memory, Files(str(folder), n % 2 * 64)))
+            assert not [f for f in folder.rglob("*") if f.is_file()]  # nothing outlives the sort
             got = np.concatenate([p for p, _ in parts]).tolist()
             order, common = neighbours(x, cap)
             assert np.concatenate([c for _, c in parts]).tolist() == common
@@ -64,7 +65,7 @@ def test_queue_leaves_in_order_through_its_files(tmp_path, descending):
         symbols = sorted(rng.choices(range(6), k=rng.randint(1, 4)))
         queue.push(np.array(symbols), np.arange(len(symbols)) + 10 * n, np.zeros(len(symbols), np.uint16))
         pushed += [(s, 10 * n + i) for i, s in enumerate(symbols)]
-    assert len(list(tmp_path.iterdir())) > 20  # runs in files
+    assert len(queue._runs) > 20  # of files
     while (symbol := queue.first()) is not None:
         got += [(symbol, int(p)) for positions, _ in queue.pop() for p in positions]
     assert got == sorted(pushed, key=lambda t: (-t[0] if descending else t[0], t[1]))
@@ -82,7 +83,7 @@ def test_anchors_depend_on_the_string_alone():
 
 def test_shard_repeats(tmp_path):
     contexts = [(b"abcdefgh", 5), (b"xbcdefy", 4), (b"zzzzzz", 3), (b"q" * 4, 1)]
-    assert list(shard_repeats(iter(contexts), 4, 10, str(tmp_path))) == [[(1, 3)], [(1, 3)], [(0, 3)], []]
+    assert list(shard_repeats(iter(contexts), 4, 10, Files(str(tmp_path)))) == [[(1, 3)], [(1, 3)], [(0, 3)], []]
 
 
 def brute_force(pairs, width):
@@ -118,9 +119,13 @@ def rows(frame):
 
 
 @pytest.mark.parametrize(
-    "how", [{}, {"anchor": 32}, {"group": 2, "shard_bytes": 500, "memory": 3}, {"group": 1, "anchor": 3}], ids=str
+    "how",
+    [{}, {"anchor": 32}, {"limits": Limits(group=2, shard_bytes=500, memory=3, spare=0)}, {"limits": Limits(group=1), "anchor": 3}],
+    ids=str,
 )
-def test_spans_equal_brute_force(docs, clashing, how):
+@pytest.mark.parametrize("broadcast_rows", [1_000_000, 0])
+def test_spans_equal_brute_force(docs, clashing, monkeypatch, how, broadcast_rows):
+    monkeypatch.setattr(suffix_dedup, "BROADCAST_ROWS", broadcast_rows)
     pairs = corpus(len(str(how)))
     got = remove_repeats(clashing(docs(pairs)).repartition(4), width=32, **({"anchor": 8} | how))
     assert got.columns == ["doc_id", "n_bytes", "spans", "kept"]
@@ -133,7 +138,7 @@ def test_hot_passages_are_cut_deeper(docs):
     rng = random.Random(11)
     passage = "".join(rng.choices("abcdefgh ", k=396))  # 396 bytes: repeated strings only where neighbours agree, too
     pairs = [(i, "".join(rng.choices("abcdefgh ", k=500)) + "xyz"[: i % 3] + passage + "xyzxyz"[: i % 5] + "".join(rng.choices("abcdefgh ", k=500))) for i in range(120)]
-    assert rows(remove_repeats(docs(pairs), group=3)) == brute_force(pairs, 400)
+    assert rows(remove_repeats(docs(pairs), limits=Limits(group=3))) == brute_force(pairs, 400)
 
 
 def test_empty_table_and_texts_across_blocks(docs, monkeypatch):
