@@ -11,6 +11,7 @@ meet in one place. Ranks 1..k are numbered after the limit, on k rows.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -337,6 +338,10 @@ def first_groups(
     return out.select("rank", *keys, "first_seen", "row_count", *stat_cols)
 
 
+#: Relative error of the distinct sketch, and the registers it has at that.
+_RSD, _REGISTERS = 0.01, 1 << 14
+
+
 def grouping_candidates(
     d: DataFrame,
     cols: Sequence[str],
@@ -355,33 +360,32 @@ def grouping_candidates(
     unique_count, choice`` where ``choice`` 1 is the best candidate (fewest
     distinct values, ties by column order).
 
-    The decision is exact: a column with more than ``hi`` values among a few
-    rows is out whatever the rest holds, which spares identifiers the shuffle
-    of all their values; every other column's values are counted.
+    The decision is exact, and no job runs before the frame is read. A sketch
+    of all columns, one scan and one small row, spares columns with many values
+    the shuffle of them: below its linear range a HyperLogLog counts at most
+    ``m * ln(m / (m - n))`` for n values in m registers, so a column whose
+    estimate is above that of ``hi`` has more than ``hi`` values. The values of
+    all other columns are counted.
     """
     chosen = [(i, c) for i, c in enumerate(list(cols)[:max_cols]) if c not in set(exclude)]
     if sample_rows is not None:
         if order_by is None:
             raise ValueError("sample_rows needs order_by: rows have no order of their own")
         d = first_rows(d, order_by, sample_rows)
-    if chosen:
-        few = d.limit(50 * hi).agg(*[F.count_distinct(col_of(c)).alias(f"_d{i}") for i, c in chosen]).first()
-        chosen = [(i, c) for i, c in chosen if few[f"_d{i}"] <= hi]
     if not chosen:
         return d.sparkSession.createDataFrame([], "column_name string, position int, unique_count long, choice long")
-    cells = F.inline(
-        F.array(
-            *[
-                F.struct(
-                    F.lit(c).alias("column_name"),
-                    F.lit(i).alias("position"),
-                    col_of(c).cast("string").alias("value"),
-                )
-                for i, c in chosen
-            ]
-        )
+    most = math.ceil(_REGISTERS * math.log(_REGISTERS / (_REGISTERS - hi))) if hi < _REGISTERS // 2 else None
+    values = [col_of(c).cast("string") for _, c in chosen]
+    if most is not None:
+        estimates = d.agg(F.array(*[F.approx_count_distinct(col_of(c), _RSD) for _, c in chosen]).alias("n")).scalar()
+        values = [F.when(F.get(estimates, F.lit(k)) <= F.lit(most), v) for k, v in enumerate(values)]
+    cells = F.array(
+        *[
+            F.struct(F.lit(c).alias("column_name"), F.lit(i).alias("position"), v.alias("value"))
+            for (i, c), v in zip(chosen, values, strict=True)
+        ]
     )
-    distinct = d.select(cells).where(F.col("value").isNotNull()).distinct()
+    distinct = d.select(F.inline(cells)).where(F.col("value").isNotNull()).distinct()
     counts = distinct.groupBy("column_name", "position").agg(
         F.count(F.lit(1)).alias("unique_count")
     )

@@ -58,9 +58,18 @@ class Report(Mapping):
     def __init__(self, on_frame: OnFrame | None = None):
         self._plans: dict[str, Callable[[], DataFrame]] = {}
         self._on_frame = on_frame
+        self._later: list[Callable[[], None]] = []
         #: Key sets that were left out, with the columns that the table lacks.
         self.skipped: dict[tuple[str, ...], list[str]] = {}
 
+    def add_later(self, block: Callable[[], None]) -> None:
+        """``block`` adds frames whose names are known only after a job: when all names or one of them are asked for."""
+        self._later.append(_once(block))
+
+    def _settle(self) -> None:
+        for block in self._later:
+            block()
+
     def add(self, name: str, plan: Callable[[], DataFrame]) -> None:
         self._plans[name] = _once(plan)
         if self._on_frame is not None:
@@ -74,12 +83,16 @@ class Report(Mapping):
         return not missing
 
     def __getitem__(self, name: str) -> DataFrame:
+        if name not in self._plans:
+            self._settle()
         return self._plans[name]()
 
     def __iter__(self):
-        return iter(self._plans)
+        self._settle()
+        return iter(list(self._plans))
 
     def __len__(self) -> int:
+        self._settle()
         return len(self._plans)
 
 
@@ -358,8 +371,9 @@ def ads_report(
 
     ``parse_dates`` turns text columns whose every value is a date or time
     into timestamps before typing. The grouping candidate (a text column with
-    2-20 distinct values) is the one extra driver decision: its single row is
-    collected to name the key of the last group analysis.
+    2-20 distinct values) names the key of the last group analysis; it is looked
+    for (one row is collected) when the report is gone through or a frame of
+    that analysis is asked for, not while the report is built.
     """
     normalised = clean.normalise_json(clean.normalise_nulls(_without(d, order_by), "strict"), json_columns)
     if parse_dates:
@@ -390,7 +404,11 @@ def ads_report(
     if candidate and r.text:
         cands = groups.grouping_candidates(typed, r.text, exclude=list(id_columns), max_cols=candidate_cols)
         out.add("grouping_candidates", lambda: cands)
-        best = cands.where(F.col("choice") == 1).select("column_name").collect()
-        if best:
-            _group_block(out, typed, [best[0]["column_name"]], r.numeric, "candidate", **blocks)
+
+        def by_candidate() -> None:
+            best = cands.where(F.col("choice") == 1).select("column_name").collect()
+            if best:
+                _group_block(out, typed, [best[0]["column_name"]], r.numeric, "candidate", **blocks)
+
+        out.add_later(by_candidate)
     return out

@@ -3,6 +3,7 @@ and ties (W3, V19), drill-down into the NULL group (W4, J1, V17), grouped
 statistics (G6), first groups (W8, G11), grouping sets and candidates (G13)."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from tablelens.operators import engagement, groups
 
@@ -123,3 +124,22 @@ def test_require_columns(keyed):
 def test_ranked_group_sizes(keyed):
     out = [(r["rank"], r.k, r.size) for r in groups.ranked_group_sizes(keyed, "k").orderBy("rank").collect()]
     assert out == [(1, None, 3), (2, "a", 3), (3, "b", 2), (4, "c", 1)]
+
+
+def test_candidates_need_no_job_before_they_are_read(spark):
+    d = spark.range(3000).select("id", (F.col("id") % 20).cast("string").alias("a"), (F.col("id") % 21).cast("string").alias("b"), (F.col("id") % 2).cast("string").alias("c"))
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("candidates", "planning")
+    out = groups.grouping_candidates(d, ["id", "a", "b", "c"])
+    assert not tracker.getJobIdsForGroup("candidates")
+    assert [(r.column_name, r.unique_count) for r in out.orderBy("choice").collect()] == [("c", 2), ("a", 20)]
+    assert tracker.getJobIdsForGroup("candidates")
+    spark.sparkContext.setJobGroup("", "")
+
+
+@pytest.mark.parametrize("hi", [2, 20, 300, 9000])
+def test_candidates_are_exact_at_the_limit(spark, hi):
+    """The sketch spares columns their shuffle but decides nothing."""
+    d = spark.range(4 * (hi + 1)).select((F.col("id") % hi).cast("string").alias("at"), (F.col("id") % (hi + 1)).cast("string").alias("over"))
+    got = groups.grouping_candidates(d, ["at", "over"], hi=hi).collect()
+    assert [(r.column_name, r.unique_count) for r in got] == [("at", hi)]

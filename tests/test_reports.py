@@ -160,3 +160,18 @@ def test_tweet_ids_are_not_coerced(spark):
     top = {(r.id, r.source): r.size for r in rep["groups_id_source_top"].collect()}
     # Through a double both ids would be 2^53 and merge; as keys they stay apart.
     assert top == {(str(big), "web"): 1, (str(big + 1), "web"): 1, (str(big + 1), "app"): 1}
+
+
+def test_ads_report_looks_for_the_candidate_only_when_asked(spark, tmp_path):
+    d = spark.range(200).select(F.col("id").cast("string").alias("page_id"), (F.col("id") % 3).cast("string").alias("v"), F.concat(F.lit("t"), F.col("id") % 4).alias("kind"))
+    rep = ads_report(d, key_sets=[["page_id"]], json_columns=[])
+    spark.sparkContext.setJobGroup("built", "report")
+    tracker = spark.sparkContext.statusTracker()
+    assert rep["overview"].first().row_count == 200
+    seen = len(tracker.getJobIdsForGroup("built"))
+    assert "candidate_kind_top" not in rep._plans
+    assert rep["candidate_kind_top"].count() == 4 and "candidate_kind_top" in list(rep)
+    assert len(tracker.getJobIdsForGroup("built")) > seen
+    spark.sparkContext.setJobGroup("", "")
+    with pytest.raises(KeyError):
+        rep["no such frame"]
