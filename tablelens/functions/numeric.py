@@ -62,3 +62,40 @@ def mean_of(v: Column, exact_scale: int | None = None) -> Column:
     if exact_scale is None:
         return F.avg(v)
     return F.try_divide(sum_of(v, exact_scale), F.count(v).cast("double"))
+
+
+def std_of(v: Column, ddof: int = 1, exact_scale: int | None = None) -> Column:
+    """Standard deviation of a double column (NULL for no more than ``ddof`` values).
+
+    With ``exact_scale``, whole numbers of 10^-scale units are summed with
+    their squares in decimals, centred on a whole number next to the mean
+    (``sum((u - q)^2) = sum(u^2) - q * (sum(u) + r)`` with ``r = sum(u) - q *
+    n``, all exact), and only the last steps are in doubles. So the result has
+    the same bits whatever order rows arrive in, and large values with small
+    deviations lose nothing. If some value does not fit (see ``sum_of``), or a
+    sum needs more than 38 digits, the result is the built-in deviation.
+    """
+    plain = (F.stddev_samp if ddof == 1 else F.stddev_pop)(v)
+    if exact_scale is None:
+        return plain
+    exact = v.try_cast(f"decimal(18,{exact_scale})")
+    fits = F.coalesce(exact.cast("double") == v, F.lit(False))
+    unit = (F.when(fits, exact) * F.lit(10**exact_scale).cast("decimal(18,0)")).try_cast("decimal(19,0)")
+    n = F.count(v).cast("decimal(19,0)")
+    total, squares = F.sum(unit).cast("decimal(38,0)"), F.try_sum(unit * unit)
+    q = F.floor(total.cast("double") / F.nullif(n.cast("double"), F.lit(0.0))).try_cast("decimal(19,0)")
+    r = F.try_subtract(total, F.try_multiply(q, n))
+    centred = F.try_subtract(squares, F.try_multiply(q, F.try_add(total, r)))
+    rest = r.cast("double")
+    count = n.cast("double")
+    # The centred sum is never smaller than what r takes off, but for the last rounding.
+    spread = F.greatest(centred.cast("double") - rest * rest / F.nullif(count, F.lit(0.0)), F.lit(0.0))
+    std = F.sqrt(spread / (count - F.lit(float(ddof)))) / F.lit(float(10**exact_scale))
+    usable = (F.count_if(~fits & v.isNotNull()) == 0) & centred.isNotNull() & (count > F.lit(float(ddof)))
+    return F.when(usable, std).otherwise(plain)
+
+
+def whole_stats(c: str | Column) -> tuple[Column, Column, Column]:
+    """Minimum, maximum (bigint) and sum (38 digits) of a whole-number column in its own type, without a double."""
+    whole = col_of(c).cast("bigint")
+    return F.min(whole), F.max(whole), F.sum(whole.cast("decimal(19,0)")).cast("decimal(38,0)")

@@ -9,9 +9,9 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import DecimalType, FractionalType, MapType, StringType, VariantType
 
 from tablelens.functions.json import json_normalise
 from tablelens.functions.nulls import (
@@ -22,6 +22,9 @@ from tablelens.functions.nulls import (
     strip_ws,
 )
 from tablelens.functions.numeric import to_double
+from tablelens.session import shared_dir
+
+_DIGEST = "__digest"
 
 # date/time layouts tried by ``coerce_dates`` (ISO forms).
 DEFAULT_DATE_FORMATS = ("yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd")
@@ -133,6 +136,68 @@ def dedup(d: DataFrame, subset: Sequence[str] | None = None) -> DataFrame:
     return d.dropDuplicates(list(subset)) if subset else d.dropDuplicates()
 
 
+def row_digest(d: DataFrame, cols: Sequence[str], bits: int = 128) -> Column:
+    """A digest of the cells of ``cols``: equal for rows that group together (NULL equal to NULL, -0.0 to 0.0).
+
+    Two seeded 64-bit hashes over the cells and over which of them are NULL
+    (a hash passes NULLs over); the first ``bits`` bits of the two count.
+    """
+    kinds = {f.name: f.dataType for f in d.schema.fields}
+    cells = [col_of(c) + F.lit(0.0).cast(kinds[c]) if isinstance(kinds[c], FractionalType) and not isinstance(kinds[c], DecimalType) else col_of(c) for c in cols]
+    nulls = [col_of(c).isNull() for c in cols]
+    halves = [F.xxhash64(F.lit(seed), *nulls, *cells) for seed in (1, 2)]
+    kept = [F.shiftrightunsigned(h, 64 - b) for h, b in zip(halves, (min(bits, 64), bits - 64), strict=True) if b > 0]
+    return F.struct(*[k.alias(f"d{i}") for i, k in enumerate(kept)])
+
+
+def repeated_digests(d: DataFrame, cols: Sequence[str], bits: int = 128) -> DataFrame:
+    """``digest`` of rows that share theirs with another row; shuffles digests and counts, no cells."""
+    counts = d.groupBy(row_digest(d, cols, bits).alias("digest")).agg(F.count(F.lit(1)).alias("n"))
+    return counts.where("n > 1").select("digest")
+
+
+#: Repeated digests up to which they are broadcast (16 bytes each).
+DIGESTS = 1_000_000
+
+
+def dedup_by_digest(d: DataFrame, bits: int = 128, broadcast_rows: int = DIGESTS) -> DataFrame:
+    """``dedup`` for wide rows: 128-bit row digests meet first.
+
+    Digests and counts are grouped and the repeated ones written to the shared
+    folder. Rows with a digest of their own are distinct as they are and stay
+    where they were read; only rows that share a digest are shuffled and
+    compared cell by cell, so a collision merges nothing. With more than
+    ``broadcast_rows`` repeated digests all rows are compared (``dedup``).
+    """
+    if not d.columns or any(isinstance(f.dataType, (MapType, VariantType)) for f in d.schema.fields):
+        return dedup(d)
+    target = shared_dir(d.sparkSession, "digests")
+    repeated = repeated_digests(d, d.columns, bits)
+    repeated.write.parquet(target)
+    repeated = d.sparkSession.read.schema(repeated.schema).parquet(target)
+    if repeated.count() > broadcast_rows:
+        return dedup(d)
+    keyed = d.withColumn(_DIGEST, row_digest(d, d.columns, bits))
+    side = F.broadcast(repeated.withColumnRenamed("digest", _DIGEST))
+    alone = keyed.join(side, _DIGEST, "left_anti").drop(_DIGEST)
+    shared = keyed.join(side, _DIGEST, "left_semi").drop(_DIGEST)
+    return alone.unionAll(shared.dropDuplicates())
+
+
+def dedup_counts_by_digest(d: DataFrame, bits: int = 128) -> DataFrame:
+    """``dedup_counts`` over all columns that compares only rows whose digest repeats."""
+    digest = row_digest(d, d.columns, bits).alias(_DIGEST)
+    counts = d.groupBy(digest).agg(F.count(F.lit(1)).alias("n")).agg(
+        F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("rows_before"), F.count_if(F.col("n") == 1).alias("alone")
+    )
+    repeated = repeated_digests(d, d.columns, bits).withColumnRenamed("digest", _DIGEST)
+    keyed = d.select("*", digest)
+    shared = keyed.join(repeated.hint("rebalance"), _DIGEST, "left_semi").groupBy(*[col_of(c) for c in d.columns]).agg(F.lit(1))
+    distinct = shared.agg(F.count(F.lit(1)).alias("n")).scalar()
+    after = (F.col("alone") + distinct).alias("rows_after")
+    return counts.select("rows_before", after).withColumn("duplicates_removed", F.col("rows_before") - F.col("rows_after"))
+
+
 def dedup_counts(d: DataFrame, subset: Sequence[str] | None = None) -> DataFrame:
     """One row: ``rows_before, rows_after, duplicates_removed`` in one pass."""
     keys = [col_of(c) for c in (subset or d.columns)]

@@ -17,9 +17,10 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from tablelens.functions.nulls import col_of
-from tablelens.functions.numeric import mean_of, to_double
+from tablelens.functions.numeric import mean_of, std_of, to_double, whole_stats
 from tablelens.operators.ordering import global_rank, quantile_name, quantiles
 from tablelens.operators.roles import ColumnRoles
 
@@ -118,7 +119,9 @@ def numeric_profile(
     (V23). ``ddof=1`` is the sample deviation (NULL for one value), ``ddof=0``
     the population deviation (V11, V12). Text cells are coerced with the
     numeric grammar, so this also profiles string columns typed numeric.
-    ``exact_scale`` makes the mean independent of task order (``mean_of``).
+    ``exact_scale`` makes mean and deviation independent of task order
+    (``mean_of``, ``std_of``). Doubles hold whole numbers up to 2^53 exactly;
+    ``whole_number_profile`` has minimum, maximum and sum of larger ones.
     """
     cols = list(cols)
     row = d.agg(F.count(F.lit(1)).alias("_rows"), *_numeric_aggs(d, cols, ddof, exact_scale))
@@ -128,6 +131,36 @@ def numeric_profile(
     return out if decimals is None else _rounded(out, decimals, [quantile_name(p) for p in quantile_probs])
 
 
+def whole_number_profile(d: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
+    """Per whole-number column: ``column_name, position, count, missing, mean, min, max, total``.
+
+    All 64 bits count: minimum and maximum are bigints, the sum has 38 digits
+    and the mean is that sum divided as a double. ``cols`` default to the
+    columns with a whole-number type; others are refused.
+    """
+    kinds = {f.name: f.dataType for f in d.schema.fields}
+    cols = [c for c, t in kinds.items() if isinstance(t, IntegralType)] if cols is None else list(cols)
+    if odd := [c for c in cols if not isinstance(kinds[c], IntegralType)]:
+        raise ValueError(f"not whole numbers: {odd}")
+    if not cols:
+        empty = "column_name string, position int, count bigint, missing bigint, mean double, min bigint, max bigint, total decimal(38,0)"
+        return d.sparkSession.createDataFrame([], empty)
+    aggs = []
+    for i, c in enumerate(cols):
+        low, high, total = whole_stats(c)
+        aggs += [F.count(col_of(c)).alias(f"_n{i}"), low.alias(f"_lo{i}"), high.alias(f"_hi{i}"), total.alias(f"_t{i}")]
+    cells = [
+        F.struct(
+            F.lit(c).alias("column_name"), F.lit(i).alias("position"), F.col(f"_n{i}").alias("count"),
+            (F.col("_rows") - F.col(f"_n{i}")).alias("missing"),
+            F.try_divide(F.col(f"_t{i}").cast("double"), F.col(f"_n{i}").cast("double")).alias("mean"),
+            F.col(f"_lo{i}").alias("min"), F.col(f"_hi{i}").alias("max"), F.col(f"_t{i}").alias("total"),
+        )
+        for i, c in enumerate(cols)
+    ]
+    return d.agg(F.count(F.lit(1)).alias("_rows"), *aggs).select(F.inline(F.array(*cells)))
+
+
 def with_quantiles(out: DataFrame, d: DataFrame, cols: Sequence[str], probs: Sequence[float]) -> DataFrame:
     """A numeric profile of ``cols`` of ``d`` with quantile columns."""
     if not cols:
@@ -166,14 +199,13 @@ def _numeric_aggs(d: DataFrame, cols: Sequence[str], ddof: int, exact_scale: int
     if ddof not in (0, 1):
         raise ValueError("ddof must be 0 or 1")
     types = {f.name: f.dataType for f in d.schema.fields}
-    std = F.stddev_samp if ddof == 1 else F.stddev_pop
     aggs = []
     for i, c in enumerate(cols):
         v = to_double(c, types[c])
         aggs += [
             F.count(v).alias(f"_n{i}"),
             mean_of(v, exact_scale).alias(f"_m{i}"),
-            std(v).alias(f"_s{i}"),
+            std_of(v, ddof, exact_scale).alias(f"_s{i}"),
             F.min(v).alias(f"_lo{i}"),
             F.max(v).alias(f"_hi{i}"),
         ]

@@ -111,6 +111,83 @@ def csv_line_breaks(spark, sf):
     return read_table(spark, target, sep=",").withColumn("text", F.coalesce("text", F.lit("")))
 
 
+# ------------------------------------------------------- dedup by digest
+
+# Whole texts; every fifth document's row comes again, with its id and without.
+_WIDE_SQL = """(SELECT doc_id, text, lang FROM documents UNION ALL SELECT doc_id, text, lang FROM documents WHERE doc_id % 5 = 0
+  UNION ALL SELECT NULL, text, lang FROM documents WHERE doc_id % 5 = 0)"""
+
+
+def _wide_rows(spark: SparkSession, sf: str) -> DataFrame:
+    docs = _t(spark, sf, "documents").select("doc_id", "text", "lang")
+    some = docs.where(F.col("doc_id") % 5 == 0)
+    return docs.unionAll(some).unionAll(some.withColumn("doc_id", F.lit(None).cast("bigint")))
+
+
+@query("dedup_wide_rows", f"SELECT DISTINCT doc_id, text, lang FROM {_WIDE_SQL} w")
+def dedup_wide_rows(spark, sf):
+    """Whole texts compared only where their 128-bit digests repeat."""
+    return clean.dedup_by_digest(_wide_rows(spark, sf))
+
+
+@query(
+    "dedup_wide_counts",
+    f"""SELECT CAST(count(*) AS BIGINT) AS rows_before, (SELECT count(*) FROM (SELECT DISTINCT * FROM {_WIDE_SQL} x) y) AS rows_after,
+  count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM {_WIDE_SQL} x) y) AS duplicates_removed FROM {_WIDE_SQL} w""",
+)
+def dedup_wide_counts(spark, sf):
+    return clean.dedup_counts_by_digest(_wide_rows(spark, sf))
+
+
+# ----------------------------------------------- deviations and whole numbers
+
+
+def _exact_std_sql(c: str, ddof: int) -> str:
+    """The deviation of a column with two decimals from whole-number sums, unrounded."""
+    s = f"(SELECT CAST(count({c}) AS HUGEINT) AS n, sum(CAST(round({c} * 100) AS HUGEINT)) AS t, sum(CAST(round({c} * 100) AS HUGEINT) * CAST(round({c} * 100) AS HUGEINT)) AS s2 FROM lineitem) a"
+    q = f"(SELECT *, CAST(floor(CAST(t AS DOUBLE) / CAST(n AS DOUBLE)) AS HUGEINT) AS q FROM {s}) b"
+    r = f"(SELECT *, CAST(t AS HUGEINT) - q * n AS r FROM {q}) c"
+    spread = "CAST(CAST(s2 AS HUGEINT) - q * (CAST(t AS HUGEINT) + r) AS DOUBLE) - CAST(r AS DOUBLE) * CAST(r AS DOUBLE) / CAST(n AS DOUBLE)"
+    return f"SELECT '{c}' AS column_name, CAST(n AS BIGINT) AS count, sqrt(({spread}) / (CAST(n AS DOUBLE) - {ddof})) / 100.0 AS std FROM {r}"
+
+
+_TWO_DECIMALS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+
+
+@query("exact_deviations", " UNION ALL ".join(_exact_std_sql(c, 1) for c in _TWO_DECIMALS))
+def exact_deviations(spark, sf):
+    """A10: deviations to the last bit, whatever order the rows come in."""
+    shuffled = _t(spark, sf, "lineitem").select(*_TWO_DECIMALS).repartition(7)
+    return profile.numeric_profile(shuffled, _TWO_DECIMALS, exact_scale=SCALE).select("column_name", "count", "std")
+
+
+@query("exact_population_deviations", " UNION ALL ".join(_exact_std_sql(c, 0) for c in _TWO_DECIMALS))
+def exact_population_deviations(spark, sf):
+    """A11, V12, as above."""
+    d = _t(spark, sf, "lineitem").select(*_TWO_DECIMALS)
+    return profile.numeric_profile(d, _TWO_DECIMALS, ddof=0, exact_scale=SCALE).select("column_name", "count", "std")
+
+
+# Ids beyond 2^53, where neighbours are one double.
+_BIG = 2**53 + 1
+_BIG_IDS = {"big_id": f"l_orderkey + {_BIG}", "negative": f"-l_partkey - {_BIG}", "some": f"CASE WHEN l_linenumber > 3 THEN l_suppkey * {2**40} END"}
+
+
+@query(
+    "whole_number_profile",
+    " UNION ALL ".join(
+        f"""SELECT '{c}' AS column_name, {i} AS position, count({e}) AS count, count(*) - count({e}) AS missing,
+  CAST(sum(CAST({e} AS HUGEINT)) AS DOUBLE) / CAST(count({e}) AS DOUBLE) AS mean, CAST(min({e}) AS BIGINT) AS min, CAST(max({e}) AS BIGINT) AS max,
+  CAST(sum(CAST({e} AS HUGEINT)) AS VARCHAR) AS total FROM lineitem"""
+        for i, (c, e) in enumerate(_BIG_IDS.items())
+    ),
+)
+def whole_number_profile(spark, sf):
+    """64-bit whole numbers keep all their bits."""
+    d = _t(spark, sf, "lineitem").select(*[F.expr(e).cast("bigint").alias(c) for c, e in _BIG_IDS.items()])
+    return profile.whole_number_profile(d).withColumn("total", F.col("total").cast("string"))
+
+
 # ------------------------------------------------------- prefixes of files
 
 

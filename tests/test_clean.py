@@ -3,6 +3,9 @@ and deduplication (U1-U4, V9)."""
 
 import datetime as dt
 
+import pytest
+from pyspark.sql import functions as F
+
 from tablelens.operators import clean
 
 
@@ -68,3 +71,41 @@ def test_dedup_before_coercion_keeps_rows_that_differ_in_text(spark):
     d = spark.createDataFrame([("x",), ("y",)], "v string")
     assert clean.dedup(d).count() == 2
     assert clean.dedup(clean.coerce_numeric(d, ["v"])).count() == 1
+
+
+def _mixed_rows(spark):
+    rows = [(None, "a", 0.0), ("a", None, 0.0), ("a", None, -0.0), (None, None, None), (None, None, None), ("a", "b", float("nan")), ("a", "b", float("nan"))]
+    rows += [(str(i % 40), "x" * (i % 7), float(i % 3)) for i in range(900)]
+    return spark.createDataFrame(rows, "k string, t string, v double")
+
+
+@pytest.mark.parametrize("bits", [128, 64, 5, 1])
+@pytest.mark.parametrize("broadcast_rows", [clean.DIGESTS, 0])
+def test_dedup_by_digest_equals_whole_rows(spark, bits, broadcast_rows):
+    """Short digests collide; rows that share one are compared all the same."""
+    d = _mixed_rows(spark)
+    rows = lambda f: sorted(map(str, f.collect()))
+    assert rows(clean.dedup_by_digest(d, bits, broadcast_rows)) == rows(clean.dedup(d))
+    assert clean.dedup_counts_by_digest(d, bits).first() == clean.dedup_counts(d).first()
+
+
+def test_dedup_by_digest_edges(spark):
+    empty = spark.createDataFrame([], "a string, b int")
+    assert clean.dedup_by_digest(empty).collect() == []
+    assert tuple(clean.dedup_counts_by_digest(empty).first()) == (0, 0, 0)
+    odd = spark.createDataFrame([("x", 1), ("x", 1)], "`a.b` string, `__digest2` int")
+    assert clean.dedup_by_digest(odd).collect() == [("x", 1)]
+
+
+def test_digest_dedup_shuffles_less_than_whole_rows(spark, tmp_path):
+    """Wide rows, few copies: digests and the repeated rows move, the others stay."""
+    wide = spark.range(2000).select(F.sha2(F.col("id").cast("string"), 512).alias("a"), F.repeat(F.sha2(F.concat(F.lit("z"), "id"), 512), 20).alias("b"))
+    path = str(tmp_path / "wide")
+    wide.unionAll(wide.limit(20)).write.parquet(path)
+    d = spark.read.parquet(path)
+    once = clean.dedup_by_digest(d)
+    plan = once._jdf.queryExecution().executedPlan().toString()
+    # One exchange by key, of the rows that share a digest; it stands above the semi join.
+    assert plan.count("Exchange hashpartitioning") == 1
+    assert plan.index("LeftAnti") < plan.index("Exchange hashpartitioning") < plan.index("LeftSemi")
+    assert once.count() == 2000

@@ -3,7 +3,12 @@ V11, V12, V23), categorical profile (A17-A22, V13, V14, V19), value counts."""
 
 import statistics
 
+import random
+from decimal import Decimal, localcontext
+from fractions import Fraction
+
 import pytest
+from pyspark.sql import functions as F
 
 from tablelens.operators import profile
 from tablelens.operators.roles import ColumnRoles
@@ -122,3 +127,57 @@ def test_long_texts_by_digest(spark):
         assert both[0] == both[1] == both[2], name
     empty = spark.createDataFrame([], "t string")
     assert profile.categorical_profile(empty, ["t"], long_text=["t"]).first().unique_count == 0
+
+
+def _exact_std(values, scale, ddof):
+    """Of whole units, with fractions; rounded once."""
+    units = [round(v * 10**scale) for v in values]
+    mean = Fraction(sum(units), len(units))
+    spread = sum((u - mean) ** 2 for u in units) / (len(units) - ddof)
+    with localcontext() as c:
+        c.prec = 60
+        return float((Decimal(spread.numerator) / Decimal(spread.denominator)).sqrt() / 10**scale)
+
+
+@pytest.mark.parametrize("ddof", [0, 1])
+def test_exact_deviation_has_the_same_bits_in_any_order(spark, ddof):
+    rng = random.Random(ddof)
+    columns = {
+        "money": [round(rng.uniform(-500, 90_000), 2) for _ in range(3000)],
+        "far": [round(1e13 + rng.random(), 2) for _ in range(3000)],  # the built-in loses digits here
+        "same": [12345.67] * 3000,
+        "one": [5.25] + [None] * 2999,
+    }
+    d = spark.createDataFrame(list(zip(*columns.values(), strict=True)), ", ".join(f"{c} double" for c in columns))
+    seen = set()
+    for k in (1, 3, 8, 17, 40):
+        rows = profile.numeric_profile(d.orderBy(F.rand(k)).repartition(k), list(columns), ddof=ddof, exact_scale=2).collect()
+        seen.add(tuple((r.column_name, r["std"], r["mean"]) for r in rows))
+    assert len(seen) == 1
+    std = {c: s for c, s, _ in seen.pop()}
+    for c in ("money", "far"):
+        assert std[c] == pytest.approx(_exact_std(columns[c], 2, ddof), rel=1e-14)
+    assert std["same"] == 0.0 and std["one"] == (0.0 if ddof == 0 else None)
+
+
+def test_deviation_of_values_that_do_not_fit_is_the_built_in(spark):
+    d = spark.createDataFrame([(1 / 3, 9e15, None), (2.5, -9e15, None), (7.0, 3.0, None)], "a double, b double, c double")
+    exact = {r.column_name: r["std"] for r in profile.numeric_profile(d, ["a", "b", "c"], exact_scale=2).collect()}
+    plain = {r.column_name: r["std"] for r in profile.numeric_profile(d, ["a", "b", "c"]).collect()}
+    assert exact["a"] == pytest.approx(plain["a"]) and exact["b"] == pytest.approx(plain["b"], rel=1e-12) and exact["c"] is None
+    huge = spark.range(300).select((F.lit(9.9e17) * F.when(F.col("id") % 2 == 0, 1).otherwise(-1)).alias("v"))  # squares need 39 digits
+    a, b = (profile.numeric_profile(huge, ["v"], exact_scale=s).first()["std"] for s in (0, None))
+    assert a == pytest.approx(b)
+
+
+def test_whole_numbers_keep_64_bits(spark):
+    big = 2**53
+    d = spark.createDataFrame([(big + 1, 1), (big + 3, None), (-(2**63), 2), (2**63 - 1, 3)], "a bigint, b int")
+    a, b = profile.whole_number_profile(d).collect()
+    assert (a.min, a.max, int(a.total), a.missing) == (-(2**63), 2**63 - 1, 2 * big + 3, 0)
+    assert (b.min, b.max, int(b.total), b["mean"], b.missing) == (1, 3, 6, 2.0, 1)
+    with pytest.raises(ValueError, match="not whole numbers"):
+        profile.whole_number_profile(d.withColumn("c", F.lit(1.5)), ["c"])
+    empty = profile.whole_number_profile(d.limit(0)).first()
+    assert (empty["count"], empty.min, empty.total, empty["mean"]) == (0, None, None, None)
+    assert profile.whole_number_profile(d.select(F.lit("x").alias("t"))).collect() == []
