@@ -51,7 +51,9 @@ def public_tokenizer(name: str = TOKENIZER):
 
 @query("op1_fingerprints")
 def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return edited_pairs(read_parquet(spark, sf_dir, "documents"))
+    pairs = edited_pairs(read_parquet(spark, sf_dir, "documents"))
+    unknown = F.lit(0.0)  # two texts that share nothing known
+    return pairs.withColumns({c: F.coalesce(c, unknown) for c in ("near_edited", "near_next")})
 
 
 @query("op2_simhash")
