@@ -72,17 +72,22 @@ MORE_RULES = (
 # --------------------------------------------------- trigram queries of rules
 
 
-def _spellings(node: tuple) -> set[str] | None:
-    """Every string that a syntax node can spell, or None if too many."""
+def _folds(c: str) -> bool:
+    """Whether a character matches others than its ASCII lower and upper case where Unicode case is ignored."""
+    return c.lower() in "iks" or not c.isascii()
+
+
+def _spellings(node: tuple, folded: bool) -> set[str] | None:
+    """Every string that a syntax node can spell, or None if too many or (``folded``) open to Unicode case folding."""
     op, value = str(node[0]), node[1]
     if op == "LITERAL":
-        return {chr(value)}
+        return None if folded and _folds(chr(value)) else {chr(value)}
     if op == "AT":
         return {""}
     if op == "SUBPATTERN":
-        return _all_spellings(value[3])
+        return _all_spellings(value[3], folded)
     if op == "BRANCH":
-        found = [_all_spellings(b) for b in value[1]]
+        found = [_all_spellings(b, folded) for b in value[1]]
         return set().union(*found) if all(f is not None for f in found) else None
     if op == "IN":
         some: set[str] = set()
@@ -93,10 +98,10 @@ def _spellings(node: tuple) -> set[str] | None:
                 some |= {chr(c) for c in range(v[0], v[1] + 1)}
             else:
                 return None
-        return some if len(some) <= MAX_CLASS else None
+        return some if len(some) <= MAX_CLASS and not (folded and any(map(_folds, some))) else None
     if op in ("MAX_REPEAT", "MIN_REPEAT", "POSSESSIVE_REPEAT"):
         least, most, inner = int(value[0]), value[1], value[2]
-        once = _all_spellings(inner)
+        once = _all_spellings(inner, folded)
         if once is None or most == syntax.MAXREPEAT or int(most) > 8:
             return None
         power, total = {""}, {""} if least == 0 else set()
@@ -110,10 +115,10 @@ def _spellings(node: tuple) -> set[str] | None:
     return None
 
 
-def _all_spellings(nodes) -> set[str] | None:
+def _all_spellings(nodes, folded: bool) -> set[str] | None:
     out = {""}
     for node in nodes:
-        found = _spellings(node)
+        found = _spellings(node, folded)
         if found is None or len(found) * len(out) > MAX_STRINGS:
             return None
         out = {a + b for a in out for b in found}
@@ -126,8 +131,14 @@ def _trigrams(text: str) -> frozenset[bytes]:
 
 
 def trigram_query(pattern: str, flags: int = 0) -> Query:
-    """What every match must contain, over ASCII-lower-cased text; [] if nothing is sure."""
+    """What every match must contain, over ASCII-lower-cased text; [] if nothing is sure.
+
+    Where a pattern ignores case beyond ASCII (also by ``(?i)`` within it),
+    letters that fold to others ("s" to a long s) make no trigram.
+    """
     clauses: Query = []
+    ignores = flags & re.IGNORECASE or re.search(r"\(\?[aLmsux]*i", pattern)
+    folded = bool(ignores) and not flags & re.ASCII
 
     def close(run: set[str]) -> None:
         wanted = [_trigrams(s) for s in sorted(run)]
@@ -137,7 +148,7 @@ def trigram_query(pattern: str, flags: int = 0) -> Query:
     def walk(nodes) -> None:
         run = {""}
         for node in nodes:
-            found = _spellings(node)
+            found = _spellings(node, folded)
             if found is not None and len(found) * len(run) <= MAX_STRINGS:
                 run = {a + b for a in run for b in found}
                 continue

@@ -4,7 +4,7 @@ import re
 
 import numpy as np
 
-from tablelens.llm.secret_scan import BASE_RULES, MORE_RULES, TrigramIndex, scan_secrets, trigram_query
+from tablelens.llm.secret_scan import BASE_RULES, MORE_RULES, Rule, TrigramIndex, scan_secrets, trigram_query
 
 KEYWORDS = ("password", "passwd", "secret", "token", "api_key", "apikey")
 VALUE = set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-")
@@ -121,3 +121,16 @@ def test_candidates_hold_every_match():
         found = set(index.candidates(query).tolist())
         assert {i for i, t in enumerate(texts) if re.search(rule.pattern, t, rule.flags)} <= found
         assert not query or len(found) < len(texts)
+
+
+def test_case_beyond_ascii_loses_no_match(docs):
+    """Rules that ignore Unicode case: a long s, the Kelvin sign, a dotted capital I, accented letters."""
+    rules = [
+        Rule("flag", "secret=[a-z]+", flags=re.IGNORECASE), Rule("inline", "(?i)token: [0-9]+", flags=0),
+        Rule("scoped", "(?i:KIWI)-[0-9]+", flags=0), Rule("accent", "clé=[0-9]+", flags=re.IGNORECASE), Rule("ascii", "mask=[a-z]+"),
+    ]
+    texts = ["\u017fecret=abc", "SECRET=x", "to\u212aen: 12", "TOKEN: 7", "k\u0131w\u0130-5", "\u212aIWI-1", "CL\u00c9=9", "clé=1", "ma\u017f\u212a=a", "mask=b", "nothing"]
+    rows = scan_secrets(docs(list(enumerate(texts))), base=tuple(rules), more=()).collect()
+    want = {i: sum(len(re.findall(r.pattern, t, r.flags)) for r in rules) for i, t in enumerate(texts)}
+    assert {r.doc_id: len([x for x in r.spans.split(",") if x]) for r in rows} == want
+    assert sum(want.values()) >= 8
