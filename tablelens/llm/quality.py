@@ -144,6 +144,29 @@ def _strength(groups: DataFrame, rate: float) -> float:
     return float(np.clip(chance / true - 1, WEAKEST, STRONGEST)) if true > 0 else STRONGEST
 
 
+def _within_strength(sums: DataFrame) -> float:
+    """Documents that a path's Beta prior around its host's rate is worth, by the method of moments within hosts.
+
+    ``sums`` has a row per path with its own and its host's count and sum of p.
+    Paths are measured around their own host's rate, so what hosts differ by
+    is no difference between paths; a host with one path tells nothing.
+    """
+    m = F.col("host_s") / F.col("host_n")
+    chance = m * (1 - m)
+    rest = 1 - F.col("path_n") / F.col("host_n")  # adds up to the host's number of paths less one
+    spread, expected, room, each, total = sums.agg(
+        F.sum(F.col("path_n") * F.pow(F.col("path_s") / F.col("path_n") - m, 2)),
+        F.sum(chance * rest),
+        F.sum(F.col("path_n") * rest),
+        F.sum(F.col("path_n") * chance),
+        F.sum("path_n"),
+    ).first()
+    if not total or room <= 0 or each <= 0:
+        return STRONGEST
+    true = (spread - expected) / room
+    return float(np.clip(each / total / true - 1, WEAKEST, STRONGEST)) if true > 0 else STRONGEST
+
+
 def _logit(p: Column) -> Column:
     return F.ln(p / (1 - p))
 
@@ -181,7 +204,6 @@ def quality_posteriors(
     hosts = stage(paths.groupBy("host").agg(F.sum("n").alias("n"), F.sum("s").alias("s")), "quality-hosts")
     n, s = hosts.agg(F.sum("n"), F.sum("s")).first()
     rate = float(np.clip((s or 0.0) / n, SURE, 1 - SURE)) if n else 0.5
-    host_prior, path_prior = _strength(hosts, rate), _strength(paths, rate)
     sums = paths.alias("a").join(hosts.alias("b"), F.col("a.host").eqNullSafe(F.col("b.host"))).select(
         F.col("a.host").alias("g_host"),
         F.col("a.path").alias("g_path"),
@@ -190,8 +212,10 @@ def quality_posteriors(
         F.col("b.n").alias("host_n"),
         F.col("b.s").alias("host_s"),
     )
+    sums = stage(sums, "quality-sums")
+    host_prior, path_prior = _strength(hosts, rate), _within_strength(sums)
     same = F.col("host").eqNullSafe(F.col("g_host")) & F.col("path").eqNullSafe(F.col("g_path"))
-    joined = scored.join(stage(sums, "quality-sums"), same)
+    joined = scored.join(sums, same)
     p = F.col("p")
     host_rate = (F.col("host_s") - p + host_prior * rate) / (F.col("host_n") - 1 + host_prior)
     path_rate = (F.col("path_s") - p + path_prior * F.col("host_rate")) / (F.col("path_n") - 1 + path_prior)

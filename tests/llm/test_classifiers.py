@@ -1,6 +1,7 @@
 import random
 import tracemalloc
 import zlib
+from collections import defaultdict
 
 import numpy as np
 import pytest
@@ -136,6 +137,75 @@ def test_quality_keeps_good_and_rejects_bad(spark, tables):
     assert by[1] > 0.98 and by[0] < 0.1
 
 
+def brute_strengths(hosts, paths, rate):
+    """Prior strengths of hosts around the global rate, and of paths around their own host's."""
+    n = sum(map(len, hosts.values()))
+    spread = sum(len(g) * (np.mean(g) - rate) ** 2 for g in hosts.values())
+    true = (spread - (len(hosts) - 1) * rate * (1 - rate)) / (n - sum(len(g) ** 2 for g in hosts.values()) / n)
+    host = min(max(rate * (1 - rate) / true - 1, 2.0), 1e6) if len(hosts) > 1 and true > 0 else 1e6
+    spread = expected = room = each = 0.0
+    for h, g in hosts.items():
+        own = [q for (of, _), q in paths.items() if of == h]
+        m = np.mean(g)
+        spread += sum(len(q) * (np.mean(q) - m) ** 2 for q in own)
+        expected += (len(own) - 1) * m * (1 - m)
+        room += len(g) - sum(len(q) ** 2 for q in own) / len(g)
+        each += len(g) * m * (1 - m)
+    true = (spread - expected) / room if room > 1e-9 else 0.0
+    return host, (min(max(each / n / true - 1, 2.0), 1e6) if true > 0 else 1e6)
+
+
+@pytest.fixture
+def given_evidence(monkeypatch):
+    """Texts that are numbers are the classifier's own probability."""
+
+    def evidence(docs, model):
+        return docs.select("doc_id", "doc_key", "host", "path", F.col("text").cast("double").alias("p"))
+
+    monkeypatch.setattr("tablelens.llm.quality.own_evidence", evidence)
+
+
+@pytest.mark.parametrize("differ", ["hosts", "paths", "both", "neither"])
+def test_priors_match_brute_force_whatever_differs(docs, spark, given_evidence, differ):
+    rng = random.Random(len(differ))
+    rows = []
+    for i in range(3000):
+        h, q = rng.randrange(6), rng.randrange(4)
+        base = 0.5 + (0.07 * (h - 2.5) if differ in ("hosts", "both") else 0) + (0.12 * (q - 1.5) if differ in ("paths", "both") else 0)
+        rows.append((i, str(round(float(rng.random() < base) * 0.98 + 0.01, 2)), f"h{h}", f"h{h}/{q}"))
+    d = spark.createDataFrame(rows, "doc_id bigint, text string, host string, path string")
+    out = quality_posteriors(d, spark.createDataFrame([], LABELS), F.col("host"), F.col("path")).collect()
+    hosts, paths = defaultdict(list), defaultdict(list)
+    for r in out:
+        hosts[r.host].append(r.p)
+        paths[(r.host, r.path)].append(r.p)
+    rate = np.mean([r.p for r in out])
+    hp, pp = brute_strengths(hosts, paths, rate)
+    if differ == "hosts":
+        assert pp > 300  # measured around the global rate it would be some 20
+    if differ == "paths":
+        assert pp < 60
+    for r in out[:400]:
+        h, q = hosts[r.host], paths[(r.host, r.path)]
+        host_rate = (sum(h) - r.p + hp * rate) / (len(h) - 1 + hp)
+        assert abs(r.host_rate - host_rate) < 1e-6
+        assert abs(r.path_rate - (sum(q) - r.p + pp * host_rate) / (len(q) - 1 + pp)) < 1e-6
+
+
+def test_posteriors_turn_decisions(docs, spark, given_evidence):
+    """Weak evidence follows the path, then the host; strong evidence stands."""
+    rows = [(i, "0.02" if i % 20 else "0.9", "bad", "bad/a") for i in range(400)]
+    rows += [(1000 + i, "0.97" if i % 20 else "0.1", "good", "good/a") for i in range(400)]
+    rows += [(2000, "0.6", "bad", "bad/a"), (2001, "0.4", "good", "good/a"), (2002, "0.6", "bad", "bad/new"), (2003, "0.9999", "bad", "bad/a"), (2004, "0.6", "new", "new/a")]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string, host string, path string")
+    out = {r.doc_id: r for r in quality_posteriors(d, spark.createDataFrame([], LABELS), F.col("host"), F.col("path")).collect()}
+    assert [out[k].keep for k in (2000, 2001, 2002, 2003, 2004)] == [0, 1, 0, 1, 1]
+    turned = [r for r in out.values() if r.keep != int(r.p >= 0.5)]
+    assert len(turned) >= 3
+    kept = keep_good(d, quality_posteriors(d, spark.createDataFrame([], LABELS), F.col("host"), F.col("path")))
+    assert {2000, 2002}.isdisjoint(r.doc_id for r in kept.collect())
+
+
 def test_posteriors_match_brute_force(docs, spark, tables):
     labels = tables[1]
     some = tables[0].limit(300).withColumn("source", F.expr("CASE WHEN doc_id % 9 = 0 THEN NULL ELSE source END"))
@@ -145,15 +215,11 @@ def test_posteriors_match_brute_force(docs, spark, tables):
     total, n = sum(p.values()), len(p)
     rate = min(max(total / n, 1e-4), 1 - 1e-4)
 
-    def strength(key):
-        groups = {}
-        for k, v in p.items():
-            groups.setdefault(key(k), []).append(v)
-        spread = sum(len(g) * (np.mean(g) - rate) ** 2 for g in groups.values())
-        true = (spread - (len(groups) - 1) * rate * (1 - rate)) / (n - sum(len(g) ** 2 for g in groups.values()) / n)
-        return (min(max(rate * (1 - rate) / true - 1, 2.0), 1e6) if true > 0 else 1e6), groups
-
-    (hp, hosts), (pp, paths) = strength(lambda k: k[0]), strength(lambda k: k[:2])
+    hosts, paths = defaultdict(list), defaultdict(list)
+    for (host, path, _), v in p.items():
+        hosts[host].append(v)
+        paths[(host, path)].append(v)
+    hp, pp = brute_strengths(hosts, paths, rate)
     for r in rows:
         h, q = hosts[r.host], paths[(r.host, r.path)]
         host_rate = (sum(h) - r.p + hp * rate) / (len(h) - 1 + hp)
