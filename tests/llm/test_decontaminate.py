@@ -3,8 +3,18 @@ import re
 from itertools import combinations, product
 
 import pytest
-
-from tablelens.llm.decontaminate import MASKS, SHORT_MASKS, benchmark_overlaps, decontaminated
+from pyspark.sql import functions as F
+
+from tablelens.llm.common import stage
+from tablelens.llm.decontaminate import (
+    MASKS,
+    SHORT_MASKS,
+    _item_seeds,
+    _probes,
+    benchmark_overlaps,
+    decontaminated,
+    word_hashes,
+)
 
 ITEM = "item_id bigint, text string"
 
@@ -126,3 +136,59 @@ def test_short_items_match_brute_force(docs, spark):
     got = benchmark_overlaps(docs(pairs), spark.createDataFrame(items, ITEM)).collect()
     assert {(r.doc_id, r.item_id) for r in got} == want and len(got) == len(want)
     assert {k for _, k in want} == {k for k, _ in items} and len({i for i, _ in want}) < len(pairs)
+
+
+def shared_phrases(seed=3):
+    """Items that begin with one sentence, end with one, or differ from each other in a word or two."""
+    rng = random.Random(seed)
+    word = lambda: rng.choice("abcdefgh") + rng.choice("aeiou") + rng.choice("klmnop")
+    phrase = [word() for _ in range(12)]
+    template = [word() for _ in range(18)]
+    items = [(k, " ".join([*phrase, *[word() for _ in range(rng.randint(0, 25))]])) for k in range(30)]
+    items += [(100 + k, " ".join([*[word() for _ in range(rng.randint(1, 25))], *phrase])) for k in range(30)]
+    for k in range(20):
+        own = list(template)
+        for at in rng.sample(range(18), rng.randint(0, 3)):
+            own[at] = word()
+        items.append((200 + k, " ".join(own)))
+    pairs = []
+    for i in range(80):
+        own = [word() for _ in range(rng.randint(0, 30))]
+        kind = rng.random()
+        if kind < 0.4:  # the shared sentence alone
+            own[len(own) // 2 : len(own) // 2] = phrase
+        else:  # a copy with substitutions up to and beyond what counts
+            copy = rng.choice(items)[1].split()
+            for at in rng.sample(range(len(copy)), int(len(copy) * rng.choice([0, 0.1, 0.15, 0.2, 0.25]))):
+                copy[at] = "other"
+            own[len(own) // 3 : len(own) // 3] = copy
+        pairs.append((i, " ".join(own)))
+    return pairs, items
+
+
+@pytest.mark.parametrize("shared", [0, 2, 8, 1000])
+def test_shared_phrases_lose_no_item(docs, spark, shared):
+    pairs, items = shared_phrases()
+    want = brute(pairs, items)
+    got = benchmark_overlaps(docs(pairs), spark.createDataFrame(items, ITEM), shared=shared, max_seeds=700 if shared == 2 else 10**6).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == want and len(got) == len(want) > 60
+
+
+def test_a_shared_sentence_adds_no_alignments(docs, spark):
+    """Documents that hold the sentence meet the items that begin with it only where more of them agrees."""
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choices("abcdefghijklmnop", k=5))
+    phrase = " ".join(word() for _ in range(12))
+    items = spark.createDataFrame([(k, " ".join([phrase, *[word() for _ in range(20)]])) for k in range(400)], ITEM)
+    pairs = [(i, " ".join([*[word() for _ in range(20)], phrase, *[word() for _ in range(20)]])) for i in range(50)]
+    every = stage(_item_seeds_of(items), "test-seeds")
+    plain, probes = _probes(every, [*MASKS, *SHORT_MASKS], 8, 0.8, 20)
+    most = plain.groupBy("seed").count().agg({"count": "max"}).first()[0]
+    assert most <= 8 and probes.groupBy("word").count().agg({"count": "max"}).first()[0] <= 8
+    assert benchmark_overlaps(docs(pairs), items).collect() == []
+
+
+def _item_seeds_of(items):
+    own = items.select("item_id", word_hashes(items["text"]).alias("words")).withColumn("item_key", F.col("item_id"))
+    seeds = _item_seeds(own, [*MASKS, *SHORT_MASKS], dict(enumerate(SHORT_MASKS.values(), len(MASKS))))
+    return seeds.select("mask", "seed", "item_key", "item_at", F.size("words").alias("n_words"), "words")
