@@ -78,21 +78,31 @@ def std_of(v: Column, ddof: int = 1, exact_scale: int | None = None) -> Column:
     plain = (F.stddev_samp if ddof == 1 else F.stddev_pop)(v)
     if exact_scale is None:
         return plain
-    exact = v.try_cast(f"decimal(18,{exact_scale})")
+    unit, unfit = exact_units(v, exact_scale)
+    n = F.count(v)
+    spread = exact_spread(n, F.sum(unit).cast("decimal(38,0)"), F.try_sum(unit * unit))
+    std = F.sqrt(spread / (n.cast("double") - F.lit(float(ddof)))) / F.lit(float(10**exact_scale))
+    usable = (F.count_if(unfit) == 0) & spread.isNotNull() & (n > ddof)
+    return F.when(usable, std).otherwise(plain)
+
+
+def exact_units(v: Column, scale: int) -> tuple[Column, Column]:
+    """A double as a whole number of 10^-scale units (NULL if it does not fit, see ``sum_of``), and whether it does not."""
+    exact = v.try_cast(f"decimal(18,{scale})")
     fits = F.coalesce(exact.cast("double") == v, F.lit(False))
-    unit = (F.when(fits, exact) * F.lit(10**exact_scale).cast("decimal(18,0)")).try_cast("decimal(19,0)")
-    n = F.count(v).cast("decimal(19,0)")
-    total, squares = F.sum(unit).cast("decimal(38,0)"), F.try_sum(unit * unit)
-    q = F.floor(total.cast("double") / F.nullif(n.cast("double"), F.lit(0.0))).try_cast("decimal(19,0)")
+    unit = (F.when(fits, exact) * F.lit(10**scale).cast("decimal(18,0)")).try_cast("decimal(19,0)")
+    return unit, ~fits & v.isNotNull()
+
+
+def exact_spread(count: Column, total: Column, squares: Column) -> Column:
+    """Sum of squared deviations from the mean, from a count and exact sums of whole numbers and their squares."""
+    n, size = count.cast("decimal(19,0)"), F.nullif(count.cast("double"), F.lit(0.0))
+    q = F.floor(total.cast("double") / size).try_cast("decimal(19,0)")
     r = F.try_subtract(total, F.try_multiply(q, n))
-    centred = F.try_subtract(squares, F.try_multiply(q, F.try_add(total, r)))
+    centred = F.try_subtract(squares, F.try_multiply(q, F.try_add(total, r))).cast("double")
     rest = r.cast("double")
-    count = n.cast("double")
     # The centred sum is never smaller than what r takes off, but for the last rounding.
-    spread = F.greatest(centred.cast("double") - rest * rest / F.nullif(count, F.lit(0.0)), F.lit(0.0))
-    std = F.sqrt(spread / (count - F.lit(float(ddof)))) / F.lit(float(10**exact_scale))
-    usable = (F.count_if(~fits & v.isNotNull()) == 0) & centred.isNotNull() & (count > F.lit(float(ddof)))
-    return F.when(usable, std).otherwise(plain)
+    return F.when(centred.isNotNull(), F.greatest(centred - rest * rest / size, F.lit(0.0)))
 
 
 def whole_stats(c: str | Column) -> tuple[Column, Column, Column]:

@@ -9,6 +9,7 @@ applies the same rules to the same table.
 from __future__ import annotations
 
 import os
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 from tablelens.functions.display import round_stat
 from tablelens.operators import clean, engagement, groups, profile, roles
 from tablelens.operators.ordering import global_rank
+from tablelens.operators.state import DISTINCT_ERROR, RANK_ERROR, ProfileState, rank_of
 from tablelens.plans import catalogue as base
 from tablelens.plans.catalogue import SCALE, _t, query, rank_sql, rnd, sinj
 from tablelens.plans.reports import ads_report, posts_report, tweets_report
@@ -188,6 +190,69 @@ def whole_number_profile(spark, sf):
     return profile.whole_number_profile(d).withColumn("total", F.col("total").cast("string"))
 
 
+# --------------------------------------------------- state of growing folders
+
+_STATE_COLS = ["l_quantity", "l_extendedprice", "l_discount"]
+_STATE_TEXT = ["l_suppkey", "l_returnflag", "l_shipdate"]
+
+
+def _grown_state(spark: SparkSession, sf: str) -> ProfileState:
+    """Two runs: half of ``lineitem``, and then, beside it, the rest."""
+    root = shared_dir(spark, "profile-state")
+    source, odd = os.path.join(root, "rows"), F.col("l_orderkey") % 2
+    li = _t(spark, sf, "lineitem").select(*_STATE_COLS, *_STATE_TEXT, "l_orderkey")
+    state = ProfileState(spark, os.path.join(root, "state"), _STATE_COLS, _STATE_TEXT, [["l_returnflag", "l_suppkey"]], SCALE)
+    for k in (0, 1):
+        li.where(odd == k).drop("l_orderkey").write.mode("append").parquet(source)
+        state.update(source)
+    return state
+
+
+def _state_profile_sql(c: str) -> str:
+    mean = f"(SELECT CAST(sum(CAST(round({c} * 100) AS HUGEINT)) AS DOUBLE) / 100.0 / CAST(count({c}) AS DOUBLE) FROM lineitem)"
+    return (
+        f"SELECT x.column_name, x.count, (SELECT count(*) - count({c}) FROM lineitem) AS missing, {mean} AS mean, x.std, "
+        f"(SELECT min({c}) FROM lineitem) AS min, (SELECT max({c}) FROM lineitem) AS max FROM ({_exact_std_sql(c, 1)}) x"
+    )
+
+
+@query("state_profile_two_runs", " UNION ALL ".join(map(_state_profile_sql, _STATE_COLS)))
+def state_profile_two_runs(spark, sf):
+    """A7-A12 from the state of two runs, unrounded: as one run over all rows."""
+    found = _grown_state(spark, sf).profile().where(F.col("position") < len(_STATE_COLS))
+    return found.select("column_name", "count", "missing", "mean", "std", "min", "max")
+
+
+@query("state_group_sizes", "SELECT l_returnflag, l_suppkey, count(*) AS size FROM lineitem GROUP BY ALL")
+def state_group_sizes(spark, sf):
+    """G1 from the state of two runs."""
+    return _grown_state(spark, sf).group_sizes()
+
+
+@query(
+    "sketches_within_error",
+    " UNION ALL ".join(
+        f"SELECT '{c}' AS column_name, count(DISTINCT {c}) AS exact_distinct, true AS distinct_within, true AS quantiles_within FROM lineitem"
+        for c in [*_STATE_COLS, *_STATE_TEXT]
+    ),
+)
+def sketches_within_error(spark, sf):
+    """Merged sketches against the exact numbers; every column's error is within its bound."""
+    li = _t(spark, sf, "lineitem")
+    found = _grown_state(spark, sf).profile()
+    frames = []
+    for c in [*_STATE_COLS, *_STATE_TEXT]:
+        own = found.where(F.col("column_name") == c)
+        exact = F.count_distinct(c)
+        within = [F.abs(own.select("distinct_count").scalar() - exact) <= F.greatest(exact * F.lit(DISTINCT_ERROR), F.lit(0.5))]
+        ranks = F.lit(True)
+        for p in (25, 50, 75) if c in _STATE_COLS else ():
+            low, high = rank_of(F.col(c), own.select(f"q{p}").scalar())
+            ranks = ranks & (low - RANK_ERROR <= p / 100) & (high + RANK_ERROR >= p / 100)
+        frames.append(li.agg(exact.alias("exact_distinct"), within[0].alias("distinct_within"), ranks.alias("quantiles_within")).select(F.lit(c).alias("column_name"), "*"))
+    return reduce(DataFrame.unionByName, frames)
+
+
 # ------------------------------------------------------- prefixes of files
 
 

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import csv
 from collections.abc import Callable, Iterator, Sequence
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,6 +25,11 @@ from tablelens.sources.delimited import cells_of, sniff_delimiter
 PREFIXES = (1_000, 16_000)
 
 
+def files_of(d: DataFrame) -> list[str]:
+    """The files of a scan in path order, as paths to read."""
+    return [unquote(f) for f in sorted(d.inputFiles())]
+
+
 def first_file_rows(spark: SparkSession, path: str, n: int) -> DataFrame:
     """The first ``n`` rows of Parquet files, in path order and by place in the file.
 
@@ -31,7 +37,7 @@ def first_file_rows(spark: SparkSession, path: str, n: int) -> DataFrame:
     frame's scan has these files only. Fewer rows than ``n`` are all rows.
     """
     whole = spark.read.parquet(path)
-    files = sorted(whole.inputFiles())
+    files = files_of(whole)
     count, held = 1, 0
     while files:
         held = spark.read.schema(whole.schema).parquet(*files[:count]).count()
@@ -46,7 +52,7 @@ def first_file_rows(spark: SparkSession, path: str, n: int) -> DataFrame:
 
 def _first_records(spark: SparkSession, path: str, n: int, sep: str) -> Iterator[list[str]]:
     """Records of delimited files in path order, ``n`` at most without the heads, as lists of lines; first the head."""
-    files = sorted(spark.read.text(path).inputFiles())
+    files = files_of(spark.read.text(path))
     got, headed = 0, False
     for file in files:
         lines, wanted = spark.read.option("lineSep", "\n").text(file), n - got + 1

@@ -13,7 +13,7 @@ from tablelens.sources import first_file_rows, first_records, prefix_role_table,
 @pytest.fixture
 def parquet(spark, tmp_path):
     """Twenty files of 50 rows, in order."""
-    path = str(tmp_path / "rows")
+    path = str(tmp_path / "the rows")
     spark.range(1000).withColumn("v", F.col("id") * 2).repartitionByRange(20, "id").sortWithinPartitions("id").write.parquet(path)
     return path
 
