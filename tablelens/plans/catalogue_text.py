@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablelens.functions.display import round_stat
-from tablelens.operators import clean, engagement, groups, profile, roles
+from tablelens.operators import clean, engagement, groups, heavy, profile, roles
 from tablelens.operators.ordering import global_rank
 from tablelens.operators.state import DISTINCT_ERROR, RANK_ERROR, ProfileState, rank_of
 from tablelens.plans import catalogue as base
@@ -253,6 +253,33 @@ def sketches_within_error(spark, sf):
     return reduce(DataFrame.unionByName, frames)
 
 
+# ---------------------------------------------------------- frequent values
+
+
+def _heavy_sql(table: str, cols: list[str], k: int) -> str:
+    parts = [
+        f"""SELECT '{c}' AS column_name, {i} AS position, CAST(row_number() OVER (ORDER BY count(*) DESC, CAST({c} AS VARCHAR)) AS BIGINT) AS rank,
+  CAST({c} AS VARCHAR) AS value, count(*) AS count FROM {table} WHERE {c} IS NOT NULL GROUP BY CAST({c} AS VARCHAR) QUALIFY rank <= {k}"""
+        for i, c in enumerate(cols)
+    ]
+    return " UNION ALL ".join(parts)
+
+
+_HEAVY_COLS = ["l_orderkey", "l_partkey", "l_suppkey", "l_returnflag"]
+
+
+@query("heavy_values", _heavy_sql("lineitem", _HEAVY_COLS, 5))
+def heavy_values(spark, sf):
+    """The five most frequent values of columns with few values, many, and nearly as many as rows."""
+    return heavy.heavy_values(_t(spark, sf, "lineitem"), _HEAVY_COLS, 5)
+
+
+@query("heavy_values_of_texts", _heavy_sql("documents", ["text", "lang", "source", "doc_id"], 3))
+def heavy_values_of_texts(spark, sf):
+    """Whole texts and unique ids; the hot source."""
+    return heavy.heavy_values(_t(spark, sf, "documents"), ["text", "lang", "source", "doc_id"], 3)
+
+
 # ------------------------------------------------------- prefixes of files
 
 
