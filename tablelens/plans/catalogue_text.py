@@ -11,6 +11,7 @@ from __future__ import annotations
 import os
 from functools import reduce
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,9 +24,11 @@ from tablelens.plans.catalogue import SCALE, _t, query, rank_sql, rnd, sinj
 from tablelens.plans.reports import ads_report, posts_report, tweets_report
 from tablelens.session import shared_dir
 from tablelens.sources import (
+    commit_report,
     first_file_rows,
     first_records,
     prefix_role_table,
+    read_report,
     read_table,
     write_delimited,
     write_report,
@@ -253,6 +256,27 @@ def sketches_within_error(spark, sf):
     return reduce(DataFrame.unionByName, frames)
 
 
+# --------------------------------------------------------- committed reports
+
+
+@query(
+    "report_committed_versions",
+    "SELECT l_returnflag, l_linestatus, count(*) AS size FROM lineitem GROUP BY l_returnflag, l_linestatus",
+)
+def report_committed_versions(spark, sf):
+    """A report whose third frame fails leaves the report before it whole."""
+    li, path = _t(spark, sf, "lineitem"), os.path.join(shared_dir(spark, "reports"), "report")
+    sizes = groups.group_sizes(li, ["l_returnflag", "l_linestatus"])
+    commit_report({"sizes": sizes, "flags": groups.group_sizes(li, ["l_returnflag"])}, path)
+    half = {"sizes": sizes.limit(1), "flags": sizes.limit(1), "broken": li.select(F.raise_error(F.lit("no third frame")))}
+    try:
+        commit_report(half, path)
+    except PySparkException as failed:
+        if "no third frame" not in str(failed):
+            raise
+    return read_report(spark, path)["sizes"].select("l_returnflag", "l_linestatus", "size")
+
+
 # ---------------------------------------------------------- frequent values
 
 

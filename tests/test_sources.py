@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tablelens.operators import clean, groups, profile
 from tablelens.operators.roles import classify_columns
 from tablelens.plans.reports import ads_report, posts_report, tweets_report
-from tablelens.sources import first_line_counts, load_tables, read_table, sniff_delimiter, write_report
+from tablelens.sources import commit_report, first_line_counts, load_tables, read_report, read_table, sniff_delimiter, write_report
 
 
 @pytest.fixture
@@ -266,3 +266,27 @@ def test_first_line_counts(spark, write):
 def test_load_tables(spark):
     tables = load_tables(spark, "/root/testdata/sf0.001", ["region", "nation"])
     assert {n: d.count() for n, d in tables.items()} == {"region": 5, "nation": 25}
+
+
+def test_a_failed_write_leaves_the_last_whole_report(spark, tmp_path):
+    path = str(tmp_path / "report")
+    with pytest.raises(ValueError, match="no whole report"):
+        read_report(spark, path)
+    with pytest.raises(ValueError, match="needs a frame"):
+        commit_report({}, path)
+    broken = spark.range(3).select(F.raise_error(F.lit("stop")).alias("id"))
+    half = {"a": spark.range(9), "b": spark.range(9), "c": broken}
+    with pytest.raises(Exception, match="stop"):
+        commit_report(half, path)
+    with pytest.raises(ValueError, match="no whole report"):
+        read_report(spark, path)
+    first = commit_report({"a": spark.range(1), "b": spark.range(2), "c": spark.range(3)}, path)
+    with pytest.raises(Exception, match="stop"):
+        commit_report(half, path)
+    counts = lambda v=None: {k: f.count() for k, f in read_report(spark, path, v).items()}
+    assert counts() == {"a": 1, "b": 2, "c": 3}
+    last = commit_report({"a": spark.range(5), "d": spark.range(6)}, path, fmt="json")
+    assert counts() == counts(last) == {"a": 5, "d": 6}
+    assert counts(first) == {"a": 1, "b": 2, "c": 3}
+    with pytest.raises(ValueError, match="no whole version"):
+        read_report(spark, path, "v-none")
