@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablelens.functions.display import round_stat
-from tablelens.operators import clean, engagement, groups, heavy, profile, roles
+from tablelens.operators import clean, engagement, groups, heavy, profile, roles, types
 from tablelens.operators.ordering import global_rank
 from tablelens.operators.state import DISTINCT_ERROR, RANK_ERROR, ProfileState, rank_of
 from tablelens.plans import catalogue as base
@@ -256,6 +256,48 @@ def sketches_within_error(spark, sf):
     return reduce(DataFrame.unionByName, frames)
 
 
+# ------------------------------------------------------- types in one scan
+
+_DAY_SQL = "strftime(o_orderdate, '%Y-%m-%d')"
+_TYPED_CELLS = {
+    "id": "CAST(o_orderkey AS VARCHAR)",
+    "price": "CASE WHEN o_orderkey % 11 <> 0 THEN CAST(o_totalprice AS VARCHAR) END",
+    "day": "{day}",
+    "moment": "CASE WHEN o_orderkey % 2 = 0 THEN {day} || ' 12:30:00' ELSE {day} END",
+    "flag": "CASE WHEN o_orderkey % 3 = 0 THEN 'true' ELSE 'False' END",
+    "cell": """CASE WHEN o_orderkey % 2 = 0 THEN '{{"a": 1}}' ELSE '[1, 2]' END""",
+    "mixed": "CASE o_orderkey % 4 WHEN 0 THEN '2024-02-30' WHEN 1 THEN {day} WHEN 2 THEN 'true' ELSE '7' END",
+    "nothing": "CAST(NULL AS VARCHAR)",
+}
+
+
+def _type_table_sql() -> str:
+    cells = ", ".join(f"{e.format(day=_DAY_SQL)} AS {c}" for c, e in _TYPED_CELLS.items())
+    day = "regexp_matches(v, '^[0-9]{4}-[0-9]{2}-[0-9]{2}$') AND TRY_CAST(v AS DATE) IS NOT NULL"
+    moment = f"(({day}) OR regexp_matches(v, '^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}[ T][0-9:]{{8}}$') AND TRY_CAST(v AS TIMESTAMP) IS NOT NULL)"
+    tests = {
+        "boolean": "lower(v) IN ('true', 'false')", "whole": "regexp_matches(v, '^[+-]?[0-9]{1,18}$')", "number": f"regexp_matches(v, {base.GUARD_SQL})",
+        "date": day, "time": moment, "json": "v[1] IN ('{', '[') AND json_valid(v)",
+    }
+    counts = ", ".join(f"count(*) FILTER (WHERE {t}) AS n_{k}" for k, t in tests.items())
+    parts = [f"SELECT '{c}' AS column_name, {i} AS position, count(v) AS non_null, {counts} FROM (SELECT {c} AS v FROM t) x{i}" for i, c in enumerate(_TYPED_CELLS)]
+    kind = " ".join(f"WHEN n_{k} = non_null THEN '{k}'" for k in tests)
+    return f"""WITH t AS (SELECT {cells} FROM orders), c AS ({' UNION ALL '.join(parts)}),
+k AS (SELECT *, CASE WHEN non_null = 0 THEN 'empty' {kind} ELSE 'text' END AS kind FROM c)
+SELECT *, CASE WHEN kind IN ('whole', 'number') THEN 'numeric' ELSE 'text' END AS role FROM k"""
+
+
+def _typed_cells(spark: SparkSession, sf: str) -> DataFrame:
+    day = "date_format(o_orderdate, 'yyyy-MM-dd')"
+    return _t(spark, sf, "orders").select(*[F.expr(e.format(day=day).replace("VARCHAR", "STRING")).alias(c) for c, e in _TYPED_CELLS.items()])
+
+
+@query("type_table", _type_table_sql())
+def type_table(spark, sf):
+    """Kinds of eight text columns from one aggregate."""
+    return types.type_table(_typed_cells(spark, sf))
+
+
 # --------------------------------------------------------- committed reports
 
 

@@ -1,0 +1,68 @@
+"""Types of text columns in one scan."""
+
+import datetime as dt
+
+import pytest
+from pyspark.sql import functions as F
+
+from tablelens.operators import types
+
+COLUMNS = {
+    "boolean": ["true", " FALSE ", None],
+    "whole": ["1", "-20", "+3"],
+    "number": ["1", "2.5", "1e3"],
+    "date": ["2024-02-29", "1999-12-31", None],
+    "time": ["2024-02-29", "2024-02-29 10:00:00", "2024-02-29T10:00:00"],
+    "json": ['{"a": 1}', "[]", ' [1, {"b": 2}]'],
+    "text": ["2024-02-30", "2024-01-01", "2024-01-02"],
+    "empty": [None, None, None],
+}
+
+
+@pytest.fixture
+def d(spark):
+    return spark.createDataFrame(list(zip(*COLUMNS.values(), strict=True)), ", ".join(f"`{c}` string" for c in COLUMNS))
+
+
+def test_kinds(d):
+    assert types.kinds_of(d) == {c: c for c in COLUMNS}
+
+
+@pytest.mark.parametrize(("cells", "kind"), [
+    (["1", "true"], "text"), (["1", "2024-01-01"], "text"), (["true", "{}"], "text"), (["1", "0.5"], "number"),
+    (["{}", "{bad"], "text"), (["12345678901234567890", "1"], "number"), (["nan", "1"], "text"), (["'a'", "[1"], "text"),
+])
+def test_joins_of_cells(spark, cells, kind):
+    assert types.kinds_of(spark.createDataFrame([(c,) for c in cells], "v string")) == {"v": kind}
+
+
+def test_thresholds_forced_text_and_typed_columns(spark):
+    d = spark.range(10).select(
+        F.when(F.col("id") < 8, F.col("id").cast("string")).otherwise("x").alias("most"), F.col("id").cast("string").alias("ident"),
+        "id", F.lit(1.5).alias("r"), F.lit(True).alias("b"), F.current_date().alias("day"), F.array(F.lit(1)).alias("list"),
+    )
+    want = {"most": "whole", "ident": "text", "id": "whole", "r": "number", "b": "boolean", "day": "date", "list": "text"}
+    assert types.kinds_of(d, threshold=0.8, force_text=["ident"]) == want
+    assert types.kinds_of(d)["most"] == "text"
+    roles = {r.column_name: r.role for r in types.type_table(d).collect()}
+    assert roles["ident"] == roles["r"] == "numeric" and roles["b"] == roles["day"] == "text"
+
+
+def test_one_scan(spark, tmp_path):
+    path = str(tmp_path / "rows")
+    spark.range(50).select(*[F.col("id").cast("string").alias(c) for c in "abcde"]).write.parquet(path)
+    plan = types.type_table(spark.read.parquet(path))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and plan.count("Exchange") == 1
+
+
+def test_cast_to_kinds(d):
+    row = types.cast_kinds(d, types.kinds_of(d)).first()
+    assert (row.boolean, row.whole, row.number, row.date, row.time) == (True, 1, 1.0, dt.date(2024, 2, 29), dt.datetime(2024, 2, 29))
+    assert (row.json, row.text, row.empty) == ('{"a": 1}', "2024-02-30", None)
+    wrong = types.cast_kinds(d, {"text": "date", "json": "whole", "number": "whole"}).collect()
+    assert [r.text for r in wrong] == [None, dt.date(2024, 1, 1), dt.date(2024, 1, 2)] and wrong[1].number is None and wrong[0].json is None
+
+
+def test_no_rows_and_no_columns(spark):
+    assert types.kinds_of(spark.createDataFrame([], "a string, b int")) == {"a": "empty", "b": "empty"}
+    assert types.type_table(spark.range(3), cols=[]).collect() == []
