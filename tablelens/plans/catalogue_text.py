@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablelens.functions.display import round_stat
-from tablelens.operators import clean, engagement, groups, heavy, profile, roles, types
+from tablelens.operators import clean, engagement, groups, heavy, jsonpaths, profile, roles, types
 from tablelens.operators.ordering import global_rank
 from tablelens.operators.state import DISTINCT_ERROR, RANK_ERROR, ProfileState, rank_of
 from tablelens.plans import catalogue as base
@@ -298,6 +298,25 @@ def type_table(spark, sf):
     return types.type_table(_typed_cells(spark, sf))
 
 
+# ------------------------------------------------------ structure of JSON cells
+
+_PROPS = """CASE event_id % 5 WHEN 1 THEN '{"k": "x", "tags": [1, 2.5, "a", null]}' WHEN 2 THEN '{"k": null, "deep": {"er": {"est": true}}}'
+  WHEN 3 THEN '{bad' ELSE props END"""
+
+
+@query(
+    "json_paths",
+    f"""WITH t AS (SELECT {_PROPS} AS j FROM events), v AS (SELECT j FROM t WHERE json_valid(j)),
+n AS (SELECT regexp_replace(e.fullkey, '\\[[0-9]+\\]', '[*]', 'g') AS path, e.type AS type FROM v, json_tree(v.j) e),
+k AS (SELECT path, CASE type WHEN 'UBIGINT' THEN 'whole' WHEN 'BIGINT' THEN 'whole' WHEN 'DOUBLE' THEN 'number' WHEN 'VARCHAR' THEN 'text' ELSE lower(type) END AS kind FROM n
+  UNION ALL SELECT '$', 'invalid' FROM t WHERE j IS NOT NULL AND NOT json_valid(j))
+SELECT 'props' AS column_name, path, kind, count(*) AS count FROM k GROUP BY path, kind""",
+)
+def json_paths(spark, sf):
+    """Kinds and counts by path, with arrays, nulls, deep objects and bad cells injected."""
+    return jsonpaths.json_paths(_t(spark, sf, "events").select(F.expr(_PROPS).alias("props")), ["props"])
+
+
 # --------------------------------------------------------- committed reports
 
 
