@@ -11,12 +11,18 @@ same separator; a parser in the task joins them up again by Content-Length, so
 a payload may hold the separator itself and no file is held whole. Revisits get
 their payload's length from the response that they refer to, by a join of the
 headers on the digest.
+
+Spark's writer makes one gzip stream of a file, not a member for each record, so
+other readers can go through the files but not seek in them; each file begins
+with whatever record its task has first, there is no warcinfo record.
 """
 
 from __future__ import annotations
 
+import base64
 import hashlib
 from collections.abc import Iterator
+from datetime import UTC, datetime
 from urllib.parse import unquote_plus
 
 import pyarrow as pa
@@ -50,23 +56,24 @@ def _line(name: str, value: Column) -> Column:
 
 
 def classified(pages: DataFrame, min_payload: int = MIN_PAYLOAD) -> DataFrame:
-    """``(page_id, url, payload, digest, n_bytes, refers_to)``; see ``write_archives``."""
+    """``(page_id, url, payload, digest, n_bytes, refers_to, refers_url)``; see ``write_archives``."""
     payload = F.coalesce("payload", F.lit(""))
     digested = pages.withColumn("payload", payload).select(
         "page_id", "url", "payload", F.sha2("payload", 256).alias("digest"), F.octet_length("payload").alias("n_bytes")
     )
-    headers = digested.where(F.col("n_bytes") >= min_payload).select("page_id", "digest")
+    headers = digested.where(F.col("n_bytes") >= min_payload).select("page_id", "digest", "url")
     originals = (
         headers.groupBy("digest")
-        .agg(F.min("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n"))
+        .agg(F.min("page_id").alias("refers_to"), F.min_by("url", "page_id").alias("refers_url"), F.count(F.lit(1)).alias("n"))
         .where("n > 1 AND refers_to IS NOT NULL")
         .drop("n")
         .hint("rebalance")
     )
     revisits = (
-        headers.join(originals, "digest")
+        headers.drop("url")
+        .join(originals, "digest")
         .where("page_id IS NULL OR page_id != refers_to")
-        .select(F.col("page_id").alias("r_id"), F.col("digest").alias("r_digest"), "refers_to")
+        .select(F.col("page_id").alias("r_id"), F.col("digest").alias("r_digest"), "refers_to", "refers_url")
         .distinct()
     )
     same = F.col("page_id").eqNullSafe(F.col("r_id")) & (F.col("digest") == F.col("r_digest"))
@@ -80,7 +87,7 @@ def write_archives(
     url_col: str = "url",
     payload_col: str = "html",
     min_payload: int = MIN_PAYLOAD,
-    date: str = "1970-01-01T00:00:00Z",
+    date: str | None = None,
     records_per_file: int = RECORDS_PER_FILE,
 ) -> None:
     """Write one WARC record per row under ``path``, as gzipped files.
@@ -91,8 +98,11 @@ def write_archives(
     (an empty one) are always responses. Rows that repeat the smallest id are
     all responses; rows with a null id come after all ids, and stay responses
     if no copy has an id. Line breaks in a URL are percent-encoded, a null URL
-    gives no target header. An empty table gives an archive without records.
+    gives no target header. All records have one date, by default the time of
+    this call; revisits name target and date of what they refer to. An empty
+    table gives an archive without records.
     """
+    date = date or datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
     rows = classified(pick(pages, page_id=id_col, url=url_col, payload=payload_col), min_payload)
     revisit = F.col("refers_to").isNotNull()
     body = F.when(revisit, F.lit("")).otherwise(F.col("payload"))
@@ -101,16 +111,21 @@ def write_archives(
         F.col("n_bytes").cast("string"),
         F.lit(END),
     )
-    url = F.replace(F.replace(F.col("url"), F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
+
+    def target(c: str) -> Column:
+        return F.replace(F.replace(F.col(c), F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
+
     record = F.concat(
         F.lit(VERSION + CRLF),
         _line("WARC-Type", F.when(revisit, F.lit("revisit")).otherwise(F.lit("response"))),
         _line("WARC-Record-ID", _record_id(F.col("page_id"))),
         _line("WARC-Date", F.lit(date)),
-        _line("WARC-Target-URI", url),
+        _line("WARC-Target-URI", target("url")),
         _line("WARC-Payload-Digest", F.concat(F.lit("sha256:"), F.col("digest"))),
         _line("WARC-Profile", F.when(revisit, F.lit(IDENTICAL))),
         _line("WARC-Refers-To", F.when(revisit, _record_id(F.col("refers_to")))),
+        _line("WARC-Refers-To-Target-URI", F.when(revisit, target("refers_url"))),
+        _line("WARC-Refers-To-Date", F.when(revisit, F.lit(date))),
         _line("Content-Type", F.lit("application/http; msgtype=response")),
         _line("Content-Length", F.octet_length(F.concat(http, body)).cast("string")),
         F.lit(CRLF),
@@ -157,23 +172,43 @@ def parse_records(chunks: Iterator[bytes]) -> Iterator[tuple[dict[str, str], byt
                 raise ValueError("a record's block is cut off")
         block = bytes(buffer[begin:end])
         del buffer[:end]
-        yield headers, block[block.index(ends) + len(ends) :]
+        http = headers.get("content-type", "").startswith("application/http")
+        yield headers, block[block.index(ends) + len(ends) :] if http and ends in block else block
 
 
-def read_archives(spark: SparkSession, path: str, id_type: str = "bigint", payload: bool = False) -> DataFrame:
-    """Records of the archives under ``path``, one row each.
+def checked_digest(claim: str | None, payload: bytes | None) -> str | None:
+    """A payload's SHA-256 in hex, after its header's claim (``sha256:`` hex or ``sha1:`` base32) is held against it.
 
-    Columns: ``page_id, url, record_type, refers_to, payload_digest`` (bare hex;
-    a response's is computed from the payload that was read, and must agree with its
-    header), ``own_bytes`` (the payload bytes in the record itself) and, if asked
-    for, ``payload`` (empty for revisits).
+    Without a payload (a revisit) the claimed SHA-256, or None for a claim of
+    another kind.
+    """
+    kind, _, value = (claim or "").partition(":")
+    if payload is None:
+        return value if kind == "sha256" else None
+    found = hashlib.sha256(payload).hexdigest()
+    own = {"sha256": found, "sha1": base64.b32encode(hashlib.sha1(payload).digest()).decode()}.get(kind)
+    if own is not None and own.lower() != value.lower():
+        raise ValueError(f"payload digest {own} differs from the header's {value}")
+    return found
+
+
+def read_archives(spark: SparkSession, path: str, id_type: str = "bigint", payload: bool = False) -> DataFrame:
+    """Response and revisit records of the archives under ``path``, one row each.
+
+    Columns: ``page_id`` (null for record ids that ``write_archives`` did not
+    make), ``url, record_type, refers_to, payload_digest`` (bare SHA-256 hex; a
+    response's is computed from the payload that was read, and must agree with
+    its header, if that has a SHA-256 or SHA-1; a revisit's is its header's
+    SHA-256, else null), ``own_bytes`` (the payload bytes in the record itself)
+    and, if asked for, ``payload`` (empty for revisits). Other records, as
+    warcinfo or request, are passed over.
     """
     carry_package(spark)
     text = spark.read.option("lineSep", END).text(path)
 
     def page(record_id: str) -> str | None:
         inner = record_id.strip("<>")
-        return unquote_plus(inner.removeprefix("urn:page:id:")) if inner != "urn:page:none" else None
+        return unquote_plus(inner.removeprefix("urn:page:id:")) if inner.startswith("urn:page:id:") else None
 
     names = ["page_id", "url", "record_type", "refers_to", "payload_digest"]
     schema = ", ".join(f"{n} string" for n in names) + ", own_bytes bigint" + ", payload binary" * payload
@@ -191,12 +226,12 @@ def read_archives(spark: SparkSession, path: str, id_type: str = "bigint", paylo
             return pa.RecordBatch.from_arrays(made, names + ["own_bytes"] + ["payload"] * payload)
 
         for headers, body in parse_records(parts):
-            claimed = headers["warc-payload-digest"].removeprefix("sha256:")
             kind = headers["warc-type"]
-            if kind == "response" and (found := hashlib.sha256(body).hexdigest()) != claimed:
-                raise ValueError(f"payload digest {found} differs from the header's {claimed}")
+            if kind not in ("response", "revisit"):
+                continue
+            digest = checked_digest(headers.get("warc-payload-digest"), body if kind == "response" else None)
             refers = page(headers["warc-refers-to"]) if "warc-refers-to" in headers else None
-            row = (page(headers["warc-record-id"]), headers.get("warc-target-uri"), kind, refers, claimed, len(body))
+            row = (page(headers["warc-record-id"]), headers.get("warc-target-uri"), kind, refers, digest, len(body))
             out.append(row + (body,) * payload)
             held += len(body) * payload
             if len(out) >= 2000 or held > 16_000_000:

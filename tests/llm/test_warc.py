@@ -1,13 +1,15 @@
+import base64
 import glob
 import gzip
 import hashlib
 import random
+from datetime import UTC, datetime
 
 import duckdb
 import pytest
 
 from tablelens.llm.queries import WARC_SQL
-from tablelens.llm.warc import archive_roundtrip, parse_records, read_archives, write_archives
+from tablelens.llm.warc import archive_roundtrip, checked_digest, parse_records, read_archives, write_archives
 
 PAGES = "page_id bigint, url string, html string"
 
@@ -90,3 +92,45 @@ def test_cut_off_records_are_noticed():
         list(parse_records(iter([b"WARC/1.1\r\nContent-Length: 50", b"HTTP"])))
     with pytest.raises(ValueError, match="no WARC record"):
         list(parse_records(iter([b"garbage"])))
+
+
+def test_fresh_headers(spark, tmp_path):
+    """A date of now, or the one given; revisits name target and date of their response."""
+    pages, path = some_pages(), str(tmp_path / "warc")
+    frame = spark.createDataFrame(pages, PAGES)
+    before = datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
+    write_archives(frame, path)
+    urls = {f"<urn:page:id:{i}>": url for i, url, _ in pages}
+    dates = set()
+    for f in glob.glob(f"{path}/*.gz"):
+        for headers, _ in parse_records(iter([gzip.open(f).read()])):
+            dates.add(headers["warc-date"])
+            if headers["warc-type"] == "revisit":
+                assert headers["warc-refers-to-date"] == headers["warc-date"]
+                assert headers.get("warc-refers-to-target-uri") == urls[headers["warc-refers-to"]]
+    assert len(dates) == 1 and before <= dates.pop() <= datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
+    write_archives(frame.limit(1), str(tmp_path / "dated"), date="2020-01-02T03:04:05Z")
+    (f,) = glob.glob(f"{tmp_path}/dated/*.gz")
+    assert b"WARC-Date: 2020-01-02T03:04:05Z" in gzip.open(f).read()
+
+
+def record(kind, body, *headers, http=True):
+    block = (b"HTTP/1.1 200 OK\r\n\r\n" if http else b"") + body
+    head = [f"WARC-Type: {kind}", "WARC-Record-ID: <urn:uuid:1-2>", *headers, f"Content-Length: {len(block)}"]
+    head.append("Content-Type: " + ("application/http; msgtype=response" if http else "application/warc-fields"))
+    return ("WARC/1.0\r\n" + "\r\n".join(head) + "\r\n\r\n").encode() + block + b"\r\n\r\n"
+
+
+def test_archives_of_other_writers(spark, tmp_path):
+    """A gzip member for each record, SHA-1 or no digests, other ids and kinds of record."""
+    sha1 = "sha1:" + base64.b32encode(hashlib.sha1(b"one").digest()).decode()
+    records = [
+        record("warcinfo", b"software: other\r\n", http=False), record("response", b"one", f"WARC-Payload-Digest: {sha1}", "WARC-Target-URI: http://a"),
+        record("response", b"two"), record("revisit", b"", f"WARC-Payload-Digest: {sha1}", "WARC-Refers-To: <urn:uuid:9>"), record("request", b"GET"),
+    ]
+    (tmp_path / "other.warc.gz").write_bytes(b"".join(map(gzip.compress, records)))
+    got = [tuple(r) for r in read_archives(spark, str(tmp_path)).collect()]
+    digests = [hashlib.sha256(x).hexdigest() for x in (b"one", b"two")]
+    assert got == [(None, "http://a", "response", None, digests[0], 3), (None, None, "response", None, digests[1], 3), (None, None, "revisit", None, None, 0)]
+    with pytest.raises(ValueError, match="differs"):
+        checked_digest(sha1, b"two")
