@@ -339,7 +339,7 @@ def first_groups(
 
 
 #: Relative error of the distinct sketch, and the registers it has at that.
-_RSD, _REGISTERS = 0.01, 1 << 14
+_RSD, _REGISTERS = 0.05, 1 << 9
 
 
 def grouping_candidates(
@@ -374,7 +374,7 @@ def grouping_candidates(
         d = first_rows(d, order_by, sample_rows)
     if not chosen:
         return d.sparkSession.createDataFrame([], "column_name string, position int, unique_count long, choice long")
-    most = math.ceil(_REGISTERS * math.log(_REGISTERS / (_REGISTERS - hi))) if hi < _REGISTERS // 2 else None
+    most = math.ceil(_REGISTERS * math.log(_REGISTERS / (_REGISTERS - hi))) if hi < _REGISTERS // 4 else None
     values = [col_of(c).cast("string") for _, c in chosen]
     if most is not None:
         estimates = d.agg(F.array(*[F.approx_count_distinct(col_of(c), _RSD) for _, c in chosen]).alias("n")).scalar()

@@ -403,10 +403,12 @@ def ads_report(
         _group_block(out, typed, keys, r.numeric, "groups", **blocks)
     if candidate and r.text:
         cands = groups.grouping_candidates(typed, r.text, exclude=list(id_columns), max_cols=candidate_cols)
-        out.add("grouping_candidates", lambda: cands)
+        # One row for each candidate, looked for once for both frames that need it.
+        found = _once(lambda: typed.sparkSession.createDataFrame(cands.collect(), cands.schema))
+        out.add("grouping_candidates", found)
 
         def by_candidate() -> None:
-            best = cands.where(F.col("choice") == 1).select("column_name").collect()
+            best = found().where(F.col("choice") == 1).select("column_name").collect()
             if best:
                 _group_block(out, typed, [best[0]["column_name"]], r.numeric, "candidate", **blocks)
 
