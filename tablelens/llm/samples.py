@@ -25,21 +25,52 @@ def labelled_sample(
 ) -> DataFrame:
     """``(text, label)`` of at most ``limit`` labelled documents, staged.
 
-    The sample takes the label rows with the smallest hashes of their ids, so
-    it is the same in every run. ``learn`` (over ``doc_id``) says which ids may be
-    learned from. Null labels and ids are left out; every label row of an id
-    counts. Only the sampled ids, at most ``limit``, are broadcast.
+    The sample takes the different ``(id, label)`` pairs with the smallest
+    hashes of their ids, so it is the same in every run. ``learn`` (over
+    ``doc_id``) says which ids may be learned from. Null labels and ids are left
+    out. A text counts once for each different label of its id, however often
+    the labels repeat. An id may have any number of texts: where they make more
+    than ``limit`` rows, those with the smallest hashes of id, text and label
+    stay. Only the pairs, at most ``limit``, are broadcast.
     """
     d = pick(docs, doc_id=id_col, text=text_col)
     rows = pick(labels, doc_id=id_col, label=label_col).where("doc_id IS NOT NULL AND label IS NOT NULL")
     if learn is not None:
         rows = rows.where(learn)
+    chosen = _smallest_pairs(rows, limit)
+    if d.select("doc_id").join(F.broadcast(chosen), "doc_id").count() > limit:
+        found = _smallest_rows(d.join(F.broadcast(chosen), "doc_id"), limit)
+    else:
+        found = d.join(F.broadcast(chosen), "doc_id")
+    return stage(found.select(F.coalesce("text", F.lit("")).alias("text"), "label"), "labelled")
+
+
+def _smallest_pairs(rows: DataFrame, limit: int) -> DataFrame:
+    """The first ``limit`` different rows of ``(doc_id, label)`` by hash of the id, staged.
+
+    If the first ``limit`` rows all differ they are the answer, and no row moves;
+    only repeated ones call for a shuffle of all.
+    """
     order = [F.xxhash64(F.col("doc_id").cast("string")), F.col("doc_id"), F.col("label")]
-    chosen = rows.orderBy(*order).limit(limit)
-    found = stage(
-        d.join(F.broadcast(chosen), "doc_id").select(F.coalesce("text", F.lit("")).alias("text"), "label"), "labelled"
-    )
-    return found if found.count() <= limit else found.limit(limit)  # over it only if ids repeat
+    first = stage(rows.orderBy(*order).limit(limit), "labels")
+    n, different = first.agg(F.count(F.lit(1)), F.count_distinct("doc_id", "label")).first()
+    if n == different:
+        return first
+    if n < limit:
+        return first.distinct()
+    return stage(rows.distinct().orderBy(*order).limit(limit), "labels")
+
+
+def _smallest_rows(found: DataFrame, limit: int) -> DataFrame:
+    """The ``limit`` rows of ``(doc_id, text, label)`` with the smallest hashes.
+
+    The first pass ranks hashes alone; the second takes the texts up to the last
+    one. Rows that share the last hash are copies, so any of them will do.
+    """
+    keyed = found.withColumn("key", F.xxhash64(F.col("doc_id").cast("string"), "text", "label"))
+    first = keyed.select("key").orderBy("key").limit(limit)
+    last, n = first.groupBy("key").agg(F.count(F.lit(1))).orderBy(F.desc("key")).first()
+    return keyed.where(F.col("key") < last).unionByName(keyed.where(F.col("key") == last).limit(n)).drop("key")
 
 
 def newton_logistic(

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tablelens.llm.langid import Shared, Spectrum, fit_languages, identify_languages, training_sample
 from tablelens.llm.quality import keep_good, quality_posteriors, shape
 from tablelens.llm.queries import op6_toxicity, op7_language, op8_quality, quality_scores
+from tablelens.llm.samples import labelled_sample
 from tablelens.llm.toxicity import (
     _counterfactual_products,
     features_of,
@@ -33,6 +34,42 @@ def crc(i, n):
     return zlib.crc32(str(i).encode()) % n
 
 
+# ------------------------------------------------------------------- samples
+
+
+def sampled(d, labels, limit):
+    return sorted(map(tuple, labelled_sample(d, labels, "toxic", limit).collect()))
+
+
+def test_sample_takes_labels_by_hash_of_the_id(docs, spark):
+    d, labels = docs([(i, f"t{i}") for i in range(90)]), spark.createDataFrame([(i, 1, i % 2) for i in range(90)], LABELS)
+    ranked = labels.orderBy(F.xxhash64(F.col("doc_id").cast("string"))).limit(20).collect()
+    assert sampled(d.repartition(5), labels.repartition(7), 20) == sorted((f"t{r.doc_id}", r.toxic) for r in ranked)
+    assert sampled(d, labels, 500) == sorted((f"t{i}", i % 2) for i in range(90))
+    assert sampled(d.limit(0), labels, 20) == sampled(d, labels.limit(0), 20) == []
+
+
+@pytest.mark.parametrize("one_id", [7, 11, 13, 23])
+def test_one_id_for_all_texts_of_a_label(docs, spark, one_id):
+    """Its texts are rows like the others: no pair of text and label row is made twice, none is cut by chance."""
+    pairs = [(1000 + i, f"calm {i}") for i in range(300)] + [(one_id, f"vile {i}") for i in range(300)]
+    labels = spark.createDataFrame([(i, 1, int(i == one_id)) for i, _ in pairs], LABELS)  # 300 equal label rows
+    every = sorted((t, int(i == one_id)) for i, t in pairs)
+    assert sampled(docs(pairs), labels, 600) == every
+    some = sampled(docs(pairs).repartition(3), labels.repartition(5), 400)
+    rows = spark.createDataFrame([(i, t, int(i == one_id)) for i, t in pairs], "i bigint, t string, l int")
+    ranked = rows.orderBy(F.xxhash64(F.col("i").cast("string"), "t", "l")).limit(400).collect()
+    assert some == sorted((r.t, r.l) for r in ranked) and 150 < sum(k for _, k in some) < 250
+
+
+def test_copies_and_contrary_labels_in_a_sample(docs, spark):
+    d = docs([(1, "a")] * 40 + [(2, "b"), (3, None), (None, "c")])
+    labels = spark.createDataFrame([(1, 1, 0), (1, 1, 0), (1, 1, 1), (2, 1, 1), (3, 1, 0), (4, 1, 1), (None, 1, 1), (2, 1, None)], LABELS)
+    assert sampled(d, labels, 100) == sorted([("a", 0)] * 40 + [("a", 1)] * 40 + [("b", 1), ("", 0)])
+    few = sampled(d.repartition(6), labels, 10)
+    assert len(few) == 10 and few == sampled(d.repartition(2), labels.repartition(3), 10)
+
+
 # ------------------------------------------------------------------ toxicity
 
 
