@@ -12,6 +12,7 @@ from tablelens.llm.quality import keep_good, quality_posteriors, shape
 from tablelens.llm.queries import op6_toxicity, op7_language, op8_quality, quality_scores
 from tablelens.llm.samples import labelled_sample
 from tablelens.llm.toxicity import (
+    IDENTITY_TERMS,
     _counterfactual_products,
     features_of,
     fit_toxicity,
@@ -144,6 +145,69 @@ def test_counterfactual_pairs_are_summed_in_the_tasks(docs, spark):
     assert n == 60_000 + len(short) and np.array_equal(got, products)
 
 
+def plain_toxicity(pairs, labels, groups, most=600, ridge=0.3, weight=1.0):
+    """``{doc_id: score}``, features and weights from plain counts and gradient steps, without the operator's own fit."""
+    known = {i: t for i, _, t in labels}
+    rows = [(features_of(words_of(t)), known[i]) for i, t in pairs if i in known and crc(i, 5)]
+    y = np.array([k for _, k in rows], dtype=float)
+    toxic, n = y.sum(), len(rows)
+    seen, hits = defaultdict(int), defaultdict(int)
+    for some, k in rows:
+        for f in some:
+            seen[f] += 1
+            hits[f] += k
+
+    def cell(a, b):
+        return a * np.log(a / b) if a else 0.0
+
+    g = {f: 2 * (cell(hits[f], m * toxic / n) + cell(m - hits[f], m * (n - toxic) / n)) for f, m in seen.items() if m >= 3}
+    features = sorted(g, key=lambda f: (-round(g[f], 9), f))[:most]
+    vector = lambda some: np.array([float(f in some) for f in features])
+    x = np.array([[*vector(some), 1.0] for some, _ in rows])
+    changes = []
+    for i, t in pairs:
+        for here in map(words_of, sentences_of(t) if i in known and crc(i, 5) else []):
+            changes += [vector(features_of(here)) - vector(features_of(other)) for other in swaps(here, groups)]
+    changes = np.array([[*c, 0.0] for c in changes if c.any()])
+    each = np.where(y > 0, n / (2 * toxic), n / (2 * (n - toxic)))
+    price = np.array([ridge] * len(features) + [1e-6])
+    pull = weight * n / max(len(changes), 1) * (changes.T @ changes if len(changes) else np.zeros((len(price), len(price))))
+
+    def slope(w):
+        return x.T @ (each * (1 / (1 + np.exp(-x @ w)) - y)) + price * w + pull @ w
+
+    step = 1 / (np.linalg.norm((x.T * each) @ x / 4 + pull + np.diag(price), 2))
+    w = ahead = np.zeros(len(price))
+    for k in range(20_000):
+        new = ahead - step * slope(ahead)
+        if (ahead - new) @ (new - w) > 0:  # beyond the valley: begin anew
+            ahead, w, momentum = new, new, 0
+        else:
+            momentum = k / (k + 3)
+            ahead, w = new + momentum * (new - w), new
+        if np.abs(slope(w)).max() < 1e-7:
+            break
+    assert np.abs(slope(w)).max() < 1e-4
+    return features, {i: 1 / (1 + np.exp(-(vector(features_of(words_of(t or ""))) @ w[:-1] + w[-1]))) for i, t in pairs}
+
+
+@pytest.mark.parametrize("most", [600, 25])
+def test_whole_result_matches_a_plain_fit(docs, spark, most):
+    """With identity terms in the texts, so the penalty has pairs; ties at the last feature are settled by name."""
+    pairs, labels = group_mentions()
+    pairs += [(900, None), (901, ""), (902, "The muslims saw trash. The jews were there!\nSome scum.")]
+    d, known = docs(pairs), spark.createDataFrame(labels, LABELS)
+    features, want = plain_toxicity(pairs, labels, IDENTITY_TERMS, most)
+    got = {r.doc_id: r for r in toxicity(d, known, max_features=most).collect()}
+    model = fit_toxicity(d, known, learn=F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0, max_features=most)
+    assert sorted(model.features) == sorted(features) and got.keys() == want.keys()
+    assert all(abs(got[i].score - want[i]) < 1e-4 for i in want)
+    assert all(got[i].predicted == int(want[i] >= 0.5) for i in want if abs(want[i] - 0.5) > 1e-4)
+    assert all(got[i].held_out == (crc(i, 5) == 0) for i in want)
+    without = plain_toxicity(pairs, labels, IDENTITY_TERMS, most, weight=0.0)[1]
+    assert max(abs(without[i] - want[i]) for i in want) > 0.05  # the penalty is no trifle here
+
+
 def test_swaps_turn_through_a_group():
     assert [sorted(s) for s in swaps(words_of("The women smiled"), [("women", "men", "girls")])] == [
         ["men", "smiled", "the"],

@@ -71,3 +71,15 @@ def test_line_ends_and_tabs_are_no_difference(docs):
     d = docs([(1, "a\nb\n\nc\nown"), (2, "x\r\n\ta\r\nb\t\r\n\r\nc\r\ny\r\n"), (3, "\r\n\t\n\v\n\f\n"), (4, "\r\n\t\n\v\n\f\n")])
     got = {r[0]: (r["removed"], r[1]) for r in dedup_lines(d, removed_col="removed").collect()}
     assert got == {1: (0, "a\nb\n\nc\nown"), 2: (4, "x\r\ny\r\n"), **{k: (0, "\r\n\t\n\v\n\f\n") for k in (3, 4)}}
+
+
+def test_very_long_texts(docs):
+    """A text of 320,000 lines: a copy of it, one of its inside, and a passage that it repeats itself."""
+    rng = random.Random(6)
+    lines = [f"line {i} {rng.random()}" for i in range(320_000)]
+    lines[200_000:200_000] = lines[1000:1500]
+    inside = "\n".join(["its own begin", *lines[50_000:90_000], "its own end"])
+    pairs = [(1, "\n".join(lines)), (2, inside), (3, "\n".join(lines)), (4, "x " * 1_000_000)]
+    got = {r[0]: (r["removed"], r[1]) for r in dedup_lines(docs(pairs), removed_col="removed").collect()}
+    assert got == brute(pairs)
+    assert [got[i][0] for i in (1, 2, 3, 4)] == [500, 40_000, 320_500, 0] and got[2][1] == "its own begin\nits own end"
