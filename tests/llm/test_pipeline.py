@@ -4,6 +4,8 @@ import corpus_pipeline
 from tablelens.sources.tables import read_parquet
 from tests.llm.test_decontaminate import brute as brute_leaks
 from tests.llm.test_linededup import brute as brute_lines
+from tests.llm.test_packing import check as check_packing
+from tests.llm.test_packing import reference  # noqa: F401
 from tests.llm.test_simhash import brute_components
 
 SF = "/root/testdata/sf0.001"
@@ -14,7 +16,7 @@ def pairs_of(df):
     return [(r.doc_id, r.text) for r in df.collect()]
 
 
-def test_every_stage_against_brute_force(spark):
+def test_every_stage_against_brute_force(spark, reference):  # noqa: F811
     """Each stage's rows from its own input, as the driver applies them."""
     items = [(r.item_id, r.text) for r in read_parquet(spark, SF, "benchmark").collect()]
     docs = read_parquet(spark, SF, "documents")
@@ -23,7 +25,7 @@ def test_every_stage_against_brute_force(spark):
         before, out = pairs_of(docs), function(spark, docs, SF)
         seen.append(name)
         if name == "packing":
-            assert {r.doc_id for r in out.collect()} == {i for i, _ in before}
+            check_packing(out.collect(), before, reference)  # every id of every text, once
             break
         assert out.columns == COLUMNS
         after = dict(pairs_of(out))
@@ -64,3 +66,22 @@ def test_odd_rows_and_empty_tables(spark):
                 assert out.columns == docs.columns
             docs = out
         assert (docs.count() > 0) == bool(some)
+
+
+def test_very_long_texts(spark, reference):  # noqa: F811
+    """Whole texts count in every stage, however long: a copy, one bit's worth of change, and a leak near the end."""
+    rng = random.Random(3)
+    words = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(2, 9))) for _ in range(4000)]
+    lines = [" ".join(rng.choices(words, k=12)) + "." for _ in range(4_000)]
+    item = read_parquet(spark, SF, "benchmark").first()
+    long, leaking = "\n".join(lines), "\n".join([*reversed(lines[:2500]), item.text, *lines[2500:2600]])
+    rows = [(1, long), (2, long), (3, long + "\none more line of its own."), (4, leaking), (5, "a short text of its own words.")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    stages = dict(corpus_pipeline.STAGES)
+    out = {name: stages[name](spark, docs, SF) for name in stages}
+    assert set(pairs_of(out["quality"])) <= set(rows)
+    want = {i: t for i, (n, t) in brute_lines(rows).items() if not n or t}
+    assert dict(pairs_of(out["line_dedup"])) == want and sorted(want) == [1, 3, 4, 5] and want[3] == "one more line of its own."
+    assert {r.doc_id for r in out["near_dedup"].collect()} == {i for i, _, c in brute_components(rows, 2) if i == c} == {1, 4, 5}
+    assert {r.doc_id for r in out["decontamination"].collect()} == {1, 2, 3, 5}
+    check_packing(out["packing"].collect(), rows, reference)
