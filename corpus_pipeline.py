@@ -55,7 +55,7 @@ STAGES = [
 
 #: The classifier, SimHash and the tokenizer have no SQL form; line dedup,
 #: near-dedup and decontamination are tested against brute force on their own
-#: input, quality on labelled documents, packing by its set of ids, and ``run``
+#: input, quality on labelled documents, packing by the tokenizer's ids, and ``run``
 #: against the stages called one by one.
 ORACLE_SQL = None
 
