@@ -367,12 +367,20 @@ def heavy_values_of_texts(spark, sf):
 
 # ------------------------------------------------------- prefixes of files
 
+#: Rows of a table for each range that one task sorts and writes.
+RANGE_ROWS = 500_000
+
+
+def _ranges(table: DataFrame, least: int) -> int:
+    """Ranges to sort a table in: a number that grows with its rows (a count that reads Parquet footers alone)."""
+    return max(least, -(-table.count() // RANGE_ROWS))
+
 
 def _event_files(spark: SparkSession, sf: str) -> str:
-    """The events' text cells in twelve CSV files, in the order of their ids."""
+    """The events' text cells in twelve CSV files or more, in the order of their ids."""
     target = shared_dir(spark, "events-text")
-    place = F.col("event_id").cast("long")
-    write_delimited(base._events_text(spark, sf).repartitionByRange(12, place).sortWithinPartitions(place), target)
+    place, ranges = F.col("event_id").cast("long"), _ranges(_t(spark, sf, "events"), 12)
+    write_delimited(base._events_text(spark, sf).repartitionByRange(ranges, place).sortWithinPartitions(place), target)
     return target
 
 
@@ -402,7 +410,7 @@ def prefix_rows_of_files(spark, sf):
     """The first rows of Parquet files, from the files that hold them."""
     target = shared_dir(spark, "orders-in-order")
     o = _t(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
-    o.repartitionByRange(16, "o_orderkey").sortWithinPartitions("o_orderkey").write.parquet(target)
+    o.repartitionByRange(_ranges(o, 16), "o_orderkey").sortWithinPartitions("o_orderkey").write.parquet(target)
     return first_file_rows(spark, target, 100)
 
 
@@ -416,7 +424,8 @@ def prefix_first_groups(spark, sf):
     """Groups of the first 500 rows in file order."""
     target = shared_dir(spark, "text-in-order")
     order = [F.col("ad_id").cast("long"), F.col("reach"), F.col("spend")]
-    rows = _text_file(spark, sf).repartitionByRange(9, order[0]).sortWithinPartitions(*order)
+    # By all of the order, so that an id with very many rows (or none at all) is no single range.
+    rows = _text_file(spark, sf).repartitionByRange(_ranges(_t(spark, sf, "lineitem"), 9), *order).sortWithinPartitions(*order)
     write_delimited(rows, target)
     d = first_records(spark, target, 500, ",", "place")
     return groups.first_groups(d, ["status"], "place").select("status", "row_count")
@@ -618,7 +627,7 @@ def first_groups_from_files(spark, sf):
     root = shared_dir(spark, "unequal-files")
     for k, rows in enumerate((F.col("o_orderkey") <= cuts[0], F.col("o_orderkey").between(cuts[0] + 1, cuts[1]), F.col("o_orderkey") > cuts[1])):
         part = o.where(rows)
-        parts = max(1, part.rdd.getNumPartitions()) if k != 1 else 3
+        parts = max(1, part.rdd.getNumPartitions()) if k != 1 else _ranges(o, 3)
         write_delimited(part.repartitionByRange(parts, "o_orderkey").sortWithinPartitions("o_orderkey"), os.path.join(root, f"{k}"))
     d = read_table(spark, os.path.join(root, "*"), row_seq="row_seq")
     out = groups.first_groups(d, ["o_custkey"], "row_seq", k=10, cols=["o_totalprice"], exact_scale=SCALE)
