@@ -26,6 +26,7 @@ NULL_POLICIES = {
 # while Spark's trim only removes the space character. The set is derived
 # from that rule (all such characters lie below U+3001).
 WHITESPACE = "".join(ch for ch in map(chr, range(0x3001)) if ch.isspace())
+ASCII_WHITESPACE = "".join(ch for ch in WHITESPACE if ch.isascii())
 
 
 def col_of(c: str | Column) -> Column:
@@ -39,9 +40,12 @@ def strip_ws(c: str | Column) -> Column:
     """Remove leading and trailing whitespace of any kind.
 
     ``btrim`` with a character set is a plain scan from both ends, cheaper
-    than a regular expression.
+    than a regular expression. It looks each character up in the set, so text
+    with as many bytes as characters is looked up in the ten of one byte.
     """
-    return F.btrim(col_of(c), F.lit(WHITESPACE))
+    v = col_of(c)
+    one_byte = F.octet_length(v) == F.char_length(v)
+    return F.when(one_byte, F.btrim(v, F.lit(ASCII_WHITESPACE))).otherwise(F.btrim(v, F.lit(WHITESPACE)))
 
 
 def is_null_token(

@@ -12,11 +12,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, NumericType
 
-from tablelens.functions.nulls import col_of, strip_ws
+from tablelens.functions.nulls import WHITESPACE, col_of, strip_ws
 
 # Fixed value: accepted numeric grammar (sign, digits with optional point,
 # optional exponent, or infinity), case-insensitive, after trimming.
 NUMERIC_GUARD = r"(?i)^[+-]?((\d+\.?\d*|\.\d+)(e[+-]?\d+)?|inf(inity)?)$"
+# With what a cell that matches the grammar begins, whitespace before it included.
+_BEGINS = (*"+-.0123456789iI", *WHITESPACE)
 
 
 def nan_to_null(c: Column) -> Column:
@@ -24,17 +26,23 @@ def nan_to_null(c: Column) -> Column:
 
 
 def parses_as_number(c: str | Column) -> Column:
-    """True where the text matches the numeric grammar (NULL stays NULL)."""
-    return strip_ws(c).rlike(NUMERIC_GUARD)
+    """True where the text matches the numeric grammar (NULL stays NULL).
+
+    Most text is told by its first character, most numbers as they stand; only
+    the rest is stripped.
+    """
+    v, text = col_of(c), strip_ws(c)
+    return F.substring(v, 1, 1).isin(*_BEGINS) & (v.rlike(NUMERIC_GUARD) | text.rlike(NUMERIC_GUARD))
 
 
 def to_double(c: str | Column, source_type: DataType | None = None) -> Column:
-    """Double value of a cell, NULL where it is not a number or is NaN."""
+    """Double value of a cell, NULL where it is not a number or is NaN (which the grammar of text does not have)."""
     col = col_of(c)
     if isinstance(source_type, NumericType):
         return nan_to_null(col.cast("double"))
-    text = strip_ws(col.cast("string"))
-    return nan_to_null(F.when(text.rlike(NUMERIC_GUARD), text.try_cast("double")))
+    text = col.cast("string")
+    # The cast takes no whitespace beyond ASCII.
+    return F.when(parses_as_number(text), F.coalesce(text.try_cast("double"), strip_ws(text).try_cast("double")))
 
 
 def sum_of(v: Column, exact_scale: int | None = None) -> Column:

@@ -63,10 +63,10 @@ def normalise_nulls(
     """
     if isinstance(tokens, str):
         tokens, fold_case = NULL_POLICIES[tokens]
-    tokens = tuple(tokens)
-    return _replace(
-        d, {c: null_if_token(c, tokens, trim, fold_case) for c in _string_columns(d, cols)}
-    )
+    tokens, strings = tuple(tokens), _string_columns(d, cols)
+    # Trimmed in a projection of its own: once, however often the test for tokens names the cell.
+    trimmed = trim_cells(d, strings) if trim else d
+    return _replace(trimmed, {c: null_if_token(c, tokens, False, fold_case) for c in strings})
 
 
 def coerce_numeric(d: DataFrame, cols: Sequence[str]) -> DataFrame:

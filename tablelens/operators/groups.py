@@ -160,10 +160,17 @@ def top_of(sizes: DataFrame, keys: Sequence[str] | str, k: int = 10, null_label:
     )
 
 
-def _numeric_aggs(cols: Sequence[str], types: dict, exact_scale: int | None = None) -> list[Column]:
+def _values(d: DataFrame, keys: Sequence[str], cols: Sequence[str]) -> DataFrame:
+    """The keys, and ``cols`` as doubles ``_v0, _v1, ...``: a projection below the aggregate, so each cell is converted once."""
+    types = {f.name: f.dataType for f in d.schema.fields}
+    return d.select(*[col_of(k) for k in keys], *[to_double(c, types[c]).alias(f"_v{i}") for i, c in enumerate(cols)])
+
+
+def _numeric_aggs(cols: Sequence[str], exact_scale: int | None = None) -> list[Column]:
+    """Aggregates of the columns of ``_values``."""
     aggs = []
-    for i, c in enumerate(cols):
-        v = to_double(c, types[c])
+    for i in range(len(cols)):
+        v = F.col(f"_v{i}")
         aggs += [
             F.count(v).alias(f"_n{i}"),
             mean_of(v, exact_scale).alias(f"_a{i}"),
@@ -232,7 +239,6 @@ def top_group_drilldown(
     keys = _keys(keys)
     cols = list(cols)[:max_cols]
     require_columns(d, keys + cols)
-    types = {f.name: f.dataType for f in d.schema.fields}
     base = _drop_nulls(d, keys, drop_null_keys)
     order = [F.desc(SIZE), *key_order(keys)]
     if method == "single_pass":
@@ -240,8 +246,8 @@ def top_group_drilldown(
     elif method == "semi_join":
         sizes = group_sizes(base, keys).orderBy(*order).limit(k)
         rows = restrict_to_groups(base, sizes, keys, k)
-        top = rows.groupBy(*[col_of(k_) for k_ in keys]).agg(
-            F.count(F.lit(1)).alias(SIZE), *_numeric_aggs(cols, types, exact_scale)
+        top = _values(rows, keys, cols).groupBy(*[col_of(k_) for k_ in keys]).agg(
+            F.count(F.lit(1)).alias(SIZE), *_numeric_aggs(cols, exact_scale)
         )
     else:
         raise ValueError(f"unknown method {method!r}")
@@ -263,10 +269,9 @@ def group_table(
     keys = _keys(keys)
     cols = list(cols)
     require_columns(d, keys + cols)
-    types = {f.name: f.dataType for f in d.schema.fields}
     base = _drop_nulls(d, keys, drop_null_keys)
-    return base.groupBy(*[col_of(k_) for k_ in keys]).agg(
-        F.count(F.lit(1)).alias(SIZE), *_numeric_aggs(cols, types, exact_scale)
+    return _values(base, keys, cols).groupBy(*[col_of(k_) for k_ in keys]).agg(
+        F.count(F.lit(1)).alias(SIZE), *_numeric_aggs(cols, exact_scale)
     )
 
 
@@ -297,8 +302,7 @@ def grouped_numeric_stats(
     keys = _keys(keys)
     cols = list(cols)[:max_cols]
     require_columns(d, keys + cols)
-    types = {f.name: f.dataType for f in d.schema.fields}
-    stats = d.groupBy(*[col_of(k_) for k_ in keys]).agg(*_numeric_aggs(cols, types, exact_scale))
+    stats = _values(d, keys, cols).groupBy(*[col_of(k_) for k_ in keys]).agg(*_numeric_aggs(cols, exact_scale))
     long = stats.select(*keys, _numeric_cells(cols)).where(F.col("count") > 0)
     w = Window.partitionBy("column_name").orderBy(F.desc("count"), *key_order(keys))
     return (

@@ -20,6 +20,16 @@ from pyspark.sql import functions as F
 QUOTE = '"'
 
 
+def _whole_cells(sep: str) -> str:
+    """Lines of whole cells, quoted from end to end or without quotes: such lines end outside (the test of one is short).
+
+    Possessive throughout: no way back is tried and the depth does not grow with the line.
+    """
+    by = sep if sep.isalnum() else "\\" + sep
+    cell = f'(?:"(?:[^"]++|"")*+"|[^"{by}]*+)'
+    return f"^{cell}(?:{by}{cell})*+\\r?\\z"
+
+
 def _ends_inside(line: Column, sep: str, inside: bool) -> Column:
     """Whether a line ends inside a quoted cell, if it begins outside or ``inside`` one.
 
@@ -41,7 +51,10 @@ def _ends_inside(line: Column, sep: str, inside: bool) -> Column:
 
     pieces = F.split(F.concat(F.lit(sep), line), QUOTE)
     last = F.aggregate(F.slice(pieces, 1, F.size(pieces) - 1), in_cell if inside else out, at_quote)
-    return F.when(F.contains(line, F.lit(QUOTE)), last == in_cell).otherwise(F.lit(inside))
+    ends = last == in_cell
+    if not inside and len(sep) == 1 and sep != QUOTE:
+        ends = F.when(line.rlike(_whole_cells(sep)), F.lit(False)).otherwise(ends)
+    return F.when(F.contains(line, F.lit(QUOTE)), ends).otherwise(F.lit(inside))
 
 
 def _lines(spark: SparkSession, path: str, sep: str) -> DataFrame:
