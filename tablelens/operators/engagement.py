@@ -82,8 +82,10 @@ def group_metric_totals(
     """Per key: each metric's total (no values -> 0) and their sum."""
     require_columns(d, [key])
     metrics = available_metrics(d, metrics)
-    sums = [F.coalesce(sum_of(_metric(d, m), exact_scale), F.lit(0.0)).alias(m) for m in metrics]
-    out = d.groupBy(col_of(key)).agg(*sums)
+    # Converted below the aggregate: each cell once.
+    values = d.select(col_of(key), *[_metric(d, m).alias(f"_v{i}") for i, m in enumerate(metrics)])
+    sums = [F.coalesce(sum_of(F.col(f"_v{i}"), exact_scale), F.lit(0.0)).alias(m) for i, m in enumerate(metrics)]
+    out = values.groupBy(col_of(key)).agg(*sums)
     return out.withColumn(total_name, reduce(add, [col_of(m) for m in metrics]))
 
 
