@@ -124,7 +124,7 @@ def numeric_profile(
     ``whole_number_profile`` has minimum, maximum and sum of larger ones.
     """
     cols = list(cols)
-    row = d.agg(F.count(F.lit(1)).alias("_rows"), *_numeric_aggs(d, cols, ddof, exact_scale))
+    row = _with_values(d, cols).agg(F.count(F.lit(1)).alias("_rows"), *_numeric_aggs(cols, ddof, exact_scale))
     out = _numeric_of(row, cols)
     if quantile_probs:
         out = with_quantiles(out, d, cols, quantile_probs)
@@ -188,20 +188,26 @@ def overview_and_profile(
     driver, and both frames are made of it.
     """
     cols = list(roles.numeric)
-    aggs = [F.count(F.lit(1)).alias("_rows"), *_overview_aggs(d.columns), *_numeric_aggs(d, cols, ddof, exact_scale)]
-    planned = d.agg(*aggs)
+    aggs = [F.count(F.lit(1)).alias("_rows"), *_overview_aggs(d.columns), *_numeric_aggs(cols, ddof, exact_scale)]
+    planned = _with_values(d, cols).agg(*aggs)
     row = d.sparkSession.createDataFrame(planned.collect(), planned.schema)
     out = _numeric_of(row, cols)
     return _overview_of(row, d.columns, roles), out if decimals is None else _rounded(out, decimals)
 
 
-def _numeric_aggs(d: DataFrame, cols: Sequence[str], ddof: int, exact_scale: int | None) -> list[Column]:
+def _with_values(d: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """``d`` with ``cols`` as doubles ``_v0, _v1, ...`` beside its own: below the aggregate, so each cell is converted once."""
+    types = {f.name: f.dataType for f in d.schema.fields}
+    return d.select("*", *[to_double(c, types[c]).alias(f"_v{i}") for i, c in enumerate(cols)])
+
+
+def _numeric_aggs(cols: Sequence[str], ddof: int, exact_scale: int | None) -> list[Column]:
+    """Aggregates of the columns of ``_with_values``."""
     if ddof not in (0, 1):
         raise ValueError("ddof must be 0 or 1")
-    types = {f.name: f.dataType for f in d.schema.fields}
     aggs = []
-    for i, c in enumerate(cols):
-        v = to_double(c, types[c])
+    for i in range(len(cols)):
+        v = F.col(f"_v{i}")
         aggs += [
             F.count(v).alias(f"_n{i}"),
             mean_of(v, exact_scale).alias(f"_m{i}"),
