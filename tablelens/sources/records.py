@@ -26,8 +26,12 @@ def _whole_cells(sep: str) -> str:
     Possessive throughout: no way back is tried and the depth does not grow with the line.
     """
     by = sep if sep.isalnum() else "\\" + sep
-    cell = f'(?:"(?:[^"]++|"")*+"|[^"{by}]*+)'
-    return f"^{cell}(?:{by}{cell})*+\\r?\\z"
+    # Cells without quotes go in one piece, up to a quote that begins a cell.
+    return f'^[^"]*+(?:(?:(?<={by})|^)"[^"]*+(?:""[^"]*+)*+"(?:{by}[^"]*+|\\r?\\z))*+\\z'
+
+
+def _has_pattern(sep: str) -> bool:
+    return len(sep) == 1 and sep != QUOTE
 
 
 def _ends_inside(line: Column, sep: str, inside: bool) -> Column:
@@ -52,7 +56,7 @@ def _ends_inside(line: Column, sep: str, inside: bool) -> Column:
     pieces = F.split(F.concat(F.lit(sep), line), QUOTE)
     last = F.aggregate(F.slice(pieces, 1, F.size(pieces) - 1), in_cell if inside else out, at_quote)
     ends = last == in_cell
-    if not inside and len(sep) == 1 and sep != QUOTE:
+    if not inside and _has_pattern(sep):
         ends = F.when(line.rlike(_whole_cells(sep)), F.lit(False)).otherwise(ends)
     return F.when(F.contains(line, F.lit(QUOTE)), ends).otherwise(F.lit(inside))
 
@@ -120,8 +124,14 @@ def _splits(lines: DataFrame) -> DataFrame:
 
 
 def has_line_breaks(spark: SparkSession, path: str, sep: str = ",") -> bool:
-    """Whether some line of the files ends inside a quoted cell (a scan that stops at the first one)."""
+    """Whether some line of the files ends inside a quoted cell (a scan that stops at the first one).
+
+    A scan for lines that are not whole cells goes first: the walk along their
+    quotes has no generated code, and a filter that holds it runs without.
+    """
     lines = spark.read.option("lineSep", "\n").text(path)
+    if _has_pattern(sep) and lines.where(F.contains("value", F.lit(QUOTE)) & ~F.col("value").rlike(_whole_cells(sep))).isEmpty():
+        return False
     return not lines.where(_ends_inside(F.col("value"), sep, False)).isEmpty()
 
 

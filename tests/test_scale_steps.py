@@ -49,6 +49,19 @@ def test_lines_of_whole_cells_end_outside(spark, sep):
     assert all(found[i].whole for i in range(3000, 3301)) and not found[3302].whole
 
 
+def test_whole_cells_are_told_without_the_walk(spark, tmp_path, monkeypatch):
+    def written(name, *lines):
+        (tmp_path / name).write_text("".join(f"{line}\n" for line in lines))
+        return str(tmp_path / name)
+
+    whole = written("whole.csv", "k,v", 'a,"x, ""y"""', '"b",', ",c\r", '"d","e"\r')
+    odd = written("odd.csv", "k,v", '5" nail,"x"', '"a"b,c')  # not whole, but no line ends inside
+    torn = written("torn.csv", "k,v", 'a,"x', 'y"')
+    assert [records.has_line_breaks(spark, path) for path in (whole, odd, torn)] == [False, False, True]
+    monkeypatch.setattr(records, "_ends_inside", lambda *_: pytest.fail("lines of whole cells are walked"))
+    assert not records.has_line_breaks(spark, whole)
+
+
 def test_cells_are_trimmed_once(spark):
     d = spark.createDataFrame([(" None ",), (None,), ("\u3000x\u00a0",), ("é ",)], "v string")
     text = plan(clean.normalise_nulls(d, "folded"))
