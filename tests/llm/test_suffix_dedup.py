@@ -1,3 +1,4 @@
+import hashlib
 import random
 from collections import Counter
 
@@ -6,6 +7,7 @@ import pytest
 
 from tablelens.llm import induced, suffix_dedup
 from tablelens.llm.induced import Files, TupleQueue, sort_in_memory, sorted_suffixes
+from tablelens.llm.queries import LLM_QUERIES
 from tablelens.llm.suffix_dedup import Anchors, Limits, remove_repeats, shard_repeats
 
 
@@ -148,3 +150,30 @@ def test_empty_table_and_texts_across_blocks(docs, monkeypatch):
     long = "".join(rng.choices("abcdefgh ", k=5000))
     pairs = [(1, long), (2, "z" * 77 + long[1000:3500]), (3, long[:390] + "!" + long[390:])]
     assert rows(remove_repeats(docs(pairs))) == brute_force(pairs, 400)
+
+
+def test_passages_of_over_fifty_words_go_from_400_bytes_on(spark, docs, tmp_path):
+    rng = random.Random(13)
+
+    def words(count, size):
+        cuts = sorted(rng.sample(range(1, (size - count + 1) // 2), count - 1))
+        lengths = [2 * (b - a) for a, b in zip([0, *cuts], cuts, strict=False)]
+        lengths.append(size - (count - 1) - sum(lengths))
+        return " ".join("".join(rng.choices("abcdefgh", k=n)) for n in lengths)
+
+    sizes = [340, 399, 400, 401, 640]
+    pairs, gone = [], {}
+    for n, size in enumerate(sizes):
+        passage = words(60, size)
+        assert len(passage) == size and len(passage.split()) == 60
+        for i in range(2):  # what stands beside the passage differs
+            before, after = words(80, 500) + f".{i}", f"{i}." + words(80, 500)
+            pairs.append((10 * n + i, before + passage + after))
+            gone[10 * n + i] = size if size >= 400 else 0, before + after if size >= 400 else before + passage + after
+    pairs += [(100 + i, words(120, 800)) for i in range(5)]
+    gone |= {i: (0, text) for i, text in pairs if i >= 100}
+    docs(pairs).write.parquet(f"{tmp_path}/documents.parquet")
+    run, _ = LLM_QUERIES["op12_suffix_dedup"]
+    got = sorted(tuple(r) for r in run(spark, str(tmp_path)).collect())
+    # n_bytes is the whole text's, whatever went from it
+    assert got == [(i, len(t), gone[i][0], int(gone[i][0] > 0), hashlib.sha256(gone[i][1].encode()).hexdigest()) for i, t in pairs]
